@@ -18,3 +18,12 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"op10_minhash_near_dedup": op10_minhash_near_dedup}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fieldloom.llm.decontaminate import contamination
+
+    return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+QUERIES["op4_benchmark_decontamination"] = op4_benchmark_decontamination

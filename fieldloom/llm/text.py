@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -93,3 +94,88 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | d
             yield out
 
     return df.mapInArrow(run, struct)
+
+
+#: Bytes between words for the white-space rule; A-Z fold.
+_SPACE = bytes(b + 32 if 65 <= b <= 90 else 32 if b == 32 or 9 <= b <= 13 else b for b in range(256))
+ALNUM, SPACE = _ALNUM, _SPACE
+_SEGMENT = 1 << 20
+_BASE = 0x9E3779B97F4A7C15 | 1
+_powers: dict[int, np.ndarray] = {}
+
+
+def _power_table(base: int, n: int) -> np.ndarray:
+    have = _powers.get(base)
+    if have is None or len(have) < n:
+        t = np.full(max(n, 2 * _SEGMENT), base, np.uint64)
+        t[0] = 1
+        have = _powers[base] = np.multiply.accumulate(t)
+    return have
+
+
+def raw_column(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes and offsets of a text column; nulls are empty."""
+    c = batch.column(batch.schema.get_field_index(name))
+    if c.null_count:
+        c = pa.compute.fill_null(c, b"" if pa.types.is_binary(c.type) or pa.types.is_large_binary(c.type) else "")
+    big = pa.types.is_large_string(c.type) or pa.types.is_large_binary(c.type)
+    _, offs, data = c.buffers()
+    offs = np.frombuffer(offs, np.int64 if big else np.int32)[c.offset : c.offset + len(c) + 1].astype(np.int64) if len(c) else np.zeros(1, np.int64)
+    data = np.frombuffer(data, np.uint8)[offs[0] : offs[-1]] if data is not None else np.empty(0, np.uint8)
+    return data, offs - offs[0]
+
+
+class Words:
+    """Words of a batch of texts: hashes, byte spans and the range of each text."""
+
+    def __init__(self, data: np.ndarray, offs: np.ndarray, table: bytes):
+        self.folded = np.frombuffer(data.tobytes().translate(table), np.uint8)
+        isw = self.folded != 32
+        prev = np.zeros(len(isw), bool)
+        prev[1:] = isw[:-1]
+        cut = offs[:-1]
+        prev[cut[cut < len(isw)]] = False
+        self.start = np.flatnonzero(isw & ~prev)
+        nxt = np.zeros(len(isw), bool)
+        nxt[:-1] = isw[1:]
+        cut = offs[1:] - 1
+        nxt[cut[cut >= 0]] = False
+        self.end = np.flatnonzero(isw & ~nxt) + 1
+        self.of_text = np.searchsorted(self.start, offs)
+        self.hash = self._hashes()
+
+    def _hashes(self) -> np.ndarray:
+        out, n, w = np.empty(len(self.start), np.uint64), len(self.start), 0
+        inverse = pow(_BASE, -1, 1 << 64)
+        while w < n:  # segments end between words, so memory follows the segment or the longest word
+            lo = self.start[w]
+            v = max(w + 1, int(np.searchsorted(self.end, lo + _SEGMENT)))
+            hi = self.end[v - 1]
+            p = np.zeros(hi - lo + 1, np.uint64)
+            np.cumsum((self.folded[lo:hi].astype(np.uint64) + np.uint64(1)) * _power_table(_BASE, hi - lo)[: hi - lo], out=p[1:])
+            s, e = self.start[w:v] - lo, self.end[w:v] - lo
+            out[w:v] = mix64((p[e] - p[s]) * _power_table(inverse, hi - lo)[s] + (e - s).astype(np.uint64))
+            w = v
+        return out
+
+    def word(self, i: int, j: int) -> bytes:
+        """Words ``i`` to ``j`` joined by single spaces."""
+        return b" ".join([self.folded[a:b].tobytes() for a, b in zip(self.start[i:j], self.end[i:j])])
+
+
+def annotate(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], added: str) -> DataFrame:
+    """All columns of ``df`` and those that ``fn`` computes from each batch."""
+    extra = df.sparkSession.createDataFrame([], added).schema
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    want = to_arrow_schema(extra)
+    out_schema = StructType(df.schema.fields + extra.fields)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            more = fn(b)
+            cols = list(b.columns) + [pa.array(more[f.name], f.type) for f in want]
+            yield pa.RecordBatch.from_arrays(cols, names=b.schema.names + want.names)
+
+    return df.mapInArrow(run, out_schema)
