@@ -27,3 +27,12 @@ def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 QUERIES["op4_benchmark_decontamination"] = op4_benchmark_decontamination
+
+
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fieldloom.llm.packing import pack
+
+    return pack(_table(spark, sf_dir, "documents"))
+
+
+QUERIES["op6_best_fit_packing"] = op6_best_fit_packing
