@@ -36,3 +36,18 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op6_best_fit_packing"] = op6_best_fit_packing
+
+
+def op2_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fieldloom.llm.pii import pseudonyms
+
+    return pseudonyms(_table(spark, sf_dir, "documents"))
+
+
+def op3_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fieldloom.llm.quality import quality_scores
+
+    return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+QUERIES |= {"op2_pii_pseudonyms": op2_pii_pseudonyms, "op3_quality_gam": op3_quality_gam}
