@@ -237,3 +237,12 @@ def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 80, miss: fl
     out = member.join(comp.withColumnRenamed("node", "rep"), "rep", "left")
     root = F.coalesce("component", "rep")
     return out.select("doc_id", F.col("n").alias("n_shingles"), root.alias("component_id"), F.coalesce(root == F.col("doc_id"), F.lit(True)).alias("kept"))
+
+
+def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` without the documents whose class has a smaller id.
+
+    Rows that repeat an id stay or go together; rows without id stay.
+    """
+    gone = near_duplicates(docs, words, percent).where(~F.col("kept")).select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)

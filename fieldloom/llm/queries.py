@@ -51,3 +51,12 @@ def op3_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"op2_pii_pseudonyms": op2_pii_pseudonyms, "op3_quality_gam": op3_quality_gam}
+
+
+def op7_subword_lattice_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fieldloom.llm.lattice import text_scores
+
+    return text_scores(_table(spark, sf_dir, "documents"))
+
+
+QUERIES["op7_subword_lattice_scores"] = op7_subword_lattice_scores
