@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldloom.llm.text import map_batches, shingle_set, small_batches, utf8
@@ -34,7 +34,7 @@ from fieldloom.sources.scratch import Scratch
 BANDS, ROWS, BATCH = 32, 5, 32
 HASHES = BANDS * ROWS
 BLOCK = 512
-FIRST_TRIES = 6
+FIRST_TRIES, MORE_TRIES = 8, 16
 
 _rng = np.random.default_rng(20240607)
 _MUL = (_rng.integers(0, 2**32, HASHES, dtype=np.uint64).astype(np.uint32) | np.uint32(1))[:, None]
@@ -42,12 +42,15 @@ _ADD = _rng.integers(0, 2**32, HASHES, dtype=np.uint64).astype(np.uint32)[:, Non
 
 
 def signature(s: np.ndarray) -> np.ndarray:
-    """Minimum of each of ``HASHES`` permutations over a non-empty set."""
+    """One byte of the minimum of each of ``HASHES`` permutations over a non-empty set.
+
+    Different minima share a byte once in 256; ``least_matches`` allows for it.
+    """
     x = (s >> np.uint64(32)).astype(np.uint32) ^ s.astype(np.uint32)
     out = np.full(HASHES, 0xFFFFFFFF, np.uint32)
     for at in range(0, len(x), 2048):
         np.minimum(out, (x[None, at : at + 2048] * _MUL + _ADD).min(axis=1), out=out)
-    return out
+    return ((out * np.uint32(0x9E3779B1)) >> np.uint32(24)).astype(np.uint8)
 
 
 def band_hashes(sig: np.ndarray) -> np.ndarray:
@@ -58,10 +61,11 @@ def band_hashes(sig: np.ndarray) -> np.ndarray:
 def least_matches(threshold: float, miss: float) -> tuple[tuple[int, int], ...]:
     """``(n, m)``: after ``n`` hashes, fewer than ``m`` matches prune a pair.
 
-    The posterior of a similarity after m matches of n is Beta(m+1, n-m+1); its
-    tail above the threshold is the probability of at most m matches of n+1
-    draws at the threshold.
+    The posterior of the match probability after m matches of n is
+    Beta(m+1, n-m+1); its tail above the threshold's match probability is the
+    probability of at most m matches of n+1 draws there.
     """
+    threshold += (1 - threshold) / 256
     out = []
     for n in range(BATCH, HASHES + 1, BATCH):
         tail = 0.0
@@ -124,7 +128,7 @@ def _verify(pairs: DataFrame, words: int, percent: int, miss: float) -> DataFram
         keep = []
         for k in range(batch.num_rows):
             na, nb = c["n_a"][k], c["n_b"][k]
-            ok = 100 * min(na, nb) >= percent * max(na, nb) and survives(np.frombuffer(c["sig_a"][k], np.uint32), np.frombuffer(c["sig_b"][k], np.uint32), limits)
+            ok = 100 * min(na, nb) >= percent * max(na, nb) and survives(np.frombuffer(c["sig_a"][k], np.uint8), np.frombuffer(c["sig_b"][k], np.uint8), limits)
             if ok:
                 x, y = full(c["a"][k], c["blob_a"][k]), full(c["b"][k], c["blob_b"][k])
                 both = np.intersect1d(x, y, assume_unique=True).size
@@ -140,17 +144,17 @@ def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(side("b"), "b").join(side("a"), "a")
 
 
-def _block_candidates(percent: int, miss: float, lo: int, hi: int):
-    """Pairs of one block: each query's ``lo``-th to ``hi``-th best survivors of other components."""
+def _block_candidates(percent: int, miss: float, hi: int):
+    """Pairs of one block: each query's ``hi`` best survivors of other components; (-1, -1) if there are more."""
 
     def one(key, tab):
         limits = least_matches(percent / 100, miss)
         q = np.asarray(tab.column("query"))
         ids, comp, n = (np.asarray(tab.column(k)) for k in ("doc_id", "comp", "n"))
-        sig = np.frombuffer(b"".join(tab.column("sig").to_pylist()), np.uint32).reshape(-1, HASHES)
+        sig = np.frombuffer(b"".join(tab.column("sig").to_pylist()), np.uint8).reshape(-1, HASHES)
         band = int(np.asarray(tab.column("pos"))[0])
         qi, mi = np.flatnonzero(q == 1), np.flatnonzero(q == 0)
-        a_out, b_out, more = [], [], 0
+        q_out, m_out, c_out, more = [], [], [], 0
         for i in qi:
             ok = (comp[mi] != comp[i]) & (100 * np.minimum(n[mi], n[i]) >= percent * np.maximum(n[mi], n[i]))
             cand = mi[ok]
@@ -165,21 +169,21 @@ def _block_candidates(percent: int, miss: float, lo: int, hi: int):
                 matches += eq[:, done:m].sum(1)
                 stay = matches >= least
                 cand, eq, matches, done = cand[stay], eq[stay], matches[stay], m
-            order = np.lexsort((ids[cand], -matches))
-            picked = cand[order][lo:hi]
+            best = np.lexsort((ids[cand], -matches))[:hi]
             more += len(cand) > hi
-            a_out.append(np.minimum(ids[i], ids[picked]))
-            b_out.append(np.maximum(ids[i], ids[picked]))
-        a = np.concatenate(a_out) if a_out else np.empty(0, np.int64)
-        b = np.concatenate(b_out) if b_out else np.empty(0, np.int64)
+            q_out.append(np.full(len(best), ids[i]))
+            m_out.append(ids[cand[best]])
+            c_out.append(matches[best])
         if more:
-            a, b = np.append(a, np.int64(-1)), np.append(b, np.int64(-1))
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+            for x in (q_out, m_out, c_out):
+                x.append(np.array([-1]))
+        col = lambda x: pa.array(np.concatenate(x) if x else np.empty(0), pa.int64())
+        return pa.table({"q": col(q_out), "m": col(m_out), "matches": col(c_out)})
 
     return one
 
 
-def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 80, miss: float = 1e-6) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 80, miss: float = 1e-4) -> DataFrame:
     """Near-duplicate classes of ``docs(doc_id, text)``.
 
     Returns one row per input row: ``doc_id, n_shingles, component_id, kept``.
@@ -207,10 +211,10 @@ def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 80, miss: fl
     sets = tmp.write(base.select("doc_id", "n", "sig", "blob").join(involved, "doc_id").dropDuplicates(["doc_id"]), "sets")
     tmp.drop(base)
 
-    pairs = buckets.where("lead < doc_id").select(F.col("lead").alias("a"), F.col("doc_id").alias("b")).distinct()
+    pairs = tmp.write(buckets.where("lead < doc_id").select(F.col("lead").alias("a"), F.col("doc_id").alias("b")).distinct(), "pairs")
     links = tmp.write(_verify(_with_sets(pairs, sets), words, percent, miss), "links")
-    lo, hi = 0, FIRST_TRIES
     nodes = involved.select(F.col("doc_id").alias("a"), F.col("doc_id").alias("b"))
+    tested, tries = pairs, FIRST_TRIES
     while True:
         comp = connected_components(spark, links.unionByName(nodes), Scratch(spark, "components"))
         state = tmp.write(buckets.select("doc_id", "pos", "band").join(comp.withColumnRenamed("node", "doc_id").withColumnRenamed("component", "comp"), "doc_id"), "state")
@@ -225,15 +229,18 @@ def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 80, miss: fl
         key = lambda k: F.pmod(F.xxhash64("doc_id"), F.col(k))
         asked = open_.where("comp <> main").select("band", "pos", "doc_id", "comp", "n", "sig", F.lit(1).alias("query"), key("qblocks").alias("qb"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("mblocks") - 1)).alias("mb"))
         held = open_.select("band", "pos", "doc_id", "comp", "n", "sig", F.lit(0).alias("query"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("qblocks") - 1)).alias("qb"), key("mblocks").alias("mb"))
-        found = tmp.write(asked.unionByName(held.select(*asked.columns)).groupBy("band", "qb", "mb").applyInArrow(_block_candidates(percent, miss, lo, hi), "a long, b long").distinct(), "found")
-        fresh = tmp.write(_verify(_with_sets(found.where("a >= 0"), sets), words, percent, miss), "links")
-        more = not found.where("a < 0").isEmpty()
-        links = links.unionByName(fresh)
-        tmp.drop(state, mixed, open_, found)
+        found = tmp.write(asked.unionByName(held.select(*asked.columns)).groupBy("band", "qb", "mb").applyInArrow(_block_candidates(percent, miss, tries), "q long, m long, matches long"), "found")
+        new = found.where("q >= 0").select("q", "m", "matches", F.least("q", "m").alias("a"), F.greatest("q", "m").alias("b")).join(tested, ["a", "b"], "left_anti")
+        new = tmp.write(new.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("matches"), "m"))), "new")
+        turn = tmp.write(new.where(F.col("rank") <= tries).select("a", "b").distinct(), "turn")
+        links = links.unionByName(tmp.write(_verify(_with_sets(turn, sets), words, percent, miss), "links"))
+        tested = tested.unionByName(turn)
+        more = not (found.where("q < 0").select("q").unionByName(new.where(F.col("rank") > tries).select("q")).isEmpty())
+        tmp.drop(state, mixed, open_, found, new)
         if not more:
             comp = connected_components(spark, links.unionByName(nodes), Scratch(spark, "components"))
             break
-        lo, hi = hi, hi * 8
+        tries *= MORE_TRIES
     out = member.join(comp.withColumnRenamed("node", "rep"), "rep", "left")
     root = F.coalesce("component", "rep")
     return out.select("doc_id", F.col("n").alias("n_shingles"), root.alias("component_id"), F.coalesce(root == F.col("doc_id"), F.lit(True)).alias("kept"))
