@@ -60,3 +60,18 @@ def op7_subword_lattice_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op7_subword_lattice_scores"] = op7_subword_lattice_scores
+
+
+def op5_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fieldloom.llm.toxicity import toxicity
+
+    return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op8_language_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fieldloom.llm.language import identify
+
+    return identify(_table(spark, sf_dir, "pages"), _table(spark, sf_dir, "documents"))
+
+
+QUERIES |= {"op5_toxicity_chain": op5_toxicity_chain, "op8_language_fusion": op8_language_fusion}
