@@ -75,3 +75,12 @@ def op8_language_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"op5_toxicity_chain": op5_toxicity_chain, "op8_language_fusion": op8_language_fusion}
+
+
+def op9_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fieldloom.llm.secrets import scan
+
+    return scan(_table(spark, sf_dir, "documents"))
+
+
+QUERIES["op9_secret_forest"] = op9_secret_forest
