@@ -84,3 +84,12 @@ def op9_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op9_secret_forest"] = op9_secret_forest
+
+
+def op1_vector_graph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fieldloom.llm.vectors import vector_links
+
+    return vector_links(_table(spark, sf_dir, "embeddings"), threshold=0.9)
+
+
+QUERIES["op1_vector_graph_dedup"] = op1_vector_graph_dedup
