@@ -11,8 +11,9 @@
 5. Verified links are joined into components.  Buckets that still hold several
    components are compared again: members outside the bucket's largest component
    against all others, in blocks, so that no task holds a whole bucket and
-   members already connected are never compared.  Rounds go on until no
-   untested pair of different components is left, so nothing is capped.
+   members already connected are never compared.  Survivors of the same
+   sequential test are verified on full sets inside the block, so only links
+   leave it and nothing is capped.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom.llm.text import map_batches, shingle_set, small_batches, utf8
@@ -33,8 +34,7 @@ from fieldloom.sources.scratch import Scratch
 
 BANDS, ROWS, BATCH = 32, 5, 32
 HASHES = BANDS * ROWS
-BLOCK = 512
-FIRST_TRIES, MORE_TRIES = 8, 16
+BLOCK = 256
 
 _rng = np.random.default_rng(20240607)
 _MUL = (_rng.integers(0, 2**32, HASHES, dtype=np.uint64).astype(np.uint32) | np.uint32(1))[:, None]
@@ -144,41 +144,57 @@ def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(side("b"), "b").join(side("a"), "a")
 
 
-def _block_candidates(percent: int, miss: float, hi: int):
-    """Pairs of one block: each query's ``hi`` best survivors of other components; (-1, -1) if there are more."""
+def _block_links(words: int, percent: int, miss: float):
+    """Links of one block between components: each query against the members.
+
+    A pair is tried in the first band that both share, by its smaller query,
+    and only while the block's links leave its components apart.
+    """
 
     def one(key, tab):
-        limits = least_matches(percent / 100, miss)
-        q = np.asarray(tab.column("query"))
-        ids, comp, n = (np.asarray(tab.column(k)) for k in ("doc_id", "comp", "n"))
+        limits, unpack, sets, root = least_matches(percent / 100, miss), zstandard.ZstdDecompressor(), {}, {}
+        role, band = np.asarray(tab.column("role")), int(np.asarray(tab.column("pos"))[0])
+        held = np.asarray(tab.column("blob").is_valid())
+        ids, comp, n, other = (np.asarray(tab.column(k)) for k in ("doc_id", "comp", "n", "other"))
         sig = np.frombuffer(b"".join(tab.column("sig").to_pylist()), np.uint8).reshape(-1, HASHES)
-        band = int(np.asarray(tab.column("pos"))[0])
-        qi, mi = np.flatnonzero(q == 1), np.flatnonzero(q == 0)
-        q_out, m_out, c_out, more = [], [], [], 0
-        for i in qi:
-            ok = (comp[mi] != comp[i]) & (100 * np.minimum(n[mi], n[i]) >= percent * np.maximum(n[mi], n[i]))
+        blobs, at = tab.column("blob"), {int(ids[k]): int(k) for k in np.flatnonzero(held)}
+
+        def find(c: int) -> int:
+            while (up := root.get(c, c)) != c:
+                root[c] = root.get(up, up)
+                c = up
+            return c
+
+        def full(i: int) -> np.ndarray:
+            if i not in sets:
+                sets[i] = shingle_set(unpack.decompress(blobs[at[i]].as_py()), words)
+            return sets[i]
+
+        a_out, b_out, mi = [], [], np.flatnonzero(role == 1)
+        for i in np.flatnonzero(role == 2):
+            ok = (comp[mi] != comp[i]) & (100 * np.minimum(n[mi], n[i]) >= percent * np.maximum(n[mi], n[i])) & ~(other[mi] & (ids[mi] < ids[i]))
             cand = mi[ok]
             if not len(cand):
                 continue
             eq = sig[cand] == sig[i]
-            if band:  # each pair is tried in the first band that both share
-                cand_new = ~eq[:, : band * ROWS].reshape(len(cand), band, ROWS).all(2).any(1)
-                cand, eq = cand[cand_new], eq[cand_new]
+            if band:
+                fresh = ~eq[:, : band * ROWS].reshape(len(cand), band, ROWS).all(2).any(1)
+                cand, eq = cand[fresh], eq[fresh]
             done, matches = 0, np.zeros(len(cand), np.int64)
             for m, least in limits:
                 matches += eq[:, done:m].sum(1)
                 stay = matches >= least
                 cand, eq, matches, done = cand[stay], eq[stay], matches[stay], m
-            best = np.lexsort((ids[cand], -matches))[:hi]
-            more += len(cand) > hi
-            q_out.append(np.full(len(best), ids[i]))
-            m_out.append(ids[cand[best]])
-            c_out.append(matches[best])
-        if more:
-            for x in (q_out, m_out, c_out):
-                x.append(np.array([-1]))
-        col = lambda x: pa.array(np.concatenate(x) if x else np.empty(0), pa.int64())
-        return pa.table({"q": col(q_out), "m": col(m_out), "matches": col(c_out)})
+            for k in cand[np.lexsort((ids[cand], -matches))]:
+                x, y = find(int(comp[i])), find(int(comp[k]))
+                if x == y:
+                    continue
+                s, t = full(int(ids[i])), full(int(ids[k]))
+                both = np.intersect1d(s, t, assume_unique=True).size
+                if 100 * both >= percent * (len(s) + len(t) - both):
+                    root[max(x, y)] = min(x, y)
+                    a_out.append(int(ids[i])), b_out.append(int(ids[k]))
+        return pa.table({"a": pa.array(a_out, pa.int64()), "b": pa.array(b_out, pa.int64())})
 
     return one
 
@@ -214,33 +230,23 @@ def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 80, miss: fl
     pairs = tmp.write(buckets.where("lead < doc_id").select(F.col("lead").alias("a"), F.col("doc_id").alias("b")).distinct(), "pairs")
     links = tmp.write(_verify(_with_sets(pairs, sets), words, percent, miss), "links")
     nodes = involved.select(F.col("doc_id").alias("a"), F.col("doc_id").alias("b"))
-    tested, tries = pairs, FIRST_TRIES
-    while True:
-        comp = connected_components(spark, links.unionByName(nodes), Scratch(spark, "components"))
-        state = tmp.write(buckets.select("doc_id", "pos", "band").join(comp.withColumnRenamed("node", "doc_id").withColumnRenamed("component", "comp"), "doc_id"), "state")
-        sizes = state.groupBy("band", "comp").agg(F.count("*").alias("c"))
-        mixed = tmp.write(
-            sizes.groupBy("band").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.sum("c").alias("all"), F.max("c").alias("most"), F.count("*").alias("comps")).where("comps > 1").select("band", "main", F.ceil(F.col("all") / BLOCK).alias("mblocks"), F.ceil((F.col("all") - F.col("most")) / BLOCK).alias("qblocks")),
-            "mixed",
-        )
-        if mixed.isEmpty():
-            break
-        open_ = tmp.write(state.join(mixed, "band").join(sets.select("doc_id", "n", "sig"), "doc_id"), "open")
-        key = lambda k: F.pmod(F.xxhash64("doc_id"), F.col(k))
-        asked = open_.where("comp <> main").select("band", "pos", "doc_id", "comp", "n", "sig", F.lit(1).alias("query"), key("qblocks").alias("qb"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("mblocks") - 1)).alias("mb"))
-        held = open_.select("band", "pos", "doc_id", "comp", "n", "sig", F.lit(0).alias("query"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("qblocks") - 1)).alias("qb"), key("mblocks").alias("mb"))
-        found = tmp.write(asked.unionByName(held.select(*asked.columns)).groupBy("band", "qb", "mb").applyInArrow(_block_candidates(percent, miss, tries), "q long, m long, matches long"), "found")
-        new = found.where("q >= 0").select("q", "m", "matches", F.least("q", "m").alias("a"), F.greatest("q", "m").alias("b")).join(tested, ["a", "b"], "left_anti")
-        new = tmp.write(new.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("matches"), "m"))), "new")
-        turn = tmp.write(new.where(F.col("rank") <= tries).select("a", "b").distinct(), "turn")
-        links = links.unionByName(tmp.write(_verify(_with_sets(turn, sets), words, percent, miss), "links"))
-        tested = tested.unionByName(turn)
-        more = not (found.where("q < 0").select("q").unionByName(new.where(F.col("rank") > tries).select("q")).isEmpty())
-        tmp.drop(state, mixed, open_, found, new)
-        if not more:
-            comp = connected_components(spark, links.unionByName(nodes), Scratch(spark, "components"))
-            break
-        tries *= MORE_TRIES
+    comp = connected_components(spark, links.unionByName(nodes), Scratch(spark, "components"))
+    state = tmp.write(buckets.select("doc_id", "pos", "band").join(comp.withColumnRenamed("node", "doc_id").withColumnRenamed("component", "comp"), "doc_id"), "state")
+    sizes = state.groupBy("band", "comp").agg(F.count("*").alias("c"))
+    mixed = sizes.groupBy("band").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.sum("c").alias("all"), F.max("c").alias("most"), F.count("*").alias("comps")).where("comps > 1")
+    mixed = tmp.write(mixed.select("band", "main", F.ceil(F.col("all") / BLOCK).alias("nm"), F.ceil((F.col("all") - F.col("most")) / BLOCK).alias("nq")), "mixed")
+    if not mixed.isEmpty():
+        open_ = tmp.write(state.join(mixed, "band"), "open").withColumn("other", F.col("comp") != F.col("main"))
+        at = lambda k: F.pmod(F.xxhash64("doc_id"), F.col(k))
+        spots = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+        spot = lambda q, m, role, full: F.struct(q.alias("qb"), m.alias("mb"), F.lit(role).alias("role"), full.alias("full"))
+        as_member = F.transform(spots("nq"), lambda q: spot(q, at("nm"), 1, F.lit(True)))
+        as_query = F.when(F.col("other"), F.transform(spots("nm"), lambda m: spot(at("nq"), m, 2, m != at("nm")))).otherwise(F.array().cast("array<struct<qb:bigint,mb:bigint,role:int,full:boolean>>"))
+        met = open_.join(sets, "doc_id").withColumn("s", F.explode(F.concat(as_member, as_query)))
+        # A query that is also a member of its own block carries its text once.
+        met = met.select("band", "pos", "doc_id", "comp", "other", "n", "sig", "s.qb", "s.mb", "s.role", F.when(F.col("s.full"), F.col("blob")).alias("blob"))
+        found = tmp.write(met.groupBy("band", "qb", "mb").applyInArrow(_block_links(words, percent, miss), "a long, b long"), "found")
+        comp = connected_components(spark, links.unionByName(found).unionByName(nodes), Scratch(spark, "components"))
     out = member.join(comp.withColumnRenamed("node", "rep"), "rep", "left")
     root = F.coalesce("component", "rep")
     return out.select("doc_id", F.col("n").alias("n_shingles"), root.alias("component_id"), F.coalesce(root == F.col("doc_id"), F.lit(True)).alias("kept"))
