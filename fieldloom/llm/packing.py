@@ -13,8 +13,8 @@ length and looks up the configuration, instance and offset of each number.
 
 from __future__ import annotations
 
+import json
 import zlib
-from collections.abc import Iterator
 from pathlib import Path
 
 import numpy as np
@@ -37,12 +37,39 @@ def default_tokenizer() -> str:
     return str(public_tokenizers.path("byte_bpe_50k.json"))
 
 
+#: How the byte-level pre-tokeniser cuts a text (fixed value).
+_PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def _same_ids(spec: str):
+    """A faster encoder of the same file, where its merges are in the order of its ids; else None.
+
+    The vocabulary spells bytes by a fixed alphabet: printable Latin-1 bytes
+    stand for themselves, the others for the code points from 256 on.
+    """
+    import tiktoken
+
+    d = json.loads(spec)
+    vocab, pre = d["model"].get("vocab", {}), d.get("pre_tokenizer") or {}
+    if d["model"].get("type") != "BPE" or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or d.get("normalizer"):
+        return None
+    plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    spell = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(plain))}
+    merged = ["".join(m.split(" ") if isinstance(m, str) else m) for m in d["model"]["merges"]]
+    if any(vocab.get(t) != 256 + i for i, t in enumerate(merged)):
+        return None
+    ranks = {bytes(spell[c] for c in t): i for t, i in vocab.items() if i < 256 + len(merged)}
+    return tiktoken.Encoding("same", pat_str=_PRE_TOKENS, mergeable_ranks=ranks, special_tokens={})
+
+
 class Encoder:
     """Ids of whole texts, with a bounded cache of the chunks between spaces.
 
     The byte-level pre-tokeniser never joins a character to a following single
     space, so a text without double spaces may be cut before each space and the
-    ids of the chunks joined.  Other texts are encoded whole.
+    ids of the chunks joined.  Unknown chunks of a batch are encoded as one text
+    and cut where a token starts with a space.  Texts with double spaces are
+    encoded whole, by the tokenizer itself.
     """
 
     def __init__(self, spec: str):
@@ -50,27 +77,56 @@ class Encoder:
 
         self.tok = Tokenizer.from_str(spec)
         self.cache: dict[str, bytes] = {}
+        self.fast = _same_ids(spec)
+        self.spaced = np.zeros(max(self.tok.get_vocab().values()) + 1, bool)
+        for token, i in self.tok.get_vocab().items():
+            self.spaced[i] = token.startswith("\u0120")  # the byte alphabet's space
 
     def _many(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def __call__(self, texts: list[str | None]) -> Iterator[bytes]:
-        cache = self.cache
-        for t in texts:
+    def _learn(self, new: list[str]) -> None:
+        """Ids of chunks; a key is the chunk without its leading space."""
+        lone = [c for c in new if not c]
+        rest = [c for c in new if c]
+        for at in range(0, len(rest), 2048):
+            part = rest[at : at + 2048]
+            text = " " + " ".join(part)
+            raw = np.array(self.fast.encode_ordinary(text), "<u4").tobytes() if self.fast and "<|" not in text else self._many([text])[0]
+            cut = np.append(np.flatnonzero(self.spaced[np.frombuffer(raw, "<u4")]) * 4, len(raw)).tolist()
+            if len(cut) == len(part) + 1 and cut[0] == 0:
+                self.cache.update(zip(part, [raw[a:b] for a, b in zip(cut, cut[1:])]))
+            else:
+                lone += part
+        if lone:
+            self.cache.update(zip(lone, self._many([" " + c for c in lone])))
+
+    def __call__(self, texts: list[str | None]) -> list[bytes]:
+        if len(self.cache) > _CACHE_ENTRIES:
+            self.cache.clear()
+        get, out, heads, todo = self.cache.get, [], {}, {}
+        for k, t in enumerate(texts):
             if not t:
-                yield b""
+                out.append(b"")
             elif "  " in t:
-                yield self._many([t])[0]
+                out.append(self._many([t])[0])
             else:
                 first, *rest = t.split(" ")
-                chunks = ([first] if first else []) + [" " + x for x in rest]
-                new = list({c for c in chunks if c not in cache})
-                if new:
-                    if len(cache) > _CACHE_ENTRIES:
-                        cache.clear()
-                        new = list(set(chunks))
-                    cache.update(zip(new, self._many(new)))
-                yield b"".join([cache[c] for c in chunks])
+                if first:
+                    heads[k] = first
+                parts = list(map(get, rest))
+                if None in parts:
+                    todo[k] = rest
+                    out.append(parts)
+                else:
+                    out.append(b"".join(parts))
+        if todo:
+            self._learn(list({c for k, rest in todo.items() for c, p in zip(rest, out[k]) if p is None}))
+            for k, rest in todo.items():
+                out[k] = b"".join(map(self.cache.__getitem__, rest))
+        for k, head in zip(heads, self._many(list(heads.values())) if heads else ()):
+            out[k] = head + out[k]
+        return out
 
 
 def pieces_of(ids: bytes, capacity: int = CAPACITY) -> list[tuple[int, int, int]]:
