@@ -134,12 +134,13 @@ def contract(spark, sf_dir):
     return rounded(G.contract_graph(e, lab), 3)
 
 
-@query("graph_components", """WITH RECURSIVE e AS (SELECT DISTINCT o_custkey AS a, 1000000 + o_orderkey // 4 AS b FROM orders WHERE o_orderstatus = 'P' AND o_totalprice < 150000), s AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
- r(a, b) AS (SELECT a, a FROM s UNION SELECT r.a, s.b FROM r JOIN s ON s.a = r.b), c AS (SELECT a AS id, min(b) AS part FROM r GROUP BY a) SELECT part, count(*) AS size, round(avg(CAST(id % 97 AS DOUBLE)), 6) AS mean FROM c GROUP BY part""")
+@query("graph_components", "WITH r AS (SELECT o_orderkey AS id, sum(CASE WHEN o_orderpriority = p THEN 0 ELSE 1 END) OVER (ORDER BY o_orderkey) AS run FROM (SELECT o_orderkey, o_orderpriority, lag(o_orderpriority) OVER (ORDER BY o_orderkey) AS p FROM orders)) SELECT min(id) AS part, count(*) AS size, round(avg(CAST(id % 97 AS DOUBLE)), 6) AS mean FROM r GROUP BY run")
 def components(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").where("o_orderstatus = 'P' and o_totalprice < 150000")
-    e = o.select(F.col("o_custkey").alias("src"), (F.floor(F.col("o_orderkey") / 4) + 1_000_000).alias("dst")).distinct()
-    return rounded(G.component_pool(_nodes(e), e))
+    """Orders linked to the next one of the same priority: the components are the runs."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("src"), "o_orderpriority")
+    e = o.join(o.select((F.col("src") - 1).alias("src"), "o_orderpriority"), ["src", "o_orderpriority"]).select("src", (F.col("src") + 1).alias("dst"))
+    nodes = o.select(F.col("src").alias("id"), (F.col("src") % 97).cast("double").alias("f"))
+    return rounded(G.component_pool(nodes, e))
 
 
 @query("graph_edge_cut", f"WITH {_E}, p AS (SELECT id, id % 4 AS part FROM n) SELECT count(*) FILTER (a.part <> b.part) AS edge_cut, round((SELECT max(c) / avg(c) FROM (SELECT count(*) AS c FROM p GROUP BY part)), 6) AS balance, (SELECT count(DISTINCT part) FROM p) AS parts FROM e JOIN p a ON a.id = src JOIN p b ON b.id = dst")
