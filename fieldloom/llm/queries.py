@@ -17,7 +17,26 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op10_minhash_near_dedup": op10_minhash_near_dedup}
-ORACLE_SQL: dict[str, str] = {}
+_FOLD = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+#: Models, token ids and pseudonyms are beyond SQL; tests hold those queries against brute force.
+ORACLE_SQL: dict[str, str] = {
+    "op1_vector_graph_dedup": """WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE embedding IS NOT NULL AND list_bool_and([x IS NOT NULL AND isfinite(x) FOR x IN embedding]) AND list_bool_or([x <> 0 FOR x IN embedding])),
+ p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a, v b WHERE a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.9), n AS (SELECT a, count(*) AS n FROM p GROUP BY a),
+ r(a, b) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.a, p.b FROM r JOIN p ON p.a = r.b), c AS (SELECT a, min(b) AS c FROM r GROUP BY a)
+ SELECT vec_id, coalesce(n, 0) AS n_links, c AS component_id, c = vec_id AS kept FROM embeddings LEFT JOIN n ON n.a = vec_id JOIN c ON c.a = vec_id""",
+    "op4_benchmark_decontamination": f"""WITH cut AS (SELECT doc_id, regexp_extract_all({_FOLD}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents), item AS (SELECT item_id, regexp_extract_all({_FOLD}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),
+ win AS (SELECT DISTINCT item_id, array_to_string(w[k:k + 12], ' ') AS t, least(13, len(w)) AS n FROM (SELECT item_id, w, unnest(range(1, greatest(1, len(w) - 12) + 1)) AS k FROM item WHERE len(w) > 0)),
+ pos AS (SELECT doc_id, k, n, array_to_string(w[k:k + n - 1], ' ') AS t FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM cut, (SELECT DISTINCT n FROM win))),
+ hit AS (SELECT doc_id, k, pos.n, item_id FROM pos JOIN win ON win.t = pos.t AND win.n = pos.n), words AS (SELECT doc_id, count(DISTINCT x) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS x FROM hit) GROUP BY doc_id),
+ items AS (SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS s FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS i FROM hit) GROUP BY doc_id)
+ SELECT doc_id, coalesce(len(w), 0) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= coalesce(len(w), 0) AS contaminated FROM cut LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)""",
+    "op10_minhash_near_dedup": f"""WITH RECURSIVE cut AS (SELECT doc_id, regexp_extract_all({_FOLD}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+ sh AS (SELECT DISTINCT doc_id, array_to_string(w[k:k + 3], ' ') AS s, least(4, len(w)) AS size FROM (SELECT doc_id, w, unnest(range(1, greatest(1, len(w) - 3) + 1)) AS k FROM cut WHERE len(w) > 0)), n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+ inter AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM sh a JOIN sh b ON a.s = b.s AND a.size = b.size AND a.doc_id <> b.doc_id GROUP BY 1, 2), p AS (SELECT a, b FROM inter JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= 80 * (x.n + y.n - i)),
+ r(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.a, p.b FROM r JOIN p ON p.a = r.b), c AS (SELECT a, min(b) AS c FROM r GROUP BY a)
+ SELECT doc_id, coalesce(n, 0) AS n_shingles, c AS component_id, c = doc_id AS kept FROM documents LEFT JOIN n USING (doc_id) JOIN c ON c.a = doc_id""",
+}
 
 
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
