@@ -28,12 +28,24 @@ def shared_folder(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+_roots: list[str] = []
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete all scratch tables of this driver; results that still read them must be written first."""
+    conf = spark._jsparkSession.sessionState().newHadoopConf()
+    while _roots:
+        p = spark._jvm.org.apache.hadoop.fs.Path(_roots.pop())
+        p.getFileSystem(conf).delete(p, True)
+
+
 class Scratch:
     """Tables of one job run; ``drop`` frees those that a later round replaced."""
 
     def __init__(self, spark: SparkSession, job: str):
         self.spark = spark
         self.root = f"{shared_folder(spark)}/{job}-{uuid.uuid4().hex[:12]}"
+        _roots.append(self.root)
         self._n = 0
 
     def write(self, df: DataFrame, name: str) -> DataFrame:

@@ -14,4 +14,7 @@ def spark():
     )
     s.sparkContext.setLogLevel("ERROR")
     yield s
+    from fieldloom.sources.scratch import clean
+
+    clean(s)
     s.stop()
