@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldloom.llm.text import SPACE, Words, annotate, map_batches, raw_column, small_batches, utf8, window_hashes
+from fieldloom.llm.text import SPACE, Words, annotate, bounded_sample, map_batches, raw_column, small_batches, utf8, window_hashes
 from fieldloom.sources.scratch import Scratch
 
 MAX_TRAIN = 20_000
@@ -180,7 +180,8 @@ def features(docs: DataFrame) -> DataFrame:
 def train(feats: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Model:
     """Fit on labelled rows outside the held-out fold; at most ``max_train`` reach the driver."""
     y = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").cast("double").alias("y"))
-    rows = feats.where(~held_out()).join(y, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train).select("x", "y").toPandas()
+    y = bounded_sample(y.where(~held_out()), max_train, "doc_id")
+    rows = feats.join(y, "doc_id").select("doc_id", "x", "y").toPandas().sort_values("doc_id", kind="stable")  # about max_train rows
     return fit(np.array(rows.x.tolist()).reshape(-1, len(FEATURES)), rows.y.to_numpy(float))
 
 

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom.llm.quality import held_out
+from fieldloom.llm.text import bounded_sample
 from fieldloom.sources.scratch import Scratch
 
 TOKEN = r"[A-Za-z0-9_+/\-]{16,}"
@@ -124,8 +125,8 @@ def scan(docs: DataFrame, labelled: DataFrame | None = None, max_train: int = MA
         train = rule_labels(found)
     else:
         train = found.join(labelled.select("doc_id", "place", "nth", F.col("label").cast("double").alias("label")), ["doc_id", "place", "nth"])
-    train = train.where(~held_out()).select("label", "key", "doc_id", "place", "nth", *FEATURES).orderBy(F.xxhash64("doc_id", "place", "nth")).limit(max_train)
-    train = tmp.write(train, "train")
+    train = train.where(~held_out()).select("label", "key", "doc_id", "place", "nth", *FEATURES)
+    train = tmp.write(bounded_sample(train, max_train, "doc_id", "place", "nth"), "train")
     n, yes = train.agg(F.count("*"), F.sum("label")).first()
     out = lambda df, p: df.select("doc_id", "place", "nth", F.sha2("token", 256).alias("token_sha256"), F.length("token").alias("token_length"), p.alias("probability")).withColumn("secret", F.col("probability") >= 0.5)
     if not n or yes in (0.0, float(n)):

@@ -77,6 +77,20 @@ def shingle_set(raw: bytes | None, n: int) -> np.ndarray:
     return np.unique(window_hashes(h, min(n, len(h))))
 
 
+def bounded_sample(df: DataFrame, n: int, *keys: str) -> DataFrame:
+    """At most ``n`` rows of ``df``, drawn by a hash of ``keys``; all rows where there are no more.
+
+    The draw does not depend on partitions.  Its share is set a little under
+    n / rows, so that about n rows pass the filter wherever they lie, and only
+    those meet in the final limit.
+    """
+    total = df.count()
+    if total <= n:
+        return df
+    u = F.pmod(F.xxhash64(*keys, F.lit(77)), F.lit(1 << 40)) / float(1 << 40)
+    return df.where(u < max(n - 4 * n**0.5, n / 2) / total).limit(n)
+
+
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | dict], schema: str) -> DataFrame:
     """``mapInArrow`` over single batches; ``fn`` may return a dict of columns."""
     from pyspark.sql.pandas.types import to_arrow_schema

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom.llm.quality import held_out
-from fieldloom.llm.text import ALNUM, Words, map_batches, mix64, raw_column, small_batches, utf8
+from fieldloom.llm.text import ALNUM, Words, bounded_sample, map_batches, mix64, raw_column, small_batches, utf8
 
 CATEGORIES = ("insult", "inflected", "persistent", "toxic")
 MAX_TRAIN, MAX_WORDS, FOLDS = 20_000, 1024, 4
@@ -141,7 +141,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) ->
     small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("text"))
     y = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    y = y.where(~held_out()).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
+    y = bounded_sample(y.where(~held_out()), max_train, "doc_id")
     sample = docs.join(F.broadcast(y), "doc_id")  # at most max_train small rows are broadcast
     n1, n0 = (int(v or 0) for v in y.agg(F.sum("toxic"), F.sum(1 - F.col("toxic"))).first())
     if not n1:
