@@ -155,3 +155,39 @@ def material_report(spark, sf_dir):
 @query("field_mean_by_mesh", f"{MESH.split(', cells AS')[0]} SELECT mesh, count(*) AS n, round(avg(u), 5) AS mean FROM pts GROUP BY mesh")
 def by_mesh(spark, sf_dir):
     return rounded(points(spark, sf_dir).groupBy("mesh").agg(F.count("*").alias("n"), F.avg("u").alias("mean")), 5)
+
+
+@query(
+    "rom_gram_by_label",
+    """WITH s AS (SELECT vec_id AS dof, label, unnest(range(len(embedding))) AS k, unnest(embedding)::DOUBLE AS v FROM embeddings), c AS (SELECT dof, label, k, v - avg(v) OVER (PARTITION BY dof) AS v FROM s)
+ SELECT a.label, CAST(a.k AS INTEGER) AS i, CAST(b.k AS INTEGER) AS j, round(sum(a.v * b.v), 6) + 0.0 AS s FROM c a JOIN c b ON a.dof = b.dof AND a.k <= b.k GROUP BY a.label, a.k, b.k""",
+)
+def gram_by_label(spark, sf_dir):
+    from fieldloom.operators.rom import gram_by
+
+    return rounded(gram_by(table(spark, sf_dir, "embeddings").select("label", F.col("embedding").alias("xs")), "label"))
+
+
+@query("rom_pod_by_label")
+def pod_by_label(spark, sf_dir):
+    """Singular values of each label's snapshots (tests compare with NumPy)."""
+    from fieldloom.operators.rom import pod_per_group
+
+    return pod_per_group(table(spark, sf_dir, "embeddings").select("label", F.col("embedding").alias("xs")), "label", 6)
+
+
+@query("uq_collocation", "SELECT l_linenumber, round(avg(sqrt(l_extendedprice)), 5) AS mean, round(stddev_pop(sqrt(l_extendedprice)), 5) AS std FROM lineitem GROUP BY 1")
+def collocation(spark, sf_dir):
+    from fieldloom.operators.uq import collocation_stats
+
+    return rounded(collocation_stats(table(spark, sf_dir, "lineitem").select("l_linenumber", F.sqrt("l_extendedprice").alias("y")), "y", ["l_linenumber"]), 5)
+
+
+@query("fidelity_selection")
+def selection(spark, sf_dir):
+    """Level chosen for each order by a log-error model of all orders at three levels (tests check the rule)."""
+    from fieldloom.operators.uq import fidelity_selector, select_fidelity
+
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), (F.sqrt("o_totalprice") / 100).alias("x"))
+    train = o.select("x", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("level")).withColumn("error", F.exp(-1.5 * F.col("level") - 0.2 * F.col("x")) * (1 + 0.1 * F.sin(F.col("x") * 9)))
+    return select_fidelity(o, fidelity_selector(train, ["x"], 3), [1.0, 4.0, 12.0], 0.1).select("id", "level", "saved")

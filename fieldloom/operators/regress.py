@@ -172,3 +172,29 @@ def score_expressions(df: DataFrame, exprs: dict[str, tuple[Column, int]], targe
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+def weak_sindy(df: DataFrame, terms: Sequence[tuple[str, Column]], state: str, time: str, n_tests: int = 20, threshold: float = 0.1) -> np.ndarray:
+    """Sparse coefficients from integrals against bump functions, without derivatives of the data.
+
+    The bumps overlap and tile the time span; each row meets the few whose
+    support holds it.  Integrals are trapezoids in time order.
+    """
+    lo, hi = df.agg(F.min(time), F.max(time)).first()
+    half = 2.0 * (hi - lo) / (n_tests + 1)
+    centres = [lo + (hi - lo) * (k + 1) / (n_tests + 1) for k in range(n_tests)]
+    w = Window.orderBy(time) if "run_id" not in df.columns else Window.partitionBy("run_id").orderBy(time)
+    dt = (F.coalesce(F.lead(time).over(w), F.col(time)) - F.coalesce(F.lag(time).over(w), F.col(time))) / 2
+    rows = df.withColumn("__dt", dt).withColumn("__k", F.explode(F.filter(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(c).alias("c")) for k, c in enumerate(centres)]), lambda s: F.abs(F.col(time) - s["c"]) < half)))
+    z = (F.col(time) - F.col("__k.c")) / half
+    bump, slope = (1 - z * z) ** 2, -4 * z * (1 - z * z) / half
+    inside = (F.col("__k.c") - half >= lo) & (F.col("__k.c") + half <= hi)
+    sums = rows.where(inside).groupBy(F.col("__k.k").alias("k")).agg(*[F.sum(c * bump * F.col("__dt")).alias(f"t{i}") for i, (_, c) in enumerate(terms)], (-F.sum(F.col(state) * slope * F.col("__dt"))).alias("y")).toPandas()  # n_tests rows
+    a = np.column_stack([sums[[f"t{i}" for i in range(len(terms))]].to_numpy(float), sums.y.to_numpy(float)])
+    return stlsq(a.T @ a, len(terms), threshold)[:, 0]
+
+
+def sindy_constrained(coef: np.ndarray, a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
+    """Coefficients projected onto linear constraints a c = b, then thresholded."""
+    c = coef - np.linalg.pinv(a) @ (a @ coef - b)
+    return np.where(np.abs(c) < threshold, 0.0, c)

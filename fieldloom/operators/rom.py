@@ -197,3 +197,75 @@ def leverage_sample(modes: DataFrame, n: int, seed: int = 0) -> DataFrame:
     lev = F.aggregate("phi", F.lit(0.0), lambda a, v: a + v * v)
     u = (F.pmod(F.xxhash64(F.lit(seed), "dof"), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
     return modes.select("dof", lev.alias("leverage")).withColumn("key", -F.log(u) / F.col("leverage")).orderBy("key", "dof").limit(n).select("dof", "leverage")
+
+
+def gram_by(packed: DataFrame, key: str, weight: str | None = None, center: bool = True) -> DataFrame:
+    """``key, i, j, s``: one Gram matrix for each key (field, run or parameter), all in one pass.
+
+    ``weight`` is a column of the rows' diagonal inner product.
+    """
+    kind = dict(packed.dtypes)[key]
+    src = packed.select(key, F.col("xs").cast("array<double>").alias("xs"), (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("w"))
+
+    def run(batches):
+        total: dict = {}
+        field = None
+        for b in batches:
+            field = b.schema.field(0).type
+            names = np.array(b.column(0).to_pylist(), object)
+            if not len(names):
+                continue
+            x, w = _block(b.column("xs")), np.asarray(b.column("w"))
+            x = x - x.mean(1, keepdims=True) if center else x
+            for name in dict.fromkeys(names.tolist()):
+                y = x[names == name]
+                g = (y * w[names == name, None]).T @ y
+                total[name] = g if name not in total else total[name] + g
+        for name, g in total.items():
+            i, j = np.triu_indices(len(g))
+            yield pa.RecordBatch.from_pydict({key: pa.array([name] * len(i), field), "i": pa.array(i, pa.int32()), "j": pa.array(j, pa.int32()), "s": pa.array(g[i, j])})
+
+    return src.mapInArrow(run, f"{key} {kind}, i int, j int, s double").groupBy(key, "i", "j").agg(F.sum("s").alias("s"))
+
+
+def pod_per_group(packed: DataFrame, key: str, n_modes: int, weight: str | None = None) -> DataFrame:
+    """``key, mode, sigma, energy`` of each key's basis; a key's matrix is one small group."""
+    import pandas as pd
+
+    kind = dict(packed.dtypes)[key]
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        g = np.zeros((pdf.j.max() + 1,) * 2)
+        g[pdf.i, pdf.j] = g[pdf.j, pdf.i] = pdf.s
+        w = np.maximum(np.linalg.eigvalsh(g)[::-1], 0)
+        k = min(n_modes, len(w))
+        return pd.DataFrame({key: [pdf[key].iloc[0]] * k, "mode": np.arange(k, dtype=np.int32), "sigma": np.sqrt(w[:k]), "energy": np.cumsum(w)[:k] / max(w.sum(), 1e-300)})
+
+    return gram_by(packed, key, weight).groupBy(key).applyInPandas(solve, f"{key} {kind}, mode int, sigma double, energy double")
+
+
+def kernel_dmd_eigenvalues(packed: DataFrame, kernel: str = "linear", gamma: float = 1.0, degree: int = 2, rank: int | None = None, reg: float = 1e-6) -> np.ndarray:
+    """Eigenvalues of kernel dynamic modes; every kernel here is a function of the one Gram matrix."""
+    g = to_matrix(gram(packed, center=False))
+    d = np.diag(g)
+    k = {"linear": lambda: g, "polynomial": lambda: (1 + g) ** degree, "rbf": lambda: np.exp(-gamma * np.maximum(d[:, None] + d[None] - 2 * g, 0))}[kernel]()
+    a, c = k[:-1, :-1], k[1:, :-1]
+    w, v = np.linalg.eigh(a + reg * np.eye(len(a)))
+    w, v = w[::-1], v[:, ::-1]
+    n = int((w > CUT**2 * w[0]).sum())
+    n = min(n, rank) if rank else n
+    s = np.sqrt(w[:n])
+    lam = np.linalg.eigvals((v[:, :n] / s).T @ c @ (v[:, :n] / s))
+    return lam[np.lexsort((lam.imag, -np.abs(lam)))]
+
+
+def koopman_fit(pairs: DataFrame, lifted: list, lifted_next: list) -> tuple[np.ndarray, np.ndarray, float]:
+    """Operator, eigenvalues by size and relative error of least squares on lifted pairs, from one pass."""
+    from fieldloom.operators.regress import gram_matrix, normal_equations, solve
+
+    p = len(lifted)
+    g = gram_matrix(normal_equations(pairs, [*lifted, *lifted_next]), 2 * p)
+    k = solve(g, p).T
+    rest = np.trace(g[p:, p:]) - 2 * (k.T * g[:p, p:]).sum() + np.trace(k @ g[:p, :p] @ k.T)
+    lam = np.linalg.eigvals(k)
+    return k, lam[np.argsort(-np.abs(lam), kind="stable")], float(np.sqrt(max(rest, 0.0) / max(np.trace(g[p:, p:]), 1e-300)))

@@ -159,3 +159,29 @@ def fidelity_cost_stats(history: DataFrame, levels: DataFrame) -> DataFrame:
     rows = levels.join(used, "level", "left").select("level", "cost", F.coalesce("n", F.lit(0)).alias("n"))
     sums = rows.agg(F.sum(F.col("n") * F.col("cost")).alias("total_cost"), (F.sum("n") * F.max("cost")).alias("highest_cost"))
     return rows.crossJoin(F.broadcast(sums)).select("level", "n", "total_cost", "highest_cost", (F.col("highest_cost") - F.col("total_cost")).alias("saved"))  # one row is broadcast
+
+
+def collocation_stats(samples: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
+    """Equal-weight mean and deviation of a model on a collocation grid."""
+    return samples.groupBy(*by).agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"))
+
+
+def fidelity_selector(train: DataFrame, params: Sequence[str], levels: int) -> list[Column]:
+    """Predicted log error of each level as a column, linear in parameters and level.
+
+    ``train(level, error, *params)``; one pass of normal equations.
+    """
+    from fieldloom.operators.regress import gram_matrix, normal_equations, solve
+
+    cols = [F.lit(1.0), *[F.col(p) for p in params], F.col("level").cast("double"), F.log(F.col("error") + 1e-12)]
+    c = solve(gram_matrix(normal_equations(train, cols), len(cols)), len(cols) - 1)[:, 0]
+    return [sum((float(k) * F.col(p) for k, p in zip(c[1:], params)), F.lit(float(c[0]))) + float(c[-1]) * v for v in range(levels)]
+
+
+def select_fidelity(samples: DataFrame, log_errors: Sequence[Column], costs: Sequence[float], tol: float) -> DataFrame:
+    """Cheapest level whose predicted error is within ``tol`` (else the highest) and the cost saved."""
+    order = sorted(range(len(costs)), key=lambda v: (costs[v], v))
+    top = len(costs) - 1
+    level = F.coalesce(*[F.when(F.exp(log_errors[v]) <= tol, F.lit(v)) for v in order], F.lit(top))
+    cost = F.get(F.array(*[F.lit(float(c)) for c in costs]), F.col("level"))
+    return samples.withColumn("level", level).withColumn("saved", float(costs[top]) - cost)

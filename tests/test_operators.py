@@ -203,3 +203,56 @@ def test_streaming_dmd(spark, tmp_path):
     q.awaitTermination()
     last = seen[-1]
     assert last.late == 1 and np.allclose(sorted(last.im), [-0.2, 0.2], atol=1e-3) and np.allclose(last.re, 0.9, atol=1e-3)
+
+
+def test_grouped_and_kernel_modes(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(30, 5))
+    df = spark.createDataFrame([(i, f"k{i % 2}", 2.0, r.tolist()) for i, r in enumerate(x)], "dof long, key string, w double, xs array<double>").repartition(3)
+    got = {(r.key, r.mode): r.sigma for r in R.pod_per_group(df, "key", 3, "w").collect()}
+    for k in (0, 1):
+        y = x[k::2] - x[k::2].mean(1, keepdims=True)
+        assert np.allclose([got[(f"k{k}", m)] for m in range(3)], np.linalg.svd(np.sqrt(2) * y, compute_uv=False)[:3])
+    z, b = [rng.normal(size=3)], np.diag([0.9, 0.7, 0.5])
+    for _ in range(8):
+        z.append(b @ z[-1])
+    lam = R.kernel_dmd_eigenvalues(packed(spark, np.array(z).T), rank=3, reg=1e-12)
+    assert np.allclose(np.sort(lam.real), [0.5, 0.7, 0.9], atol=1e-3)
+    pairs = spark.createDataFrame([(*map(float, p), *map(float, q)) for p, q in zip(z[:-1], z[1:])], "a double, b double, c double, d double, e double, f double")
+    _, lam, err = R.koopman_fit(pairs, [F.col(c) for c in "abc"], [F.col(c) for c in "def"])
+    assert np.allclose(lam.real, [0.9, 0.7, 0.5], atol=1e-6) and err < 1e-6
+
+
+def test_weak_form_and_constraints(spark):
+    t = np.linspace(0, 5, 2001)
+    df = spark.createDataFrame([(float(a), float(np.exp(-0.5 * a))) for a in t], "t double, x double")
+    c = E.weak_sindy(df, [("1", F.lit(1.0)), ("x", F.col("x"))], "x", "t", threshold=0.05)
+    assert abs(c[1] + 0.5) < 1e-3 and c[0] == 0
+    assert np.allclose(E.sindy_constrained(np.array([1.0, 0.8]), np.array([[1.0, -1.0]]), np.array([0.0]), 0.1), [0.9, 0.9])
+
+
+def test_density_update_heat_hierarchy_and_chains(spark):
+    from fieldloom.operators import extra as X
+    from fieldloom.operators import uq as U
+
+    rng = np.random.default_rng(9)
+    cells = spark.createDataFrame([(i, 0.5, -float(v), 1.0) for i, v in enumerate(rng.uniform(0.1, 5, 300))], "id long, rho double, dc double, volume double")
+    new = X.oc_update(cells, 0.5).toPandas()
+    assert abs(new.rho.mean() - 0.5) < 0.01 and new.rho.between(0.3 - 1e-9, 0.7 + 1e-9).all()
+    e = [(i, i + 1, 1.0) for i in range(19)] + [(0, 19, 1.0)]
+    edges = spark.createDataFrame(e, "src long, dst long, weight double")
+    a = np.zeros((20, 20))
+    for i, j, _ in e:
+        a[i, j] = a[j, i] = 0.5
+    f = rng.normal(size=20)
+    w, v = np.linalg.eigh(np.eye(20) - a)
+    got = {r.row: r.value for r in X.heat_diffuse(G.laplacian(edges), spark.createDataFrame([(i, float(x)) for i, x in enumerate(f)], "row long, value double"), 0.7).collect()}
+    assert np.allclose([got[i] for i in range(20)], v @ (np.exp(-0.7 * w) * (v.T @ f)), atol=1e-6)
+    levels = X.build_hierarchy(edges, 2, least=5)
+    assert len(levels) == 2 and levels[0].count() == 20 and levels[0].select("part").distinct().count() == 10
+    p = spark.createDataFrame([("a", 50, 50 * 1.5, 50 * 1.5**2 + 50.0)], "key string, n long, total double, square double")
+    s = X.posterior_summary(X.mcmc_chains(p, 4, 2000, 2.0), 200).first()
+    assert abs(s["mean"] - 1.5) < 0.05 and 0.05 < s["std"] < 0.3
+    pred = U.fidelity_selector(spark.createDataFrame([(k, float(np.exp(-2.0 * k + 0.5 * x)), float(x)) for k in range(3) for x in range(5)], "level int, error double, x double"), ["x"], 3)
+    rows = U.select_fidelity(spark.createDataFrame([(1, 0.0), (2, 4.0)], "id long, x double"), pred, [1.0, 5.0, 20.0], 0.2).collect()
+    assert [(r.level, r.saved) for r in sorted(rows)] == [(1, 15.0), (2, 0.0)]
