@@ -9,13 +9,16 @@ vector got in its shards are united.  Every vector is then searched in its
 found near the threshold the range is expanded along the edges until it grows no
 more.  Links found are verified by cosine in double precision.  A link seen in
 two shards counts in the smaller one, so only counts and local roots leave a
-task, never pairs.  A brute-force audit of sampled vectors measures recall; while
-it is under the target, more shards are probed.
+task, never pairs.  A brute-force audit measures recall at every width: vectors
+are drawn in blocks and compared with all rows until ``LINKS`` true links of
+``LINKED`` vectors are seen or all are drawn.  While recall is under the target,
+more shards are probed; beyond ``MAX_PROBES`` all pairs are compared.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,7 +30,11 @@ from fieldloom.sources.scratch import Scratch
 PER_SHARD, BLOCK, MAX_SHARDS, SAMPLE = 400, 2_000, 65_536, 20_000
 DEGREE, POOL, BEAM, ALPHA = 24, 48, 24, 1.2
 SLACK = 0.06
-PROBES, MAX_PROBES, AUDIT, TARGET = 3, 12, 64, 0.99
+PROBES, MAX_PROBES, TARGET = 3, 48, 0.99
+#: The audit's first and largest block (vectors; components at most), and the true links and linked vectors it must see.
+AUDIT, AUDIT_MAX, AUDIT_CELLS, LINKS, LINKED = 512, 8_192, 1 << 20, 1_000, 200
+#: Rounds of k-means, shards that the driver trains alone, and vectors a shard beyond that.
+ROUNDS, DRIVER_SHARDS, PER_CENTROID = 3, 1_024, 32
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -40,15 +47,62 @@ def _matrix(col: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return np.asarray(flat.flatten(), np.float64).reshape(n, -1)
 
 
+def _means(c: np.ndarray, sums: np.ndarray) -> np.ndarray:
+    """Unit vectors along ``sums``; a centroid without members stays."""
+    n = np.linalg.norm(sums, axis=1, keepdims=True)
+    return np.where(n > 1e-12, sums / np.maximum(n, 1e-12), c)
+
+
+def _slices(n: int, k: int) -> list[slice]:
+    """Row ranges whose similarities to ``k`` centroids take bounded memory."""
+    step = max(1, 4_000_000 // max(k, 1))
+    return [slice(at, at + step) for at in range(0, n, step)]
+
+
 def centroids(sample: np.ndarray, k: int) -> np.ndarray:
-    """``k`` unit centroids of unit vectors; a few rounds of spherical k-means where k is small."""
+    """``k`` unit centroids of unit vectors: a few rounds of spherical k-means."""
     c = sample[:k]
-    for _ in range(3 if k <= 1024 else 0):
-        a = (sample @ c.T).argmax(1)
+    for _ in range(ROUNDS):
         s = np.zeros_like(c)
-        np.add.at(s, a, sample)
-        n = np.linalg.norm(s, axis=1, keepdims=True)
-        c = np.where(n > 1e-12, s / np.maximum(n, 1e-12), c)
+        for part in _slices(len(sample), k):
+            np.add.at(s, (sample[part] @ c.T).argmax(1), sample[part])
+        c = _means(c, s)
+    return c
+
+
+def trained(rows: DataFrame, c: np.ndarray) -> np.ndarray:
+    """The same rounds over the vectors ``e`` of ``rows``, for more centroids than the driver should train."""
+    k, d = c.shape
+    schema, sc = "shard int, s array<double>", rows.sparkSession.sparkContext
+    for _ in range(ROUNDS):
+        held = sc.broadcast(c)
+
+        def sums(batches, held=held):
+            c, s, seen = held.value, np.zeros((k, d)), np.zeros(k, bool)
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                x = unit(_matrix(b.column("e")))
+                for part in _slices(len(x), k):
+                    near = (x[part] @ c.T).argmax(1)
+                    np.add.at(s, near, x[part])
+                    seen[near] = True
+            at = np.flatnonzero(seen)
+            for part in np.array_split(at, max(1, len(at) // 4_000)):
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(list(s[part]), pa.list_(pa.float64()))], names=["shard", "s"])
+
+        def add(tab):
+            shard, at = np.unique(np.asarray(tab.column("shard")), return_inverse=True)
+            s = np.zeros((len(shard), d))
+            np.add.at(s, at, _matrix(tab.column("s")))
+            return pa.table({"shard": pa.array(shard, pa.int32()), "s": pa.array(list(s), pa.list_(pa.float64()))})
+
+        got = rows.select("e").mapInArrow(sums, schema).groupBy(F.pmod("shard", F.lit(256))).applyInArrow(add, schema).toPandas()  # one row a centroid
+        s = np.zeros_like(c)
+        if len(got):
+            s[got.shard.to_numpy()] = np.array(got.s.tolist())
+        c = _means(c, s)
+        held.unpersist()
     return c
 
 
@@ -166,17 +220,25 @@ def _build(key, tab):
     return pa.table({"rep": pa.array(ids, pa.int64()), "nbrs": pa.array([ids[x] for x in nbrs], pa.list_(pa.int64()))})
 
 
-def _searcher(threshold: float):
+def all_pairs(q: np.ndarray, x: np.ndarray, threshold: float) -> np.ndarray:
+    """The matrix of ``range_search`` by comparison of all pairs."""
+    return np.vstack([q[at : at + 1_000] @ x.T >= threshold for at in range(0, len(q), 1_000)])
+
+
+def _searcher(threshold: float, exact: bool = False):
     def one(key, tab):
         shard = key[0].as_py()
         query = np.asarray(tab.column("query"))
         qi, xi = np.flatnonzero(query == 1), np.flatnonzero(query == 0)
         if not len(qi) or not len(xi):
-            return pa.table({"rep": pa.array([], pa.int64()), "part": pa.array([], pa.int64()), "root": pa.array([], pa.int64())})
+            return pa.table({c: pa.array([], pa.int64()) for c in ("rep", "part", "links", "root")})
         e, ids, copies = unit(_matrix(tab.column("e"))), np.asarray(tab.column("rep")), np.asarray(tab.column("copies"))
-        place = {int(v): k for k, v in enumerate(ids[xi])}
-        lists = [[place[v] for v in (x or ()) if v in place] for x in tab.column("nbrs").take(pa.array(xi)).to_pylist()]
-        near = range_search(e[qi], e[xi], lists, threshold)
+        if exact:
+            near = all_pairs(e[qi], e[xi], threshold)
+        else:
+            place = {int(v): k for k, v in enumerate(ids[xi])}
+            lists = [[place[v] for v in (x or ()) if v in place] for x in tab.column("nbrs").take(pa.array(xi)).to_pylist()]
+            near = range_search(e[qi], e[xi], lists, threshold)
         near &= ids[qi][:, None] != ids[xi][None, :]
         units, probes = (np.array(tab.column(c).to_pylist(), np.int64) for c in ("units", "probes"))
         twice = np.zeros(near.shape, bool)
@@ -184,7 +246,7 @@ def _searcher(threshold: float):
             here = (u < shard) & (u >= 0)
             for p in probes[qi].T:
                 twice |= here[None, :] & (p[:, None] == u[None, :])
-        part = (near & ~twice) @ copies[xi]
+        part, links = (near & ~twice) @ copies[xi], (near & ~twice).sum(1)
         lab_q, lab_x = ids[qi].copy(), ids[xi].copy()
         i, j = np.nonzero(near)
         while True:
@@ -194,30 +256,77 @@ def _searcher(threshold: float):
             if (before[0] == lab_q).all() and (before[1] == lab_x).all():
                 break
         moved = lab_x != ids[xi]
-        return pa.table({"rep": pa.array(np.concatenate([ids[qi], ids[xi][moved]]), pa.int64()), "part": pa.array(np.concatenate([part, np.zeros(moved.sum(), np.int64)]), pa.int64()), "root": pa.array(np.concatenate([lab_q, lab_x[moved]]), pa.int64())})
+        none = np.zeros(moved.sum(), np.int64)
+        cols = {"rep": [ids[qi], ids[xi][moved]], "part": [part, none], "links": [links, none], "root": [lab_q, lab_x[moved]]}
+        return pa.table({c: pa.array(np.concatenate(v), pa.int64()) for c, v in cols.items()})
 
     return one
 
 
-def _audit(classes: DataFrame, counts: DataFrame, threshold: float) -> float:
-    """Share of the true links of sampled vectors that were counted (against all rows, in batches)."""
-    asked = bounded_sample(classes.withColumn("o", F.xxhash64("rep", F.lit(1))), AUDIT, "o").drop("o")  # AUDIT rows reach the driver
-    rows = asked.join(counts, "rep", "left").select("rep", "e", F.coalesce("part", F.lit(0)).alias("part")).toPandas()
-    if rows.empty:
+def true_links(q: np.ndarray, qid: np.ndarray, batches, threshold: float) -> np.ndarray:
+    """Number of rows ``rep, e`` of ``batches`` that link with each vector of ``q``; ``qid`` is sorted."""
+    total, q32 = np.zeros(len(qid), np.int64), q.astype(np.float32)
+    for b in batches:
+        if not b.num_rows:
+            continue
+        x, ids = unit(_matrix(b.column("e"))), np.asarray(b.column("rep"))
+        for at in range(0, len(x), 1_000):
+            part, own = x[at : at + 1_000], ids[at : at + 1_000]
+            sim = q32 @ part.astype(np.float32).T
+            place = np.minimum(np.searchsorted(qid, own), len(qid) - 1)
+            same = np.flatnonzero(qid[place] == own)
+            sim[place[same], same] = -2
+            total += (sim >= threshold + 1e-4).sum(1)
+            i, j = np.nonzero(np.abs(sim - threshold) < 1e-4)  # too near to tell in single precision
+            for k in range(0, len(i), 100_000):
+                a, c = i[k : k + 100_000], j[k : k + 100_000]
+                total += np.bincount(a[np.einsum("ij,ij->i", q[a], part[c]) >= threshold], minlength=len(qid))
+    return total
+
+
+def _truth(classes: DataFrame, total: int, threshold: float) -> pd.DataFrame:
+    """``rep, true``: the number of linked classes of each drawn class that has any.
+
+    Blocks of classes in hash order are compared with all rows until ``LINKS``
+    links of ``LINKED`` classes are seen or every class is drawn.  The driver
+    holds one block and the linked classes.
+    """
+    sc, full = classes.sparkSession.sparkContext, 1 << 40
+    draw = F.pmod(F.xxhash64("rep", F.lit(1)), F.lit(full))
+    found, lo, size = [], 0, AUDIT
+    while total and lo < full:
+        hi = min(full, lo + max(1, full * size // total))
+        asked = classes.where((draw >= lo) & (draw < hi)).select("rep", "e").toPandas().sort_values("rep")  # about AUDIT_MAX rows at most
+        lo = hi
+        if asked.empty:
+            continue
+        size = min(4 * size, AUDIT_MAX, max(64, AUDIT_CELLS // len(asked.e.iloc[0])))
+        held = sc.broadcast((unit(np.array(asked.e.tolist(), np.float64)), asked.rep.to_numpy()))
+
+        def count(batches, held=held):
+            q, qid = held.value
+            n = true_links(q, qid, batches, threshold)
+            at = np.flatnonzero(n)
+            yield pa.RecordBatch.from_pydict({"rep": pa.array(qid[at], pa.int64()), "true": pa.array(n[at], pa.int64())})
+
+        found.append(classes.select("rep", "e").mapInArrow(count, "rep long, true long").groupBy("rep").agg(F.sum("true").alias("true")).toPandas())
+        held.unpersist()
+        if sum(f.true.sum() for f in found) >= LINKS and sum(map(len, found)) >= LINKED:
+            break
+    return pd.concat(found) if found else pd.DataFrame({"rep": [], "true": []}, dtype="int64")
+
+
+def _recall(truth: pd.DataFrame, counts: DataFrame) -> float:
+    """Share of the audited links that were found, over all of them or as the mean of the vectors if that is less."""
+    if truth.empty:
         return 1.0
-    q, qid = unit(np.array(rows.e.tolist(), np.float64)), rows.rep.to_numpy()
+    asked = counts.sparkSession.createDataFrame(truth[["rep"]], "rep long")
+    got = counts.join(F.broadcast(asked), "rep").select("rep", "links").toPandas().set_index("rep").links
+    found = np.minimum(got.reindex(truth.rep).fillna(0).to_numpy(), truth.true.to_numpy())
+    return float(min(found.sum() / truth.true.sum(), (found / truth.true.to_numpy()).mean()))
 
-    def count(batches):
-        total = np.zeros(len(qid), np.int64)
-        for b in batches:
-            hit = q @ unit(_matrix(b.column("e"))).T >= threshold
-            hit &= qid[:, None] != np.asarray(b.column("rep"))[None, :]
-            total += hit @ np.asarray(b.column("copies"))
-        yield pa.RecordBatch.from_pydict({"rep": pa.array(qid, pa.int64()), "c": pa.array(total, pa.int64())})
 
-    true = classes.select("rep", "e", "copies").mapInArrow(count, "rep long, c long").groupBy("rep").agg(F.sum("c").alias("c")).toPandas().set_index("rep").c
-    found = np.minimum(rows.part.to_numpy(), true.loc[qid].to_numpy()).sum()
-    return float(found / true.sum()) if true.sum() else 1.0
+MET = "rep long, part long, links long, root long"
 
 
 def vector_links(vectors: DataFrame, threshold: float = 0.9) -> DataFrame:
@@ -241,38 +350,71 @@ def vector_links(vectors: DataFrame, threshold: float = 0.9) -> DataFrame:
     total = classes.count()
     k = int(max(1, min(MAX_SHARDS, -(-total // PER_SHARD))))
     sample = bounded_sample(classes.select("rep", "e"), max(SAMPLE, 2 * k), "rep").select(F.xxhash64("rep").alias("o"), "e").toPandas().sort_values("o")  # bounded by SAMPLE and MAX_SHARDS
-    centre = spark.sparkContext.broadcast(centroids(unit(np.array(sample.e.tolist(), np.float64)), k) if total else np.zeros((1, 1)))
-
-    def assign(batches):
-        c = centre.value
-        for b in batches:
-            if not b.num_rows:
-                continue
-            top = min(MAX_PROBES, len(c))
-            s = unit(_matrix(b.column("e"))) @ c.T
-            best = np.argpartition(-s, top - 1, axis=1)[:, :top]
-            best = np.take_along_axis(best, np.argsort(-np.take_along_axis(s, best, 1), axis=1, kind="stable"), 1)
-            yield pa.RecordBatch.from_arrays([b.column("rep"), b.column("e"), b.column("copies"), pa.array(list(best.astype(np.int32)), pa.list_(pa.int32()))], names=["rep", "e", "copies", "best"])
-
-    placed = tmp.write(classes.mapInArrow(assign, "rep long, e array<float>, copies long, best array<int>"), "placed")
-    placed = placed.withColumn("units", F.array(F.get("best", F.lit(0)), F.coalesce(F.get("best", F.lit(1)), F.lit(-1))))
+    c = unit(np.array(sample.e.tolist(), np.float64)) if total else np.zeros((1, 1))
+    k = min(k, len(c))
+    if k <= DRIVER_SHARDS:
+        c = centroids(c, k)
+    else:
+        share = F.pmod(F.xxhash64("rep", F.lit(2)), F.lit(total)) < PER_CENTROID * k
+        c = trained(tmp.write(classes.where(share).select("e"), "train"), c[:k])
+    centre = spark.sparkContext.broadcast(c)
+
+    def place(probes: int) -> DataFrame:
+        def assign(batches):
+            c = centre.value
+            top = min(probes, len(c))
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                x, best = unit(_matrix(b.column("e"))), []
+                for part in _slices(len(x), len(c)):
+                    s = x[part] @ c.T
+                    near = np.argpartition(-s, top - 1, axis=1)[:, :top]
+                    near = np.take_along_axis(near, np.argsort(-np.take_along_axis(s, near, 1), axis=1, kind="stable"), 1)
+                    best += list(near.astype(np.int32))
+                yield pa.RecordBatch.from_arrays([b.column("rep"), b.column("e"), b.column("copies"), pa.array(best, pa.list_(pa.int32()))], names=["rep", "e", "copies", "best"])
+
+        placed = tmp.write(classes.mapInArrow(assign, "rep long, e array<float>, copies long, best array<int>"), "placed")
+        return placed.withColumn("units", F.array(F.get("best", F.lit(0)), F.coalesce(F.get("best", F.lit(1)), F.lit(-1))))
+
+    placed = place(PROBES)
     members = placed.select("rep", "e", "copies", "units", F.explode(F.filter("units", lambda u: u >= 0)).alias("shard"))
     sizes = tmp.write(members.groupBy("shard").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")), "sizes")
     members = tmp.write(members.join(F.broadcast(sizes), "shard").withColumn("ib", F.pmod(F.xxhash64("rep"), "blocks")), "members")  # MAX_SHARDS rows at most
     graph = tmp.write(members.groupBy("shard", "ib").applyInArrow(_build, "rep long, nbrs array<long>").groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_list("nbrs"))).alias("nbrs")), "graph")
     index = tmp.write(members.join(graph, "rep"), "index")
-    probes = PROBES
-    while True:
+
+    def search(probes: int) -> DataFrame:
         asked = placed.select("rep", "e", "copies", "units", F.slice("best", 1, probes).alias("probes")).withColumn("probes", F.concat("probes", F.array_repeat(F.lit(-2), probes - F.size("probes"))))
         asked = asked.withColumn("shard", F.explode(F.filter("probes", lambda p: p >= 0))).join(F.broadcast(sizes), "shard")
         load = tmp.write(asked.groupBy("shard").agg(F.ceil(F.count("*") / BLOCK).alias("qblocks")), "load")
         asked = asked.join(F.broadcast(load), "shard").select("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("ib"), F.pmod(F.xxhash64("rep"), "qblocks").alias("qb"), F.lit(1).alias("query"), "rep", "e", "copies", "units", "probes", F.lit(None).cast("array<long>").alias("nbrs"))
         held = index.join(F.broadcast(load), "shard").select("shard", "ib", F.explode(F.sequence(F.lit(0).cast("long"), F.col("qblocks") - 1)).alias("qb"), F.lit(0).alias("query"), "rep", "e", "copies", "units", F.array_repeat(F.lit(-2), probes).alias("probes"), "nbrs")
-        met = tmp.write(asked.unionByName(held).groupBy("shard", "ib", "qb").applyInArrow(_searcher(threshold), "rep long, part long, root long"), "met")
-        counts = tmp.write(met.groupBy("rep").agg(F.sum("part").alias("part")), "counts")
-        if probes >= min(MAX_PROBES, k) or _audit(classes, counts, threshold) >= TARGET:
+        return asked.unionByName(held).groupBy("shard", "ib", "qb").applyInArrow(_searcher(threshold), MET)
+
+    def compare_all() -> DataFrame:
+        n = -(-total // BLOCK)
+        own = F.pmod(F.xxhash64("rep"), F.lit(n)).cast("int")
+        each = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        rest = ["rep", "e", "copies", F.array(own, F.lit(-1)).alias("units"), F.array(F.lit(-2)).alias("probes"), F.lit(None).cast("array<long>").alias("nbrs")]
+        asked = classes.select(each.alias("shard"), own.alias("qb"), F.lit(1).alias("query"), *rest)
+        held = classes.select(own.alias("shard"), each.alias("qb"), F.lit(0).alias("query"), *rest)
+        return asked.unionByName(held).groupBy("shard", "qb").applyInArrow(_searcher(threshold, exact=True), MET)
+
+    probes, met, truth = PROBES, None, _truth(classes, total, threshold)
+    while True:
+        exact = probes > MAX_PROBES
+        tmp.drop(met)
+        met = tmp.write(compare_all() if exact else search(probes), "met")
+        counts = tmp.write(met.groupBy("rep").agg(F.sum("part").alias("part"), F.sum("links").alias("links")), "counts")
+        recall = _recall(truth, counts)
+        if recall >= TARGET:
             break
-        probes = min(MAX_PROBES, 2 * probes)
+        if exact:
+            raise RuntimeError(f"recall of vector links is {recall:.4f}, under {TARGET}")
+        probes = 2 * probes if probes < k and 2 * probes <= MAX_PROBES else MAX_PROBES + 1
+        if probes <= MAX_PROBES:
+            placed = place(probes)
     comp = connected_components(spark, met.where("root < rep").select(F.col("rep").alias("a"), F.col("root").alias("b")).distinct(), Scratch(spark, "components"))
     facts = tmp.write(counts.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "part", F.coalesce("component", "rep").alias("component")), "facts")
     known = member.join(facts, "rep").select("vec_id", (F.col("part") + F.col("copies") - 1).alias("n"), F.col("component").alias("c"))

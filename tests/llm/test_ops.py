@@ -411,6 +411,36 @@ def test_vector_links(spark, monkeypatch, block):
     assert all(r.n_links == 0 and r.kept for r in got if r.vec_id is None or 2000 <= r.vec_id <= 2006)
 
 
+FLOATS = "vec_id long, embedding array<float>"
+
+
+@pytest.mark.parametrize("driver", [1024, 1])
+def test_vector_links_sparse(spark, monkeypatch, driver):
+    """Few links, all at the threshold, among vectors that fall into many shards."""
+    from fieldloom.llm import vectors
+
+    monkeypatch.setattr(vectors, "PER_SHARD", 20)
+    monkeypatch.setattr(vectors, "DRIVER_SHARDS", driver, raising=False)
+    rng = np.random.default_rng(5)
+    base = vectors.unit(rng.normal(size=(2000, 32)))
+    side = rng.normal(size=(60, 32))
+    side = vectors.unit(side - (side * base[:60]).sum(1, keepdims=True) * base[:60])
+    rows = [(i, v.tolist()) for i, v in enumerate(np.vstack([base, 0.905 * base[:60] + (1 - 0.905**2) ** 0.5 * side]))]
+    got = {r.vec_id: r for r in vectors.vector_links(spark.createDataFrame(rows, FLOATS)).collect()}
+    assert sum(r.n_links for r in got.values()) >= 0.99 * 120
+    assert np.mean([got[2000 + i].component_id == i for i in range(60)]) >= 0.98
+
+
+def test_vector_links_unmet_recall(spark, monkeypatch):
+    from fieldloom.llm import vectors
+
+    monkeypatch.setattr(vectors, "all_pairs", lambda q, x, threshold: np.zeros((len(q), len(x)), bool))
+    monkeypatch.setattr(vectors, "range_search", lambda q, x, lists, threshold: np.zeros((len(q), len(x)), bool))
+    rows = [(i, [1.0, i / 1000]) for i in range(100)]
+    with pytest.raises(RuntimeError, match="recall"):
+        vectors.vector_links(spark.createDataFrame(rows, FLOATS))
+
+
 def test_vector_links_empty(spark):
     from fieldloom.llm.vectors import vector_links
 
