@@ -1,7 +1,8 @@
 """Near-duplicate vectors through a robust-pruned flat graph.
 
-Equal vectors form a class whose smallest id goes on.  Centroids of a bounded
-sample cut the space into shards; a vector is a member of its two nearest
+Equal vectors form a class whose smallest id goes on.  Only vectors of one length
+link, so each length has shards of its own.  Centroids of a bounded sample cut
+the space into shards; a vector is a member of its two nearest
 shards, so shards overlap.  Each shard (in blocks of at most ``BLOCK``
 members) builds a robust-pruned neighbour graph; the adjacency lists that a
 vector got in its shards are united.  Every vector is then searched in its
@@ -20,8 +21,10 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fieldloom.llm.text import bounded_sample
 from fieldloom.operators.graph_components import connected_components
@@ -38,6 +41,8 @@ ROUNDS, DRIVER_SHARDS, PER_CENTROID = 3, 1_024, 32
 
 
 def unit(x: np.ndarray) -> np.ndarray:
+    if x.size:  # an exact power of two keeps squares of huge and tiny components finite
+        x = np.ldexp(x, -np.frexp(np.abs(x).max(1, keepdims=True))[1])
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -47,6 +52,14 @@ def _matrix(col: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return np.asarray(flat.flatten(), np.float64).reshape(n, -1)
 
 
+def _by_length(col: pa.Array):
+    """Each length of ``col`` with its rows and their unit vectors."""
+    size = np.asarray(pc.list_value_length(col))
+    for d in np.unique(size).tolist():
+        at = np.flatnonzero(size == d)
+        yield d, at, unit(_matrix(col if len(at) == len(col) else col.take(pa.array(at))))
+
+
 def _means(c: np.ndarray, sums: np.ndarray) -> np.ndarray:
     """Unit vectors along ``sums``; a centroid without members stays."""
     n = np.linalg.norm(sums, axis=1, keepdims=True)
@@ -263,25 +276,31 @@ def _searcher(threshold: float, exact: bool = False):
     return one
 
 
-def true_links(q: np.ndarray, qid: np.ndarray, batches, threshold: float) -> np.ndarray:
-    """Number of rows ``rep, e`` of ``batches`` that link with each vector of ``q``; ``qid`` is sorted."""
-    total, q32 = np.zeros(len(qid), np.int64), q.astype(np.float32)
+def true_links(asked: dict[int, tuple[np.ndarray, np.ndarray]], batches, threshold: float) -> dict[int, np.ndarray]:
+    """Number of rows ``rep, e`` of ``batches`` that link with each of the ``asked`` vectors, by length.
+
+    A length has its unit vectors and their ids in order.
+    """
+    totals = {d: np.zeros(len(qid), np.int64) for d, (_, qid) in asked.items()}
+    single = {d: q.astype(np.float32) for d, (q, _) in asked.items()}
     for b in batches:
-        if not b.num_rows:
-            continue
-        x, ids = unit(_matrix(b.column("e"))), np.asarray(b.column("rep"))
-        for at in range(0, len(x), 1_000):
-            part, own = x[at : at + 1_000], ids[at : at + 1_000]
-            sim = q32 @ part.astype(np.float32).T
-            place = np.minimum(np.searchsorted(qid, own), len(qid) - 1)
-            same = np.flatnonzero(qid[place] == own)
-            sim[place[same], same] = -2
-            total += (sim >= threshold + 1e-4).sum(1)
-            i, j = np.nonzero(np.abs(sim - threshold) < 1e-4)  # too near to tell in single precision
-            for k in range(0, len(i), 100_000):
-                a, c = i[k : k + 100_000], j[k : k + 100_000]
-                total += np.bincount(a[np.einsum("ij,ij->i", q[a], part[c]) >= threshold], minlength=len(qid))
-    return total
+        ids = np.asarray(b.column("rep"))
+        for d, rows, x in _by_length(b.column("e")):
+            if d not in asked:
+                continue
+            q, qid = asked[d]
+            for at in range(0, len(x), 1_000):
+                part, own = x[at : at + 1_000], ids[rows[at : at + 1_000]]
+                sim = single[d] @ part.astype(np.float32).T
+                place = np.minimum(np.searchsorted(qid, own), len(qid) - 1)
+                same = np.flatnonzero(qid[place] == own)
+                sim[place[same], same] = -2
+                totals[d] += (sim >= threshold + 1e-4).sum(1)
+                i, j = np.nonzero(np.abs(sim - threshold) < 1e-4)  # too near to tell in single precision
+                for k in range(0, len(i), 100_000):
+                    a, c = i[k : k + 100_000], j[k : k + 100_000]
+                    totals[d] += np.bincount(a[np.einsum("ij,ij->i", q[a], part[c]) >= threshold], minlength=len(qid))
+    return totals
 
 
 def _truth(classes: DataFrame, total: int, threshold: float) -> pd.DataFrame:
@@ -300,14 +319,14 @@ def _truth(classes: DataFrame, total: int, threshold: float) -> pd.DataFrame:
         lo = hi
         if asked.empty:
             continue
-        size = min(4 * size, AUDIT_MAX, max(64, AUDIT_CELLS // len(asked.e.iloc[0])))
-        held = sc.broadcast((unit(np.array(asked.e.tolist(), np.float64)), asked.rep.to_numpy()))
+        wide = asked.e.map(len)
+        size = min(4 * size, AUDIT_MAX, max(64, AUDIT_CELLS // int(wide.max())))
+        held = sc.broadcast({int(d): (unit(np.array(g.e.tolist(), np.float64)), g.rep.to_numpy()) for d, g in asked.groupby(wide)})
 
         def count(batches, held=held):
-            q, qid = held.value
-            n = true_links(q, qid, batches, threshold)
-            at = np.flatnonzero(n)
-            yield pa.RecordBatch.from_pydict({"rep": pa.array(qid[at], pa.int64()), "true": pa.array(n[at], pa.int64())})
+            for d, n in true_links(held.value, batches, threshold).items():
+                at = np.flatnonzero(n)
+                yield pa.RecordBatch.from_pydict({"rep": pa.array(held.value[d][1][at], pa.int64()), "true": pa.array(n[at], pa.int64())})
 
         found.append(classes.select("rep", "e").mapInArrow(count, "rep long, true long").groupBy("rep").agg(F.sum("true").alias("true")).toPandas())
         held.unpersist()
@@ -333,48 +352,65 @@ def vector_links(vectors: DataFrame, threshold: float = 0.9) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` of every row of ``vectors(vec_id, embedding)``.
 
     Vectors that are null, empty, zero or hold null or non-finite components
-    link with nothing and are kept, as are those of another length than the
-    commonest.  Rows that repeat an id are that vector (the smallest, if they
-    differ) and count once.  A null id links with nothing and has a null
-    component.
+    link with nothing and are kept.  Vectors of different lengths do not link.
+    Components other than float are read as double.  Rows that repeat an id are
+    that vector (the smallest, if they differ) and count once.  A null id links
+    with nothing and has a null component.
     """
     spark = vectors.sparkSession
     tmp = Scratch(spark, "vectors")
-    rows = tmp.write(vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("e")), "rows")
+    given = vectors.schema["embedding"].dataType
+    kind = "float" if isinstance(given, T.ArrayType) and isinstance(given.elementType, T.FloatType) else "double"
+    rows = tmp.write(vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(f"array<{kind}>").alias("e")), "rows")
     bad = F.exists("e", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))) | ~F.exists("e", lambda v: v != 0)
     sound = rows.where(F.col("vec_id").isNotNull() & F.col("e").isNotNull() & ~F.coalesce(bad, F.lit(True)))
-    wide = sound.groupBy(F.size("e").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    sound = tmp.write(sound.where(F.size("e") == (wide.d if wide else 0)).groupBy("vec_id").agg(F.min("e").alias("e")), "sound")
+    sound = tmp.write(sound.groupBy("vec_id").agg(F.min("e").alias("e")), "sound")
     classes = tmp.write(sound.groupBy("e").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")).select("rep", "e", "copies"), "classes")
     member = tmp.write(sound.join(classes.select("e", "rep", "copies"), "e").select("vec_id", "rep", "copies"), "member")
-    total = classes.count()
-    k = int(max(1, min(MAX_SHARDS, -(-total // PER_SHARD))))
-    sample = bounded_sample(classes.select("rep", "e"), max(SAMPLE, 2 * k), "rep").select(F.xxhash64("rep").alias("o"), "e").toPandas().sort_values("o")  # bounded by SAMPLE and MAX_SHARDS
-    c = unit(np.array(sample.e.tolist(), np.float64)) if total else np.zeros((1, 1))
-    k = min(k, len(c))
-    if k <= DRIVER_SHARDS:
-        c = centroids(c, k)
-    else:
-        share = F.pmod(F.xxhash64("rep", F.lit(2)), F.lit(total)) < PER_CENTROID * k
-        c = trained(tmp.write(classes.where(share).select("e"), "train"), c[:k])
-    centre = spark.sparkContext.broadcast(c)
+    lengths = sorted((r.d, r["count"]) for r in classes.groupBy(F.size("e").alias("d")).count().collect())  # one row a length
+    total = sum(n for _, n in lengths)
+
+    def shards(d: int, n: int) -> np.ndarray | None:
+        """Centroids of the ``n`` vectors of length ``d``; none if one shard holds them."""
+        k = min(-(-MAX_SHARDS * n // total), -(-n // PER_SHARD))
+        if k <= 1:
+            return None
+        own = classes.where(F.size("e") == d).select("rep", "e")
+        sample = bounded_sample(own, max(SAMPLE, 2 * k), "rep").select(F.xxhash64("rep").alias("o"), "e").toPandas().sort_values("o")  # bounded by SAMPLE and MAX_SHARDS
+        c = unit(np.array(sample.e.tolist(), np.float64))
+        k = min(k, len(c))
+        if k <= DRIVER_SHARDS:
+            return centroids(c, k)
+        share = F.pmod(F.xxhash64("rep", F.lit(2)), F.lit(n)) < PER_CENTROID * k
+        return trained(tmp.write(own.where(share).select("e"), "train"), c[:k])
+
+    centres, k = {}, 0
+    for d, n in lengths:
+        c = shards(d, n)
+        centres[d] = (k, c)
+        k += 1 if c is None else len(c)
+    centre = spark.sparkContext.broadcast(centres)
 
     def place(probes: int) -> DataFrame:
         def assign(batches):
-            c = centre.value
-            top = min(probes, len(c))
             for b in batches:
-                if not b.num_rows:
-                    continue
-                x, best = unit(_matrix(b.column("e"))), []
-                for part in _slices(len(x), len(c)):
-                    s = x[part] @ c.T
-                    near = np.argpartition(-s, top - 1, axis=1)[:, :top]
-                    near = np.take_along_axis(near, np.argsort(-np.take_along_axis(s, near, 1), axis=1, kind="stable"), 1)
-                    best += list(near.astype(np.int32))
+                best: list = [None] * b.num_rows
+                for d, at, x in _by_length(b.column("e")):
+                    first, c = centre.value[d]
+                    if c is None:
+                        for i in at:
+                            best[i] = [first]
+                        continue
+                    top = min(probes, len(c))
+                    for part in _slices(len(x), len(c)):
+                        s = x[part] @ c.T
+                        near = np.argpartition(-s, top - 1, axis=1)[:, :top]
+                        near = np.take_along_axis(near, np.argsort(-np.take_along_axis(s, near, 1), axis=1, kind="stable"), 1)
+                        for i, v in zip(at[part], (near + first).astype(np.int32)):
+                            best[i] = v
                 yield pa.RecordBatch.from_arrays([b.column("rep"), b.column("e"), b.column("copies"), pa.array(best, pa.list_(pa.int32()))], names=["rep", "e", "copies", "best"])
 
-        placed = tmp.write(classes.mapInArrow(assign, "rep long, e array<float>, copies long, best array<int>"), "placed")
+        placed = tmp.write(classes.mapInArrow(assign, f"rep long, e array<{kind}>, copies long, best array<int>"), "placed")
         return placed.withColumn("units", F.array(F.get("best", F.lit(0)), F.coalesce(F.get("best", F.lit(1)), F.lit(-1))))
 
     placed = place(PROBES)
@@ -393,12 +429,18 @@ def vector_links(vectors: DataFrame, threshold: float = 0.9) -> DataFrame:
         return asked.unionByName(held).groupBy("shard", "ib", "qb").applyInArrow(_searcher(threshold), MET)
 
     def compare_all() -> DataFrame:
-        n = -(-total // BLOCK)
-        own = F.pmod(F.xxhash64("rep"), F.lit(n)).cast("int")
-        each = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-        rest = ["rep", "e", "copies", F.array(own, F.lit(-1)).alias("units"), F.array(F.lit(-2)).alias("probes"), F.lit(None).cast("array<long>").alias("nbrs")]
-        asked = classes.select(each.alias("shard"), own.alias("qb"), F.lit(1).alias("query"), *rest)
-        held = classes.select(own.alias("shard"), each.alias("qb"), F.lit(0).alias("query"), *rest)
+        cut, first = [], 0
+        for d, n in lengths:
+            cut.append((d, first, -(-n // BLOCK)))
+            first += cut[-1][2]
+        table = spark.createDataFrame(cut, "d int, first int, n int")
+        laid = classes.join(F.broadcast(table), F.size("e") == F.col("d"))
+        own = F.pmod(F.xxhash64("rep"), "n").cast("int")
+        each = F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("each")
+        rest = ["rep", "e", "copies", F.array(F.col("first") + F.col("own"), F.lit(-1)).alias("units"), F.array(F.lit(-2)).alias("probes"), F.lit(None).cast("array<long>").alias("nbrs")]
+        laid = laid.withColumn("own", own).select("*", each)
+        asked = laid.select((F.col("first") + F.col("each")).alias("shard"), F.col("own").alias("qb"), F.lit(1).alias("query"), *rest)
+        held = laid.select((F.col("first") + F.col("own")).alias("shard"), F.col("each").alias("qb"), F.lit(0).alias("query"), *rest)
         return asked.unionByName(held).groupBy("shard", "qb").applyInArrow(_searcher(threshold, exact=True), MET)
 
     probes, met, truth = PROBES, None, _truth(classes, total, threshold)

@@ -431,6 +431,30 @@ def test_vector_links_sparse(spark, monkeypatch, driver):
     assert np.mean([got[2000 + i].component_id == i for i in range(60)]) >= 0.98
 
 
+def test_vector_links_lengths(spark, monkeypatch):
+    """Every length links within itself, in double precision and at any finite size; also when all pairs are compared."""
+    from fieldloom.llm import vectors
+
+    rng, rows, want = np.random.default_rng(6), [], {}
+    for d in (2, 5, 40):
+        for j in range(12):
+            a = rng.normal(size=d)
+            b = rng.normal(size=d)
+            b -= (a @ b) / (a @ a) * a
+            cos = 0.9 + (1e-9 if j % 2 else -1e-9)
+            a, b = a / np.linalg.norm(a), b / np.linalg.norm(b)
+            far = 10.0 ** rng.integers(-200, 200)
+            rows += [(len(rows), (a * far).tolist()), (len(rows) + 1, (cos * a + (1 - cos**2) ** 0.5 * b).tolist())]
+    e = [np.array(v) / max(map(abs, v)) for _, v in rows]
+    for i, x in enumerate(e):
+        want[i] = sum(len(x) == len(y) and i != j and x @ y / np.linalg.norm(x) / np.linalg.norm(y) >= 0.9 for j, y in enumerate(e))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert {r.vec_id: r.n_links for r in vectors.vector_links(df).collect()} == want
+    monkeypatch.setattr(vectors, "BLOCK", 10)
+    monkeypatch.setattr(vectors, "PROBES", 1000)
+    assert {r.vec_id: r.n_links for r in vectors.vector_links(df).collect()} == want
+
+
 def test_vector_links_unmet_recall(spark, monkeypatch):
     from fieldloom.llm import vectors
 
