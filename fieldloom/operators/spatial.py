@@ -46,7 +46,7 @@ def knn_join(a: DataFrame, b: DataFrame, k: int, d: int = 2, h: float | None = N
 
     A point is final once k candidates lie within the bucket side, the radius
     that its buckets cover; the others are tried again with twice the side.
-    Buckets grow until they hold the whole box, so every point ends.
+    Buckets grow until they hold the box of both tables, so every point ends.
     """
     tmp = Scratch(a.sparkSession, "knn")
     box = b.where("p is not null").agg(F.count("*").alias("n"), *[f(F.col("p")[i]).alias(f"{m}{i}") for i in range(d) for m, f in (("lo", F.min), ("hi", F.max))]).first()
@@ -56,6 +56,10 @@ def knn_join(a: DataFrame, b: DataFrame, k: int, d: int = 2, h: float | None = N
         return empty
     span = max(max(box[f"hi{i}"] - box[f"lo{i}"] for i in range(d)), 1e-12)
     h = h or span / max(1.0, (box.n / (2.0 * k)) ** (1.0 / d))
+    finite = todo.where(" and ".join(f"abs(p[{i}]) < double('infinity')" for i in range(d)))
+    own = finite.agg(F.count("*").alias("n"), *[f(F.col("p")[i]).alias(f"{m}{i}") for i in range(d) for m, f in (("lo", F.min), ("hi", F.max))]).first()
+    if own.n:
+        span = max(span, *[max(box[f"hi{i}"], own[f"hi{i}"]) - min(box[f"lo{i}"], own[f"lo{i}"]) for i in range(d)])
     done, w = empty, Window.partitionBy("id").orderBy("dist", "other")
     while True:
         left = todo.select("id", "p", F.explode(_around(h, d)).alias("bucket"))

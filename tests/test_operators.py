@@ -109,6 +109,15 @@ def test_knn_degenerate_points(spark):
     assert S.knn_join(same.limit(1), same.limit(1), 3).count() == 0
 
 
+def test_knn_query_far_outside(spark):
+    b = spark.createDataFrame([(i, [float(i % 3), float(i // 3)]) for i in range(9)], "id long, p array<double>")
+    a = spark.createDataFrame([(100, [50.0, 60.0]), (101, [-400.0, 1.0]), (102, [1.1, 1.0]), (103, [float("nan"), 1.0])], "id long, p array<double>")
+    got = {(r.id, r["rank"]): r.other for r in S.knn_join(a, b, 3, exclude_self=False).collect()}
+    assert [got.get((100, j)) for j in (1, 2, 3)] == [8, 7, 5]
+    assert [got.get((101, j)) for j in (1, 2, 3)] == [3, 0, 6]
+    assert got.get((102, 1)) == 4
+
+
 def test_structured_grids(spark):
     for dim, kind in ((1, "line"), (2, "quad"), (3, "hex")):
         pts, cells = N.structured_grid(spark, [(0, 1)] * dim, [4] * dim)
