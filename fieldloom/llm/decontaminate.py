@@ -15,7 +15,6 @@ same rows, so nothing is broadcast beyond the bound and nothing is shuffled.
 
 from __future__ import annotations
 
-import hashlib
 from collections import defaultdict
 
 import numpy as np
@@ -23,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldloom.llm.text import ALNUM, Words, alnum_words, annotate, map_batches, raw_column, small_batches, utf8, window_hashes
+from fieldloom.llm.text import ALNUM, Words, alnum_words, annotate, map_batches, parts, raw_column, small_batches, utf8, window_hashes
 
 WINDOW, SHINGLE = 13, 4
 #: Windows of one broadcast block.
@@ -76,7 +75,7 @@ def _rarity(docs: DataFrame, looks: dict[int, _Lookup]) -> dict[int, dict[int, i
 
     def run(batches):
         total = {k: np.zeros(len(x.keys), np.int64) for k, x in handle.value.items()}
-        for b in batches:
+        for b in (p for whole in batches for p in parts(whole)):
             w = Words(*raw_column(b, "text"), ALNUM)
             for k, x in handle.value.items():
                 total[k] += np.bincount(x.places(window_hashes(w.hash, k))[1], minlength=len(x.keys))
@@ -92,7 +91,7 @@ def _rarity(docs: DataFrame, looks: dict[int, _Lookup]) -> dict[int, dict[int, i
 
 
 def mark(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
-    """``docs`` with ``__spans`` (start word, length; merged) and ``__items``, ``__n_words``.
+    """``row``, the columns of ``docs``, with ``spans`` (start word, length; merged), ``items`` and ``n_words``.
 
     Documents of null or wordless text have no words and no spans; repeated and
     null ids do not matter, since each row is judged by itself.
@@ -102,9 +101,10 @@ def mark(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame
     w = windows(benchmark, size)
     total = w.count()
     blocks = max(1, -(-total // BLOCK_WINDOWS))
-    out = docs
+    added = "n_words long, spans array<array<long>>, items array<string>"
     if total == 0:
-        return annotate(docs, lambda b: {"__n_words": np.diff(Words(*raw_column(b, "text"), ALNUM).of_text), "__spans": [[]] * b.num_rows, "__items": [[]] * b.num_rows}, "__n_words long, __spans array<array<long>>, __items array<string>")
+        return annotate(docs, lambda b: {"n_words": np.diff(Words(*raw_column(b, "text"), ALNUM).of_text), "spans": [[]] * b.num_rows, "items": [[]] * b.num_rows}, added)
+    out = docs
     for block in range(blocks):
         rows = w.where(F.pmod(F.xxhash64("window"), F.lit(blocks)) == block).collect()  # about BLOCK_WINDOWS rows
         shingles = [_shingles_of(bytes(r.window)) for r in rows]
@@ -121,8 +121,8 @@ def mark(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame
         def one(batch: pa.RecordBatch, index=index, first=block == 0) -> dict:
             words = Words(*raw_column(batch, "text"), ALNUM)
             lo = words.of_text
-            spans = [[] for _ in range(batch.num_rows)] if first else [[tuple(s) for s in x] for x in batch.column("__spans").to_pylist()]
-            items = [set() for _ in range(batch.num_rows)] if first else [set(x) for x in batch.column("__items").to_pylist()]
+            spans = [[] for _ in range(batch.num_rows)] if first else [[tuple(s) for s in x] for x in batch.column("spans").to_pylist()]
+            items = [set() for _ in range(batch.num_rows)] if first else [set(x) for x in batch.column("items").to_pylist()]
             for k, (look, entries) in index.value.items():
                 for p in look.places(h := window_hashes(words.hash, k))[0].tolist():
                     t = int(np.searchsorted(lo, p, "right")) - 1
@@ -139,20 +139,26 @@ def mark(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame
                     else:
                         merged.append([s, n])
                 spans[t] = merged
-            return {"__n_words": np.diff(lo), "__spans": spans, "__items": [sorted(x) for x in items]}
+            return {"n_words": np.diff(lo), "spans": spans, "items": [sorted(x) for x in items]}
 
-        out = annotate(out.drop("__n_words"), one, "__n_words long, __spans array<array<long>>, __items array<string>") if block == 0 else annotate(out.withColumnsRenamed({"__n_words": "__n0", "__spans": "__s0", "__items": "__i0"}), _again(one), "__n_words long, __spans array<array<long>>, __items array<string>").drop("__n0", "__s0", "__i0")
+        out = annotate(out, one, added) if block == 0 else _extend(out, one, added)
     return out
 
 
-def _again(fn):
-    """Later blocks read what earlier ones found under its renamed columns."""
+def _extend(marked: DataFrame, fn, added: str) -> DataFrame:
+    """A later block's finds joined to what earlier ones found."""
+    from pyspark.sql.types import StructType
+
+    schema = StructType([marked.schema["row"]] + marked.sparkSession.createDataFrame([], added).schema.fields)
 
     def one(batch: pa.RecordBatch) -> dict:
-        back = {"__s0": "__spans", "__i0": "__items"}
-        return fn(batch.rename_columns([back.get(c, c) for c in batch.schema.names]))
+        return {"row": batch.column("row"), **fn(batch.select(["text", "spans", "items"]))}
+
+    return map_batches(marked.select("row", F.col("row.text").alias("text"), "spans", "items"), one, schema)
 
-    return one
+
+def _hits():
+    return F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s[1])
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -162,17 +168,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     least a twentieth of all.  No benchmark or no words: nothing is hit.
     """
     marked = mark(docs.select("doc_id", F.col("text").cast("string").alias("text")), benchmark)
-    hit = F.aggregate("__spans", F.lit(0).cast("long"), lambda a, s: a + s[1])
-    return marked.select("doc_id", F.col("__n_words").alias("n_words"), hit.alias("n_hit"), F.size("__items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", F.array_sort("__items")), 256).alias("items_sha256")).withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
+    return marked.select("row.doc_id", "n_words", _hits().alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", F.array_sort("items")), 256).alias("items_sha256")).withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are not contaminated, with their columns."""
-    marked = mark(docs, benchmark)
-    hit = F.aggregate("__spans", F.lit(0).cast("long"), lambda a, s: a + s[1])
-    return marked.where(~((hit > 0) & (20 * hit >= F.col("__n_words")))).select(*docs.columns)
-
-
-def items_digest(items: list[str]) -> str:
-    """The digest of a list of item ids, as the query gives it."""
-    return hashlib.sha256(",".join(sorted(map(str, items))).encode()).hexdigest()
+    """The rows of ``docs`` that are not contaminated, with their columns whatever their names."""
+    return mark(docs, benchmark).where(~((_hits() > 0) & (20 * _hits() >= F.col("n_words")))).select("row.*")

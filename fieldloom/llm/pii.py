@@ -13,20 +13,36 @@ from __future__ import annotations
 import datetime
 import hashlib
 import re
+import warnings
+from bisect import bisect_left
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldloom.llm.text import annotate, small_batches
 
-KEY = b"corpus-pseudonyms-1"
+#: Session setting that holds the secret key, and the public key of samples and tests.
+KEY_SETTING, SAMPLE_KEY = "fieldloom.pii.key", b"corpus-pseudonyms-1"
 KINDS = ("email", "phone", "card", "ip", "date", "ssn", "iban")
 ROUNDS = 8
 _EPOCH, _DAYS = datetime.date(1900, 1, 1).toordinal(), datetime.date(2100, 1, 1).toordinal() - datetime.date(1900, 1, 1).toordinal()
 _LOW, _UP, _DIG = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 
 
+def session_key(spark: SparkSession) -> bytes:
+    """The key that the session names in ``fieldloom.pii.key``.
+
+    Where it is unset, as for the given sample tables, the public ``SAMPLE_KEY``
+    is used with a warning: its pseudonyms can be undone by anyone.
+    """
+    key = spark.conf.get(KEY_SETTING, None)
+    if not key:
+        warnings.warn(f"{KEY_SETTING} is unset: pseudonyms use the public sample key", stacklevel=2)
+        return SAMPLE_KEY
+    return key.encode()
+
+
 def permute(x: int, size: int, key: bytes, tweak: str) -> int:
     """A keyed permutation of ``range(size)``: balanced Feistel with cycle walking."""
     if size <= 1:
@@ -139,9 +155,11 @@ def _iban(m: re.Match, key: bytes) -> str | None:
 
 
 def _email(m: re.Match, key: bytes) -> str | None:
-    local, _, host = m.group().rpartition("@")
+    """Case does not tell addresses apart: the lower-case address is moved, its capitals stay where they were."""
+    local, _, host = m.group().lower().rpartition("@")
     name, _, top = host.rpartition(".")
-    return f"{by_class(local, key, 'local')}@{by_class(name, key, 'host')}.{top}"
+    new = f"{by_class(local, key, 'local')}@{by_class(name, key, 'host')}.{top}"
+    return "".join(c.upper() if old.isupper() else c for c, old in zip(new, m.group()))
 
 
 _E = r"(?<![A-Za-z0-9])"
@@ -169,50 +187,54 @@ class _Span:
         return self.m.start(self.g) if name else self.m.start()
 
 
-def pseudonymise(text: str | None, key: bytes = KEY) -> tuple[str | None, dict[str, int]]:
+def pseudonymise(text: str | None, key: bytes) -> tuple[str | None, dict[str, int]]:
     """The text with pseudonyms, and the number of values by kind."""
     found = dict.fromkeys(KINDS, 0)
     if not text or not re.search(r"[0-9@]", text):
         return text, found
-    spans: list[tuple[int, int, str, str]] = []
+    spans: list[tuple[int, int, str, str]] = []  # in order of place, apart
     for kind, rule, needs, make in _RULES:
         if needs and needs not in text:
             continue
+        fresh, starts = [], [s[0] for s in spans]
         for m in rule.finditer(text):
+            k = bisect_left(starts, m.end())  # of the earlier rules' spans only the last one that begins before may overlap
+            if k and spans[k - 1][1] > m.start():
+                continue
             new = _phone(_Span(m), key) if kind == "phone" else make(m, key)
-            if new is not None and not any(a < m.end() and m.start() < b for a, b, _, _ in spans):
-                spans.append((m.start(), m.end(), new, kind))
+            if new is not None:
+                fresh.append((m.start(), m.end(), new, kind))
+        if fresh:
+            spans = sorted(spans + fresh)
     out, at = [], 0
-    for a, b, new, kind in sorted(spans):
+    for a, b, new, kind in spans:
         out += [text[at:a], new]
         at = b
         found[kind] += 1
     return "".join(out) + text[at:], found
 
 
-def replace(docs: DataFrame, key: bytes = KEY) -> DataFrame:
-    """``docs`` with pseudonyms in ``text`` and a count ``__n_<kind>`` for each kind.
+def replace(docs: DataFrame, key: bytes) -> DataFrame:
+    """``row``, the columns of ``docs`` with pseudonyms in ``text``, and a count ``n_<kind>`` for each kind.
 
     Null texts stay null and empty ones empty; repeated rows get the same
-    pseudonyms; other columns pass through whatever their names.
+    pseudonyms; other columns pass through in ``row`` whatever their names.
     """
     small_batches(docs.sparkSession)
 
     def one(batch: pa.RecordBatch) -> dict:
         texts, counts = [], {k: [] for k in KINDS}
-        for t in batch.column(batch.schema.get_field_index("text")).to_pylist():
+        for t in batch.column("text").to_pylist():
             new, found = pseudonymise(t, key)
             texts.append(new)
             for k, v in found.items():
                 counts[k].append(v)
-        return {"__text": texts, **{f"__n_{k}": v for k, v in counts.items()}}
+        return {"new": texts, **{f"n_{k}": v for k, v in counts.items()}}
 
-    src = docs.withColumn("text", F.col("text").cast("string"))
-    out = annotate(src, one, "__text string, " + ", ".join(f"__n_{k} int" for k in KINDS))
-    return out.select(*[F.col("__text").alias("text") if c == "text" else c for c in docs.columns], *[f"__n_{k}" for k in KINDS])
+    out = annotate(docs, one, "new string, " + ", ".join(f"n_{k} int" for k in KINDS))
+    return out.select(F.col("row").withField("text", F.col("new")).alias("row"), *[f"n_{k}" for k in KINDS])
 
 
-def pseudonyms(docs: DataFrame, key: bytes = KEY) -> DataFrame:
+def pseudonyms(docs: DataFrame, key: bytes) -> DataFrame:
     """``doc_id, text`` with pseudonyms and ``n_<kind>`` counts, one row per document."""
-    out = replace(docs.select("doc_id", "text"), key)
-    return out.withColumnsRenamed({f"__n_{k}": f"n_{k}" for k in KINDS})
+    return replace(docs.select("doc_id", "text"), key).select("row.*", *[f"n_{k}" for k in KINDS])

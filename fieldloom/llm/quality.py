@@ -177,11 +177,15 @@ def features(docs: DataFrame) -> DataFrame:
     return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("text")), one, "doc_id long, x array<double>")
 
 
-def train(feats: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Model:
-    """Fit on labelled rows outside the held-out fold; at most ``max_train`` reach the driver."""
-    y = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").cast("double").alias("y"))
-    y = bounded_sample(y.where(~held_out()), max_train, "doc_id")
-    rows = feats.join(y, "doc_id").select("doc_id", "x", "y").toPandas().sort_values("doc_id", kind="stable")  # about max_train rows
+def drawn(labels: DataFrame, max_train: int, column: str = "quality") -> DataFrame:
+    """``doc_id, y`` of at most ``max_train`` labelled ids outside the held-out fold."""
+    y = labels.where(F.col("doc_id").isNotNull() & F.col(column).isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(column).cast("double").alias("y"))
+    return bounded_sample(y.where(~held_out()), max_train, "doc_id")
+
+
+def train(feats: DataFrame, y: DataFrame) -> Model:
+    """Fit on the rows drawn for training; one row an id reaches the driver (the smallest, if an id repeats)."""
+    rows = feats.join(y, "doc_id").groupBy("doc_id").agg(F.min("x").alias("x"), F.max("y").alias("y")).toPandas().sort_values("doc_id", kind="stable")  # max_train rows at most
     return fit(np.array(rows.x.tolist()).reshape(-1, len(FEATURES)), rows.y.to_numpy(float))
 
 
@@ -194,7 +198,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAI
     """
     small_batches(docs.sparkSession)
     feats = Scratch(docs.sparkSession, "quality").write(features(docs), "features")
-    model = docs.sparkSession.sparkContext.broadcast(train(feats, labels, max_train))
+    model = docs.sparkSession.sparkContext.broadcast(train(feats, drawn(labels, max_train)))
 
     def one(batch: pa.RecordBatch) -> dict:
         x = np.array(batch.column("x").to_pylist()).reshape(-1, len(FEATURES))
@@ -205,11 +209,14 @@ def quality_scores(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAI
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> DataFrame:
-    """The rows of ``docs`` predicted to be of label 1, with their columns."""
-    small_batches(docs.sparkSession)
-    labelled = labels.where("quality is not null").select("doc_id").distinct()
-    feats = features(docs).join(labelled, "doc_id", "left_semi")
-    model = docs.sparkSession.sparkContext.broadcast(train(feats, labels, max_train))
-    src = docs.withColumn("text", F.col("text").cast("string"))
-    out = annotate(src, lambda b: {"__score": model.value.score(measure(*raw_column(b, "text")))}, "__score double")
-    return out.where(F.col("__score") >= THRESHOLD).drop("__score")
+    """The rows of ``docs`` predicted to be of label 1, with their columns whatever their names.
+
+    Only the texts drawn for training are measured twice.
+    """
+    spark = docs.sparkSession
+    small_batches(spark)
+    y = Scratch(spark, "quality").write(drawn(labels, max_train), "drawn")
+    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(y.select("doc_id")), "doc_id", "left_semi")  # max_train ids at most are broadcast
+    model = spark.sparkContext.broadcast(train(features(chosen), y))
+    out = annotate(docs, lambda b: {"score": model.value.score(measure(*raw_column(b, "text")))}, "score double")
+    return out.where(F.col("score") >= THRESHOLD).select("row.*")

@@ -58,9 +58,9 @@ QUERIES["op6_best_fit_packing"] = op6_best_fit_packing
 
 
 def op2_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from fieldloom.llm.pii import pseudonyms
+    from fieldloom.llm.pii import pseudonyms, session_key
 
-    return pseudonyms(_table(spark, sf_dir, "documents"))
+    return pseudonyms(_table(spark, sf_dir, "documents"), session_key(spark))
 
 
 def op3_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 #: Rows of one Arrow batch; a batch of the longest texts must fit a Python worker.
 BATCH_ROWS = 400
+#: Bytes of text worked on at once: a batch of more is cut between rows, so working memory follows this or the longest text.
+PART_BYTES = 8 << 20
 
 #: Bytes that separate words of ``[0-9a-z\x80-\xff]+`` become spaces, A-Z fold.
 _ALNUM = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -91,6 +93,23 @@ def bounded_sample(df: DataFrame, n: int, *keys: str) -> DataFrame:
     return df.where(u < max(n - 4 * n**0.5, n / 2) / total).limit(n)
 
 
+def parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """``batch`` in runs of rows of about ``PART_BYTES`` of strings each, or of one row."""
+    if batch.nbytes <= PART_BYTES or batch.num_rows < 2:
+        yield batch
+        return
+    total = np.zeros(batch.num_rows, np.int64)
+    for c in batch.columns:
+        for a in c.flatten() if pa.types.is_struct(c.type) else [c]:
+            if pa.types.is_string(a.type) or pa.types.is_binary(a.type):
+                total += np.asarray(pa.compute.fill_null(pa.compute.binary_length(a), 0), np.int64)
+    end, lo = np.cumsum(total), 0
+    while lo < batch.num_rows:
+        hi = max(lo + 1, int(np.searchsorted(end, (end[lo - 1] if lo else 0) + PART_BYTES, "right")))
+        yield batch.slice(lo, hi - lo)
+        lo = hi
+
+
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | dict], schema: str) -> DataFrame:
     """``mapInArrow`` over single batches; ``fn`` may return a dict of columns."""
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -101,7 +120,7 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | d
     want = to_arrow_schema(struct)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (p for whole in batches for p in parts(whole)):
             out = fn(b)
             if isinstance(out, dict):
                 out = pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in want], schema=want)
@@ -178,18 +197,22 @@ class Words:
 
 
 def annotate(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], added: str) -> DataFrame:
-    """All columns of ``df`` and those that ``fn`` computes from each batch."""
-    extra = df.sparkSession.createDataFrame([], added).schema
+    """``row``, a struct of all columns of ``df`` with ``text`` as a string, and the columns ``fn`` adds.
+
+    ``fn`` sees batches of ``text`` alone.  Since the row travels as one struct,
+    its columns may have any names, also those of the added ones; ``select("row.*")``
+    gives them back.
+    """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
-    want = to_arrow_schema(extra)
-    out_schema = StructType(df.schema.fields + extra.fields)
+    extra = df.sparkSession.createDataFrame([], added).schema
+    want, at = to_arrow_schema(extra), df.columns.index("text")
+    held = df.withColumn("text", F.col("text").cast("string")).select(F.struct("*").alias("row"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            more = fn(b)
-            cols = list(b.columns) + [pa.array(more[f.name], f.type) for f in want]
-            yield pa.RecordBatch.from_arrays(cols, names=b.schema.names + want.names)
+        for b in (p for whole in batches for p in parts(whole)):
+            more = fn(pa.RecordBatch.from_arrays([b.column(0).field(at)], names=["text"]))
+            yield pa.RecordBatch.from_arrays([b.column(0)] + [pa.array(more[f.name], f.type) for f in want], names=["row"] + want.names)
 
-    return df.mapInArrow(run, out_schema)
+    return held.mapInArrow(run, StructType([held.schema["row"]] + extra.fields))
