@@ -11,9 +11,10 @@
 5. Verified links are joined into components.  Buckets that still hold several
    components are compared again: members outside the bucket's largest component
    against all others, in blocks, so that no task holds a whole bucket and
-   members already connected are never compared.  Survivors of the same
-   sequential test are verified on full sets inside the block, so only links
-   leave it and nothing is capped.
+   members already connected are never compared.  A block first sees signatures
+   alone and names the members of pairs that survive the sequential test; only
+   their texts are sent to it, and the survivors are verified on full sets
+   inside the block, so only links leave it and nothing is capped.
 """
 
 from __future__ import annotations
@@ -34,7 +35,8 @@ from fieldloom.sources.scratch import Scratch
 
 BANDS, ROWS, BATCH = 32, 5, 32
 HASHES = BANDS * ROWS
-BLOCK = 256
+#: A block's members and queries are at most about this many and their packed texts about this many bytes.
+BLOCK, BLOCK_BYTES = 256, 16 << 20
 
 _rng = np.random.default_rng(20240607)
 _MUL = (_rng.integers(0, 2**32, HASHES, dtype=np.uint64).astype(np.uint32) | np.uint32(1))[:, None]
@@ -144,20 +146,60 @@ def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(side("b"), "b").join(side("a"), "a")
 
 
-def _block_links(words: int, percent: int, miss: float):
-    """Links of one block between components: each query against the members.
+class _Block:
+    """Members and queries of one block, and its pairs that survive the sequential test."""
 
-    A pair is tried in the first band that both share, by its smaller query,
-    and only while the block's links leave its components apart.
-    """
+    def __init__(self, tab, percent: int, miss: float):
+        self.limits, self.percent = least_matches(percent / 100, miss), percent
+        self.role, self.band = np.asarray(tab.column("role")), int(np.asarray(tab.column("pos"))[0])
+        self.ids, self.comp, self.n, self.other = (np.asarray(tab.column(k)) for k in ("doc_id", "comp", "n", "other"))
+        self.sig = np.frombuffer(b"".join(tab.column("sig").to_pylist()), np.uint8).reshape(-1, HASHES)
+
+    def pairs(self):
+        """Rows of a query and of its candidates, the likeliest first.
+
+        A pair is tried in the first band that both share, by its smaller query.
+        """
+        ids, comp, n, mi = self.ids, self.comp, self.n, np.flatnonzero(self.role == 1)
+        for i in np.flatnonzero(self.role == 2):
+            ok = (comp[mi] != comp[i]) & (100 * np.minimum(n[mi], n[i]) >= self.percent * np.maximum(n[mi], n[i])) & ~(self.other[mi] & (ids[mi] < ids[i]))
+            cand = mi[ok]
+            if not len(cand):
+                continue
+            eq = self.sig[cand] == self.sig[i]
+            if self.band:
+                fresh = ~eq[:, : self.band * ROWS].reshape(len(cand), self.band, ROWS).all(2).any(1)
+                cand, eq = cand[fresh], eq[fresh]
+            done, matches = 0, np.zeros(len(cand), np.int64)
+            for m, least in self.limits:
+                matches += eq[:, done:m].sum(1)
+                stay = matches >= least
+                cand, eq, matches, done = cand[stay], eq[stay], matches[stay], m
+            if len(cand):
+                yield i, cand[np.lexsort((ids[cand], -matches))]
+
+
+def _block_needs(percent: int, miss: float):
+    """The block's documents that are in a surviving pair."""
 
     def one(key, tab):
-        limits, unpack, sets, root = least_matches(percent / 100, miss), zstandard.ZstdDecompressor(), {}, {}
-        role, band = np.asarray(tab.column("role")), int(np.asarray(tab.column("pos"))[0])
-        held = np.asarray(tab.column("blob").is_valid())
-        ids, comp, n, other = (np.asarray(tab.column(k)) for k in ("doc_id", "comp", "n", "other"))
-        sig = np.frombuffer(b"".join(tab.column("sig").to_pylist()), np.uint8).reshape(-1, HASHES)
-        blobs, at = tab.column("blob"), {int(ids[k]): int(k) for k in np.flatnonzero(held)}
+        block, need = _Block(tab, percent, miss), set()
+        for i, cand in block.pairs():
+            need.add(int(block.ids[i]))
+            need.update(block.ids[cand].tolist())
+        ids = sorted(need)
+        return pa.table({**{c: pa.array([k.as_py()] * len(ids), pa.int64()) for c, k in zip(("band", "qb", "mb"), key)}, "doc_id": pa.array(ids, pa.int64())})
+
+    return one
+
+
+def _block_links(words: int, percent: int, miss: float):
+    """Links of one block between components, while they leave its components apart."""
+
+    def one(key, tab):
+        block, unpack, sets, root = _Block(tab, percent, miss), zstandard.ZstdDecompressor(), {}, {}
+        ids, comp, blobs = block.ids, block.comp, tab.column("blob")
+        at = {int(ids[k]): int(k) for k in np.flatnonzero(np.asarray(blobs.is_valid()))}
 
         def find(c: int) -> int:
             while (up := root.get(c, c)) != c:
@@ -170,22 +212,9 @@ def _block_links(words: int, percent: int, miss: float):
                 sets[i] = shingle_set(unpack.decompress(blobs[at[i]].as_py()), words)
             return sets[i]
 
-        a_out, b_out, mi = [], [], np.flatnonzero(role == 1)
-        for i in np.flatnonzero(role == 2):
-            ok = (comp[mi] != comp[i]) & (100 * np.minimum(n[mi], n[i]) >= percent * np.maximum(n[mi], n[i])) & ~(other[mi] & (ids[mi] < ids[i]))
-            cand = mi[ok]
-            if not len(cand):
-                continue
-            eq = sig[cand] == sig[i]
-            if band:
-                fresh = ~eq[:, : band * ROWS].reshape(len(cand), band, ROWS).all(2).any(1)
-                cand, eq = cand[fresh], eq[fresh]
-            done, matches = 0, np.zeros(len(cand), np.int64)
-            for m, least in limits:
-                matches += eq[:, done:m].sum(1)
-                stay = matches >= least
-                cand, eq, matches, done = cand[stay], eq[stay], matches[stay], m
-            for k in cand[np.lexsort((ids[cand], -matches))]:
+        a_out, b_out = [], []
+        for i, cand in block.pairs():
+            for k in cand:
                 x, y = find(int(comp[i])), find(int(comp[k]))
                 if x == y:
                     continue
@@ -206,8 +235,10 @@ def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 80, miss: fl
     Documents are linked when their sets of ``words``-word shingles have a
     Jaccard similarity of at least ``percent`` / 100.  Null and blank texts have
     an empty set, component of their own and are kept.  A null ``doc_id`` links
-    with nothing and has a null component.  Rows that repeat an id count as that
-    document.  Other columns, whatever their names, are not read.
+    with nothing and has a null component.  Rows that repeat an id are one
+    document; if their texts differ, exact copies of any of them join it and near
+    links go by the text of the smallest fingerprint.  Other columns, whatever
+    their names, are not read.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -224,17 +255,20 @@ def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 80, miss: fl
     shared = tmp.write(rows.groupBy("band").agg(F.min("doc_id").alias("lead"), F.max("doc_id").alias("last")).where("lead < last").select("band", "lead"), "shared")
     buckets = tmp.write(rows.join(shared, "band").distinct(), "buckets")
     involved = tmp.write(buckets.select("doc_id").distinct(), "involved")
-    sets = tmp.write(base.select("doc_id", "n", "sig", "blob").join(involved, "doc_id").dropDuplicates(["doc_id"]), "sets")
+    sets = base.select("doc_id", "n", "sig", "blob", "fp").join(involved, "doc_id").groupBy("doc_id").agg(F.min(F.struct("fp", "n", "sig", "blob")).alias("s"))
+    sets = tmp.write(sets.select("doc_id", "s.n", "s.sig", "s.blob", F.length("s.blob").alias("size")), "sets")
     tmp.drop(base)
 
     pairs = tmp.write(buckets.where("lead < doc_id").select(F.col("lead").alias("a"), F.col("doc_id").alias("b")).distinct(), "pairs")
     links = tmp.write(_verify(_with_sets(pairs, sets), words, percent, miss), "links")
     nodes = involved.select(F.col("doc_id").alias("a"), F.col("doc_id").alias("b"))
     comp = connected_components(spark, links.unionByName(nodes), Scratch(spark, "components"))
-    state = tmp.write(buckets.select("doc_id", "pos", "band").join(comp.withColumnRenamed("node", "doc_id").withColumnRenamed("component", "comp"), "doc_id"), "state")
-    sizes = state.groupBy("band", "comp").agg(F.count("*").alias("c"))
-    mixed = sizes.groupBy("band").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.sum("c").alias("all"), F.max("c").alias("most"), F.count("*").alias("comps")).where("comps > 1")
-    mixed = tmp.write(mixed.select("band", "main", F.ceil(F.col("all") / BLOCK).alias("nm"), F.ceil((F.col("all") - F.col("most")) / BLOCK).alias("nq")), "mixed")
+    state = buckets.select("doc_id", "pos", "band").join(comp.withColumnRenamed("node", "doc_id").withColumnRenamed("component", "comp"), "doc_id")
+    state = tmp.write(state.join(sets.select("doc_id", "size"), "doc_id"), "state")
+    sizes = state.groupBy("band", "comp").agg(F.count("*").alias("c"), F.sum("size").alias("size"))
+    mixed = sizes.groupBy("band").agg(F.max_by(F.struct("comp", "c", "size"), F.struct("c", "comp")).alias("top"), F.sum("c").alias("all"), F.sum("size").alias("bytes"), F.count("*").alias("comps")).where("comps > 1")
+    need = lambda rows, size: F.ceil(F.greatest(rows / BLOCK, size / BLOCK_BYTES))
+    mixed = tmp.write(mixed.select("band", F.col("top.comp").alias("main"), need(F.col("all"), F.col("bytes")).alias("nm"), need(F.col("all") - F.col("top.c"), F.col("bytes") - F.col("top.size")).alias("nq")), "mixed")
     if not mixed.isEmpty():
         open_ = tmp.write(state.join(mixed, "band"), "open").withColumn("other", F.col("comp") != F.col("main"))
         at = lambda k: F.pmod(F.xxhash64("doc_id"), F.col(k))
@@ -242,10 +276,14 @@ def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 80, miss: fl
         spot = lambda q, m, role, full: F.struct(q.alias("qb"), m.alias("mb"), F.lit(role).alias("role"), full.alias("full"))
         as_member = F.transform(spots("nq"), lambda q: spot(q, at("nm"), 1, F.lit(True)))
         as_query = F.when(F.col("other"), F.transform(spots("nm"), lambda m: spot(at("nq"), m, 2, m != at("nm")))).otherwise(F.array().cast("array<struct<qb:bigint,mb:bigint,role:int,full:boolean>>"))
-        met = open_.join(sets, "doc_id").withColumn("s", F.explode(F.concat(as_member, as_query)))
+        met = open_.join(sets.select("doc_id", "n", "sig"), "doc_id").withColumn("s", F.explode(F.concat(as_member, as_query)))
+        met = tmp.write(met.select("band", "pos", "doc_id", "comp", "other", "n", "sig", "s.qb", "s.mb", "s.role", "s.full"), "met")
+        block = ["band", "qb", "mb"]
+        need = tmp.write(met.groupBy(*block).applyInArrow(_block_needs(percent, miss), "band long, qb long, mb long, doc_id long"), "need")
+        met = met.join(need, [*block, "doc_id"], "left_semi").join(sets.select("doc_id", "blob"), "doc_id")
         # A query that is also a member of its own block carries its text once.
-        met = met.select("band", "pos", "doc_id", "comp", "other", "n", "sig", "s.qb", "s.mb", "s.role", F.when(F.col("s.full"), F.col("blob")).alias("blob"))
-        found = tmp.write(met.groupBy("band", "qb", "mb").applyInArrow(_block_links(words, percent, miss), "a long, b long"), "found")
+        met = met.select(*block, "pos", "doc_id", "comp", "other", "n", "sig", "role", F.when(F.col("full"), F.col("blob")).alias("blob"))
+        found = tmp.write(met.groupBy(*block).applyInArrow(_block_links(words, percent, miss), "a long, b long"), "found")
         comp = connected_components(spark, links.unionByName(found).unionByName(nodes), Scratch(spark, "components"))
     out = member.join(comp.withColumnRenamed("node", "rep"), "rep", "left")
     root = F.coalesce("component", "rep")
