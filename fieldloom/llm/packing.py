@@ -277,5 +277,6 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
         return {**{n: b.column(n) for n in names}, "sequence_id": base[i] + rank, "offset": off[i]}
 
     before = part.select("chunk", "length", (F.sum("c").over(Window.partitionBy("length").orderBy("chunk")) - F.col("c")).alias("before"))
-    ranked = pieces.join(before, ["chunk", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("place")).alias("rank"))
+    # The offsets grow with the input (a row for each task and length), so they are merged, never broadcast.
+    ranked = pieces.join(before.hint("merge"), ["chunk", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("place")).alias("rank"))
     return map_batches(ranked, place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
