@@ -1,22 +1,26 @@
 """Toxicity by a chain of linear classifiers.
 
-Four categories are predicted in turn, each by a logistic model over the same
-indicative words and word beginnings and over the probabilities of the
-categories before it.  The links are trained with out-of-fold predictions, so a
-later model sees earlier probabilities as good as they will be on new text.
-
-The label tables know one category, ``toxic``.  The earlier links are derived
-from it and the mined words: ``insult`` (toxic with an indicative whole word),
-``inflected`` (toxic with an indicative word beginning only), ``persistent``
-(toxic with three or more indicative words).  The last link is ``toxic`` itself.
+Categories are predicted in turn, each by a logistic model over the same
+indicative words and word beginnings and over the probabilities of the categories
+before it.  The links are trained with out-of-fold predictions, so a later model
+sees earlier probabilities as good as they will be on new text.
+
+``categories`` names the 0/1 columns of the label table in the order of the
+chain; the last one decides.  The given label table knows one category,
+``toxic``.  For it, the earlier links are stand-ins derived from the label and
+the mined words: ``insult`` (toxic with an indicative whole word), ``inflected``
+(toxic with an indicative word beginning only), ``persistent`` (toxic with three
+or more indicative words).
 
 Words are mined from at most ``max_train`` labelled rows (a documented bound,
 chosen by hash of the id), of which only the per-word document counts are
-shuffled; scoring covers every whole text.
+shuffled; at most ``MAX_WORDS`` signs that ``LEAST_DOCS`` or more positive
+documents hold become features; scoring covers every whole text.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,10 +29,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom.llm.quality import held_out
-from fieldloom.llm.text import ALNUM, Words, bounded_sample, map_batches, mix64, raw_column, small_batches, utf8
+from fieldloom.llm.text import ALNUM, Words, bounded_sample, map_batches, mix64, parts, raw_column, small_batches, utf8
 
-CATEGORIES = ("insult", "inflected", "persistent", "toxic")
-MAX_TRAIN, MAX_WORDS, FOLDS = 20_000, 1024, 4
+#: Stand-ins that are derived from a single label.
+DERIVED = ("insult", "inflected", "persistent")
+MAX_TRAIN, MAX_WORDS, LEAST_DOCS, FOLDS = 20_000, 1024, 3, 4
 PREFIXES = (4, 5, 6)
 THRESHOLD = 0.5
 _BASE = np.uint64(0x100000001B3)
@@ -130,23 +135,28 @@ def fit_chain(rows: np.ndarray, cols: np.ndarray, n: int, width: int, targets: n
     return chain
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> DataFrame:
-    """``doc_id, held_out``, a probability for each category, ``score`` and ``toxic``.
+def toxicity(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, categories: Sequence[str] = ("toxic",)) -> DataFrame:
+    """``doc_id, held_out``, ``p_<category>`` for each category, ``score`` and ``toxic``.
 
-    Rows whose id has checksum 2 modulo 4 are never trained on.  Null and empty
-    texts have no signs and get the chain's floor; each repeated row is scored
-    by itself.  Without usable labels nothing is toxic.
+    Rows whose id has checksum 2 modulo 4 are never trained on; null labels count
+    as 0 where another category is given.  Null and empty texts have no signs and
+    get the chain's floor; each repeated row is scored by itself, and an id that
+    repeats trains once (the smallest text).  Without usable labels nothing is toxic.
     """
     spark = docs.sparkSession
     small_batches(spark)
+    names = [*DERIVED, *categories] if len(categories) == 1 else list(categories)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("text"))
-    y = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    known = F.coalesce(*[F.col(c).cast("int") for c in categories]).isNotNull()
+    y = labels.where(F.col("doc_id").isNotNull() & known).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(*[F.coalesce(F.max(F.col(c).cast("int")), F.lit(0)).alias(f"y{k}") for k, c in enumerate(categories)])
+    ys = [f"y{k}" for k in range(len(categories))]
     y = bounded_sample(y.where(~held_out()), max_train, "doc_id")
     sample = docs.join(F.broadcast(y), "doc_id")  # at most max_train small rows are broadcast
-    n1, n0 = (int(v or 0) for v in y.agg(F.sum("toxic"), F.sum(1 - F.col("toxic"))).first())
+    any_ = F.greatest(F.lit(0), *ys)
+    n1, n0 = (int(v or 0) for v in y.agg(F.sum(any_), F.sum(1 - any_)).first())
     if not n1:
-        return docs.select("doc_id", held_out().alias("held_out"), *[F.lit(0.0).alias(f"p_{c}") for c in CATEGORIES], F.lit(0.0).alias("score"), F.lit(False).alias("toxic"))
-    mined = map_batches(sample.select("toxic", "text"), _mine, "sign long, pos long, neg long").groupBy("sign").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).where("pos >= 3")
+        return docs.select("doc_id", held_out().alias("held_out"), *[F.lit(0.0).alias(f"p_{c}") for c in names], F.lit(0.0).alias("score"), F.lit(False).alias("toxic"))
+    mined = map_batches(sample.select(any_.alias("toxic"), "text"), _mine, "sign long, pos long, neg long").groupBy("sign").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).where(F.col("pos") >= LEAST_DOCS)
     share = (F.col("pos") + 0.5) / (n1 + 1.0)
     lift = F.log(share * (n0 + 1.0) / (F.col("neg") + 0.5))
     best = mined.withColumn("gain", F.col("pos") * lift).where(lift > 1.5).orderBy(F.desc("gain"), "sign").limit(MAX_WORDS).select("sign").toPandas().sign.to_numpy(np.int64)
@@ -159,28 +169,32 @@ def toxicity(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) ->
         r, c, at = r[order], c[order], at[order]
         cut = np.searchsorted(r, np.arange(batch.num_rows + 1))
         places = [len(np.unique(at[a:b])) for a, b in zip(cut[:-1], cut[1:])]
-        return {"doc_id": batch.column("doc_id"), "toxic": batch.column("toxic"), "cols": [np.unique(c[a:b]) for a, b in zip(cut[:-1], cut[1:])], "hits": places}
+        return {"doc_id": batch.column("doc_id"), "y": list(np.column_stack([np.asarray(batch.column(c), np.int32) for c in ys])), "cols": [np.unique(c[a:b]) for a, b in zip(cut[:-1], cut[1:])], "hits": places}
 
-    train = map_batches(sample.select("doc_id", "toxic", "text"), matrix, "doc_id long, toxic int, cols array<int>, hits int").toPandas().sort_values("doc_id")
+    rows_ = map_batches(sample.select("doc_id", *ys, "text"), matrix, "doc_id long, y array<int>, cols array<int>, hits int")
+    train = rows_.groupBy("doc_id").agg(F.min(F.struct("cols", "hits", "y")).alias("s")).select("doc_id", "s.*").toPandas().sort_values("doc_id")  # max_train rows at most
     n = len(train)
     cols = np.concatenate([np.asarray(x, np.int64) for x in train.cols] + [np.empty(0, np.int64)])
     rows = np.repeat(np.arange(n), [len(x) for x in train.cols])
-    tox, hits = train.toxic.to_numpy(float), train.hits.to_numpy()
-    has_whole = np.bincount(rows, whole[cols].astype(float), n) > 0 if len(rows) else np.zeros(n, bool)
-    targets = np.column_stack([tox * has_whole, tox * (~has_whole & (hits > 0)), tox * (hits >= 3), tox])
+    targets, hits = np.array(train.y.tolist(), float).reshape(n, len(ys)), train.hits.to_numpy()
+    if len(categories) == 1:
+        tox = targets[:, 0]
+        has_whole = np.bincount(rows, whole[cols].astype(float), n) > 0 if len(rows) else np.zeros(n, bool)
+        targets = np.column_stack([tox * has_whole, tox * (~has_whole & (hits > 0)), tox * (hits >= 3), tox])
     model = spark.sparkContext.broadcast((signs, fit_chain(rows, cols, n, len(signs), targets)))
 
     def score(batches):
         signs, chain = model.value
         bag = _bag(signs)
-        for b in batches:
+        for b in (p for whole in batches for p in parts(whole)):
             r, c, _ = bag(b)
             both = np.unique(r * np.int64(len(signs) + 1) + c)
             r, c = both // (len(signs) + 1), both % (len(signs) + 1)
             p = np.zeros((b.num_rows, 0))
             for link in chain:
                 p = np.column_stack([p, _apply(link, r, c, b.num_rows, p)])
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *[pa.array(x, pa.float64()) for x in p.T]], names=["doc_id", *[f"p_{x}" for x in CATEGORIES]])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *[pa.array(x, pa.float64()) for x in p.T]], names=["doc_id", *[f"p_{x}" for x in names]])
 
-    out = docs.mapInArrow(score, "doc_id long, " + ", ".join(f"p_{c} double" for c in CATEGORIES))
-    return out.select("doc_id", held_out().alias("held_out"), *[f"p_{c}" for c in CATEGORIES], F.col("p_toxic").alias("score"), (F.col("p_toxic") >= THRESHOLD).alias("toxic"))
+    out = docs.mapInArrow(score, "doc_id long, " + ", ".join(f"`p_{c}` double" for c in names))
+    last = F.col(f"p_{names[-1]}")
+    return out.select("doc_id", held_out().alias("held_out"), *[f"p_{c}" for c in names], last.alias("score"), (last >= THRESHOLD).alias("toxic"))
