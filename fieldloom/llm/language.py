@@ -11,6 +11,11 @@ Four kinds of evidence about a page are multiplied and normalised:
 * the host: its languages counted over its other pages (the page itself is
   left out), smoothed by its domain, that by its suffix, that by all pages.
 
+The languages are those of ``documents.lang``.  Text that a host repeats from
+page to page (advertisements, footers) is left out: blocks of text are counted by
+host, and one that at least ``REPEATS`` different pages and a tenth of the host's
+pages hold is no evidence about any of them.
+
 All tables are grouped aggregations.  Host counts meet the pages again in an
 equi-join of two written tables, which splits hosts of very many pages.
 """
@@ -21,20 +26,23 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldloom.llm.text import map_batches, mix64, raw_column, small_batches, utf8
+from fieldloom.llm.text import map_batches, mix64, parts, raw_column, small_batches, utf8
 from fieldloom.sources.scratch import Scratch
 
-LANGS = ("de", "en", "es", "fr")
 BUCKETS = 1 << 15
 PULL = 8.0  # pseudo-pages by which a level of the host tree follows the level above
 TEMPER = 40.0  # trigrams at most that a text counts for
+REPEATS = 5  # pages of a host that make a block of text its boilerplate
+SUFFIXES = 100  # commonest address suffixes with a table entry of their own; the rest share one
+MOST_LANGS = 512  # more distinct codes than languages are written in: a fault of the column
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 97 and b <= 122 or b >= 128 else 32 for b in range(256))
-_BLOCKS = re.compile(rb"(?is)<!--.*?-->|<(script|style|nav|head)\b.*?</\1\s*>")
-_ADS = re.compile(rb'(?is)<div\s+class="?ad"?\s*>.*?</div>')
-_TAGS = re.compile(rb"(?s)<[^>]*>|&[a-zA-Z#0-9]{1,10};")
+_HIDDEN = re.compile(rb"(?i)<(?:(!--)|(script|style|nav|head)(?![a-z0-9]))")
+_ENTITY = re.compile(rb"&[a-zA-Z#0-9]{1,10};")
+_LANG = re.compile(rb"(?i)[\s\"'/]lang\s*=\s*[\"']?([a-z]{2,3})")
 
 
 def trigrams(raw: bytes) -> np.ndarray:
@@ -46,117 +54,174 @@ def trigrams(raw: bytes) -> np.ndarray:
     return (mix64(b[:-2] << np.uint64(16) | b[1:-1] << np.uint64(8) | b[2:]) & np.uint64(BUCKETS - 1)).astype(np.int64)
 
 
-def visible(html: bytes) -> bytes:
-    """The page's own text: without scripts, navigation, advertisements and tags."""
-    return _TAGS.sub(b" ", _ADS.sub(b" ", _BLOCKS.sub(b" ", html)))
-
+def visible(html: bytes) -> list[bytes]:
+    """Blocks of the page's text: what stands between tags, without comments, scripts, styles, head and navigation.
 
-def profiles(docs: DataFrame) -> np.ndarray:
+    One scan forward: a closing mark that was not found once is not looked for
+    again, so unclosed marks cost no more than closed ones.
+    """
+    low, kept, at, pos, missing = html.lower(), [], 0, 0, set()
+    while m := _HIDDEN.search(html, pos):
+        close = b"-->" if m[1] else b"</" + m[2].lower()
+        end = -1 if close in missing else low.find(close, m.end())
+        if end < 0:
+            missing.add(close)
+            pos = m.end()
+            continue
+        if not m[1]:
+            end = low.find(b">", end)
+        kept.append(html[at : m.start()])
+        at = pos = len(html) if end < 0 else end + (3 if m[1] else 1)
+    kept.append(html[at:])
+    out = []
+    for piece in b"<p>".join(kept).split(b"<"):
+        tag, close, text = piece.partition(b">")
+        text = _ENTITY.sub(b" ", text if close else tag).strip()
+        if text:
+            out.append(text)
+    return out
+
+
+def declared(html: bytes) -> str:
+    """The language of the first html tag, or nothing."""
+    at = html.lower().find(b"<html")
+    end = html.find(b">", at)
+    m = _LANG.search(html, at, len(html) if end < 0 else end) if at >= 0 else None
+    return m[1].decode().lower() if m else ""
+
+
+def languages(docs: DataFrame) -> list[str]:
+    """The codes that ``documents`` hold, in alphabetical order."""
+    rows = docs.where("lang is not null and trim(lang) <> ''").select(F.lower(F.trim("lang")).alias("lang")).distinct().limit(MOST_LANGS + 1).collect()
+    if len(rows) > MOST_LANGS:
+        raise ValueError(f"more than {MOST_LANGS} different language codes")
+    return sorted(r.lang for r in rows)
+
+
+def profiles(docs: DataFrame, langs: list[str]) -> np.ndarray:
     """Log probabilities of trigram buckets by language, from all documents of known language."""
-    known = docs.where(F.col("lang").isin(*LANGS) & F.col("text").isNotNull()).select("lang", utf8().alias("text"))
+    known = docs.select(F.lower(F.trim("lang")).alias("lang"), utf8().alias("text")).where(F.col("lang").isin(langs) & F.col("text").isNotNull())
 
     def count(batches):
-        total = np.zeros((len(LANGS), BUCKETS), np.int64)
-        for b in batches:
+        total = np.zeros((len(langs), BUCKETS), np.int64)
+        for b in (p for whole in batches for p in parts(whole)):
             data, offs = raw_column(b, "text")
             for t, lang in enumerate(b.column("lang").to_pylist()):
                 for at in range(offs[t], offs[t + 1], 1 << 20):
-                    total[LANGS.index(lang)] += np.bincount(trigrams(data[at : min(at + (1 << 20), offs[t + 1])].tobytes()), minlength=BUCKETS)
+                    total[langs.index(lang)] += np.bincount(trigrams(data[at : min(at + (1 << 20), offs[t + 1])].tobytes()), minlength=BUCKETS)
         i, j = np.nonzero(total)
         yield pa.RecordBatch.from_pydict({"i": pa.array(i, pa.int32()), "j": pa.array(j, pa.int32()), "c": pa.array(total[i, j], pa.int64())})
 
-    c = np.full((len(LANGS), BUCKETS), 0.5)
+    c = np.full((len(langs), BUCKETS), 0.5)
     for r in known.mapInArrow(count, "i int, j int, c long").groupBy("i", "j").agg(F.sum("c").alias("c")).collect():  # languages x buckets at most
         c[r.i, r.j] += r.c
     return np.log(c / c.sum(1, keepdims=True))
 
 
-def _each(f) -> list[Column]:
-    return [f(k).alias(k) for k in LANGS]
+def _blocks(pages: DataFrame, log: np.ndarray) -> DataFrame:
+    """``row, page_id, url, declared, host`` of each page and, for each of its blocks, ``block, n, z`` (trigrams, log likelihoods)."""
+    held = pages.sparkSession.sparkContext.broadcast(log)
+
+    def read(batch: pa.RecordBatch) -> dict:
+        out, blocks = [], []
+        for raw in batch.column("html").to_pylist():
+            raw, mine = raw or b"", {}
+            for text in visible(raw):
+                t = trigrams(text)
+                if len(t):
+                    k = xxhash.xxh3_64_intdigest(text) >> 1
+                    n, z = mine.get(k, (0, 0.0))
+                    mine[k] = (n + len(t), z + held.value[:, t].sum(1))
+            out.append(declared(raw))
+            blocks.append([{"block": k, "n": n, "z": z.tolist()} for k, (n, z) in mine.items()])
+        return {"page_id": batch.column("page_id"), "url": batch.column("url"), "declared": out, "blocks": blocks}
+
+    src = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), utf8("html").alias("html"))
+    return map_batches(src, read, "page_id long, url string, declared string, blocks array<struct<block:long,n:int,z:array<double>>>")
+
+
+def _scaled(a: Column, by: Column) -> Column:
+    return F.transform(a, lambda v: v * by)
+
+
+def _times(a: Column, b: Column) -> Column:
+    return F.zip_with(a, b, lambda x, y: x * y)
+
+
+def _total(a: Column) -> Column:
+    return F.aggregate(a, F.lit(0.0), lambda s, v: s + v)
 
 
 def identify(pages: DataFrame, docs: DataFrame) -> DataFrame:
-    """``page_id, host, declared, text_lang, lang, probability`` and one probability a language.
+    """``page_id, host, declared, text_lang, lang, probability`` and ``p_<code>`` for each language.
 
     Null or empty markup has no text evidence and leans on the address; a null
     address has no host and takes the prior of all pages; with neither, the
     prior alone decides.  Ties go to the first language in alphabetical order.
-    Repeated rows are judged alike.
+    Repeated rows are judged alike.  Without documents of known language every
+    page gets a null language.
     """
     spark = pages.sparkSession
     small_batches(spark)
     tmp = Scratch(spark, "language")
-    log = spark.sparkContext.broadcast(profiles(docs))
-
-    def read(batch: pa.RecordBatch) -> dict:
-        out = {k: [] for k in ("declared", "n", *LANGS)}
-        for raw in batch.column("html").to_pylist():
-            raw = raw or b""
-            m = re.search(rb"(?i)<html[^>]{0,300}?\blang\s*=\s*[\"']?([a-z]{2})", raw)
-            out["declared"].append(m[1].decode().lower() if m else "")
-            t = trigrams(visible(raw))
-            z = log.value[:, t].sum(1) if len(t) else np.zeros(len(LANGS))
-            z = (z - z.max()) * (min(len(t), TEMPER) / max(1, len(t)))
-            p = np.exp(z) / np.exp(z).sum()
-            out["n"].append(len(t))
-            for k, v in zip(LANGS, p):
-                out[k].append(float(v))
-        return {"page_id": batch.column("page_id"), "url": batch.column("url"), **out}
-
-    src = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), utf8("html").alias("html"))
-    text = map_batches(src, read, "page_id long, url string, declared string, n int, " + ", ".join(f"{k} double" for k in LANGS))
+    langs = languages(docs)
+    if not langs:
+        return pages.select(F.col("page_id").cast("long").alias("page_id"), *[F.lit("").alias(c) for c in ("host", "declared")], *[F.lit(None).cast("string").alias(c) for c in ("text_lang", "lang")], F.lit(None).cast("double").alias("probability"))
+    d = len(langs)
+    each = range(d)
+    read = _blocks(pages, profiles(docs, langs))
     host = F.lower(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)", 1))
-    parts = F.split("host", r"\.")
-    text = (
-        text.withColumn("host", F.coalesce(host, F.lit("")))
-        .withColumn("domain", F.array_join(F.slice(parts, -F.least(F.lit(3), F.size(parts)), F.least(F.lit(3), F.size(parts))), "."))
-        .withColumn("suffix", F.element_at(parts, -1))
-        .withColumn("segment", F.coalesce(F.lower(F.regexp_extract("url", r"^[^?#]*?//[^/]+/([a-zA-Z]{2})(?:[/?#]|$)", 1)), F.lit("")))
-    )
-    text = tmp.write(text, "text")
-
-    signal: dict[str, dict[tuple[str, str], float]] = {}
-    for col in ("declared", "segment", "suffix"):
-        # Values beyond the languages, or suffixes beyond the hundred commonest, count as one kind.
-        value = F.when(F.col(col).isin(*LANGS, ""), F.col(col)).otherwise("other")
-        rows = text.groupBy(value.alias("v")).agg(*_each(lambda k: F.sum(F.when(F.col("n") > 0, F.col(k)).otherwise(0.0)))).collect()  # six rows
-        seen = {r.v: {k: r[k] + 1.0 for k in LANGS} for r in rows}
-        total = {k: sum(v[k] for v in seen.values()) or 1.0 for k in LANGS}
-        signal[col] = {(v, k): c[k] / total[k] for v, c in seen.items() for k in LANGS}
-
-    def likelihood(col: str, k: str) -> Column:
-        out = F.lit(1.0)
-        for (v, lang), p in signal[col].items():
-            if lang == k and v != "other":
-                out = F.when(F.col(col) == v, p).otherwise(out)
-        other = signal[col].get(("other", k), 1.0)
-        return F.when(F.col(col).isin(*LANGS, ""), out).otherwise(other)
-
-    own = text.select("*", *[(F.col(k) * likelihood("declared", k) * likelihood("segment", k) * likelihood("suffix", k)).alias(f"e_{k}") for k in LANGS])
-    norm = F.greatest(sum(F.col(f"e_{k}") for k in LANGS), F.lit(1e-300))
-    own = tmp.write(own.select("page_id", "declared", "n", *LANGS, "host", "domain", "suffix", *[(F.col(f"e_{k}") / norm).alias(f"e_{k}") for k in LANGS]), "own")
-
-    sums = [F.sum(f"e_{k}").alias(f"h_{k}") for k in LANGS] + [F.count("*").alias("h_n")]
-    hosts = tmp.write(own.groupBy("host", "domain", "suffix").agg(*sums), "hosts")
-    up = lambda level, key, tag: level.groupBy(*key).agg(*[F.sum(f"h_{k}").alias(f"{tag}_{k}") for k in LANGS], F.sum("h_n").alias(f"{tag}_n"))
-    domains, suffixes = up(hosts, ["domain", "suffix"], "d"), up(hosts, ["suffix"], "s")
-    everything = up(hosts, [], "g").first()  # one row
+    read = tmp.write(read.select(F.monotonically_increasing_id().alias("row"), "page_id", "declared", F.coalesce(host, F.lit("")).alias("host"), F.coalesce(F.lower(F.regexp_extract("url", r"^[^?#]*?//[^/]+/([a-zA-Z]{2,3})(?:[/?#]|$)", 1)), F.lit("")).alias("segment"), "blocks"), "read")
+
+    # Pages of equal blocks count once, so that copies of a page do not turn its text into boilerplate.
+    once = tmp.write(read.where("host <> ''").select("host", F.col("blocks.block").alias("of")).groupBy("host", F.xxhash64("of").alias("print")).agg(F.first("of").alias("of")), "once")
+    sizes = once.groupBy("host").agg(F.count("*").alias("pages")).where(F.col("pages") >= REPEATS)
+    often = once.select("host", F.explode("of").alias("block")).groupBy("host", "block").agg(F.count("*").alias("c")).where(F.col("c") >= REPEATS)
+    fixed = tmp.write(often.join(sizes, "host").where(10 * F.col("c") >= F.col("pages")).select("host", "block", F.lit(True).alias("fixed")), "fixed")
+    rows = tmp.write(read.select("row", "host", F.explode("blocks").alias("b")).select("row", "host", "b.*"), "blocks")
+    own_text = rows.join(fixed, ["host", "block"], "left").where("fixed is null")
+    sums = own_text.groupBy("row").agg(F.sum("n").alias("n"), *[F.sum(F.col("z")[k]).alias(f"z{k}") for k in each])
+    z = F.array(*[F.coalesce(f"z{k}", F.lit(0.0)) for k in each])
+    text = read.drop("blocks").join(sums, "row", "left").withColumn("n", F.coalesce("n", F.lit(0)).cast("int")).withColumn("z", z)
+    tempered = _scaled(F.col("z"), F.least(F.col("n"), F.lit(TEMPER)) / F.greatest(F.col("n"), F.lit(1)))
+    text = text.withColumn("z", tempered).withColumn("z", F.transform("z", lambda v: F.exp(v - F.array_max("z")))).withColumn("t", _scaled(F.col("z"), 1 / _total(F.col("z"))))
+    parts_ = F.split("host", r"\.")
+    text = text.withColumn("domain", F.array_join(F.slice(parts_, -F.least(F.lit(3), F.size(parts_)), F.least(F.lit(3), F.size(parts_))), ".")).withColumn("suffix", F.element_at(parts_, -1))
+    text = tmp.write(text.select("page_id", "declared", "host", "domain", "suffix", "segment", "n", "t"), "text")
+
+    common = [r.suffix for r in text.where("suffix <> ''").groupBy("suffix").agg(F.count("*").alias("c")).orderBy(F.desc("c"), "suffix").limit(SUFFIXES).collect()]
+    tables = {}
+    for col, known in (("declared", langs), ("segment", langs), ("suffix", common)):
+        # A code or suffix without an entry of its own counts as one kind with the others.
+        value = F.when(F.col(col).isin(["", *known]), F.col(col)).otherwise("?")
+        weigh = [F.sum(F.when(F.col("n") > 0, F.col("t")[k]).otherwise(0.0)).alias(f"w{k}") for k in each]
+        seen = {r.v: np.array([r[f"w{k}"] for k in each]) + 1.0 for r in text.groupBy(value.alias("v")).agg(*weigh).collect()}  # languages or SUFFIXES rows, and two
+        total = sum(seen.values()) if seen else 1.0
+        tables[col] = (value, spark.createDataFrame([(v, [float(x) for x in w / total]) for v, w in seen.items()], f"v_{col} string, l_{col} array<double>"))
+    own = text
+    for col, (value, table) in tables.items():
+        own = own.join(F.broadcast(table), value == F.col(f"v_{col}"), "left")  # languages or SUFFIXES rows, and two, are broadcast
+    e = F.col("t")
+    for col in tables:
+        e = _times(e, F.coalesce(f"l_{col}", F.array_repeat(F.lit(1.0), d)))
+    own = own.withColumn("e", e).withColumn("e", _scaled(F.col("e"), 1 / F.greatest(_total(F.col("e")), F.lit(1e-300))))
+    own = tmp.write(own.select("page_id", "declared", "n", "t", "host", "domain", "suffix", "e"), "own")
+
+    sums = lambda tag, of, n: [F.array(*[F.sum(F.col(of)[k]) for k in each]).alias(f"{tag}"), n.alias(f"{tag}_n")]
+    hosts = tmp.write(own.groupBy("host", "domain", "suffix").agg(*sums("h", "e", F.count("*"))), "hosts")
+    domains = hosts.groupBy("domain", "suffix").agg(*sums("d", "h", F.sum("h_n")))
+    suffixes = hosts.groupBy("suffix").agg(*sums("s", "h", F.sum("h_n")))
+    everything = hosts.agg(*sums("g", "h", F.sum("h_n"))).first()  # one row
     total = float(everything.g_n or 0)
-    root = {k: ((everything[f"g_{k}"] or 0.0) + 1.0) / (total + len(LANGS)) for k in LANGS}
-    tree = tmp.write(hosts.join(domains, ["domain", "suffix"]).join(suffixes, "suffix"), "tree")
-    met = own.join(tree.drop("domain", "suffix"), "host")
-
-    def prior(k: str) -> Column:
-        less = lambda tag, n: (F.greatest(F.col(f"{tag}_{k}") - F.col(f"e_{k}"), F.lit(0.0)), F.col(f"{tag}_n") - 1)
-        p: Column = F.lit(root[k])
-        for tag in ("s", "d", "h"):
-            c, n = less(tag, k)
-            p = (c + PULL * p) / (n + PULL)
-        return p
-
-    post = [(F.greatest(F.col(f"e_{k}"), F.lit(1e-12)) * prior(k)).alias(f"x_{k}") for k in LANGS]
-    scored = met.select("page_id", "host", "declared", "n", *LANGS, *post)
-    norm = sum(F.col(f"x_{k}") for k in LANGS)
-    out = scored.select("page_id", "host", "declared", "n", *LANGS, *[(F.col(f"x_{k}") / norm).alias(f"p_{k}") for k in LANGS])
-    first = lambda tag: F.coalesce(*[F.when(F.col(f"{tag}{k}") == F.greatest(*[f"{tag}{j}" for j in LANGS]), k) for k in LANGS])
-    return out.select("page_id", "host", "declared", F.when(F.col("n") > 0, first("")).alias("text_lang"), first("p_").alias("lang"), F.greatest(*[f"p_{k}" for k in LANGS]).alias("probability"), *[f"p_{k}" for k in LANGS])
+    root = F.array(*[F.lit(((everything.g[k] or 0.0) + 1.0) / (total + d)) for k in each])
+    tree = tmp.write(hosts.join(domains, ["domain", "suffix"]).join(suffixes, "suffix").drop("domain", "suffix"), "tree")
+    met = own.join(tree, "host")
+    p = root
+    for tag in ("s", "d", "h"):
+        rest = F.zip_with(tag, "e", lambda c, v: F.greatest(c - v, F.lit(0.0)))
+        p = F.zip_with(rest, p, lambda c, q: c + PULL * q)
+        p = _scaled(p, 1 / (F.col(f"{tag}_n") - 1 + PULL))
+    post = _times(F.transform("e", lambda v: F.greatest(v, F.lit(1e-12))), p)
+    out = met.select("page_id", "host", "declared", "n", "t", post.alias("x")).withColumn("p", _scaled(F.col("x"), 1 / _total(F.col("x"))))
+    best = lambda c: F.get(F.array(*[F.lit(v) for v in langs]), F.array_position(c, F.array_max(c)).cast("int") - 1)
+    return out.select("page_id", "host", "declared", F.when(F.col("n") > 0, best(F.col("t"))).alias("text_lang"), best(F.col("p")).alias("lang"), F.array_max("p").alias("probability"), *[F.col("p")[k].alias(f"p_{v}") for k, v in enumerate(langs)])
