@@ -13,7 +13,10 @@ two shards counts in the smaller one, so only counts and local roots leave a
 task, never pairs.  A brute-force audit measures recall at every width: vectors
 are drawn in blocks and compared with all rows until ``LINKS`` true links of
 ``LINKED`` vectors are seen or all are drawn.  While recall is under the target,
-more shards are probed; beyond ``MAX_PROBES`` all pairs are compared.
+more shards are probed; beyond ``MAX_PROBES`` all pairs are compared.  Where
+links are so rare that ``AUDIT_ROWS`` drawn vectors show too few of them to tell,
+the audit ends there, so that it stays linear in the rows, and the search starts
+with ``MAX_PROBES`` shards.
 """
 
 from __future__ import annotations
@@ -36,6 +39,8 @@ SLACK = 0.06
 PROBES, MAX_PROBES, TARGET = 3, 48, 0.99
 #: The audit's first and largest block (vectors; components at most), and the true links and linked vectors it must see.
 AUDIT, AUDIT_MAX, AUDIT_CELLS, LINKS, LINKED = 512, 8_192, 1 << 20, 1_000, 200
+#: Vectors that the audit draws at most.
+AUDIT_ROWS = 1 << 17
 #: Rounds of k-means, shards that the driver trains alone, and vectors a shard beyond that.
 ROUNDS, DRIVER_SHARDS, PER_CENTROID = 3, 1_024, 32
 
@@ -303,8 +308,8 @@ def true_links(asked: dict[int, tuple[np.ndarray, np.ndarray]], batches, thresho
     return totals
 
 
-def _truth(classes: DataFrame, total: int, threshold: float) -> pd.DataFrame:
-    """``rep, true``: the number of linked classes of each drawn class that has any.
+def _truth(classes: DataFrame, total: int, threshold: float) -> tuple[pd.DataFrame, bool]:
+    """``rep, true``: the number of linked classes of each drawn class that has any; and whether they suffice.
 
     Blocks of classes in hash order are compared with all rows until ``LINKS``
     links of ``LINKED`` classes are seen or every class is drawn.  The driver
@@ -312,11 +317,11 @@ def _truth(classes: DataFrame, total: int, threshold: float) -> pd.DataFrame:
     """
     sc, full = classes.sparkSession.sparkContext, 1 << 40
     draw = F.pmod(F.xxhash64("rep", F.lit(1)), F.lit(full))
-    found, lo, size = [], 0, AUDIT
-    while total and lo < full:
+    found, lo, size, drawn, enough = [], 0, AUDIT, 0, False
+    while total and lo < full and drawn < AUDIT_ROWS and not enough:
         hi = min(full, lo + max(1, full * size // total))
         asked = classes.where((draw >= lo) & (draw < hi)).select("rep", "e").toPandas().sort_values("rep")  # about AUDIT_MAX rows at most
-        lo = hi
+        lo, drawn = hi, drawn + len(asked)
         if asked.empty:
             continue
         wide = asked.e.map(len)
@@ -330,9 +335,8 @@ def _truth(classes: DataFrame, total: int, threshold: float) -> pd.DataFrame:
 
         found.append(classes.select("rep", "e").mapInArrow(count, "rep long, true long").groupBy("rep").agg(F.sum("true").alias("true")).toPandas())
         held.unpersist()
-        if sum(f.true.sum() for f in found) >= LINKS and sum(map(len, found)) >= LINKED:
-            break
-    return pd.concat(found) if found else pd.DataFrame({"rep": [], "true": []}, dtype="int64")
+        enough = sum(f.true.sum() for f in found) >= LINKS and sum(map(len, found)) >= LINKED
+    return pd.concat(found) if found else pd.DataFrame({"rep": [], "true": []}, dtype="int64"), enough or lo >= full or not total
 
 
 def _recall(truth: pd.DataFrame, counts: DataFrame) -> float:
@@ -443,7 +447,10 @@ def vector_links(vectors: DataFrame, threshold: float = 0.9) -> DataFrame:
         held = laid.select((F.col("first") + F.col("own")).alias("shard"), F.col("each").alias("qb"), F.lit(0).alias("query"), *rest)
         return asked.unionByName(held).groupBy("shard", "qb").applyInArrow(_searcher(threshold, exact=True), MET)
 
-    probes, met, truth = PROBES, None, _truth(classes, total, threshold)
+    truth, enough = _truth(classes, total, threshold)
+    probes, met = PROBES if enough else max(PROBES, MAX_PROBES), None
+    if probes != PROBES:
+        placed = place(probes)
     while True:
         exact = probes > MAX_PROBES
         tmp.drop(met)
