@@ -4,7 +4,7 @@ import random
 
 import corpus_pipeline
 
-from tests.llm.test_ops import DOC, corpus, edge_docs, near_truth, words
+from tests.llm.test_ops import DOC, clashing, corpus, edge_docs, near_truth, words
 
 
 
@@ -18,7 +18,7 @@ def tables(tmp_path, spark):
     docs += [(r[0] + 5000, *r[1:]) if r[0] is not None else r for r in edge_docs()]
     labels = [(i, int(i < 300 or i >= 400), 0) for i, *_ in docs if i is not None]
     d = str(tmp_path)
-    spark.createDataFrame(docs, DOC).write.parquet(f"{d}/documents.parquet")
+    clashing(spark.createDataFrame(docs, DOC)).write.parquet(f"{d}/documents.parquet")
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
     spark.createDataFrame(bench, "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
     return d, docs
@@ -33,7 +33,7 @@ def test_stages(spark, tmp_path):
         before, docs = docs, spark.read.parquet(out)
         seen[name] = docs
         if name != "packing":
-            assert docs.columns == before.columns
+            assert docs.columns == before.columns and {r["n_words"] for r in docs.collect()} == {"kept"}
     good = {r.doc_id for r in seen["quality"].collect()}
     assert not {300 + i for i in range(40)} & good and len(good) > 110
     kept = [(r.doc_id, r.text) for r in seen["quality"].collect() if r.doc_id is not None]
