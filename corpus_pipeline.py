@@ -34,8 +34,8 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, personal data replaced by format-preserving pseudonyms."""
-    return pii.replace(docs).select(*docs.columns)
+    """All documents, personal data replaced by format-preserving pseudonyms under the session's key."""
+    return pii.replace(docs, pii.session_key(spark)).select("row.*")
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
