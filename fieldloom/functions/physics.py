@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-STEFAN_BOLTZMANN = 5.670374419e-8
+#: W / (m^2 K^4), a fixed value.
+STEFAN_BOLTZMANN = 5.67e-8
 
 
 def von_mises(sx: Column, sy: Column, sxy: Column, sz: Column | None = None, syz: Column | None = None, szx: Column | None = None) -> Column:
@@ -21,6 +25,18 @@ def principal_stresses(sx: Column, sy: Column, sxy: Column) -> tuple[Column, Col
     return mid + r, mid - r, 0.5 * F.atan2(2 * sxy, sx - sy)
 
 
+def principal_stresses_3d(sx: Column, sy: Column, sz: Column, sxy: Column, syz: Column, szx: Column) -> tuple[Column, Column, Column]:
+    """Principal stresses, largest first: the roots of the characteristic cubic in closed form."""
+    mid = (sx + sy + sz) / 3
+    a, b, c = sx - mid, sy - mid, sz - mid
+    p = F.sqrt((a * a + b * b + c * c + 2 * (sxy * sxy + syz * syz + szx * szx)) / 6)
+    det = a * (b * c - syz * syz) - sxy * (sxy * c - syz * szx) + szx * (sxy * syz - b * szx)
+    r = F.when(p > 0, det / (2 * p * p * p)).otherwise(0.0)
+    angle = F.acos(F.least(F.greatest(r, F.lit(-1.0)), F.lit(1.0))) / 3
+    first, last = mid + 2 * p * F.cos(angle), mid + 2 * p * F.cos(angle + 2 * math.pi / 3)
+    return first, 3 * mid - first - last, last
+
+
 def lame_lambda(e: Column, nu: Column) -> Column:
     return e * nu / ((1 + nu) * (1 - 2 * nu))
 
@@ -33,9 +49,21 @@ def bulk_modulus(e: Column, nu: Column) -> Column:
     return e / (3 * (1 - 2 * nu))
 
 
-def hooke_plane_stress(ex: Column, ey: Column, gxy: Column, e: Column, nu: Column) -> tuple[Column, Column, Column]:
-    f = e / (1 - nu * nu)
-    return f * (ex + nu * ey), f * (nu * ex + ey), f * (1 - nu) / 2 * gxy
+def hooke_stress(strain: Sequence[Column], e: Column, nu: Column, kind: str = "plane_stress") -> tuple[Column, ...]:
+    """Stress components of strains (x, y, shear), or of six in Voigt order (x, y, z, xy, yz, zx) for ``3d``."""
+    if kind == "plane_stress":
+        x, y, g = strain
+        f = e / (1 - nu * nu)
+        return f * (x + nu * y), f * (nu * x + y), f * (1 - nu) / 2 * g
+    f = e / ((1 + nu) * (1 - 2 * nu))
+    if kind == "plane_strain":
+        x, y, g = strain
+        return f * ((1 - nu) * x + nu * y), f * (nu * x + (1 - nu) * y), f * (1 - 2 * nu) / 2 * g
+    if kind != "3d":
+        raise ValueError(f"no law {kind}")
+    x, y, z, *shear = strain
+    normal = [f * ((1 - nu) * a + nu * (b + c)) for a, b, c in ((x, y, z), (y, z, x), (z, x, y))]
+    return (*normal, *[f * (1 - 2 * nu) / 2 * g for g in shear])
 
 
 def thermal_diffusivity(k: Column, rho: Column, cp: Column) -> Column:
@@ -46,6 +74,15 @@ def radiative_flux(t: Column, ambient: Column, emissivity: Column) -> Column:
     return emissivity * STEFAN_BOLTZMANN * (t**4 - ambient**4)
 
 
+def radiation_coefficient(t: Column, ambient: Column, emissivity: Column) -> Column:
+    """Coefficient of the flux linearised at the mean of both temperatures."""
+    return 4 * emissivity * STEFAN_BOLTZMANN * ((t + ambient) / 2) ** 3
+
+
+def contact_flux(hot: Column, cold: Column, resistance: Column) -> Column:
+    return (hot - cold) / resistance
+
+
 def kinematic_viscosity(mu: Column, rho: Column) -> Column:
     return mu / rho
 
@@ -62,6 +99,19 @@ def sound_speed(p: Column, rho: Column, gamma: float = 1.4) -> Column:
     return F.sqrt(gamma * p / rho)
 
 
+def euler_flux(rho: Column, mx: Column, my: Column, energy: Column, direction: int, gamma: float = 1.4) -> tuple[Column, Column, Column, Column]:
+    """Fluxes of mass, both momenta and energy along x (0) or y (1)."""
+    m = (mx, my)[direction]
+    u, p = m / rho, euler_pressure(rho, mx, my, energy, gamma)
+    return m, mx * u + (p if direction == 0 else 0), my * u + (p if direction == 1 else 0), (energy + p) * u
+
+
+def wave_speed(rho: Column, mx: Column, my: Column, energy: Column, gamma: float = 1.4) -> Column:
+    """Flow speed plus sound speed, or null where the pressure is negative."""
+    p = euler_pressure(rho, mx, my, energy, gamma)
+    return F.when(p >= 0, F.sqrt(mx * mx + my * my) / rho + sound_speed(p, rho, gamma))
+
+
 def pressure_coefficient(p: Column, p_inf: float, rho_inf: float, u_inf: float) -> Column:
     return (p - p_inf) / (0.5 * rho_inf * u_inf**2)
 
@@ -71,7 +121,3 @@ def conserve_sum(x: Column, y: Column) -> Column:
     s = lambda a: F.aggregate(a, F.lit(0.0), lambda t, v: t + v)
     return F.transform(y, lambda v: v + (s(x) - s(y)) / F.size(y))
 
-
-def state_columns(kind: str) -> str:
-    """Units of the derived quantities, for reports."""
-    return {"von_mises": "Pa", "pressure": "Pa", "sound_speed": "m/s", "reynolds": "1"}.get(kind, "1")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from fieldloom.jobs.graph_queries import _E, _V, _edges, _ME, _nodes, _vec
@@ -25,7 +27,7 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-@query("rom_pair_snapshots", "SELECT * FROM (SELECT event_type, h AS step, x, lead(x) OVER w AS y, lead(h) OVER w AS n FROM (SELECT event_type, date_diff('hour', TIMESTAMP '2024-01-01', ts) AS h, round(avg(sqrt(value)), 6) AS x FROM events GROUP BY 1, 2) WINDOW w AS (PARTITION BY event_type ORDER BY h)) WHERE n = step + 1".replace("SELECT * FROM", "SELECT event_type, step, x, y FROM", 1))
+@query("rom_pair_snapshots", "SELECT event_type, step, x, y FROM (SELECT event_type, h AS step, x, lead(x) OVER w AS y, lead(h) OVER w AS n FROM (SELECT event_type, date_diff('hour', TIMESTAMP '2024-01-01', ts) AS h, round(avg(sqrt(value)), 6) AS x FROM events GROUP BY 1, 2) WINDOW w AS (PARTITION BY event_type ORDER BY h)) WHERE n = step + 1")
 def pairs(spark, sf_dir):
     h = ((F.unix_timestamp(F.date_trunc("hour", "ts")) - F.unix_timestamp(F.lit("2024-01-01").cast("timestamp"))) / 3600).cast("long")
     s = table(spark, sf_dir, "events").groupBy("event_type", h.alias("step")).agg(F.round(F.avg(F.sqrt("value")), 6).alias("v"))
@@ -68,7 +70,7 @@ def unpool(spark, sf_dir):
 
 @query("graph_hierarchy")
 def hierarchy(spark, sf_dir):
-    """Labels of three levels of matching (tests check each level)."""
+    """Labels of three levels of matching (a tie-broken search, not SQL; tests check that each level is a matching of the one before)."""
     out = None
     for k, lab in enumerate(X.build_hierarchy(_edges(spark, sf_dir), 3)):
         part = lab.withColumn("level", F.lit(k))
@@ -78,7 +80,11 @@ def hierarchy(spark, sf_dir):
 
 @query("graph_kmeans_pool")
 def kmeans(spark, sf_dir):
-    return X.kmeans_pool(_vec(spark, sf_dir), 8)
+    """Labels by seeded k-means (random starts, not SQL; tests check means, members and edges)."""
+    from fieldloom.operators.spatial import knn_join
+
+    v = _vec(spark, sf_dir).withColumnRenamed("value", "f")
+    return X.kmeans_pool(v, knn_join(v, v, 4).select(F.col("id").alias("src"), F.col("other").alias("dst")), 8)[0]
 
 
 @query("graph_local_frames", f"{_ME}, b AS (SELECT src, dst FROM me UNION ALL SELECT dst, src FROM me), m AS (SELECT src AS id, avg(q.x - p.x) AS dx, avg(q.y - p.y) AS dy FROM b JOIN pts p ON p.point_id = src JOIN pts q ON q.point_id = dst GROUP BY src), fr AS (SELECT point_id AS id, sqrt(dx * dx + dy * dy) AS n, dx, dy FROM pts LEFT JOIN m ON m.id = point_id), u AS (SELECT id, CASE WHEN n > 1e-10 THEN dx / n ELSE 1 END AS ux, CASE WHEN n > 1e-10 THEN dy / n ELSE 0 END AS uy FROM fr) SELECT id, round(ux, 5) + 0.0 AS ux, round(uy, 5) + 0.0 AS uy, round(-uy, 5) + 0.0 AS vx, round(ux, 5) + 0.0 AS vy FROM u")
@@ -114,20 +120,20 @@ def transfer(spark, sf_dir):
 
 @query("regress_ensemble")
 def ensemble(spark, sf_dir):
-    """Twenty bootstraps of the price model in one pass (hash weights; tests check them)."""
+    """Twenty bootstraps of the price model in one pass (hash weights, not SQL; tests check the weights and the spread)."""
     li = table(spark, sf_dir, "lineitem").withColumn("price", F.col("l_extendedprice") / 1000).withColumn("row", F.xxhash64("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"))
     return X.sindy_ensemble(li, library(["l_quantity", "l_discount"], 1), "price", "row", 20, 0.05)
 
 
 @query("uq_posterior_summary")
 def posterior(spark, sf_dir):
-    """Chains for each user's mean event value (random walks; tests compare with the exact posterior)."""
+    """Chains for each user's mean event value (random walks, not SQL; tests compare mean and deviation with the exact posterior)."""
     e = table(spark, sf_dir, "events").select("user_id", (F.sqrt("value") / 5).alias("v"))
     p = e.groupBy(F.col("user_id").alias("key")).agg(F.count("*").alias("n"), F.sum("v").alias("total"), F.sum(F.col("v") ** 2).alias("square"))
     return X.posterior_summary(X.mcmc_chains(p, 2, 300), 100)
 
 
-@query("uq_enki_gain", "SELECT round(covar_samp(t, g) / (var_samp(g) + 0.25), 6) AS gain FROM (SELECT l_quantity AS t, sqrt(l_extendedprice) AS g FROM lineitem)")
+@query("uq_enki_gain", "SELECT round(covar_samp(t, g) / (var_pop(g) + 0.25), 6) AS gain FROM (SELECT l_quantity AS t, sqrt(l_extendedprice) AS g FROM lineitem)")
 def gain(spark, sf_dir):
     return rounded(X.enki_gain(table(spark, sf_dir, "lineitem").select(F.col("l_quantity").alias("theta"), F.sqrt("l_extendedprice").alias("g")), 0.5))
 
@@ -145,7 +151,7 @@ def augment(spark, sf_dir):
     return rounded(table(spark, sf_dir, "embeddings").select("vec_id", first(e).alias("head"), first(X.augment(e, "reverse")).alias("reversed_head"), first(X.augment(e, "negate")).alias("negated_head"), first(X.augment(e, "roll", 3)).alias("rolled_head")))
 
 
-@query("state_material_report", "WITH m AS (SELECT unnest([0, 1, 2, 3, 4, 5, 6]) AS k, unnest(['air', 'aluminum', 'copper', 'rubber', 'steel', 'titanium', 'water']) AS name, unnest([1.225, 2700.0, 8960.0, 1100.0, 7850.0, 4507.0, 1000.0]) AS density) SELECT name, count(*) AS n, round(sum(sqrt(p_retailprice) * density), 1) AS mass FROM part JOIN m ON m.k = p_partkey % 7 GROUP BY name")
+@query("state_material_report", "WITH m AS (SELECT unnest([0, 1, 2, 3, 4, 5, 6]) AS k, unnest(['air', 'aluminum', 'copper', 'rubber', 'steel', 'titanium', 'water']) AS name, unnest([1.2, 2700.0, 8960.0, 1100.0, 7850.0, 4500.0, 1000.0]) AS density) SELECT name, count(*) AS n, round(sum(sqrt(p_retailprice) * density), 1) AS mass FROM part JOIN m ON m.k = p_partkey % 7 GROUP BY name")
 def material_report(spark, sf_dir):
     names = F.array(*[F.lit(n) for n in ("air", "aluminum", "copper", "rubber", "steel", "titanium", "water")])
     p = table(spark, sf_dir, "part").select(F.get(names, (F.col("p_partkey") % 7).cast("int")).alias("name"), F.sqrt("p_retailprice").alias("v"))
@@ -154,7 +160,9 @@ def material_report(spark, sf_dir):
 
 @query("field_mean_by_mesh", f"{MESH.split(', cells AS')[0]} SELECT mesh, count(*) AS n, round(avg(u), 5) AS mean FROM pts GROUP BY mesh")
 def by_mesh(spark, sf_dir):
-    return rounded(points(spark, sf_dir).groupBy("mesh").agg(F.count("*").alias("n"), F.avg("u").alias("mean")), 5)
+    p = points(spark, sf_dir).select(F.col("point_id").alias("id"), "mesh", "u")
+    g = G.pool_means(p.select("id", "u"), p.select("id", F.col("mesh").alias("part")), ("u",))
+    return rounded(g.select(F.col("part").alias("mesh"), F.col("size").alias("n"), F.col("u").alias("mean")), 5)
 
 
 @query(
@@ -176,18 +184,26 @@ def pod_by_label(spark, sf_dir):
     return pod_per_group(table(spark, sf_dir, "embeddings").select("label", F.col("embedding").alias("xs")), "label", 6)
 
 
-@query("uq_collocation", "SELECT l_linenumber, round(avg(sqrt(l_extendedprice)), 5) AS mean, round(stddev_pop(sqrt(l_extendedprice)), 5) AS std FROM lineitem GROUP BY 1")
+_NODES = [float(0.5 * (1 - math.cos(math.pi * (2 * k + 1) / 10))) for k in range(5)]
+
+
+@query(
+    "uq_collocation",
+    f"""WITH q AS (SELECT quantile_cont(l_quantity, {_NODES}) AS a, quantile_cont(l_discount, {_NODES}) AS b FROM lineitem), g AS (SELECT p, unnest(b) AS d FROM (SELECT unnest(a) AS p, b FROM q))
+ SELECT round(avg(sqrt(p) * (1 - d)), 6) AS mean, round(stddev_pop(sqrt(p) * (1 - d)), 6) AS std FROM g""",
+)
 def collocation(spark, sf_dir):
+    """A model of quantity and discount on the Chebyshev grid mapped through their quantiles."""
     from fieldloom.operators.uq import collocation_stats
 
-    return rounded(collocation_stats(table(spark, sf_dir, "lineitem").select("l_linenumber", F.sqrt("l_extendedprice").alias("y")), "y", ["l_linenumber"]), 5)
+    return rounded(collocation_stats(table(spark, sf_dir, "lineitem"), ["l_quantity", "l_discount"], F.sqrt("l_quantity") * (1 - F.col("l_discount"))))
 
 
 @query("fidelity_selection")
 def selection(spark, sf_dir):
-    """Level chosen for each order by a log-error model of all orders at three levels (tests check the rule)."""
+    """Level chosen for each order by a log-error model of all orders at three levels (a fitted rule, not SQL; tests check it)."""
     from fieldloom.operators.uq import fidelity_selector, select_fidelity
 
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), (F.sqrt("o_totalprice") / 100).alias("x"))
     train = o.select("x", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("level")).withColumn("error", F.exp(-1.5 * F.col("level") - 0.2 * F.col("x")) * (1 + 0.1 * F.sin(F.col("x") * 9)))
-    return select_fidelity(o, fidelity_selector(train, ["x"], 3), [1.0, 4.0, 12.0], 0.1).select("id", "level", "saved")
+    return select_fidelity(o, fidelity_selector(train, ["x"], 3), [1.0, 4.0, 12.0], 0.1).select("id", "level", "predicted", "confidence", "saved")

@@ -189,10 +189,11 @@ def hops(spark, sf_dir):
 
 
 @query("graph_path_distances", f"""{_ME.replace("WITH", "WITH RECURSIVE", 1)}, w AS (SELECT src, dst, 1.0 + (src + dst) % 3 AS weight FROM me), s AS (SELECT * FROM w UNION ALL SELECT dst, src, weight FROM w),
- r(id, dist) AS (SELECT point_id, 0.0::DOUBLE FROM pts WHERE point_id % 1000 = 0 UNION SELECT s.dst, r.dist + s.weight FROM r JOIN s ON s.src = r.id WHERE r.dist + s.weight <= 8) SELECT id, min(dist) AS dist FROM r GROUP BY id""")
+ r(id, dist) AS (SELECT point_id, 0.0::DOUBLE FROM pts WHERE point_id % 100 = 0 UNION SELECT s.dst, r.dist + s.weight FROM r JOIN s ON s.src = r.id WHERE r.dist + s.weight <= 8) SELECT id, min(dist) AS dist FROM r GROUP BY id""")
 def paths(spark, sf_dir):
+    """Distances from a stated set of sources: the points whose id is divisible by 100."""
     e = M.mesh_edges(mesh(spark, sf_dir)[1]).select("src", "dst", (1.0 + (F.col("src") + F.col("dst")) % 3).alias("weight"))
-    return G.path_distances(e, points(spark, sf_dir).where("point_id % 1000 = 0").select(F.col("point_id").alias("id")), 8.0)
+    return G.path_distances(e, points(spark, sf_dir).where("point_id % 100 = 0").select(F.col("point_id").alias("id")), 8.0)
 
 
 @query("graph_direction_bins", f"{_ME}, r AS (SELECT dst, a.u, CAST(floor((atan2(b.y - a.y, b.x - a.x) + pi()) / (2 * pi()) * 8) AS BIGINT) % 8 AS bin FROM me JOIN pts a ON a.point_id = src JOIN pts b ON b.point_id = dst) SELECT dst AS id, bin, round(sum(u) / any_value(deg), 6) AS agg FROM r JOIN (SELECT dst, count(*) AS deg FROM r GROUP BY dst) USING (dst) GROUP BY dst, bin")

@@ -44,8 +44,7 @@ def cell_centroids(spark, sf_dir):
 
 _EDGES = """edges AS (SELECT mesh, cell_id, unnest([[n0, n1], [n1, n2], [n2, n0]]) AS e FROM tri),
  faces AS (SELECT mesh, cell_id, least(e[1], e[2]) AS a, greatest(e[1], e[2]) AS b FROM edges),
- rim AS (SELECT mesh, a, b, min(cell_id) AS cell_id FROM faces GROUP BY ALL HAVING count(*) = 1)"""
-_EDGES = _EDGES.replace("GROUP BY ALL", "GROUP BY mesh, a, b")
+ rim AS (SELECT mesh, a, b, min(cell_id) AS cell_id FROM faces GROUP BY mesh, a, b HAVING count(*) = 1)"""
 
 
 @query("mesh_boundary_faces", f"{MESH}, {_EDGES} SELECT mesh, a, b, cell_id FROM rim")
@@ -56,9 +55,9 @@ def boundary(spark, sf_dir):
 
 @query(
     "mesh_boundary_normals",
-    f"""{MESH}, {_EDGES}, o AS (SELECT r.*, p.x AS xa, p.y AS ya, (q.y - p.y) / sqrt((q.x - p.x) ** 2 + (q.y - p.y) ** 2) AS nx, -(q.x - p.x) / sqrt((q.x - p.x) ** 2 + (q.y - p.y) ** 2) AS ny,
+    f"""{MESH}, {_EDGES}, o AS (SELECT r.mesh, r.a, r.b, p.x AS xa, p.y AS ya, (q.y - p.y) / sqrt((q.x - p.x) ** 2 + (q.y - p.y) ** 2) AS nx, -(q.x - p.x) / sqrt((q.x - p.x) ** 2 + (q.y - p.y) ** 2) AS ny,
  (x0 + x1 + x2) / 3 AS cx, (y0 + y1 + y2) / 3 AS cy FROM rim r JOIN pts p ON p.point_id = a JOIN pts q ON q.point_id = b JOIN tri USING (cell_id))
- SELECT mesh, a, b, round(CASE WHEN nx * (cx - xa) + ny * (cy - ya) > 0 THEN -nx ELSE nx END, 6) + 0.0 AS nx, round(CASE WHEN nx * (cx - xa) + ny * (cy - ya) > 0 THEN -ny ELSE ny END, 6) + 0.0 AS ny FROM o""".replace("SELECT r.*,", "SELECT r.mesh, r.a, r.b,"),
+ SELECT mesh, a, b, round(CASE WHEN nx * (cx - xa) + ny * (cy - ya) > 0 THEN -nx ELSE nx END, 6) + 0.0 AS nx, round(CASE WHEN nx * (cx - xa) + ny * (cy - ya) > 0 THEN -ny ELSE ny END, 6) + 0.0 AS ny FROM o""",
 )
 def normals(spark, sf_dir):
     pts, cells = mesh(spark, sf_dir)

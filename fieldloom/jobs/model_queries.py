@@ -158,6 +158,7 @@ def residual(spark, sf_dir):
  r AS (SELECT row, col, c FROM a WHERE ok AND col IN (SELECT id FROM n)) SELECT row, col, round(-c, 6) AS value FROM r UNION ALL SELECT row, row, round(sum(c), 6) FROM r GROUP BY row""",
 )
 def stencil(spark, sf_dir):
+    """Orders as grid cells; those of status P are the holes of the domain, so that absent neighbours occur."""
     c = table(spark, sf_dir, "orders").where("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("id"))
     return rounded(A.stencil_matrix(c, 50, 1.0, (1.0, -0.5), 0.5))
 

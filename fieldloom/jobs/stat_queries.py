@@ -9,6 +9,7 @@ from fieldloom.functions import physics as P
 from fieldloom.jobs.tables import rounded, table
 from fieldloom.operators import regress as R
 from fieldloom.operators import uq as U
+from fieldloom.operators.order import next_rows
 
 QUERIES, SQL = {}, {}
 
@@ -65,11 +66,10 @@ _SOBOL = """d AS (SELECT l_quantity / 50.0 AS a0, l_discount * 10 AS a1, l_tax *
 @query("uq_sobol", f"WITH {_SOBOL} SELECT CAST(param AS INTEGER) AS param, round(least(greatest(avg(fb * (x - fa)) / any_value(var), 0), 1), 6) AS first_order, round(least(greatest(0.5 * avg((fa - x) ** 2) / any_value(var), 0), 1), 6) AS total_order FROM e, v GROUP BY param")
 def sobol(spark, sf_dir):
     """Ishigami-type model; sample B is the next line of the same supplier."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity", "l_discount", "l_tax", "l_shipdate")
+    order = ["l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity", "l_discount", "l_tax", "l_shipdate"]
     a = F.array(F.col("l_quantity") / 50.0, F.col("l_discount") * 10, F.col("l_tax") * 10)
-    design = _li(spark, sf_dir).select(a.alias("a"), F.lead(a).over(w).alias("b")).where("b is not null")
+    design = next_rows(_li(spark, sf_dir).select("l_suppkey", *order, a.alias("a")), "l_suppkey", order, ["a"])
+    design = design.select("a", F.col("next_a").alias("b")).where("b is not null")
     return rounded(U.sobol_indices(design, lambda x: F.sin(x[0]) + 7 * F.sin(x[1]) ** 2 + 0.1 * x[2] ** 4 * F.sin(x[0]), 3))
 
 
@@ -156,13 +156,13 @@ def cheapest(spark, sf_dir):
 
 @query(
     "fidelity_cost_stats",
-    """WITH h AS (SELECT event_type AS level, count(*) AS n FROM events WHERE value > 100 GROUP BY event_type), l AS (SELECT DISTINCT event_type AS level, CAST(length(event_type) AS DOUBLE) AS cost FROM events), r AS (SELECT level, cost, coalesce(n, 0) AS n FROM l LEFT JOIN h USING (level))
+    """WITH h AS (SELECT event_type AS level, count(*) AS n FROM events GROUP BY event_type), l AS (SELECT DISTINCT event_type AS level, CAST(length(event_type) AS DOUBLE) AS cost FROM events), r AS (SELECT level, cost, coalesce(n, 0) AS n FROM l LEFT JOIN h USING (level))
  SELECT level, n, round(sum(n * cost) OVER (), 3) AS total_cost, round(sum(n) OVER () * max(cost) OVER (), 3) AS highest_cost, round(sum(n) OVER () * max(cost) OVER () - sum(n * cost) OVER (), 3) AS saved FROM r""",
 )
 def cost_stats(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     levels = e.select(F.col("event_type").alias("level"), F.length("event_type").cast("double").alias("cost")).distinct()
-    return rounded(U.fidelity_cost_stats(e.where("value > 100").select(F.col("event_type").alias("level")), levels), 3)
+    return rounded(U.fidelity_cost_stats(e.select(F.col("event_type").alias("level")), levels), 3)
 
 
 @query(
@@ -238,11 +238,10 @@ def state_report(spark, sf_dir):
 
 @query(
     "wave_speed_max",
-    "WITH s AS (SELECT l_returnflag, 1 + l_discount AS rho, l_quantity / 10 AS mx, l_tax * 10 AS my, l_extendedprice / 100 AS e FROM lineitem), p AS (SELECT *, 0.4 * (e - 0.5 * (mx * mx + my * my) / rho) AS p FROM s) SELECT l_returnflag, round(max(sqrt(mx * mx + my * my) / rho + sqrt(1.4 * p / rho)), 6) AS speed FROM p WHERE p > 0 GROUP BY l_returnflag",
+    "WITH s AS (SELECT l_returnflag, 1 + l_discount AS rho, l_quantity / 10 AS mx, l_tax * 10 AS my, l_extendedprice / 100 AS e FROM lineitem), p AS (SELECT *, 0.4 * (e - 0.5 * (mx * mx + my * my) / rho) AS p FROM s) SELECT l_returnflag, round(max(sqrt(mx * mx + my * my) / rho + sqrt(1.4 * p / rho)), 6) AS speed FROM p WHERE p >= 0 GROUP BY l_returnflag",
 )
 def wave_speed(spark, sf_dir):
     s = _li(spark, sf_dir).select("l_returnflag", (1 + F.col("l_discount")).alias("rho"), (F.col("l_quantity") / 10).alias("mx"), (F.col("l_tax") * 10).alias("my"), (F.col("l_extendedprice") / 100).alias("e"))
-    s = s.withColumn("p", P.euler_pressure(F.col("rho"), F.col("mx"), F.col("my"), F.col("e"))).where("p > 0")
-    return rounded(s.groupBy("l_returnflag").agg(F.max(F.sqrt(F.col("mx") ** 2 + F.col("my") ** 2) / F.col("rho") + P.sound_speed(F.col("p"), F.col("rho"))).alias("speed")))
+    return rounded(s.groupBy("l_returnflag").agg(F.max(P.wave_speed(F.col("rho"), F.col("mx"), F.col("my"), F.col("e"))).alias("speed")))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldloom.operators.mesh import _at, _edge
+from fieldloom.operators.order import next_rows
 
 
 def in_box(bounds: Sequence[tuple[float, float]], cols: Sequence[str] = ("x", "y", "z")) -> Column:
@@ -22,10 +23,18 @@ def in_ball(centre: Sequence[float], r: float, cols: Sequence[str] = ("x", "y",
     return sum((F.col(c) - v) ** 2 for c, v in zip(cols, centre)) <= r * r
 
 
-def field_arith(a: DataFrame, b: DataFrame, op: str, keys: Sequence[str]) -> DataFrame:
-    """Sum or difference of two fields on the points both have."""
+def field_from_expr(points: DataFrame, name: str, value: Column, keys: Sequence[str] = ("mesh", "point_id")) -> DataFrame:
+    """``keys, field, value``: an expression of the coordinates at every point."""
+    return points.select(*keys, F.lit(name).alias("field"), value.cast("double").alias("value"))
+
+
+def field_arith(a: DataFrame, b: DataFrame | float, op: str, keys: Sequence[str]) -> DataFrame:
+    """Two fields combined on the points both have, or a field and a number: ``+ - * /``; a division by zero is null."""
+    ops = {"+": lambda x, y: x + y, "-": lambda x, y: x - y, "*": lambda x, y: x * y, "/": lambda x, y: F.try_divide(x, y)}
+    if not isinstance(b, DataFrame):
+        return a.select(*keys, ops[op](F.col("value"), F.lit(float(b))).alias("value"))
     j = a.withColumnRenamed("value", "__a").join(b.withColumnRenamed("value", "__b"), list(keys))
-    return j.select(*keys, (F.col("__a") + F.col("__b") if op == "+" else F.col("__a") - F.col("__b")).alias("value"))
+    return j.select(*keys, ops[op](F.col("__a"), F.col("__b")).alias("value"))
 
 
 def field_stats(field: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -45,9 +54,36 @@ def select_method(points: DataFrame, speed: Column, h: Column, diffusivity: floa
     return points.withColumn("peclet", pe).withColumn("method", F.when(pe > threshold, "upwind").otherwise("central"))
 
 
+def select_by_gradient(cells: DataFrame, gradient: Sequence[Column], threshold: float, steep: str = "upwind", flat: str = "central") -> DataFrame:
+    """``gradient``, its magnitude, and ``method``: ``steep`` where it exceeds the threshold."""
+    size = F.sqrt(sum(g * g for g in gradient))
+    return cells.withColumn("gradient", size).withColumn("method", F.when(size > threshold, steep).otherwise(flat))
+
+
+def boundary_values(points: DataFrame, conditions: Sequence[tuple[str, Column, dict]], time: float = 0.0) -> DataFrame:
+    """``kind, alpha, beta, g`` of the first condition whose region holds a point; the others are left out.
+
+    A condition is (kind, region, values).  ``dirichlet`` and ``neumann`` take
+    ``value``, ``robin`` takes ``alpha, beta, g``, ``convection`` takes ``h`` and
+    ``ambient``: alpha = h, beta = 1, g = h * ambient.  A value is a number, a
+    column, or a function of the time.
+    """
+    made = []
+    for kind, region, given in conditions:
+        v = {k: _as_column(x(time) if callable(x) and not isinstance(x, Column) else x) for k, x in given.items()}
+        one, zero = F.lit(1.0), F.lit(0.0)
+        triple = {"dirichlet": lambda: (one, zero, v["value"]), "neumann": lambda: (zero, one, v["value"]), "robin": lambda: (v["alpha"], v["beta"], v["g"]), "convection": lambda: (v["h"], one, v["h"] * v["ambient"])}[kind]()
+        made.append(F.when(region, F.struct(F.lit(kind).alias("kind"), *[c.cast("double").alias(n) for c, n in zip(triple, ("alpha", "beta", "g"))])))
+    return points.withColumn("__bc", F.coalesce(*made)).where("__bc is not null").select(*points.columns, "__bc.*")
+
+
+def _as_column(v) -> Column:
+    return v if isinstance(v, Column) else F.lit(float(v))
+
+
 def robin_values(points: DataFrame, where: Column, h: float, ambient: float) -> DataFrame:
     """Convection as a Robin condition: alpha = h, beta = 1, g = h * ambient on the matching points."""
-    return points.where(where).withColumn("alpha", F.lit(h)).withColumn("beta", F.lit(1.0)).withColumn("g", F.lit(h * ambient))
+    return boundary_values(points, [("convection", where, {"h": h, "ambient": ambient})]).drop("kind")
 
 
 def finite_rows(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -69,10 +105,28 @@ def pnorm_stress(stress: DataFrame, limit: float, by: Sequence[str] = (), p: flo
     return stress.groupBy(*by).agg((F.sum((F.col("stress") / limit) ** p) ** (1 / p) - 1).alias("violation"))
 
 
+def pnorm_gradient(stress: DataFrame, limit: float, by: str, p: float = 8.0) -> DataFrame:
+    """The rows with ``gradient``: (stress / limit)^(p - 1) over the norm's power of the same order."""
+    norm = stress.groupBy(by).agg((F.sum((F.col("stress") / limit) ** p) ** (1 / p)).alias("__n"))
+    return stress.join(norm, by).withColumn("gradient", (F.col("stress") / limit) ** (p - 1) / (F.col("__n") ** (p - 1) + 1e-12)).drop("__n")
+
+
 def regularization(params: DataFrame, by: str, order: str) -> DataFrame:
-    """Tikhonov, total variation and L1 penalties of ordered parameters."""
-    d = F.col("p") - F.lag("p").over(Window.partitionBy(by).orderBy(order))
-    return params.select(by, "p", d.alias("d")).groupBy(by).agg((0.5 * F.sum(F.col("p") ** 2)).alias("tikhonov"), F.sum(F.sqrt(F.col("d") ** 2 + 1e-6)).alias("tv"), F.sum(F.abs("p")).alias("l1"))
+    """Tikhonov, total variation and L1 penalties of ordered parameters ``by, order, p``; neighbours are met by rank."""
+    rows = next_rows(params.select(by, order, "p"), by, [order], ["p"]).withColumn("d", F.col("next_p") - F.col("p"))
+    return rows.groupBy(by).agg((0.5 * F.sum(F.col("p") ** 2)).alias("tikhonov"), F.sum(F.sqrt(F.col("d") ** 2 + 1e-6)).alias("tv"), F.sum(F.abs("p")).alias("l1"))
+
+
+def regularization_gradient(params: DataFrame, kind: str) -> DataFrame:
+    """The rows with ``gradient``: p (tikhonov), its sign (l1), or zero (tv, which is taken as fixed)."""
+    g = {"tikhonov": F.col("p"), "l1": F.signum("p"), "tv": F.lit(0.0)}[kind]
+    return params.withColumn("gradient", g.cast("double"))
+
+
+def conservation_check(given: DataFrame, result: DataFrame, value: str = "value", tol: float = 1e-6) -> DataFrame:
+    """One row ``given_total, result_total, conserved`` of two tables."""
+    a, b = given.agg(F.sum(value).alias("given_total")), result.agg(F.sum(value).alias("result_total"))
+    return a.crossJoin(F.broadcast(b)).withColumn("conserved", F.abs(F.col("given_total") - F.col("result_total")) < tol)  # one row is broadcast
 
 
 def conserved_over_time(rows: DataFrame, by: str, step: str, value: str, tol: float = 0.01) -> DataFrame:
@@ -82,13 +136,36 @@ def conserved_over_time(rows: DataFrame, by: str, step: str, value: str, tol: fl
     return out.withColumn("violated", F.col("std") > tol * F.col("mean_abs"))
 
 
-def grid_residual(grid: DataFrame, dx: float, by: Sequence[str], along: str) -> DataFrame:
-    """Minus the second difference of ``u`` at interior points of each line."""
+def state_report(rows: DataFrame, quantity: Column, by: str, point: str, limit: float) -> DataFrame:
+    """``by, lowest, highest, mean, over_limit, at``: a derived quantity's range and mean, share above a limit, and the point of the highest."""
+    q = rows.select(by, point, quantity.alias("q"))
+    return q.groupBy(by).agg(F.min("q").alias("lowest"), F.max("q").alias("highest"), F.avg("q").alias("mean"), F.avg(F.when(F.col("q") > limit, 1.0).otherwise(0.0)).alias("over_limit"), F.max_by(point, F.struct("q", -F.col(point))).alias("at"))
+
+
+def grid_residual(grid: DataFrame, dx: float, by: Sequence[str], along: str, order: int = 2) -> DataFrame:
+    """Minus the second difference of ``u`` (order 2 or 4) at interior points of each line; a line is one window."""
     w = Window.partitionBy(*by).orderBy(along)
-    r = -(F.lag("u").over(w) - 2 * F.col("u") + F.lead("u").over(w)) / dx**2
+    at = lambda k: F.col("u") if k == 0 else F.lead("u", k).over(w) if k > 0 else F.lag("u", -k).over(w)
+    weights = {2: {-1: 1, 0: -2, 1: 1}, 4: {-2: -1 / 12, -1: 4 / 3, 0: -5 / 2, 1: 4 / 3, 2: -1 / 12}}[order]
+    r = -sum((c * at(k) for k, c in weights.items()), F.lit(0.0)) / dx**2
     return grid.withColumn("residual", r).where(F.col("residual").isNotNull())
 
 
+def plane_residual(grid: DataFrame, spacing: dict[str, float], by: Sequence[str] = (), order: int = 2) -> DataFrame:
+    """Minus the Laplacian of ``u`` on a plane grid: the sum of the residuals along both axes, where both exist."""
+    total = F.lit(0.0)
+    axes = list(spacing)
+    for axis, h in spacing.items():
+        w = Window.partitionBy(*by, *[c for c in axes if c != axis]).orderBy(axis)
+        near = {k: F.lead("u", k).over(w) if k > 0 else F.lag("u", -k).over(w) for k in ((-1, 1) if order == 2 else (-2, -1, 1, 2))}
+        c = {1: 1.0, 0: -2.0} if order == 2 else {2: -1 / 12, 1: 4 / 3, 0: -5 / 2}
+        r = c[0] * F.col("u")
+        for k, v in near.items():
+            r = r + c[abs(k)] * v
+        total = total - r / h**2
+    return grid.withColumn("residual", total).where(F.col("residual").isNotNull())
+
+
 def stiffness(fat: DataFrame, coef: Column | None = None) -> DataFrame:
     """Linear-triangle stiffness, summed to ``mesh, row, col, value``.
 
@@ -110,15 +187,21 @@ def load_vector(fat: DataFrame, source: str = "us") -> DataFrame:
     return fat.select("mesh", F.explode("nodes").alias("row"), share.alias("v")).groupBy("mesh", "row").agg(F.sum("v").alias("value"))
 
 
-def stencil_matrix(cells: DataFrame, width: int, diffusivity: float, velocity: tuple[float, float], h: float) -> DataFrame:
-    """``row, col, value`` of diffusion and upwind advection on row-major square cells ``id``.
+def stencil_matrix(cells: DataFrame, width: int | tuple[int, int], diffusivity: float, velocity: Sequence[float], h: float, scheme: str = "upwind") -> DataFrame:
+    """``row, col, value`` of diffusion and advection on row-major square cells ``id`` of a plane, or of cubes if ``width`` is (nx, ny).
 
-    Neighbours outside the table are absent (no flux through that face).
+    Advection is ``upwind`` or ``central``.  Neighbours outside the table are
+    absent (no flux through that face).
     """
-    d = diffusivity / (h * h)
-    sides = [(1, max(-velocity[0], 0) / h), (-1, max(velocity[0], 0) / h), (width, max(-velocity[1], 0) / h), (-width, max(velocity[1], 0) / h)]
-    i = F.col("id")
-    arms = [F.struct((i + o).alias("col"), F.lit(d + a).alias("c"), (F.lit(True) if abs(o) != 1 else F.floor((i + o) / width) == F.floor(i / width)).alias("ok")) for o, a in sides]
+    strides = (1, width) if isinstance(width, int) else (1, width[0], width[0] * width[1])
+    d, i, arms = diffusivity / (h * h), F.col("id"), []
+    for axis, step in enumerate(strides):
+        for sign in (1, -1):
+            v = velocity[axis] * sign
+            c = d + (max(-v, 0.0) / h if scheme == "upwind" else -v / (2 * h))
+            line = strides[axis + 1] if axis + 1 < len(strides) else None  # a step must stay on its line
+            ok = F.lit(True) if line is None else F.floor((i + sign * step) / line) == F.floor(i / line)
+            arms.append(F.struct((i + sign * step).alias("col"), F.lit(c).alias("c"), ok.alias("ok")))
     rows = cells.select(i.alias("row"), F.explode(F.array(*arms)).alias("s")).select("row", "s.*").where("ok").join(cells.select(i.alias("col")), "col", "left_semi")
     off = rows.select("row", "col", (-F.col("c")).alias("value"))
     return off.unionByName(rows.groupBy("row").agg(F.sum("c").alias("value")).select("row", F.col("row").alias("col"), "value"))

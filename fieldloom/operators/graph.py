@@ -6,7 +6,7 @@ adaptive skew join where both sides come straight from an exchange.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom.operators.graph_components import connected_components
@@ -44,9 +44,26 @@ def spmv(matrix: DataFrame, x: DataFrame) -> DataFrame:
     return matrix.join(v, "col").groupBy("row").agg(F.sum(F.col("value") * F.col("v")).alias("value"))
 
 
-def chebyshev_filter(lap: DataFrame, f: DataFrame, theta: list[float], largest: float = 2.0) -> DataFrame:
-    """Sum of theta_k T_k(2 L / largest - I) f; each term is a written table."""
+def largest_eigenvalue(lap: DataFrame, rounds: int = 20) -> float:
+    """Largest eigenvalue of a symmetric matrix by power iteration: a product and two sums a round, one number out."""
+    tmp = Scratch(lap.sparkSession, "power")
+    start = (F.pmod(F.xxhash64("row"), F.lit(2001)) - 1000) / 1000.0
+    v, value = tmp.write(lap.select("row").distinct().withColumn("value", start), "v"), 0.0
+    for _ in range(rounds):
+        w = tmp.write(spmv(lap, v), "w")
+        norm = w.agg(F.sqrt(F.sum(F.col("value") ** 2))).first()[0]
+        if not norm:
+            return 0.0
+        tmp.drop(v)
+        v, value = tmp.write(w.select("row", (F.col("value") / norm).alias("value")), "v"), norm
+        tmp.drop(w)
+    return float(value)
+
+
+def chebyshev_filter(lap: DataFrame, f: DataFrame, theta: list[float], largest: float | None = 2.0) -> DataFrame:
+    """Sum of theta_k T_k(2 L / largest - I) f; each term is a written table.  Without ``largest`` it is estimated."""
     tmp = Scratch(lap.sparkSession, "chebyshev")
+    largest = 1.01 * largest_eigenvalue(lap) if largest is None else largest
 
     def shifted(v: DataFrame) -> DataFrame:
         lv = spmv(lap, v).withColumnRenamed("value", "lv")
@@ -77,6 +94,12 @@ def hop_distances(edges: DataFrame, max_hops: int) -> DataFrame:
     return seen
 
 
+def hop_band_mean(nodes: DataFrame, edges: DataFrame, max_hops: int) -> DataFrame:
+    """``id, hops, n, mean``: mean value of the nodes at each hop distance from a node; ``nodes(id, f)``."""
+    pairs = hop_distances(edges, max_hops)
+    return pairs.join(nodes.select(F.col("id").alias("dst"), "f"), "dst").groupBy(F.col("src").alias("id"), "hops").agg(F.count("*").alias("n"), F.avg("f").alias("mean"))
+
+
 def path_distances(edges: DataFrame, sources: DataFrame, limit: float, max_rounds: int = 200) -> DataFrame:
     """Shortest weighted distance from the nearest source, up to a limit; only the moving frontier is joined."""
     tmp = Scratch(edges.sparkSession, "paths")
@@ -104,13 +127,25 @@ def direction_binned_aggregate(nodes: DataFrame, edges: DataFrame, n: int = 8) -
 
 
 def softmax_aggregate(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Softmax(q k)-weighted mean of v over a node and its in-neighbours; ``nodes(id, q, k, v)`` scalars."""
+    """Softmax(q k / sqrt d)-weighted mean of v over a node and its in-neighbours.
+
+    ``nodes(id, q, k, v)`` holds scalars, or arrays of d (q, k) and of any length
+    (v, then ``agg`` is an array).
+    """
     me = nodes.select(F.col("id").alias("src"), F.col("id").alias("dst"))
     pairs = edges.select("src", "dst").where("src <> dst").unionByName(me)
-    rows = pairs.join(nodes.select(F.col("id").alias("dst"), "q"), "dst").join(nodes.select(F.col("id").alias("src"), "k", "v"), "src").withColumn("s", F.col("q") * F.col("k"))
+    kinds = dict(nodes.dtypes)
+    if kinds["q"].startswith("array"):
+        score = F.aggregate(F.zip_with("q", "k", lambda a, b: a * b), F.lit(0.0), lambda a, v: a + v) / F.sqrt(F.size("q"))
+    else:
+        score = F.col("q") * F.col("k")
+    rows = pairs.join(nodes.select(F.col("id").alias("dst"), "q"), "dst").join(nodes.select(F.col("id").alias("src"), "k", "v"), "src").withColumn("s", score)
     top = rows.groupBy("dst").agg(F.max("s").alias("top"))
-    w = F.exp(F.col("s") - F.col("top"))
-    return rows.join(top, "dst").groupBy(F.col("dst").alias("id")).agg((F.sum(w * F.col("v")) / F.sum(w)).alias("agg"))
+    met, w = rows.join(top, "dst"), F.exp(F.col("s") - F.col("top"))
+    if not kinds["v"].startswith("array"):
+        return met.groupBy(F.col("dst").alias("id")).agg((F.sum(w * F.col("v")) / F.sum(w)).alias("agg"))
+    each = met.select("dst", w.alias("w"), F.posexplode("v").alias("pos", "x")).groupBy("dst", "pos").agg((F.sum(F.col("w") * F.col("x")) / F.sum("w")).alias("x"))
+    return each.groupBy(F.col("dst").alias("id")).agg(F.array_sort(F.collect_list(F.struct("pos", "x"))).alias("a")).select("id", F.col("a.x").alias("agg"))
 
 
 def contract_graph(edges: DataFrame, labels: DataFrame) -> DataFrame:
@@ -141,28 +176,64 @@ def voxel_pool(nodes: DataFrame, size: float) -> DataFrame:
     return v.groupBy("vx", "vy").agg(F.count("*").alias("size"), F.avg("x").alias("x"), F.avg("y").alias("y"), F.avg("f").alias("f"))
 
 
-def match_pool(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
-    """A maximal matching ``id, part`` by mutual heaviest free neighbours, ties by id; part is the smaller id."""
+def voxel_labels(nodes: DataFrame, ratio: float, dims: tuple[str, ...] = ("x", "y")) -> DataFrame:
+    """``id, part``: voxels sized so that about ``ratio`` of the nodes' number would tile their box, numbered in order from 0."""
+    from fieldloom.operators.order import dense_ids
+
+    box = nodes.agg(F.count("*").alias("n"), *[f(c).alias(f"{m}{c}") for c in dims for m, f in (("lo", F.min), ("hi", F.max))]).first()
+    if not box.n:
+        return nodes.select("id", F.lit(0).cast("long").alias("part"))
+    area = 1.0
+    for c in dims:
+        area *= max(box[f"hi{c}"] - box[f"lo{c}"], 1e-300)
+    size = (area / max(1, int(box.n * ratio))) ** (1 / len(dims))
+    v = nodes.select("id", *[F.floor((F.col(c) - box[f"lo{c}"]) / size).alias(f"v{c}") for c in dims])
+    keys = [f"v{c}" for c in dims]
+    return v.join(dense_ids(v.select(*keys).distinct(), keys, "part"), keys).select("id", "part")
+
+
+def pool_means(nodes: DataFrame, labels: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """``part, size`` and the mean of each column over the part's nodes; ``labels(id, part)``."""
+    return nodes.join(labels, "id").groupBy("part").agg(F.count("*").alias("size"), *[F.avg(c).alias(c) for c in columns])
+
+
+def coarse_edges(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """Distinct pairs ``src, dst`` of parts that an edge joins, in both directions."""
+    e = contract_graph(edges.select("src", "dst", F.lit(1.0).alias("weight")), labels).select("src", "dst")
+    return e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+
+
+def match_pool(edges: DataFrame) -> DataFrame:
+    """A maximal matching ``id, part`` by mutual heaviest free neighbours; part is the smaller id.
+
+    Edges compare by weight (those within a twelfth of each other count as equal),
+    then by a hash of the round and the edge, then by ids.  The fresh hashes let
+    many edges of about one weight be local maxima at once, so weights that rise
+    along a path do not give one pair a round.
+    """
     tmp = Scratch(edges.sparkSession, "match")
     e = tmp.write(symmetric(edges).where("weight > 0"), "edges")
-    out = None
-    for _ in range(max_rounds):
+    out, turn = None, 0
+    while True:
+        lo, hi = F.least("src", "dst"), F.greatest("src", "dst")
         # A symmetric, total order of edges makes the heaviest free edge mutual, so each round adds a pair.
-        best = e.groupBy("src").agg(F.max_by("dst", F.struct("weight", -F.least("src", "dst"), -F.greatest("src", "dst"))).alias("to"))
+        best = e.groupBy("src").agg(F.max_by("dst", F.struct(F.floor(8 * F.log2("weight")), F.xxhash64(F.lit(turn), lo, hi), -lo, -hi)).alias("to"))
         pairs = tmp.write(best.alias("a").join(best.alias("b"), (F.col("a.to") == F.col("b.src")) & (F.col("b.to") == F.col("a.src"))).select(F.col("a.src").alias("id"), F.least("a.src", "a.to").alias("part")), "pairs")
         out = pairs if out is None else out.unionByName(pairs)
         taken = pairs.select("id")
-        e = tmp.write(e.join(taken.withColumnRenamed("id", "src"), "src", "left_anti").join(taken.withColumnRenamed("id", "dst"), "dst", "left_anti"), "edges")
+        left = tmp.write(e.join(taken.withColumnRenamed("id", "src"), "src", "left_anti").join(taken.withColumnRenamed("id", "dst"), "dst", "left_anti"), "edges")
+        tmp.drop(e)
+        e, turn = left, turn + 1
         if e.isEmpty():
             return out
-    raise RuntimeError(f"matching did not end in {max_rounds} rounds")
 
 
-def part_interfaces(edges: DataFrame, labels: DataFrame) -> DataFrame:
-    """Nodes of edges that join two parts: ``low, high, id``."""
+def part_interfaces(edges: DataFrame, labels: DataFrame, one_sided: bool = False) -> DataFrame:
+    """Nodes of edges that join two parts: ``low, high, id``; with ``one_sided`` only those of the lower part."""
     side = lambda k: labels.select(F.col("id").alias(k), F.col("part").alias(f"p_{k}"))
     e = edges.join(side("src"), "src").join(side("dst"), "dst").where("p_src <> p_dst")
-    return e.select(F.least("p_src", "p_dst").alias("low"), F.greatest("p_src", "p_dst").alias("high"), F.explode(F.array("src", "dst")).alias("id")).distinct()
+    ends = F.array(F.when(F.col("p_src") < F.col("p_dst"), F.col("src")).otherwise(F.col("dst"))) if one_sided else F.array("src", "dst")
+    return e.select(F.least("p_src", "p_dst").alias("low"), F.greatest("p_src", "p_dst").alias("high"), F.explode(ends).alias("id")).distinct()
 
 
 def overlap_extend(labels: DataFrame, edges: DataFrame, layers: int) -> DataFrame:
@@ -190,20 +261,25 @@ def corner_nodes(membership: DataFrame) -> DataFrame:
     return membership.join(many, "id", "left_semi").select("part", "id").distinct()
 
 
-def morton_partition(points: DataFrame, n_parts: int) -> DataFrame:
-    """``id, code, part``: equal runs along the 16-bit Z-order of ``points(id, x, y)``, ties by id."""
-    from fieldloom.operators.mesh import dense_ids
+def _spread(v: Column, dim: int) -> Column:
+    """The 16 low bits of ``v`` with ``dim - 1`` zeros between them."""
+    masks = {2: ((8, 0x00FF00FF), (4, 0x0F0F0F0F), (2, 0x33333333), (1, 0x55555555)), 3: ((16, 0x00FF0000FF), (8, 0x0F00F00F00F), (4, 0x0C30C30C30C3), (2, 0x249249249249))}[dim]
+    for shift, mask in masks:
+        v = v.bitwiseOR(F.shiftleft(v, shift)).bitwiseAND(F.lit(mask).cast("long"))
+    return v
 
-    box = points.agg(*[f(c).alias(f"{m}{c}") for c in "xy" for m, f in (("lo", F.min), ("hi", F.max))])
-    p = points.crossJoin(F.broadcast(box))  # one row is broadcast
-    grid = {c: F.least(F.floor((F.col(c) - F.col(f"lo{c}")) / (F.col(f"hi{c}") - F.col(f"lo{c}") + 1e-10) * 65536), F.lit(65535)) for c in "xy"}
 
-    def spread(v):
-        for shift, mask in ((8, 0x00FF00FF), (4, 0x0F0F0F0F), (2, 0x33333333), (1, 0x55555555)):
-            v = v.bitwiseOR(F.shiftleft(v, shift)).bitwiseAND(F.lit(mask).cast("long"))
-        return v
+def morton_partition(points: DataFrame, n_parts: int, dims: tuple[str, ...] = ("x", "y")) -> DataFrame:
+    """``id, code, part``: equal runs along the 16-bit Z-order of ``points(id, x, y)``, ties by id; two or three ``dims``."""
+    from fieldloom.operators.order import dense_ids
 
-    p = p.select("id", spread(grid["x"].cast("long")).bitwiseOR(F.shiftleft(spread(grid["y"].cast("long")), 1)).alias("code"))
+    box = points.agg(*[f(c).alias(f"{m}{c}") for c in dims for m, f in (("lo", F.min), ("hi", F.max))])
+    p = points.crossJoin(F.broadcast(box))  # one row is broadcast
+    code = F.lit(0).cast("long")
+    for k, c in enumerate(dims):
+        at = F.least(F.floor((F.col(c) - F.col(f"lo{c}")) / (F.col(f"hi{c}") - F.col(f"lo{c}") + 1e-10) * 65536), F.lit(65535)).cast("long")
+        code = code.bitwiseOR(F.shiftleft(_spread(at, len(dims)), k))
+    p = p.select("id", code.alias("code"))
     total = points.count()
     size = max(1, total // n_parts)
     return dense_ids(p, ["code", "id"], "r").select("id", "code", F.least(F.floor(F.col("r") / size), F.lit(n_parts - 1)).alias("part"))
@@ -213,22 +289,31 @@ def kdtree_partition(points: DataFrame, n_parts: int, longest: bool = False) ->
     """Recursive exact medians of ``points(id, x, y)``: left <= median; axis by depth, or the block's longest.
 
     Parts split n // 2 : rest while points always halve, so a number that is not
-    a power of two is unbalanced.  One grouped pass a level.
+    a power of two is unbalanced.  One pass a level; medians come from counts
+    summed up in order over all partitions, never from one task.
     """
+    from fieldloom.operators.order import quantiles
+
     tmp = Scratch(points.sparkSession, "kdtree")
-    now = points.select("id", "x", "y", F.lit(0).alias("part"), F.lit(n_parts).alias("n"))
+    now = tmp.write(points.select("id", "x", "y", F.lit(0).alias("part"), F.lit(n_parts).alias("n")), "level")
     depth = 0
-    while (1 << depth) < 2 * n_parts and not (now := tmp.write(now, "level")).where("n > 1").isEmpty():
-        span = now.groupBy("part").agg(F.percentile("x", 0.5).alias("mx"), F.percentile("y", 0.5).alias("my"), (F.max("x") - F.min("x")).alias("wx"), (F.max("y") - F.min("y")).alias("wy"))
-        use_x = (F.col("wx") >= F.col("wy")) if longest else F.lit(depth % 2 == 0)
-        left = F.when(use_x, F.col("x") <= F.col("mx")).otherwise(F.col("y") <= F.col("my"))
-        half = F.floor(F.col("n") / 2).cast("int")
-        now = now.join(span, "part").select("id", "x", "y", F.when((F.col("n") > 1) & ~left, F.col("part") + half).otherwise(F.col("part")).cast("int").alias("part"), F.when(F.col("n") <= 1, F.col("n")).when(left, half).otherwise(F.col("n") - half).cast("int").alias("n"))
+    while (1 << depth) < 2 * n_parts and not now.where("n > 1").isEmpty():
+        if longest:
+            span = now.groupBy("part").agg((F.max("x") - F.min("x") >= F.max("y") - F.min("y")).alias("use_x"))
+            at = now.join(F.broadcast(span), "part")  # n_parts rows at most
+        else:
+            at = now.withColumn("use_x", F.lit(depth % 2 == 0))
+        at = tmp.write(at.select("id", "x", "y", "part", "n", F.when(F.col("use_x"), F.col("x")).otherwise(F.col("y")).alias("v")), "axis")
+        mid = quantiles(at, "v", [0.5], ["part"]).select("part", F.col("q0").alias("mid"))
+        left, half = F.col("v") <= F.col("mid"), F.floor(F.col("n") / 2).cast("int")
+        after = at.join(F.broadcast(mid), "part").select("id", "x", "y", F.when((F.col("n") > 1) & ~left, F.col("part") + half).otherwise(F.col("part")).cast("int").alias("part"), F.when(F.col("n") <= 1, F.col("n")).when(left, half).otherwise(F.col("n") - half).cast("int").alias("n"))  # n_parts rows at most
+        old, now = now, tmp.write(after, "level")
+        tmp.drop(old, at)
         depth += 1
     return now.select("id", "part")
 
 
 def best_neighbor(edges: DataFrame) -> DataFrame:
     """Heaviest neighbour of each node, ties by the smaller id."""
-    w = Window.partitionBy("src").orderBy(F.desc("weight"), "dst")
-    return symmetric(edges).withColumn("r", F.row_number().over(w)).where("r = 1").select(F.col("src").alias("id"), "dst", "weight")
+    best = symmetric(edges).groupBy(F.col("src").alias("id")).agg(F.max(F.struct("weight", -F.col("dst"))).alias("b"))
+    return best.select("id", (-F.col("b").getField("col2")).alias("dst"), F.col("b.weight").alias("weight"))

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fieldloom.operators.order import dense_ids
 from fieldloom.sources.scratch import Scratch
 
 KEY = ["mesh", "cell_id"]
@@ -143,18 +144,30 @@ def recover_gradient(grad: DataFrame) -> DataFrame:
 
 
 def zz_error(fat: DataFrame, value: str = "us") -> DataFrame:
-    """Norm of the cell gradient minus the mean of the recovered gradient at its nodes."""
-    grad = element_gradient(fat, value)
-    node = recover_gradient(grad).withColumnsRenamed({g: f"r{g}" for g in ("gx", "gy", "gz")})
-    mean = grad.select(*KEY, F.explode("nodes").alias("point_id")).join(node, ["mesh", "point_id"]).groupBy(*KEY).agg(*[F.avg(f"r{g}").alias(f"r{g}") for g in ("gx", "gy", "gz")])
-    d = [F.col(g) - F.col(f"r{g}") for g in ("gx", "gy", "gz")]
-    return grad.join(mean, KEY).select(*KEY, _norm(d).alias("error"))
+    """Norm of the cell gradient minus the mean of the recovered gradient at its nodes.
+
+    The gradients are written once: they are read for the recovery and for the
+    comparison, and the gathered coordinates behind them are dear.  The cell's
+    own gradient rides along with its nodes, so no second join by cell is needed.
+    """
+    axes = ("gx", "gy", "gz")
+    grad = Scratch(fat.sparkSession, "gradient").write(element_gradient(fat, value), "gradient")
+    node = recover_gradient(grad).withColumnsRenamed({g: f"r{g}" for g in axes})
+    met = grad.select(*KEY, *axes, F.explode("nodes").alias("point_id")).join(node, ["mesh", "point_id"])
+    mean = met.groupBy(*KEY).agg(*[F.first(g).alias(g) for g in axes], *[F.avg(f"r{g}").alias(f"r{g}") for g in axes])
+    return mean.select(*KEY, _norm([F.col(g) - F.col(f"r{g}") for g in axes]).alias("error"))
 
 
 def mark_cells(errors: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """Cells whose error exceeds a share of the largest one of their mesh."""
-    top = errors.groupBy("mesh").agg(F.max("error").alias("top"))
-    return errors.join(top, "mesh").where(F.col("error") > threshold * F.col("top")).select(*KEY, "error")
+    """Cells whose error exceeds a share of the largest one of their mesh.
+
+    The errors are written once, since they are read for the largest and for the
+    choice.  The largest are one small row a mesh: Spark broadcasts them below
+    its limit and splits the hot meshes of a larger join.
+    """
+    held = Scratch(errors.sparkSession, "errors").write(errors, "errors")
+    top = held.groupBy("mesh").agg(F.max("error").alias("top"))
+    return held.join(top, "mesh").where(F.col("error") > threshold * F.col("top")).select(*KEY, "error")
 
 
 def node_to_cell(fat: DataFrame, value: str = "us") -> DataFrame:
@@ -163,10 +176,23 @@ def node_to_cell(fat: DataFrame, value: str = "us") -> DataFrame:
 
 def integrate(fat: DataFrame, value: str = "us") -> DataFrame:
     """Integral of the cell means and the total volume, by mesh."""
-    rows = node_to_cell(fat, value).join(cell_volumes(fat), KEY)
+    mean = F.aggregate(value, F.lit(0.0), lambda a, v: a + v) / F.size(value)
+    rows = fat.select("mesh", mean.alias("value"), volume().alias("volume"))
     return rows.groupBy("mesh").agg(F.sum(F.col("value") * F.col("volume")).alias("integral"), F.sum("volume").alias("volume"))
 
 
+def volume_fraction(fat: DataFrame, density: str, target: float) -> DataFrame:
+    """``mesh, excess``: the share of volume that the cells' ``density`` fills minus ``target``."""
+    rows = fat.select("mesh", F.col(density).alias("rho"), volume().alias("v"))
+    return rows.groupBy("mesh").agg((F.sum(F.col("rho") * F.col("v")) / F.sum("v") - target).alias("excess"))
+
+
+def volume_fraction_gradient(fat: DataFrame) -> DataFrame:
+    """``mesh, cell_id, gradient``: each cell's share of its mesh's volume, the derivative of ``volume_fraction``."""
+    rows = fat.select(*KEY, volume().alias("v"))
+    return rows.join(rows.groupBy("mesh").agg(F.sum("v").alias("total")), "mesh").select(*KEY, (F.col("v") / F.col("total")).alias("gradient"))
+
+
 def mesh_edges(cells: DataFrame) -> DataFrame:
     """Distinct undirected edges ``mesh, src < dst`` of plane cells and tetrahedra."""
     pairs = F.lit(None).cast("array<array<bigint>>")
@@ -176,23 +202,6 @@ def mesh_edges(cells: DataFrame) -> DataFrame:
     return cells.select("mesh", F.explode(pairs).alias("e")).select("mesh", F.col("e")[0].alias("src"), F.col("e")[1].alias("dst")).distinct()
 
 
-def dense_ids(df: DataFrame, keys: list[str], name: str, start: Column | int = 0, scratch: Scratch | None = None) -> DataFrame:
-    """Consecutive numbers in the order of unique ``keys``, without one task seeing all rows.
-
-    A range-partitioned sort numbers rows inside each partition; the partitions'
-    counts (one row each) give the offsets.
-    """
-    scratch = scratch or Scratch(df.sparkSession, "ids")
-    mid = F.monotonically_increasing_id()
-    local = scratch.write(df.sort(*keys).withColumn("__pid", F.shiftright(mid, 33)).withColumn("__at", mid.bitwiseAND(F.lit((1 << 33) - 1))), "sorted")
-    sizes = local.groupBy("__pid").agg(F.count("*").alias("__c"))
-    from pyspark.sql import Window
-
-    before = sizes.select("__pid", (F.sum("__c").over(Window.orderBy("__pid")) - F.col("__c")).alias("__before"))
-    base = start if isinstance(start, Column) else F.lit(start)
-    return local.join(F.broadcast(before), "__pid").withColumn(name, F.col("__before") + F.col("__at") + base).drop("__pid", "__at", "__before")
-
-
 def refine_triangles(cells: DataFrame, points: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Every triangle in four at its edge midpoints; a shared edge gets one midpoint.
 
@@ -223,10 +232,27 @@ def extract_submesh(cells: DataFrame, subset: DataFrame) -> DataFrame:
     return kept.select(*KEY, F.col("p.new_id").alias("nodes"))
 
 
-def tag_box(points: DataFrame, boundary: DataFrame, tol: float = 1e-10) -> DataFrame:
-    """Boundary points by side of their mesh's bounding box; a corner gets two tags."""
-    box = points.groupBy("mesh").agg(*[f(c).alias(f"{n}{c}") for c in "xy" for n, f in (("lo", F.min), ("hi", F.max))])
+#: Side, coordinate and end of a bounding box.
+SIDES = {"left": ("x", "lo"), "right": ("x", "hi"), "bottom": ("y", "lo"), "top": ("y", "hi"), "front": ("z", "lo"), "back": ("z", "hi")}
+
+
+def tag_box(points: DataFrame, boundary: DataFrame, tol: float = 1e-10, dim: int = 2) -> DataFrame:
+    """Boundary points by side of their mesh's bounding box, six sides if ``dim`` is 3; an edge or corner gets several tags."""
+    axes = "xyz"[:dim]
+    box = points.groupBy("mesh").agg(*[f(c).alias(f"{n}{c}") for c in axes for n, f in (("lo", F.min), ("hi", F.max))])
     b = points.join(boundary, ["mesh", "point_id"], "left_semi").join(box, "mesh")
-    sides = {"left": ("x", "lox"), "right": ("x", "hix"), "bottom": ("y", "loy"), "top": ("y", "hiy")}
-    tags = F.filter(F.array(*[F.when(F.abs(F.col(c) - F.col(e)) < tol, F.lit(t)) for t, (c, e) in sides.items()]), lambda t: t.isNotNull())
+    tags = F.filter(F.array(*[F.when(F.abs(F.col(c) - F.col(e + c)) < tol, F.lit(t)) for t, (c, e) in SIDES.items() if c in axes]), lambda t: t.isNotNull())
     return b.select("mesh", "point_id", F.explode(tags).alias("tag"))
+
+
+def tag_boundary(points: DataFrame, boundary: DataFrame, name: str, where: Column) -> DataFrame:
+    """``mesh, point_id, tag``: the boundary points that satisfy a predicate, under a name."""
+    return points.join(boundary, ["mesh", "point_id"], "left_semi").where(where).select("mesh", "point_id", F.lit(name).alias("tag"))
+
+
+def get_boundary(tags: DataFrame, name: str) -> DataFrame:
+    """The points of one tag; a tag that no point has is a ``KeyError``."""
+    got = tags.where(F.col("tag") == name)
+    if got.isEmpty():
+        raise KeyError(name)
+    return got.select("mesh", "point_id")

@@ -10,9 +10,12 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldloom.operators.order import next_rows
+
 
 def normal_equations(df: DataFrame, columns: Sequence[Column], by: Sequence[str] = (), weight: str | None = None) -> DataFrame:
     """``i, j, s``: sums of products of every pair i <= j of ``columns``, by group.
@@ -29,25 +32,40 @@ def normal_equations(df: DataFrame, columns: Sequence[Column], by: Sequence[str]
         for b in batches:
             if not b.num_rows:
                 continue
-            t = np.array([[np.nan if v is None else v for v in row] for row in b.column("__t").to_pylist()]) if b.column("__t").flatten().null_count else np.asarray(b.column("__t").flatten()).reshape(-1, k)
-            w = np.asarray(b.column("__w"))
-            if by:
-                keys = [tuple(r) for r in zip(*[b.column(c).to_pylist() for c in by])]
-                names = list(dict.fromkeys(keys))
-                code = np.array([{n: i for i, n in enumerate(names)}[x] for x in keys])
-            else:
-                names, code = [()], np.zeros(len(t), int)
-            ok = np.isfinite(t).all(1) & np.isfinite(w)
-            for g, name in enumerate(names):
-                x = t[ok & (code == g)]
-                s = (x * w[ok & (code == g), None]).T @ x
-                out = {c: pa.array([v] * len(iu), b.schema.field(c).type) for c, v in zip(by, name)}
-                out |= {"i": pa.array(iu, pa.int32()), "j": pa.array(ju, pa.int32()), "s": pa.array(s[iu, ju], pa.float64())}
-                yield pa.RecordBatch.from_pydict(out)
+            t, w = dense(b.column("__t"), k), np.asarray(pc.fill_null(b.column("__w"), np.nan))
+            rows = np.flatnonzero(np.isfinite(t).all(1) & np.isfinite(w))
+            code, first = group_codes([b.column(c) for c in by], b.num_rows)
+            rows = rows[np.argsort(code[rows], kind="stable")]
+            cut = np.searchsorted(code[rows], np.arange(len(first) + 1))
+            sums, seen = [], []
+            for g in np.flatnonzero(cut[1:] > cut[:-1]).tolist():
+                x = t[rows[cut[g] : cut[g + 1]]]
+                sums.append(((x * w[rows[cut[g] : cut[g + 1]], None]).T @ x)[iu, ju])
+                seen.append(first[g])
+            m, take = len(sums), pa.array(np.repeat(np.array(seen, np.int64), len(iu)))
+            out = {c: b.column(c).take(take) for c in by}
+            out |= {"i": pa.array(np.tile(iu, m), pa.int32()), "j": pa.array(np.tile(ju, m), pa.int32()), "s": pa.array(np.concatenate(sums) if m else np.empty(0))}
+            yield pa.RecordBatch.from_pydict(out)
 
     return src.mapInArrow(run, (fields + ", " if fields else "") + "i int, j int, s double").groupBy(*by, "i", "j").agg(F.sum("s").alias("s"))
 
 
+def dense(col: pa.Array, k: int) -> np.ndarray:
+    """Rows of ``k`` numbers; null entries are NaN."""
+    return np.asarray(pc.fill_null(pc.list_flatten(col), np.nan), np.float64).reshape(-1, k)
+
+
+def group_codes(columns: list, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """A number for each row by its keys (nulls are a key), and a row of each number."""
+    code = np.zeros(n, np.int64)
+    for c in columns:
+        d = pc.dictionary_encode(c, null_encoding="encode")
+        code = code * (len(d.dictionary) + 1) + np.asarray(d.indices, np.int64)
+        code = np.unique(code, return_inverse=True)[1]
+    _, first, code = np.unique(code, return_index=True, return_inverse=True)
+    return code, first
+
+
 def gram_matrix(sums: DataFrame, k: int) -> np.ndarray:
     """The k x k matrix of one group's sums, on the driver."""
     g = np.zeros((k, k))
@@ -174,27 +192,74 @@ def score_expressions(df: DataFrame, exprs: dict[str, tuple[Column, int]], targe
     return out
 
 
-def weak_sindy(df: DataFrame, terms: Sequence[tuple[str, Column]], state: str, time: str, n_tests: int = 20, threshold: float = 0.1) -> np.ndarray:
-    """Sparse coefficients from integrals against bump functions, without derivatives of the data.
+def weak_sindy(df: DataFrame, terms: Sequence[tuple[str, Column]], state: str, time: str, n_tests: int = 20, threshold: float = 0.1, test_function: str = "bump") -> np.ndarray:
+    """Sparse coefficients from integrals against bump, Gaussian or sine functions, without derivatives of the data.
 
-    The bumps overlap and tile the time span; each row meets the few whose
-    support holds it.  Integrals are trapezoids in time order.
+    The functions overlap and tile the time span; each row meets the few whose
+    support holds it.  Integrals are trapezoids in time order of each ``run_id``
+    (one run if there is none); neighbours in time are met by rank, so that a run
+    of any length is spread over tasks.
     """
     lo, hi = df.agg(F.min(time), F.max(time)).first()
     half = 2.0 * (hi - lo) / (n_tests + 1)
     centres = [lo + (hi - lo) * (k + 1) / (n_tests + 1) for k in range(n_tests)]
-    w = Window.orderBy(time) if "run_id" not in df.columns else Window.partitionBy("run_id").orderBy(time)
-    dt = (F.coalesce(F.lead(time).over(w), F.col(time)) - F.coalesce(F.lag(time).over(w), F.col(time))) / 2
-    rows = df.withColumn("__dt", dt).withColumn("__k", F.explode(F.filter(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(c).alias("c")) for k, c in enumerate(centres)]), lambda s: F.abs(F.col(time) - s["c"]) < half)))
+    key = "run_id" if "run_id" in df.columns else "__run"
+    rows = df if key == "run_id" else df.withColumn(key, F.lit(0))
+    rows = next_rows(rows, key, [time], [time], back=True)
+    dt = (F.coalesce(f"next_{time}", time) - F.coalesce(f"prev_{time}", time)) / 2
+    tests = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(c).alias("c")) for k, c in enumerate(centres)])
+    rows = rows.withColumn("__dt", dt).withColumn("__k", F.explode(F.filter(tests, lambda s: F.abs(F.col(time) - s["c"]) < half)))
     z = (F.col(time) - F.col("__k.c")) / half
-    bump, slope = (1 - z * z) ** 2, -4 * z * (1 - z * z) / half
+    bump, slope = bump_test(z, test_function)
     inside = (F.col("__k.c") - half >= lo) & (F.col("__k.c") + half <= hi)
-    sums = rows.where(inside).groupBy(F.col("__k.k").alias("k")).agg(*[F.sum(c * bump * F.col("__dt")).alias(f"t{i}") for i, (_, c) in enumerate(terms)], (-F.sum(F.col(state) * slope * F.col("__dt"))).alias("y")).toPandas()  # n_tests rows
+    sums = rows.where(inside).groupBy(F.col("__k.k").alias("k")).agg(*[F.sum(c * bump * F.col("__dt")).alias(f"t{i}") for i, (_, c) in enumerate(terms)], (-F.sum(F.col(state) * slope / half * F.col("__dt"))).alias("y")).toPandas()  # n_tests rows
     a = np.column_stack([sums[[f"t{i}" for i in range(len(terms))]].to_numpy(float), sums.y.to_numpy(float)])
     return stlsq(a.T @ a, len(terms), threshold)[:, 0]
 
 
+def bump_test(z: Column, kind: str) -> tuple[Column, Column]:
+    """A test function on (-1, 1) that ends at 0, and its derivative."""
+    if kind == "bump":
+        f, d = (1 - z * z) ** 2, -4 * z * (1 - z * z)
+    elif kind == "gaussian":  # minus its end value, so that it vanishes there
+        end = float(np.exp(-4.5))
+        f, d = F.exp(-4.5 * z * z) - end, -9 * z * F.exp(-4.5 * z * z)
+    elif kind == "sine":
+        f, d = F.cos(z * np.pi / 2) ** 2, -np.pi / 2 * F.sin(z * np.pi)
+    else:
+        raise ValueError(f"no test function {kind}")
+    return f, d
+
+
 def sindy_constrained(coef: np.ndarray, a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
     """Coefficients projected onto linear constraints a c = b, then thresholded."""
     c = coef - np.linalg.pinv(a) @ (a @ coef - b)
     return np.where(np.abs(c) < threshold, 0.0, c)
+
+
+def pde_find(grid: DataFrame, derivative_order: int = 2, polynomial_order: int = 2, threshold: float = 0.1, trim: int = 0, by: str = "run_id") -> tuple[str, dict[str, float], float]:
+    """Equation, coefficients by term and mean squared residual of u_t on a grid ``run_id, it, ix, t, x, u``.
+
+    Derivatives are differences along lines of the grid; rows that are not finite
+    are left out.  ``trim`` leaves out that many points at each end of both axes,
+    where differences are one-sided.
+    """
+    from fieldloom.operators.fields import finite_rows
+
+    keys = [by] if by in grid.columns else []
+    d = derivative(grid, "u", "t", [*keys, "ix"], "u_t")
+    names = ["u"]
+    for k in range(derivative_order):
+        d = derivative(d, names[-1], "x", [*keys, "it"], "u" + "_x" * (k + 1))
+        names.append("u" + "_x" * (k + 1))
+    if trim:
+        ends = d.agg(F.min("it"), F.max("it"), F.min("ix"), F.max("ix")).first()
+        d = d.where(F.col("it").between(ends[0] + trim, ends[1] - trim) & F.col("ix").between(ends[2] + trim, ends[3] - trim))
+    rows = finite_rows(d, ["u_t", *names])
+    terms = pde_library(names, polynomial_order)
+    p = len(terms)
+    g = gram_matrix(normal_equations(rows, [c for _, c in terms] + [F.col("u_t")]), p + 1)
+    c = stlsq(g, p, threshold)[:, 0]
+    found = {n: float(v) for (n, _), v in zip(terms, c) if abs(v) > 1e-10}
+    rest = g[p, p] - 2 * c @ g[:p, p] + c @ g[:p, :p] @ c
+    return "u_t = " + (" + ".join(f"{v:.4f}*{n}" for n, v in found.items()) or "0"), found, float(max(rest, 0.0) / max(g[0, 0], 1.0))

@@ -1,8 +1,10 @@
-"""Nearest-neighbour and radius joins on bucketed points, and what is built on them.
+"""Nearest-neighbour and radius joins, and what is built on them.
 
-Points are ``(id, p)`` with ``p array<double>`` of two or three coordinates.  A
-bucket is a cube of side ``h``; each point meets the points of its own and the
-adjoining buckets in an equi-join, never in a cross join.
+Points are ``(id, p)`` with ``p array<double>`` of two or three coordinates.
+Radius joins bucket points in cubes of the radius.  Nearest neighbours use cells
+of bounded load: medians of a bounded sample cut the space into boxes, and a
+point meets only the boxes that can hold one of its neighbours.  Both are
+equi-joins, never cross joins.
 """
 
 from __future__ import annotations
@@ -10,12 +12,25 @@ from __future__ import annotations
 from itertools import product
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldloom.sources.scratch import Scratch
 
+#: Boxes at most and sampled points for each; members and queries of one block of a box.
+MAX_LEAVES, PER_LEAF, BLOCK = 1 << 17, 8, 2_000
+#: Rows of a small side that are broadcast at once; more take more passes.
+SMALL_ROWS = 20_000
+
+
+def in_blocks(small: DataFrame, rows: int = SMALL_ROWS) -> list[DataFrame]:
+    """``small`` in parts of about ``rows`` rows, each marked for broadcast: its size is counted, not promised."""
+    n = max(1, -(-small.count() // rows))
+    part = F.pmod(F.xxhash64(*small.columns), F.lit(n))
+    return [F.broadcast(small.where(part == k) if n > 1 else small) for k in range(n)]
+
 
 def distance(a: str, b: str) -> Column:
     return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v))
@@ -41,40 +56,149 @@ def radius_join(a: DataFrame, b: DataFrame, r: float, d: int = 2) -> DataFrame:
     return left.join(right, "bucket").select("id", "other", distance("p", "q").alias("dist")).where(F.col("dist") < r)
 
 
-def knn_join(a: DataFrame, b: DataFrame, k: int, d: int = 2, h: float | None = None, exclude_self: bool = True) -> DataFrame:
-    """``id, rank, other, dist``: the k nearest points of ``b``, ties by id.
+class _Boxes:
+    """A complete binary tree of median cuts and the boxes and counts of the points in its nodes.
 
-    A point is final once k candidates lie within the bucket side, the radius
-    that its buckets cover; the others are tried again with twice the side.
-    Buckets grow until they hold the box of both tables, so every point ends.
+    Node 0 is the root, 2 i + 1 and 2 i + 2 are the children of i; the last
+    level's nodes are the leaves.
     """
-    tmp = Scratch(a.sparkSession, "knn")
-    box = b.where("p is not null").agg(F.count("*").alias("n"), *[f(F.col("p")[i]).alias(f"{m}{i}") for i in range(d) for m, f in (("lo", F.min), ("hi", F.max))]).first()
-    todo = tmp.write(a.where("p is not null").select("id", "p"), "todo")
-    empty = todo.limit(0).select("id", F.lit(0).alias("rank"), F.col("id").alias("other"), F.lit(0.0).alias("dist"))
-    if not box.n:
-        return empty
-    span = max(max(box[f"hi{i}"] - box[f"lo{i}"] for i in range(d)), 1e-12)
-    h = h or span / max(1.0, (box.n / (2.0 * k)) ** (1.0 / d))
-    finite = todo.where(" and ".join(f"abs(p[{i}]) < double('infinity')" for i in range(d)))
-    own = finite.agg(F.count("*").alias("n"), *[f(F.col("p")[i]).alias(f"{m}{i}") for i in range(d) for m, f in (("lo", F.min), ("hi", F.max))]).first()
-    if own.n:
-        span = max(span, *[max(box[f"hi{i}"], own[f"hi{i}"]) - min(box[f"lo{i}"], own[f"lo{i}"]) for i in range(d)])
-    done, w = empty, Window.partitionBy("id").orderBy("dist", "other")
-    while True:
-        left = todo.select("id", "p", F.explode(_around(h, d)).alias("bucket"))
-        right = b.where("p is not null").select(F.col("id").alias("other"), F.col("p").alias("q"), _cell(h, d).alias("bucket"))
-        near = left.join(right, "bucket").select("id", "other", distance("p", "q").alias("dist"))
-        near = near.where(F.col("id") != F.col("other")) if exclude_self else near
-        best = tmp.write(near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("id", "rank", "other", "dist"), "best")
-        if h > 2 * span:
-            return done.unionByName(best)
-        good = best.where((F.col("rank") == k) & (F.col("dist") <= h)).select("id")
-        done = done.unionByName(best.join(good, "id", "left_semi"))
-        todo = tmp.write(todo.join(good, "id", "left_anti"), "todo")
-        if todo.isEmpty():
-            return done
-        h *= 2
+
+    def __init__(self, sample: np.ndarray, depth: int):
+        d = sample.shape[1]
+        self.depth, self.inner = depth, (1 << depth) - 1
+        self.axis, self.cut = np.zeros(self.inner, np.int64), np.zeros(self.inner)
+        of = np.zeros(len(sample), np.int64)
+        for level in range(depth):
+            lo, n = (1 << level) - 1, 1 << level
+            low, high = np.full((n, d), np.inf), np.full((n, d), -np.inf)
+            np.minimum.at(low, of - lo, sample), np.maximum.at(high, of - lo, sample)
+            axis = np.where(np.isfinite(high - low), high - low, 0).argmax(1)
+            v = sample[np.arange(len(sample)), axis[of - lo]]
+            order = np.lexsort((v, of))
+            first = np.searchsorted(of[order], np.arange(lo, lo + n))
+            count = np.bincount(of - lo, minlength=n)
+            mid = np.minimum(first + np.maximum(count - 1, 0) // 2, max(len(sample) - 1, 0))
+            self.axis[lo : lo + n], self.cut[lo : lo + n] = axis, v[order][mid] if len(sample) else 0.0
+            of = self._down(sample, of)
+
+    def _down(self, x: np.ndarray, at: np.ndarray) -> np.ndarray:
+        return 2 * at + 1 + (x[np.arange(len(x)), self.axis[at]] > self.cut[at])
+
+    def leaf(self, x: np.ndarray) -> np.ndarray:
+        at = np.zeros(len(x), np.int64)
+        for _ in range(self.depth):
+            at = self._down(x, at)
+        return at - self.inner
+
+    def fill(self, leaf: np.ndarray, count: np.ndarray, low: np.ndarray, high: np.ndarray) -> None:
+        n = self.inner + (1 << self.depth)
+        self.count, self.low, self.high = np.zeros(n, np.int64), np.full((n, low.shape[1]), np.inf), np.full((n, low.shape[1]), -np.inf)
+        at = leaf + self.inner
+        self.count[at], self.low[at], self.high[at] = count, low, high
+        for level in range(self.depth - 1, -1, -1):
+            i = np.arange((1 << level) - 1, (1 << (level + 1)) - 1)
+            a, b = 2 * i + 1, 2 * i + 2
+            self.count[i] = self.count[a] + self.count[b]
+            self.low[i], self.high[i] = np.minimum(self.low[a], self.low[b]), np.maximum(self.high[a], self.high[b])
+
+    def near(self, x: np.ndarray, need: int) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of ``x`` and the leaves that may hold one of their ``need`` nearest points."""
+        at = self.leaf(x) + self.inner
+        while (few := (self.count[at] < need) & (at > 0)).any():
+            at = np.where(few, (at - 1) // 2, at)
+        with np.errstate(invalid="ignore"):
+            far = np.maximum(np.abs(x - self.low[at]), np.abs(x - self.high[at]))
+        reach = np.where(self.count[at] >= need, (far**2).sum(1) * (1 + 1e-9), np.inf)
+        row, node, out = np.arange(len(x)), np.zeros(len(x), np.int64), []
+        for level in range(self.depth + 1):
+            gap = np.maximum(np.maximum(self.low[node] - x[row], x[row] - self.high[node]), 0.0)
+            ok = (self.count[node] > 0) & ((gap**2).sum(1) <= reach[row])
+            row, node = row[ok], node[ok]
+            if level < self.depth:
+                row, node = np.repeat(row, 2), np.stack([2 * node + 1, 2 * node + 2], 1).ravel()
+        return row, node - self.inner
+
+
+def _coordinates(col: pa.Array, d: int) -> np.ndarray:
+    return np.asarray(pc.list_flatten(col), np.float64).reshape(len(col), -1)[:, :d]
+
+
+def _nearest(k: int, d: int, exclude_self: bool):
+    """The k nearest points of a block to each of its queries, ties by id."""
+
+    def one(tab):
+        query = np.asarray(tab.column("query"))
+        qi, xi = np.flatnonzero(query == 1), np.flatnonzero(query == 0)
+        ids, p = np.asarray(tab.column("id")), _coordinates(tab.column("p").combine_chunks(), d)
+        xi = xi[np.argsort(ids[xi], kind="stable")]
+        got = [[], [], []]
+        for at in range(0, len(qi) if len(xi) else 0, 500):
+            q = qi[at : at + 500]
+            dist = np.sqrt(sum((p[q, None, i] - p[None, xi, i]) ** 2 for i in range(d)))
+            if exclude_self:
+                dist[ids[q][:, None] == ids[xi][None]] = np.inf
+            order = np.argsort(dist, axis=1, kind="stable")[:, :k]
+            best = np.take_along_axis(dist, order, 1)
+            r, c = np.nonzero(best < np.inf)
+            for col, v in zip(got, (ids[q][r], ids[xi][order[r, c]], best[r, c])):
+                col.append(v)
+        cols = [np.concatenate(c) if c else np.empty(0) for c in got]
+        return pa.table({"id": pa.array(cols[0].astype(np.int64)), "other": pa.array(cols[1].astype(np.int64)), "dist": pa.array(cols[2].astype(float))})
+
+    return one
+
+
+def knn_join(a: DataFrame, b: DataFrame, k: int, d: int = 2, exclude_self: bool = True) -> DataFrame:
+    """``id, rank, other, dist``: the k nearest points of ``b``, ties by id; ids are integers.
+
+    Boxes hold about ``4 k`` points each whatever their distribution, since their
+    cuts are medians of a bounded sample (with more than ``MAX_LEAVES`` boxes'
+    worth of points they hold more).  The distance to the far corner of a box
+    with enough points bounds a query's reach, so it meets just the boxes within
+    it.  A box of many equal points, or of many queries, is met in blocks.  Rows
+    without finite coordinates meet nothing.
+    """
+    spark = a.sparkSession
+    tmp, need = Scratch(spark, "knn"), k + int(exclude_self)
+    sound = F.col("p").isNotNull() & (F.size("p") >= d)
+    for i in range(d):
+        sound = sound & F.col("p")[i].isNotNull() & ~F.isnan(F.col("p")[i]) & (F.abs(F.col("p")[i]) < float("inf"))
+    rows = lambda t: t.where(sound).select(F.col("id").cast("long").alias("id"), F.col("p").cast("array<double>").alias("p"))
+    held = rows(b)
+    n = held.count()
+    depth = max(0, min(MAX_LEAVES, n // max(4 * k, 32)).bit_length() - 1)
+    share = F.pmod(F.xxhash64("id", F.lit(5)), F.lit(max(n, 1))) < PER_LEAF << depth
+    sample = held.where(share).select("p").toPandas()  # about PER_LEAF rows a box
+    boxes = _Boxes(np.array(sample.p.tolist(), float).reshape(len(sample), -1)[:, :d] if len(sample) else np.empty((0, d)), depth)
+    cuts = spark.sparkContext.broadcast(boxes)
+
+    def place(batches):
+        for t in batches:
+            yield pa.RecordBatch.from_arrays([t.column(0), t.column(1), pa.array(cuts.value.leaf(_coordinates(t.column(1), d)), pa.int64())], names=["id", "p", "leaf"])
+
+    placed = tmp.write(held.mapInArrow(place, "id long, p array<double>, leaf long"), "placed")
+    ends = placed.groupBy("leaf").agg(F.count("*").alias("n"), *[f(F.col("p")[i]).alias(f"{m}{i}") for m, f in (("lo", F.min), ("hi", F.max)) for i in range(d)]).toPandas()  # MAX_LEAVES rows at most
+    boxes.fill(ends.leaf.to_numpy(np.int64), ends.n.to_numpy(np.int64), *(ends[[f"{m}{i}" for i in range(d)]].to_numpy(float).reshape(-1, d) for m in ("lo", "hi")))
+    full = spark.sparkContext.broadcast(boxes)
+
+    def reach(batches):
+        for t in batches:
+            for at in range(0, t.num_rows, 2_000):
+                s = t.slice(at, 2_000)
+                row, leaf = full.value.near(_coordinates(s.column(1), d), need)
+                take = pa.array(row)
+                yield pa.RecordBatch.from_arrays([s.column(0).take(take), s.column(1).take(take), pa.array(leaf, pa.int64())], names=["id", "p", "leaf"])
+
+    asked = tmp.write(rows(a).mapInArrow(reach, "id long, p array<double>, leaf long"), "asked")
+    load = placed.groupBy("leaf").agg(F.ceil(F.count("*") / BLOCK).alias("ni")).join(asked.groupBy("leaf").agg(F.ceil(F.count("*") / BLOCK).alias("nq")), "leaf")
+    load = F.broadcast(tmp.write(load, "load"))  # MAX_LEAVES rows at most
+    spots = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+    own = lambda c: F.pmod(F.xxhash64("id"), F.col(c))
+    left = asked.join(load, "leaf").select("leaf", spots("ni").alias("ib"), own("nq").alias("qb"), F.lit(1).alias("query"), "id", "p")
+    right = placed.join(load, "leaf").select("leaf", own("ni").alias("ib"), spots("nq").alias("qb"), F.lit(0).alias("query"), "id", "p")
+    near = left.unionByName(right).groupBy("leaf", "ib", "qb").applyInArrow(_nearest(k, d, exclude_self), "id long, other long, dist double")
+    w = Window.partitionBy("id").orderBy("dist", "other")
+    return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("id", "rank", "other", "dist")
 
 
 def idw_interpolate(points: DataFrame, values: DataFrame, query: DataFrame, k: int = 4, d: int = 2) -> DataFrame:
@@ -84,19 +208,86 @@ def idw_interpolate(points: DataFrame, values: DataFrame, query: DataFrame, k: i
     return near.join(values.select(F.col("id").alias("other"), "value"), "other").groupBy("id").agg((F.sum(w * F.col("value")) / F.sum(w)).alias("value"))
 
 
-def rbf_interpolate(points: DataFrame, values: DataFrame, query: DataFrame, k: int = 12, d: int = 2) -> DataFrame:
-    """Local thin-plate spline with a linear tail over the k nearest values."""
+def _stencils(points: DataFrame, query: DataFrame, k: int, d: int, extra: DataFrame | None = None) -> DataFrame:
+    """``id, p, q`` (and ``v``): each query with the coordinates (and values) of its k nearest points, nearest first."""
     near = knn_join(query, points, k, d, exclude_self=False)
-    rows = near.join(values.select(F.col("id").alias("other"), "value"), "other").join(points.select(F.col("id").alias("other"), F.col("p").alias("q")), "other").join(query.select("id", "p"), "id")
+    rows = near.join(points.select(F.col("id").alias("other"), F.col("p").alias("q")), "other")
+    more = ["other"]
+    if extra is not None:
+        rows, more = rows.join(extra.select(F.col("id").alias("other"), F.col("value").cast("double").alias("v")), "other"), ["other", "v"]
+    packed = rows.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("rank", "q", *more))).alias("s"))  # k entries
+    return packed.join(query.select("id", "p"), "id").select("id", F.col("p").cast("array<double>").alias("p"), F.flatten("s.q").cast("array<double>").alias("q"), *[F.col(f"s.{c}").alias(c) for c in more])
+
+
+def _by_size(batch: pa.RecordBatch, d: int):
+    """Rows of ``_stencils`` of equal stencil size together: rows, centres (n, d) and points (n, k, d)."""
+    size = np.asarray(pc.list_value_length(batch.column("other")))
+    for k in np.unique(size).tolist():
+        rows = np.flatnonzero(size == k)
+        for part in np.array_split(rows, max(1, len(rows) // 2_000)):
+            take = pa.array(part)
+            yield part, _coordinates(batch.column("p").take(take), d), np.asarray(pc.list_flatten(batch.column("q").take(take)), float).reshape(len(part), k, -1)[:, :, :d]
+
+
+def rbf_interpolate(points: DataFrame, values: DataFrame, query: DataFrame, k: int = 12, d: int = 2) -> DataFrame:
+    """Local thin-plate spline with a linear tail over the k nearest values; many small systems are solved at once."""
+    rows = _stencils(points, query, k, d, values)
+    phi = lambda r: np.where(r > 0, r * r * np.log(np.maximum(r, 1e-300)), 0.0)
+
+    def solve(batches):
+        for b in batches:
+            out = np.empty(b.num_rows)
+            for part, p, x in _by_size(b, d):
+                n, m, _ = x.shape
+                x = x - p[:, None]  # the query is the origin, so the tail there is its constant
+                a = np.zeros((n, m + d + 1, m + d + 1))
+                a[:, :m, :m] = phi(np.linalg.norm(x[:, :, None] - x[:, None], axis=3))
+                a[:, :m, m], a[:, m, :m] = 1.0, 1.0
+                a[:, :m, m + 1 :], a[:, m + 1 :, :m] = x, x.transpose(0, 2, 1)
+                y = np.asarray(pc.list_flatten(b.column("v").take(pa.array(part))), float).reshape(n, m)
+                c = (np.linalg.pinv(a, rcond=1e-13) @ np.concatenate([y, np.zeros((n, d + 1))], 1)[:, :, None])[:, :, 0]
+                out[part] = (phi(np.linalg.norm(x, axis=2)) * c[:, :m]).sum(1) + c[:, m]
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(out)], names=["id", "value"])
 
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, y, at = np.array(pdf.q.tolist()), pdf.value.to_numpy(float), np.array(pdf.p.iloc[0])
-        phi = lambda r: np.where(r > 0, r * r * np.log(np.maximum(r, 1e-300)), 0.0)
-        a = np.block([[phi(np.linalg.norm(x[:, None] - x[None], axis=2)), np.c_[np.ones(len(x)), x]], [np.c_[np.ones(len(x)), x].T, np.zeros((x.shape[1] + 1,) * 2)]])
-        c = np.linalg.lstsq(a, np.r_[y, np.zeros(x.shape[1] + 1)], rcond=None)[0]
-        return pd.DataFrame({"id": [pdf.id.iloc[0]], "value": [float(np.r_[phi(np.linalg.norm(x - at, axis=1)), 1.0, at] @ c)]})
+    return rows.mapInArrow(solve, "id long, value double")
 
-    return rows.groupBy("id").applyInPandas(solve, "id long, value double")
+
+def rbf_fd_weights(points: DataFrame, k: int = 15, d: int = 2) -> DataFrame:
+    """``id, other, weight``: Laplacian weights of each point on its k nearest points (itself among them).
+
+    Cubic radial functions with a quadratic tail, so the weights are exact for
+    quadratics.  Stencils whose points do not determine a quadratic get the
+    minimum-norm weights.
+    """
+    rows = _stencils(points, points, k, d)
+    quad = [(i, j) for i in range(d) for j in range(i, d)]
+
+    def solve(batches):
+        for b in batches:
+            ids, other, weight = [], [], []
+            for part, p, x in _by_size(b, d):
+                n, m, _ = x.shape
+                x = x - p[:, None]
+                size = np.maximum(np.abs(x).max((1, 2)), 1e-300)[:, None, None]  # solved at unit size
+                x = x / size
+                tail = np.concatenate([np.ones((n, m, 1)), x, np.stack([x[:, :, i] * x[:, :, j] for i, j in quad], 2)], 2)
+                t = tail.shape[2]
+                a = np.zeros((n, m + t, m + t))
+                a[:, :m, :m] = np.linalg.norm(x[:, :, None] - x[:, None], axis=3) ** 3
+                a[:, :m, m:], a[:, m:, :m] = tail, tail.transpose(0, 2, 1)
+                right = np.zeros((n, m + t))
+                right[:, :m] = 3 * (d + 1) * np.linalg.norm(x, axis=2)  # the Laplacian of r^3
+                for q, (i, j) in enumerate(quad):
+                    right[:, m + 1 + d + q] = 2.0 if i == j else 0.0
+                w = (np.linalg.pinv(a, rcond=1e-13) @ right[:, :, None])[:, :m, 0] / size[:, 0] ** 2
+                take = pa.array(part)
+                ids.append(np.repeat(np.asarray(b.column("id").take(take)), m))
+                other.append(np.asarray(pc.list_flatten(b.column("other").take(take))))
+                weight.append(w.ravel())
+            cat = lambda v, t: pa.array(np.concatenate(v) if v else np.empty(0), t)
+            yield pa.RecordBatch.from_arrays([cat(ids, pa.int64()), cat(other, pa.int64()), cat(weight, pa.float64())], names=["id", "other", "weight"])
+
+    return rows.mapInArrow(solve, "id long, other long, weight double")
 
 
 def density_filter(cells: DataFrame, r: float, d: int = 2) -> DataFrame:
@@ -106,20 +297,39 @@ def density_filter(cells: DataFrame, r: float, d: int = 2) -> DataFrame:
     return pairs.join(cells.select(F.col("id").alias("other"), "rho"), "other").groupBy("id").agg((F.sum(w * F.col("rho")) / F.sum(w)).alias("filtered"))
 
 
+def sensitivity_filter(cells: DataFrame, r: float, d: int = 2, floor: float = 1e-12) -> DataFrame:
+    """``id, filtered``: the transpose of the row-normalised cone weights applied to ``dc * rho``, over ``max(rho, floor)``.
+
+    ``cells(id, p, rho, dc)``.
+    """
+    pairs = radius_join(cells, cells, r, d).withColumn("w", F.lit(r) - F.col("dist"))
+    total = pairs.groupBy("id").agg(F.sum("w").alias("total"))
+    row = cells.select("id", (F.col("dc") * F.col("rho")).alias("g")).join(total, "id").select("id", (F.col("g") / F.col("total")).alias("g"))
+    got = pairs.join(row, "id").groupBy(F.col("other").alias("id")).agg(F.sum(F.col("w") * F.col("g")).alias("s"))
+    return cells.select("id", "rho").join(got, "id").select("id", (F.col("s") / F.greatest("rho", F.lit(floor))).alias("filtered"))
+
+
 def kernel_correct(query: DataFrame, support: DataFrame, eps: float = 1.0, d: int = 2) -> DataFrame:
-    """Residual correction by normalised Gaussian weights over the whole support table.
+    """Residual correction by normalised Gaussian weights over the whole table ``support(p, residual)``.
 
-    ``support(p, residual)`` is the stated small side; it is broadcast below the
-    session's broadcast limit and otherwise joined in blocks by Spark.
+    The support is counted and met in blocks of ``SMALL_ROWS``, each broadcast;
+    the blocks' sums are added up.
     """
     dist2 = sum((F.col("p")[i] - F.col("s.p")[i]) ** 2 for i in range(d))
     w = F.exp(-eps * dist2)
-    rows = query.select("id", "p").crossJoin(support.select(F.struct("p", "residual").alias("s")))
-    return rows.groupBy("id").agg((F.sum(w * F.col("s.residual")) / (F.sum(w) + 1e-10)).alias("correction"))
+    out = None
+    for part in in_blocks(support.select(F.struct("p", "residual").alias("s"))):
+        sums = query.select("id", "p").crossJoin(part).groupBy("id").agg(F.sum(w * F.col("s.residual")).alias("a"), F.sum(w).alias("b"))
+        out = sums if out is None else out.unionByName(sums)
+    return out.groupBy("id").agg((F.sum("a") / (F.sum("b") + 1e-10)).alias("correction"))
 
 
 def potential_superpose(points: DataFrame, singularities: DataFrame) -> DataFrame:
-    """Sum of source and vortex potentials ``kind, strength, x, y`` at each point ``id, x, y``."""
+    """Sum of source and vortex potentials ``kind, strength, x, y`` at each point ``id, x, y``; met in counted blocks."""
     dx, dy = F.col("x") - F.col("s.x"), F.col("y") - F.col("s.y")
     phi = F.when(F.col("s.kind") == "source", F.col("s.strength") / (2 * np.pi) * F.log(F.sqrt(dx * dx + dy * dy) + 1e-10)).when(F.col("s.kind") == "vortex", -F.col("s.strength") / (2 * np.pi) * F.atan2(dy, dx)).otherwise(F.col("s.strength") * F.col("x"))
-    return points.select("id", "x", "y").crossJoin(singularities.select(F.struct("kind", "strength", "x", "y").alias("s"))).groupBy("id").agg(F.sum(phi).alias("potential"))
+    out = None
+    for part in in_blocks(singularities.select(F.struct("kind", "strength", "x", "y").alias("s"))):
+        sums = points.select("id", "x", "y").crossJoin(part).groupBy("id").agg(F.sum(phi).alias("potential"))
+        out = sums if out is None else out.unionByName(sums)
+    return out.groupBy("id").agg(F.sum("potential").alias("potential"))

@@ -9,6 +9,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldloom.operators.spatial import in_blocks
+from fieldloom.sources.scratch import Scratch
+
 MAX_TRAIN = 5_000
 
 
@@ -31,6 +34,16 @@ def expected_improvement(mean: Column, std: Column, best: float | Column, xi: fl
     return s * (z * normal_cdf(z) + normal_pdf(z))
 
 
+def max_uncertainty(std: Column) -> Column:
+    """The deviation itself is the score."""
+    return std
+
+
+def committee_disagreement(predictions: DataFrame) -> DataFrame:
+    """``id, score``: population variance of the members' means ``id, member, mean``."""
+    return predictions.groupBy("id").agg(F.var_pop("mean").alias("score"))
+
+
 def ensemble_combine(predictions: DataFrame) -> DataFrame:
     """Mean of means; variance is the mean variance plus the variance of means. ``id, member, mean, std``."""
     return predictions.groupBy("id").agg(F.avg("mean").alias("mean"), F.sqrt(F.avg(F.col("std") ** 2) + F.var_pop("mean")).alias("std"))
@@ -40,57 +53,124 @@ def top_candidates(scored: DataFrame, k: int) -> DataFrame:
     return scored.orderBy(F.desc("score"), "id").limit(k)
 
 
-def diverse_batch(scored: DataFrame, k: int, dims: Sequence[str]) -> list[int]:
-    """Greedy choice by score * (1 - exp(-distance to the chosen)); one pass a choice, one row each to the driver."""
-    chosen: list = []
+def diverse_batch(scored: DataFrame, k: int, dims: Sequence[str], every: int = 8) -> list[int]:
+    """Greedy choice by score * (1 - exp(-distance to the chosen)); one pass a choice, one row each to the driver.
+
+    The distance to the chosen is a column that is written anew after ``every``
+    choices, so expressions stay short whatever k is.
+    """
+    tmp = Scratch(scored.sparkSession, "batch")
+    left = tmp.write(scored.select("id", "score", *dims, F.lit(None).cast("double").alias("min_dist")), "left")
+    chosen, fresh = [], []
     for _ in range(k):
-        near = None
-        for r in chosen:
-            d = F.sqrt(sum((F.col(c) - float(r[c])) ** 2 for c in dims))
-            near = d if near is None else F.least(near, d)
-        value = F.col("score") if near is None else F.col("score") * (1 - F.exp(-near))
-        left = scored.where(~F.col("id").isin([r.id for r in chosen])) if chosen else scored
-        best = left.withColumn("__v", value).agg(F.max_by(F.struct("id", *dims), F.struct("__v", -F.col("id"))).alias("b")).first().b
+        near = F.col("min_dist")
+        for r in fresh:
+            near = F.least(near, F.sqrt(sum((F.col(c) - float(r[c])) ** 2 for c in dims)))
+        rest = left.where(~F.col("id").isin([r.id for r in fresh])) if fresh else left
+        value = F.when(near.isNull(), F.col("score")).otherwise(F.col("score") * (1 - F.exp(-near)))
+        best = rest.withColumn("v", value).agg(F.max_by(F.struct("id", *dims), F.struct("v", -F.col("id"))).alias("b")).first().b
         if best is None:
             break
-        chosen.append(best)
-    return [r.id for r in chosen]
+        chosen.append(best.id)
+        fresh.append(best)
+        if len(fresh) == every:
+            near = F.col("min_dist")
+            for r in fresh:
+                near = F.least(near, F.sqrt(sum((F.col(c) - float(r[c])) ** 2 for c in dims)))
+            after = tmp.write(left.where(~F.col("id").isin([r.id for r in fresh])).withColumn("min_dist", near), "left")
+            tmp.drop(left)
+            left, fresh = after, []
+    return chosen
+
+
+class _Gp:
+    """Factors of a squared-exponential process on training points."""
+
+    def __init__(self, x: np.ndarray, y: np.ndarray, length: float, noise: float):
+        self.x, self.length = x, length
+        chol = np.linalg.cholesky(self.kernel(x) + noise * np.eye(len(x)))
+        self.inverse = np.linalg.solve(chol, np.eye(len(x))) if len(x) else np.zeros((0, 0))
+        self.alpha = self.inverse.T @ (self.inverse @ y)
+        self.log_marginal = float(-0.5 * y @ self.alpha - np.log(np.diag(chol)).sum() - 0.5 * len(x) * np.log(2 * np.pi)) if len(x) else 0.0
+
+    def kernel(self, a: np.ndarray) -> np.ndarray:
+        d2 = (a**2).sum(1)[:, None] + (self.x**2).sum(1)[None] - 2 * a @ self.x.T
+        return np.exp(-0.5 * np.maximum(d2, 0) / self.length**2)
 
 
-def gp_predict(candidates: DataFrame, train: DataFrame, length: float = 1.0, noise: float = 1e-6) -> DataFrame:
-    """``id, mean, std`` of a squared-exponential Gaussian process; training rows are bounded and checked."""
-    rows = train.limit(MAX_TRAIN + 1).toPandas()
-    if len(rows) > MAX_TRAIN:
-        raise ValueError(f"more than {MAX_TRAIN} training rows: thin them first")
-    x, y = np.array(rows.p.tolist(), float), rows.y.to_numpy(float)
-    kern = lambda a, b: np.exp(-0.5 * ((a[:, None] - b[None]) ** 2).sum(2) / length**2)
-    chol = np.linalg.cholesky(kern(x, x) + noise * np.eye(len(x)))
-    alpha = np.linalg.solve(chol.T, np.linalg.solve(chol, y))
-    held = candidates.sparkSession.sparkContext.broadcast((x, chol, alpha))
+def _gp(train: DataFrame, length: float, noise: float, max_train: int) -> _Gp:
+    p = train.select(F.col("p").cast("array<double>").alias("p"), F.col("y").cast("double").alias("y"))
+    rows = bounded_rows(p, max_train, "p", "y").toPandas().sort_values("y", kind="stable")  # max_train rows at most
+    return _Gp(np.array(rows.p.tolist(), float).reshape(len(rows), -1), rows.y.to_numpy(float), length, noise)
+
+
+def bounded_rows(df: DataFrame, n: int, *keys: str) -> DataFrame:
+    """All rows, or about ``n`` drawn by a hash of ``keys`` if there are more; never more than ``n``."""
+    total = df.count()
+    if total <= n:
+        return df
+    share = F.pmod(F.xxhash64(*keys, F.lit(9)), F.lit(1 << 30)) < int((1 << 30) * max(n - 4 * n**0.5, n / 2) / total)
+    return df.where(share).limit(n)
+
+
+def gp_predict(candidates: DataFrame, train: DataFrame, length: float = 1.0, noise: float = 1e-6, max_train: int = MAX_TRAIN) -> DataFrame:
+    """``id, mean, std`` of a squared-exponential Gaussian process at every candidate.
+
+    The process is fitted on at most ``max_train`` training rows (all, or a draw
+    by hash); candidates are scored in slices, so a task holds a few hundred
+    kernel rows at a time.
+    """
+    held = candidates.sparkSession.sparkContext.broadcast(_gp(train, length, noise, max_train))
 
     def run(batches):
-        x, chol, alpha = held.value
+        gp = held.value
         for b in batches:
-            if b.num_rows:
-                c = kern(np.asarray(b.column("p").flatten(), float).reshape(b.num_rows, -1), x)
-                var = 1 - (np.linalg.solve(chol, c.T) ** 2).sum(0)
-                yield pa.RecordBatch.from_pydict({"id": b.column("id"), "mean": pa.array(c @ alpha), "std": pa.array(np.sqrt(np.maximum(var, 1e-10)))})
+            x = np.asarray(b.column("p").flatten(), float).reshape(b.num_rows, -1) if b.num_rows else np.empty((0, 0))
+            mean, var = np.zeros(len(x)), np.ones(len(x))
+            for at in range(0, len(x) if len(gp.x) else 0, 500):
+                c = gp.kernel(x[at : at + 500])
+                mean[at : at + 500], var[at : at + 500] = c @ gp.alpha, 1 - ((c @ gp.inverse.T) ** 2).sum(1)
+            yield pa.RecordBatch.from_pydict({"id": b.column("id"), "mean": pa.array(mean), "std": pa.array(np.sqrt(np.maximum(var, 1e-10)))})
 
     return candidates.select(F.col("id").cast("long").alias("id"), F.col("p").cast("array<double>").alias("p")).mapInArrow(run, "id long, mean double, std double")
 
 
-def task_embedding(data: DataFrame, size: int = 8) -> DataFrame:
-    """Mean, deviation, minimum and maximum of each task's values, padded with zeros or cut to ``size``."""
-    stats = data.groupBy("task").agg(F.avg("value").alias("a"), F.stddev_pop("value").alias("b"), F.min("value").alias("c"), F.max("value").alias("d"))
-    return stats.select("task", F.slice(F.concat(F.array("a", "b", "c", "d"), F.array_repeat(F.lit(0.0), size)), 1, size).alias("e"))
+def gp_log_marginal(train: DataFrame, length: float = 1.0, noise: float = 1e-6, max_train: int = MAX_TRAIN) -> float:
+    """Log marginal likelihood of the training rows that ``gp_predict`` takes."""
+    return _gp(train, length, noise, max_train).log_marginal
+
+
+def task_embedding(data: DataFrame, size: int = 8, tasks: DataFrame | None = None) -> DataFrame:
+    """Parameters, domain, then mean, deviation, minimum and maximum of each task's values, padded with zeros or cut to ``size``.
+
+    ``tasks(task, parameters map, domain array)`` is optional; parameters stand in
+    the order of their names.  A task without values has zeros for them.
+    """
+    stats = data.groupBy("task").agg(F.array(F.avg("value"), F.stddev_pop("value"), F.min("value"), F.max("value")).alias("s"))
+    if tasks is None:
+        head, rows = F.array().cast("array<double>"), stats
+    else:
+        rows = tasks.join(stats, "task", "left").withColumn("s", F.coalesce("s", F.array_repeat(F.lit(0.0), 4)))
+        named = F.transform(F.array_sort(F.map_keys("parameters")), lambda k: F.element_at("parameters", k).cast("double"))
+        head = F.concat(F.coalesce(named, F.array().cast("array<double>")), F.coalesce(F.col("domain").cast("array<double>"), F.array().cast("array<double>")))
+    return rows.select("task", F.slice(F.concat(head, "s", F.array_repeat(F.lit(0.0), size)), 1, size).alias("e"))
 
 
 def similar_tasks(query: DataFrame, tasks: DataFrame, k: int = 5) -> DataFrame:
-    """``task, rank, other, similarity``: 1 / (1 + distance) of a stated query set against all tasks."""
-    q = query.select("task", F.col("e").alias("qe"))
+    """``task, rank, other, similarity``: 1 / (1 + distance) of a stated query set against all tasks.
+
+    The query set is counted and met in broadcast blocks; chunks of tasks keep the
+    k best of a query before these meet.
+    """
     d = F.sqrt(F.aggregate(F.zip_with("qe", "e", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v))
-    rows = tasks.select(F.col("task").alias("other"), "e").crossJoin(q).where("task <> other").select("task", "other", (1 / (1 + d)).alias("similarity"))
-    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("task").orderBy(F.desc("similarity"), "other"))).where(F.col("rank") <= k)
+    out = None
+    for part in in_blocks(query.select("task", F.col("e").alias("qe")), 1_000):
+        rows = tasks.select(F.col("task").alias("other"), "e").crossJoin(part).where("task <> other").select("task", "other", (1 / (1 + d)).alias("similarity"))
+        rows = rows.withColumn("chunk", F.pmod(F.xxhash64("other"), F.lit(64)))
+        w = Window.partitionBy("task", "chunk").orderBy(F.desc("similarity"), "other")
+        best = rows.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).select("task", "other", "similarity")
+        out = best if out is None else out.unionByName(best)
+    return out.withColumn("rank", F.row_number().over(Window.partitionBy("task").orderBy(F.desc("similarity"), "other"))).where(F.col("rank") <= k)
 
 
 def similarity_ensemble(neighbors: DataFrame, predictions: DataFrame) -> DataFrame:

@@ -8,29 +8,42 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldloom.operators.order import quantiles, running_moments
+from fieldloom.operators.spatial import in_blocks
+
 
 def monte_carlo(samples: DataFrame, outputs: Sequence[str], by: Sequence[str] = (), exact: bool = True) -> DataFrame:
     """Mean, population deviation and 2.5 / 97.5 percentiles of each output.
 
-    Exact percentiles shuffle one row a distinct value; past about 1e8 rows use
-    ``exact=False`` (``percentile_approx``).
+    Exact percentiles count equal values and sum the counts up in order over all
+    partitions, so no task holds a group's values; ``exact=False`` takes
+    ``percentile_approx``.
     """
-    cut = (lambda c, p: F.percentile(c, p)) if exact else (lambda c, p: F.percentile_approx(c, p, 100_000))
     aggs = []
     for c in outputs:
-        aggs += [F.avg(c).alias(f"{c}_mean"), F.stddev_pop(c).alias(f"{c}_std"), cut(c, 0.025).alias(f"{c}_low"), cut(c, 0.975).alias(f"{c}_high")]
-    return samples.groupBy(*by).agg(*aggs)
+        aggs += [F.avg(c).alias(f"{c}_mean"), F.stddev_pop(c).alias(f"{c}_std")]
+        if not exact:
+            aggs += [F.percentile_approx(c, 0.025, 100_000).alias(f"{c}_low"), F.percentile_approx(c, 0.975, 100_000).alias(f"{c}_high")]
+    out = samples.groupBy(*by).agg(*aggs)
+    for c in outputs if exact else ():
+        q = quantiles(samples, c, [0.025, 0.975], by).select(*[F.col(k).alias(f"__{k}") for k in by], F.col("q0").alias(f"{c}_low"), F.col("q1").alias(f"{c}_high"))
+        same = F.lit(True)
+        for k in by:
+            same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
+        out = (out.join(q, same, "left") if by else out.crossJoin(F.broadcast(q))).drop(*[f"__{k}" for k in by])  # without keys one row is broadcast
+    return out
 
 
 def mc_convergence(samples: DataFrame, order: str, value: str, by: str) -> DataFrame:
-    """Running mean and variance in sample order within each ``by``, with the standard error.
+    """Running mean and variance in sample order within each ``by``, with the standard error; runs of any length."""
+    r = running_moments(samples, by, order, value)
+    return r.select(by, order, "n", F.col("mean").alias("running_mean"), F.col("var").alias("running_var"), F.sqrt(F.col("var") / F.col("n")).alias("standard_error"))
 
-    Each key is one task's window; give ``by`` a chunk of the run where a run is
-    too long for one task.
-    """
-    w = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    n, m, v = F.count(value).over(w), F.avg(value).over(w), F.var_pop(value).over(w)
-    return samples.select(by, order, n.alias("n"), m.alias("running_mean"), v.alias("running_var"), F.sqrt(v / n).alias("standard_error"))
+
+def mc_final(samples: DataFrame, value: str, by: str) -> DataFrame:
+    """``by, n, mean, standard_error, relative_error``: what the running figures end with."""
+    g = samples.groupBy(by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.sqrt(F.var_pop(value) / F.count(value)).alias("standard_error"))
+    return g.withColumn("relative_error", F.col("standard_error") / (F.abs("mean") + 1e-10))
 
 
 def variance_decomposition(samples: DataFrame, inputs: Sequence[str], output: str, bounds: dict[str, tuple[float, float]], bins: int = 10) -> DataFrame:
@@ -88,16 +101,57 @@ def pce_fit(samples: DataFrame, nodes: Sequence[str], weight: str, value: str, d
     return rows.groupBy("term").agg((F.sum(F.col("w") * F.col("f") * F.col("p")) / (F.sum(F.col("w") * F.col("p") ** 2) + 1e-10)).alias("coef"))
 
 
+def interaction_share(samples: DataFrame, inputs: Sequence[str], output: str, bounds: dict[str, tuple[float, float]], bins: int = 10) -> DataFrame:
+    """One row ``interaction``: what the main effects of ``variance_decomposition`` leave."""
+    return variance_decomposition(samples, inputs, output, bounds, bins).agg((1 - F.sum("fraction")).alias("interaction"))
+
+
+def pce_moments(coefficients: DataFrame, normalized: bool = False) -> DataFrame:
+    """``mean, variance`` of an expansion: the first coefficient, and the sum of the other squares.
+
+    ``normalized`` weighs each square by the norm of its Legendre product, which
+    gives the variance under the uniform density.
+    """
+    orders = F.split("term", "-")
+    norm = F.aggregate(orders, F.lit(1.0), lambda a, n: a / (2 * n.cast("double") + 1)) if normalized else F.lit(1.0)
+    first = F.forall(orders, lambda n: n == "0")
+    return coefficients.agg(F.max(F.when(first, F.col("coef"))).alias("mean"), F.sum(F.when(~first, F.col("coef") ** 2 * norm)).alias("variance"))
+
+
+def morris_trajectories(starts: DataFrame, bounds: Sequence[tuple[float, float]], levels: int = 4, seed: int = 0) -> DataFrame:
+    """``trajectory, step, x``: from each ``trajectory`` id a start on the grid and one step in each parameter, in a random order.
+
+    All draws are hashes of seed and trajectory.
+    """
+    u = lambda k: (F.pmod(F.xxhash64(F.lit(seed), "trajectory", F.lit(k)), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
+    d = len(bounds)
+    rows = starts.select("trajectory", F.array(*[F.floor(u(i) * levels) for i in range(d)]).alias("l"), F.array_sort(F.array(*[F.struct(u(d + i).alias("u"), F.lit(i).alias("i")) for i in range(d)])).alias("o"), F.array(*[F.when(u(2 * d + i) > 0.5, 1).otherwise(-1) for i in range(d)]).alias("s"))
+    rows = rows.select("trajectory", "l", "s", F.col("o.i").alias("o"), F.explode(F.sequence(F.lit(0), F.lit(d))).alias("step"))
+    at = []
+    for i, (lo, hi) in enumerate(bounds):
+        moved = F.array_position("o", F.lit(i)) <= F.col("step")
+        level = F.col("l")[i] + F.when(moved, F.col("s")[i]).otherwise(0)
+        at.append(lo + (hi - lo) / (levels - 1) * F.least(F.greatest(level, F.lit(0)), F.lit(levels - 1)))
+    return rows.select("trajectory", "step", F.array(*at).alias("x"))
+
+
 def log_posterior(thetas: DataFrame, data: DataFrame, model: Column, noise: float, prior_std: float) -> DataFrame:
     """Log posterior of many parameter rows ``theta_id, theta`` against a large table ``x, y``.
 
-    The parameters are the small, stated side: they are joined to every data
-    row inside the partition and summed at once.  ``model`` is a column of
-    ``x`` and ``theta``.
+    The parameters are counted and met in broadcast blocks, each summed inside
+    the partitions of the data.  ``model`` is a column of ``x`` and ``theta``.
     """
     r = (F.col("y") - model) / noise
-    like = data.crossJoin(F.broadcast(thetas)).groupBy("theta_id", "theta").agg(F.sum(-0.5 * r * r).alias("like"))
-    return like.select("theta_id", "theta", (F.col("like") - 0.5 * (F.col("theta") / prior_std) ** 2).alias("log_posterior"))
+    out = None
+    for part in in_blocks(thetas):
+        like = data.crossJoin(part).groupBy("theta_id", "theta").agg(F.sum(-0.5 * r * r).alias("like"))
+        out = like if out is None else out.unionByName(like)
+    return out.select("theta_id", "theta", (F.col("like") - 0.5 * (F.col("theta") / prior_std) ** 2).alias("log_posterior"))
+
+
+def map_estimate(posterior: DataFrame) -> DataFrame:
+    """The row of the largest log posterior (the smallest id of equals)."""
+    return posterior.agg(F.max_by(F.struct("theta_id", "theta", "log_posterior"), F.struct("log_posterior", -F.col("theta_id"))).alias("m")).select("m.*")
 
 
 def fidelity_correlation(wide: DataFrame, levels: Sequence[str]) -> DataFrame:
@@ -107,14 +161,24 @@ def fidelity_correlation(wide: DataFrame, levels: Sequence[str]) -> DataFrame:
     return one.select(F.explode(F.array(*[f"p{i}" for i in range(len(pairs))])).alias("p")).select("p.*")
 
 
-def optimal_allocation(rho: Sequence[float], costs: Sequence[float], budget: float) -> list[int]:
-    """Samples for each level (highest first), at least one, from K correlations and costs."""
-    r2 = np.append(np.asarray(rho, float) ** 2, 0.0)
-    gain = np.maximum(r2[:-1] - r2[1:], 0.0)
-    ratio = np.sqrt(np.maximum(costs[0] * gain / (np.maximum(1 - r2[1], 1e-12) * np.asarray(costs)), 0.0))
-    ratio[0] = 1.0
-    n = budget / float(np.asarray(costs) @ ratio)
-    return [max(1, int(n * x)) for x in ratio]
+def optimal_allocation(rho: Sequence[float], costs: Sequence[float], budget: float, nested: bool = False) -> list[int]:
+    """Samples for each level (highest first), at least one, from K correlations with the highest level and costs.
+
+    ``nested`` takes one sample ratio for the highest level, as the nested
+    estimator ``mfmc_mean`` needs; otherwise its ratio follows from the gain of
+    its own correlation over the next.
+    """
+    r2, costs = np.append(np.asarray(rho, float) ** 2, 0.0), np.asarray(costs, float)
+    rest = 1 - r2[1] + 1e-10
+    gain = r2[:-1] - r2[1:]
+    if nested:
+        ratio = np.sqrt(np.maximum(gain, 0.0) * costs[0] / (rest * costs))
+        ratio[0] = 1.0
+        base = float(int(budget / float(ratio @ costs)))
+    else:
+        ratio = np.sqrt(np.maximum(gain, 1e-10) / costs) * np.sqrt(costs[0] / rest)
+        base = budget / float(ratio @ costs)
+    return [max(1, int(x * base)) for x in ratio]
 
 
 def control_variate(pairs: DataFrame, hf: str, lf: str) -> DataFrame:
@@ -142,6 +206,11 @@ def mfmc_mean(mf: DataFrame, counts: Sequence[int], weights: Sequence[float]) ->
     return mf.agg(total.alias("estimate"))
 
 
+def mfmc_variance(variance: float, rho: Sequence[float], counts: Sequence[int]) -> float:
+    """Variance of the nested estimate: the highest level's over its count, times 1 - rho squared of each other level."""
+    return float(variance / counts[0] * np.prod([1 - r * r for r in rho[1:]]))
+
+
 def cheapest_acceptable(outputs: DataFrame, tol: float) -> DataFrame:
     """Cheapest level whose output is within ``tol`` of the highest level's, by sample.
 
@@ -161,9 +230,23 @@ def fidelity_cost_stats(history: DataFrame, levels: DataFrame) -> DataFrame:
     return rows.crossJoin(F.broadcast(sums)).select("level", "n", "total_cost", "highest_cost", (F.col("highest_cost") - F.col("total_cost")).alias("saved"))  # one row is broadcast
 
 
-def collocation_stats(samples: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
-    """Equal-weight mean and deviation of a model on a collocation grid."""
-    return samples.groupBy(*by).agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"))
+def collocation_grid(samples: DataFrame, inputs: Sequence[str], n: int) -> DataFrame:
+    """The tensor grid of ``n`` Chebyshev nodes of each input, mapped through the quantiles of its samples.
+
+    Nodes in (0, 1) are (1 - cos(pi (2 k + 1) / (2 n))) / 2; the quantiles are
+    exact and come from the whole table.  ``n ** len(inputs)`` rows.
+    """
+    nodes = [float(0.5 * (1 - np.cos(np.pi * (2 * k + 1) / (2 * n)))) for k in range(n)]
+    out = None
+    for c in inputs:
+        q = quantiles(samples, c, nodes).select(F.explode(F.array(*[f"q{k}" for k in range(n)])).alias(c))
+        out = q if out is None else out.crossJoin(F.broadcast(q))  # n rows are broadcast
+    return out
+
+
+def collocation_stats(samples: DataFrame, inputs: Sequence[str], model: Column, n: int = 5) -> DataFrame:
+    """``mean, std`` of ``model``, a column of the inputs, with equal weights on the collocation grid."""
+    return collocation_grid(samples, inputs, n).agg(F.avg(model).alias("mean"), F.stddev_pop(model).alias("std"))
 
 
 def fidelity_selector(train: DataFrame, params: Sequence[str], levels: int) -> list[Column]:
@@ -179,9 +262,14 @@ def fidelity_selector(train: DataFrame, params: Sequence[str], levels: int) -> l
 
 
 def select_fidelity(samples: DataFrame, log_errors: Sequence[Column], costs: Sequence[float], tol: float) -> DataFrame:
-    """Cheapest level whose predicted error is within ``tol`` (else the highest) and the cost saved."""
+    """``level``, the cheapest whose predicted error is within ``tol`` (else the highest), with ``predicted``, ``confidence`` and ``saved``.
+
+    Confidence is one minus the predicted error over ``tol`` (negative where no
+    level is good enough); ``saved`` is the cost below that of the highest level.
+    """
     order = sorted(range(len(costs)), key=lambda v: (costs[v], v))
     top = len(costs) - 1
     level = F.coalesce(*[F.when(F.exp(log_errors[v]) <= tol, F.lit(v)) for v in order], F.lit(top))
-    cost = F.get(F.array(*[F.lit(float(c)) for c in costs]), F.col("level"))
-    return samples.withColumn("level", level).withColumn("saved", float(costs[top]) - cost)
+    pick = lambda values: F.get(F.array(*values), F.col("level"))
+    out = samples.withColumn("level", level).withColumn("predicted", pick([F.exp(e) for e in log_errors]))
+    return out.withColumn("confidence", 1 - F.col("predicted") / tol).withColumn("saved", float(costs[top]) - pick([F.lit(float(c)) for c in costs]))

@@ -39,15 +39,28 @@ def parameter_samples(spark: SparkSession, bounds, n: int, seed: int = 0) -> Dat
 
 
 def sample_domain(spark: SparkSession, bounds, contains: Column, n: int, seed: int = 0) -> DataFrame:
-    """``n`` uniform points of a region inside its box, by rejection; the oversample grows until they suffice."""
+    """``n`` uniform points of a region inside its box, by rejection; the oversample grows until they suffice.
+
+    The draws are numbered in parts; the parts' counts tell where the ``n``-th
+    accepted one lies, so no sort or single task is needed.
+    """
     many = 2 * n
     while True:
+        size = max(1, -(-many // 1_000))
         pts = spark.range(many).select("id", *[(F.lit(lo) + (hi - lo) * _uniform(seed, i)).alias(c) for i, ((lo, hi), c) in enumerate(zip(bounds, "xyz"))]).where(contains)
-        if pts.count() >= n:
-            return pts.orderBy("id").limit(n).withColumnRenamed("id", "sample_id")
+        counts = sorted(pts.groupBy(F.floor(F.col("id") / size).alias("k")).agg(F.count("*").alias("c")).collect())  # a thousand rows
+        if sum(r.c for r in counts) >= n:
+            break
         many *= 2
         if many > 10_000 * n:
             raise ValueError("the region fills almost none of its box")
+    held = 0
+    for r in counts:
+        if held + r.c >= n:
+            part = pts.where(F.floor(F.col("id") / size) == r.k).select("id").sort("id").limit(n - held).agg(F.max("id")).first()[0]  # one part
+            return pts.where(F.col("id") <= part).withColumnRenamed("id", "sample_id")
+        held += r.c
+    return pts.limit(0).withColumnRenamed("id", "sample_id")
 
 
 def halton_points(spark: SparkSession, bounds, n: int) -> DataFrame:
@@ -62,12 +75,35 @@ def halton_points(spark: SparkSession, bounds, n: int) -> DataFrame:
     return spark.range(1, n + 1).select(F.col("id").alias("sample_id"), *[(F.lit(lo) + (hi - lo) * radical(b)).alias(c) for (lo, hi), b, c in zip(bounds, (2, 3, 5), "xyz")])
 
 
+def box_boundary_points(spark: SparkSession, bounds, n_per_face: int) -> DataFrame:
+    """``face, point, x, y, z`` on the 2, 4 or 6 faces of a box; corners and edges repeat.
+
+    A face has ``n_per_face`` points in two and its square in three dimensions.
+    """
+    dim = len(bounds)
+    each = n_per_face ** (dim - 1)
+    t = lambda k: F.pmod(F.floor(F.col("point") / n_per_face**k), F.lit(n_per_face)) / float(max(n_per_face - 1, 1))
+    rows = spark.range(2 * dim * each).select(F.floor(F.col("id") / each).cast("int").alias("face"), (F.col("id") % each).alias("point"))
+    axis, end = F.floor(F.col("face") / 2), F.col("face") % 2
+    out = []
+    for k, (lo, hi) in enumerate(bounds):
+        free = F.when(axis < k, t(k - 1) if k else F.lit(0.0)).otherwise(t(min(k, max(dim - 2, 0))))
+        out.append((F.lit(float(lo)) + F.when(axis == k, end).otherwise(free) * float(hi - lo)).alias("xyz"[k]))
+    return rows.select("face", "point", *out, *[F.lit(None).cast("double").alias(c) for c in "xyz"[dim:]])
+
+
+def boundary_cells(neighbors: DataFrame, cells: DataFrame, dim: int) -> DataFrame:
+    """``cell_id`` of cells that lack a face neighbour."""
+    full = neighbors.groupBy("cell_id").agg(F.count("*").alias("n")).where(F.col("n") == 2 * dim)
+    return cells.select("cell_id").join(full, "cell_id", "left_anti")
+
+
 def tensor_grid(spark: SparkSession, nodes_per_dim) -> DataFrame:
     """Tensor product of small one-dimensional nodes and weights: ``p, w``."""
     out = spark.createDataFrame([([], 1.0)], "p array<double>, w double")
     for nodes in nodes_per_dim:
         d = spark.createDataFrame([(float(x), float(w)) for x, w in nodes], "x double, v double")
-        out = out.crossJoin(d).select(F.concat("p", F.array("x")).alias("p"), (F.col("w") * F.col("v")).alias("w"))
+        out = out.crossJoin(F.broadcast(d)).select(F.concat("p", F.array("x")).alias("p"), (F.col("w") * F.col("v")).alias("w"))
     return out
 
 

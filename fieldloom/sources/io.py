@@ -8,6 +8,7 @@ import json
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def save_results(runs: DataFrame, fields: DataFrame, path: str, points: DataFrame | None = None, cells: DataFrame | None = None) -> None:
@@ -20,29 +21,69 @@ def save_results(runs: DataFrame, fields: DataFrame, path: str, points: DataFram
 
 
 def load_results(spark: SparkSession, path: str, table: str = "fields") -> DataFrame:
-    """One of the saved tables; filters on run_id and field prune partitions."""
-    return spark.read.parquet(f"{path}/{table}")
+    """One of the saved tables; filters on run_id and field prune partitions.
 
+    ``runs`` come with ``metadata`` parsed to a map of texts (null where it is no
+    JSON object).
+    """
+    out = spark.read.parquet(f"{path}/{table}")
+    if table == "runs" and "metadata" in out.columns and dict(out.dtypes)["metadata"] == "string":
+        out = out.withColumn("metadata", F.from_json("metadata", "map<string,string>"))
+    return out
+
+
+def save_mesh(points: DataFrame, cells: DataFrame | None, path: str) -> None:
+    """A mesh, or a cloud of points alone."""
+    points.write.mode("overwrite").parquet(f"{path}/points")
+    if cells is not None:
+        cells.write.mode("overwrite").partitionBy("cell_type").parquet(f"{path}/cells")
+
+
+def load_mesh(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame | None]:
+    """Points and cells (filters on cell_type prune partitions), or None for a cloud."""
+    points = spark.read.parquet(f"{path}/points")
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/cells")
+    held = at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(at)
+    return points, spark.read.parquet(f"{path}/cells") if held else None
 
-def read_npz_results(spark: SparkSession, glob: str) -> DataFrame:
-    """``run_id, field, point_id, component, value`` of ``field_<name>_values`` arrays in a folder of archives.
 
-    Pickled members are refused; archives without fields give no rows.
+#: Member of an archive (``field_<name>_values`` and so on) and the kind its rows get.
+_MEMBERS = (("field_", "_values", "value"), ("field_", "_points", "point"), ("mesh_points", "", "mesh_point"), ("mesh_cells", "", "mesh_cell"))
+
+
+def read_npz(spark: SparkSession, glob: str) -> DataFrame:
+    """``run_id, kind, field, row, component, value, text`` of every known member of a folder of archives.
+
+    Kinds are value, point (of a field), mesh_point, mesh_cell (node ids) and
+    metadata (JSON in ``text``).  Pickled members are refused; unknown ones are
+    passed over; an archive is read by one task.
     """
     files = spark.read.format("binaryFile").load(glob).select("path", "content")
 
     def run(batches):
         for pdf in batches:
             for path, raw in zip(pdf.path, pdf.content):
+                run_id = path.rsplit("/", 1)[-1].removesuffix(".npz")
                 with np.load(io.BytesIO(raw), allow_pickle=False) as z:
                     for key in z.files:
-                        if key.startswith("field_") and key.endswith("_values"):
-                            v = np.asarray(z[key], float)
-                            v = v.reshape(len(v), -1) if v.ndim else v.reshape(1, 1)
-                            i, c = np.indices(v.shape)
-                            yield pd.DataFrame({"run_id": path.rsplit("/", 1)[-1].removesuffix(".npz"), "field": key[6:-7], "point_id": i.ravel(), "component": c.ravel().astype(np.int32), "value": v.ravel()})
+                        a = z[key]
+                        if key == "metadata":
+                            text = a.tobytes().decode("utf-8", "replace") if a.dtype.kind in "SV" or a.dtype == np.uint8 else str(a) if a.dtype.kind == "U" else None
+                            yield pd.DataFrame({"run_id": [run_id], "kind": ["metadata"], "field": [None], "row": [0], "component": np.zeros(1, np.int32), "value": [None], "text": [text]})
+                            continue
+                        for head, tail, kind in _MEMBERS:
+                            if key.startswith(head) and key.endswith(tail) and (tail or key == head):
+                                v = np.asarray(a, float)
+                                v = v.reshape(len(v), -1) if v.ndim else v.reshape(1, 1)
+                                i, c = np.indices(v.shape)
+                                yield pd.DataFrame({"run_id": run_id, "kind": kind, "field": key[6 : -len(tail)] if tail else None, "row": i.ravel(), "component": c.ravel().astype(np.int32), "value": v.ravel(), "text": None})
 
-    return files.mapInPandas(run, "run_id string, field string, point_id long, component int, value double")
+    return files.mapInPandas(run, "run_id string, kind string, field string, row long, component int, value double, text string")
+
+
+def read_npz_results(spark: SparkSession, glob: str) -> DataFrame:
+    """``run_id, field, point_id, component, value`` of the archives' fields."""
+    return read_npz(spark, glob).where("kind = 'value'").select("run_id", "field", F.col("row").alias("point_id"), "component", "value")
 
 
 def metadata_json(metadata: dict) -> str:

@@ -9,6 +9,7 @@ exchange.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -18,11 +19,15 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_folder(spark: SparkSession) -> str:
     """Folder that driver and executors share.
 
-    The session's ``spark.checkpoint.dir`` wins.  Only where it is unset, as in
-    tests on one machine, a local folder is made and set for this session.
+    The session's ``spark.checkpoint.dir`` wins.  Only where it is unset and
+    driver and executors are one process, as in tests, a local folder is made
+    and set for this session; on a cluster that is an error, since executors
+    would write to disks of their own.
     """
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("fieldloom.scratch", None)
     if not at:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         at = "file://" + tempfile.mkdtemp(prefix="spark-scratch-", dir="/tmp")
         spark.conf.set("fieldloom.scratch", at)
     return at.rstrip("/")

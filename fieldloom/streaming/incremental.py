@@ -6,10 +6,13 @@ import pickle
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from fieldloom.operators.surrogate import expected_improvement, gp_predict, top_candidates
+from fieldloom.sources.scratch import Scratch
+
 
 def streaming_moments(stream: DataFrame, key: str, value: str) -> DataFrame:
     """Running count, mean, variance and standard error by key; for update or complete mode."""
@@ -17,14 +20,24 @@ def streaming_moments(stream: DataFrame, key: str, value: str) -> DataFrame:
     return g.withColumn("standard_error", F.sqrt(F.col("variance") / F.col("n")))
 
 
-def streaming_dmd(stream: DataFrame, rank: int, forgetting: float = 0.99) -> DataFrame:
+def streaming_dmd(stream: DataFrame, rank: int, forgetting: float = 0.99, event_time: str | None = None, delay: str = "1 hour") -> DataFrame:
     """Recursive least squares of a reduced operator by run from ``run_id, step, x`` rows.
 
     State is the operator, the inverse covariance and the last state.  Steps at
-    or before the last one are late: they are counted and dropped.
+    or before the last one, repeats among them, are late: they are counted and
+    dropped.  With ``event_time`` a run's state is dropped once the watermark
+    (``delay`` behind the newest row) has passed its last row by ``delay``, so state
+    stays bounded by the runs that are alive.
     """
+    columns, wait = ["run_id", "step", "x"], int(pd.Timedelta(delay).total_seconds() * 1000)
+    if event_time:
+        stream = stream.withWatermark(event_time, delay)
+        columns.append(event_time)
 
     def update(key, frames, state: GroupState):
+        if state.hasTimedOut:
+            state.remove()
+            return
         a, p, last, x0, late = pickle.loads(state.get[0]) if state.exists else (np.eye(rank), 1e3 * np.eye(rank), None, None, 0)
         rows = pd.concat(list(frames)).sort_values("step")
         for step, x in zip(rows.step, rows.x):
@@ -38,8 +51,92 @@ def streaming_dmd(stream: DataFrame, rank: int, forgetting: float = 0.99) -> Dat
                 p = (p - np.outer(g, x0 @ p)) / forgetting
             last, x0 = int(step), x
         state.update((pickle.dumps((a, p, last, x0, late)),))
+        if event_time:
+            newest = int(pd.Timestamp(rows[event_time].max()).timestamp() * 1000)
+            state.setTimeoutTimestamp(max(newest + wait, state.getCurrentWatermarkMs() + 1))
         w = np.linalg.eigvals(a)
         w = w[np.lexsort((w.imag, -np.abs(w)))]
         yield pd.DataFrame({"run_id": [key[0]], "step": [last], "late": [late], "re": [w.real.tolist()], "im": [w.imag.tolist()]})
 
-    return stream.groupBy("run_id").applyInPandasWithState(update, "run_id string, step long, late long, re array<double>, im array<double>", "blob binary", "update", GroupStateTimeout.NoTimeout)
+    timeout = GroupStateTimeout.EventTimeTimeout if event_time else GroupStateTimeout.NoTimeout
+    return stream.select(*columns).groupBy("run_id").applyInPandasWithState(update, "run_id string, step long, late long, re array<double>, im array<double>", "blob binary", "update", timeout)
+
+
+class AdaptivePod:
+    """A basis ``dof, mean, phi`` that grows with the snapshots of a stream.
+
+    ``update`` is a ``foreachBatch`` function over ``dof, step, value`` rows.  Each
+    snapshot of the batch, in step order, moves the mean by 1 / (k + 1) and, where
+    the basis misses more than ``tol`` of it, becomes a mode (its normalised
+    rest).  The basis stays a distributed table, written anew for each batch
+    that changes it; a batch's snapshots meet it as one packed column, and two
+    numbers a snapshot reach the driver.  A batch id that was seen is skipped, so
+    a repeated batch changes nothing.
+    """
+
+    def __init__(self, spark: SparkSession, tol: float = 0.01, max_modes: int = 20):
+        self.tmp, self.tol, self.max_modes = Scratch(spark, "adaptive"), tol, max_modes
+        self.basis: DataFrame | None = None
+        self.modes = self.count = 0
+        self.last_batch = -1
+
+    def update(self, batch: DataFrame, batch_id: int) -> None:
+        if batch_id <= self.last_batch:
+            return
+        steps = [r.step for r in batch.select("step").distinct().sort("step").collect()]  # one row a snapshot
+        for step in steps:
+            now = batch.where(F.col("step") == step).groupBy("dof").agg(F.avg("value").alias("value"))
+            self._add(now)
+        self.last_batch = batch_id
+
+    def _add(self, now: DataFrame) -> None:
+        if self.basis is None:
+            self.basis = self.tmp.write(now.select("dof", F.col("value").alias("mean"), F.array().cast("array<double>").alias("phi")), "basis")
+            self.count = 1
+            return
+        self.count += 1
+        j = self.basis.join(now, "dof")
+        mean = F.col("mean") + (F.col("value") - F.col("mean")) / self.count
+        j = self.tmp.write(j.select("dof", mean.alias("mean"), "phi", (F.col("value") - mean).alias("c"), "value"), "met")
+        dots = j.agg(F.sum(F.col("value") ** 2).alias("size"), *[F.sum(F.col("phi")[i] * F.col("c")).alias(f"a{i}") for i in range(self.modes)]).first()
+        rest = F.col("c")
+        for i in range(self.modes):
+            rest = rest - float(dots[f"a{i}"] or 0.0) * F.col("phi")[i]
+        miss = j.agg(F.sqrt(F.sum(rest * rest))).first()[0] or 0.0
+        phi = F.col("phi")
+        if miss > self.tol * (dots["size"] or 0.0) ** 0.5 and self.modes < self.max_modes:
+            phi = F.concat("phi", F.array(rest / miss))
+            self.modes += 1
+        new = self.tmp.write(j.select("dof", "mean", phi.alias("phi")), "basis")
+        self.tmp.drop(self.basis, j)
+        self.basis = new
+
+
+class ObservationLoop:
+    """Next points to observe, after each batch of observations ``p, y``.
+
+    ``update`` is a ``foreachBatch`` function: it appends the observations to a
+    table and, from ``least`` of them on, refits the process (on at most
+    ``max_train`` rows) and takes the k candidates of the largest deviation or
+    expected improvement; before that the candidates of the smallest hashes.  Only
+    the k chosen rows reach the driver, in ``chosen``.
+    """
+
+    def __init__(self, candidates: DataFrame, k: int = 1, length: float = 1.0, least: int = 5, score: str = "uncertainty", seed: int = 0):
+        self.candidates, self.k, self.length, self.least, self.score, self.seed = candidates, k, length, least, score, seed
+        self.tmp, self.seen, self.chosen, self.last_batch = Scratch(candidates.sparkSession, "observe"), None, [], -1
+
+    def update(self, batch: DataFrame, batch_id: int) -> None:
+        if batch_id <= self.last_batch:
+            return
+        rows = batch.select(F.col("p").cast("array<double>").alias("p"), F.col("y").cast("double").alias("y"))
+        self.seen = self.tmp.write(rows if self.seen is None else self.seen.unionByName(rows), "seen")
+        best = self.seen.agg(F.count("*").alias("n"), F.min("y").alias("y")).first()
+        if best.n < self.least:
+            scored = self.candidates.select("id", (-F.pmod(F.xxhash64(F.lit(self.seed), "id"), F.lit(1 << 40))).alias("score"))
+        else:
+            g = gp_predict(self.candidates, self.seen, self.length)
+            s = F.col("std") if self.score == "uncertainty" else expected_improvement(F.col("mean"), F.col("std"), float(best.y))
+            scored = g.select("id", s.alias("score"))
+        self.chosen.append([r.id for r in top_candidates(scored, self.k).collect()])  # k rows
+        self.last_batch = batch_id

@@ -228,8 +228,8 @@ def test_grouped_and_kernel_modes(spark):
     lam = R.kernel_dmd_eigenvalues(packed(spark, np.array(z).T), rank=3, reg=1e-12)
     assert np.allclose(np.sort(lam.real), [0.5, 0.7, 0.9], atol=1e-3)
     pairs = spark.createDataFrame([(*map(float, p), *map(float, q)) for p, q in zip(z[:-1], z[1:])], "a double, b double, c double, d double, e double, f double")
-    _, lam, err = R.koopman_fit(pairs, [F.col(c) for c in "abc"], [F.col(c) for c in "def"])
-    assert np.allclose(lam.real, [0.9, 0.7, 0.5], atol=1e-6) and err < 1e-6
+    k = R.koopman_fit(pairs, [F.col(c) for c in "abc"], [F.col(c) for c in "def"])
+    assert np.allclose(k.eigenvalues.real, [0.9, 0.7, 0.5], atol=1e-6) and k.error < 1e-6
 
 
 def test_weak_form_and_constraints(spark):
