@@ -87,13 +87,13 @@ def thermal(spark, sf_dir):
 
 @query(
     "physics_fluid",
-    """WITH s AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, 1 + l_discount AS rho, l_quantity / 10 AS mx, l_tax * 10.123457::DOUBLE AS my, l_extendedprice / 100 + 500 AS e FROM lineitem), p AS (SELECT *, 0.4 * (e - 0.5 * (mx * mx + my * my) / rho) AS p FROM s)
+    """WITH s AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, 1 + l_discount AS rho, l_quantity / 10.123457::DOUBLE AS mx, l_tax * 10.123457::DOUBLE AS my, l_extendedprice / 100 + 500 AS e FROM lineitem), p AS (SELECT *, 0.4 * (e - 0.5 * (mx * mx + my * my) / rho) AS p FROM s)
  SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(mx, 6) AS fx0, round(mx * mx / rho + p, 5) AS fx1, round(my * mx / rho, 6) AS fx2, round((e + p) * mx / rho, 4) AS fx3, round(my, 6) AS fy0, round(mx * my / rho, 6) AS fy1, round(my * my / rho + p, 5) AS fy2, round((e + p) * my / rho, 4) AS fy3,
  round(sqrt(1.4 * p / rho), 6) AS sound, round(0.02 / rho, 8) AS viscosity, round(rho * mx * 2.5 / 0.02, 4) AS reynolds, round((p - 100) / (0.5 * 1.2 * 30.0 ** 2), 6) + 0.0 AS pressure_coefficient FROM p""",
 )
 def fluid(spark, sf_dir):
     c = F.col
-    s = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", (1 + c("l_discount")).alias("rho"), (c("l_quantity") / 10).alias("mx"), (c("l_tax") * 10.123457).alias("my"), (c("l_extendedprice") / 100 + 500).alias("e"))
+    s = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", (1 + c("l_discount")).alias("rho"), (c("l_quantity") / 10.123457).alias("mx"), (c("l_tax") * 10.123457).alias("my"), (c("l_extendedprice") / 100 + 500).alias("e"))
     rho, mx, my, e = c("rho"), c("mx"), c("my"), c("e")
     p = P.euler_pressure(rho, mx, my, e)
     cols = {f"f{'xy'[d]}{i}": v for d in (0, 1) for i, v in enumerate(P.euler_flux(rho, mx, my, e, d))}

@@ -9,6 +9,7 @@ from fieldloom.jobs.graph_queries import _V, _vec
 from fieldloom.jobs.mesh_queries import _EDGES
 from fieldloom.jobs.model_queries import _K
 from fieldloom.jobs.tables import MESH, PTS, mesh, points, rounded, table
+from fieldloom.operators import extra as E
 from fieldloom.operators import fields as A
 from fieldloom.operators import matrix as X
 from fieldloom.operators import mesh as M
@@ -193,3 +194,18 @@ def sensitivity(spark, sf_dir):
 def report(spark, sf_dir):
     vm = P.von_mises(F.col("o_totalprice") / 100, F.col("o_custkey") % 500 * 7.0, F.col("o_orderkey") % 10 * 100.0)
     return rounded(A.state_report(table(spark, sf_dir, "orders"), vm, "o_orderstatus", "o_orderkey", 2500.0), 5)
+
+
+@query("field_method_by_gradient", MESH + " SELECT mesh, method, count(*) AS n, round(max(g), 4) AS top FROM (SELECT mesh, sqrt(gx * gx + gy * gy) AS g, CASE WHEN sqrt(gx * gx + gy * gy) > 150 THEN 'upwind' ELSE 'central' END AS method FROM geo) GROUP BY mesh, method")
+def by_gradient(spark, sf_dir):
+    pts, cells = mesh(spark, sf_dir)
+    g = M.element_gradient(M.fat_cells(cells, pts, ("u",)))
+    m = A.select_by_gradient(g, [F.col("gx"), F.col("gy")], 150.0)
+    return rounded(m.groupBy("mesh", "method").agg(F.count("*").alias("n"), F.max("gradient").alias("top")), 4)
+
+
+@query("matrix_face_load", f"{MESH}, f AS (SELECT mesh, nodes, x1 - x0 AS ax, y1 - y0 AS ay, (u1 - u0) / 100 AS az, x2 - x0 AS bx, y2 - y0 AS b_y, (u2 - u0) / 100 AS bz FROM tri) SELECT mesh, point_id, round(sum(v), 5) AS load FROM (SELECT mesh, unnest(nodes) AS point_id, 2.5 * 0.5 * sqrt((ay * bz - az * b_y) ** 2 + (az * bx - ax * bz) ** 2 + (ax * b_y - ay * bx) ** 2) / 3 AS v FROM f) GROUP BY mesh, point_id")
+def face_load(spark, sf_dir):
+    """A flux through every triangle of the meshes, bent by the field as a third coordinate."""
+    pts, cells = mesh(spark, sf_dir)
+    return rounded(E.face_load(cells.withColumnRenamed("cell_id", "face_id"), pts.withColumn("z", F.col("u") / 100), F.lit(2.5)), 5)

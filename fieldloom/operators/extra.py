@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from fieldloom.operators import graph as G
 from fieldloom.operators import regress as E
+from fieldloom.operators.mesh import fat_cells, volume
 from fieldloom.operators.spatial import idw_interpolate, knn_join
 from fieldloom.sources.scratch import Scratch
 
@@ -40,6 +41,14 @@ def neumann_load(edges: DataFrame, points: DataFrame, flux: Column) -> DataFrame
     return e.select("mesh", F.explode(F.array("a", "b")).alias("point_id"), half.alias("v")).groupBy("mesh", "point_id").agg(F.sum("v").alias("load"))
 
 
+def face_load(faces: DataFrame, points: DataFrame, flux: Column) -> DataFrame:
+    """Flux times the measure of each face ``mesh, face_id, nodes`` (an edge, triangle or quad in space), shared by its nodes and summed."""
+    kind = F.element_at(F.create_map(F.lit(2), F.lit("line"), F.lit(3), F.lit("triangle"), F.lit(4), F.lit("quad")), F.size("nodes"))
+    fat = fat_cells(faces.select("mesh", F.col("face_id").alias("cell_id"), kind.alias("cell_type"), "nodes"), points)
+    share = volume() * flux / F.size("nodes")
+    return fat.select("mesh", F.explode("nodes").alias("point_id"), share.alias("v")).groupBy("mesh", "point_id").agg(F.sum("v").alias("load"))
+
+
 def oc_update(cells: DataFrame, target: float, move: float = 0.2, floor: float = 1e-3, rounds: int = 4, width: int = 32) -> DataFrame:
     """Optimality-criteria densities of ``cells(id, rho, dc, volume)`` at a volume target.
 

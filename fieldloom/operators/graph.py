@@ -61,9 +61,13 @@ def largest_eigenvalue(lap: DataFrame, rounds: int = 20) -> float:
 
 
 def chebyshev_filter(lap: DataFrame, f: DataFrame, theta: list[float], largest: float | None = 2.0) -> DataFrame:
-    """Sum of theta_k T_k(2 L / largest - I) f; each term is a written table.  Without ``largest`` it is estimated."""
+    """Sum of theta_k T_k(2 L / largest - I) f; each term is a written table.
+
+    Without ``largest`` it is estimated by power iteration, plus a tenth, since the
+    iteration comes from below.
+    """
     tmp = Scratch(lap.sparkSession, "chebyshev")
-    largest = 1.01 * largest_eigenvalue(lap) if largest is None else largest
+    largest = 1.1 * largest_eigenvalue(lap) if largest is None else largest
 
     def shifted(v: DataFrame) -> DataFrame:
         lv = spmv(lap, v).withColumnRenamed("value", "lv")

@@ -81,8 +81,8 @@ def running_moments(df: DataFrame, by: str, order: str, value: str) -> DataFrame
     rows = local.select("__pid", by, order, count(F.count("__x"), "__r0"), count(F.sum("__x"), "__r1"), count(F.sum(F.col("__x") * F.col("__x")), "__r2"))
     j = rows.alias("l").join(before.alias("b"), (F.col("l.__pid") == F.col("b.__pid")) & F.col(f"l.{by}").eqNullSafe(F.col(f"b.{by}")))
     n, s, q = (F.col(f"__b{k}") + F.col(f"__r{k}") for k in range(3))
-    mean = F.when(n > 0, s / n)
-    return j.select(F.col(f"l.{by}").alias(by), order, n.cast("long").alias("n"), mean.alias("mean"), F.greatest(q / n - mean * mean, F.lit(0.0)).alias("var"))
+    mean, square = F.try_divide(s, n), F.try_divide(q, n)
+    return j.select(F.col(f"l.{by}").alias(by), order, n.cast("long").alias("n"), mean.alias("mean"), F.when(n > 0, F.greatest(square - mean * mean, F.lit(0.0))).alias("var"))
 
 
 def next_rows(df: DataFrame, by: str, order: Sequence[str], columns: Sequence[str], back: bool = False) -> DataFrame:

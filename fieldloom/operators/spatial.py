@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from fieldloom.sources.scratch import Scratch
 
 #: Boxes at most and sampled points for each; members and queries of one block of a box.
-MAX_LEAVES, PER_LEAF, BLOCK = 1 << 17, 8, 2_000
+MAX_LEAVES, PER_LEAF, BLOCK = 1 << 16, 8, 2_000
 #: Rows of a small side that are broadcast at once; more take more passes.
 SMALL_ROWS = 20_000
 

@@ -113,7 +113,7 @@ def spectral_bisect(edges: DataFrame, n_parts: int = 2) -> DataFrame:
             if inside.isEmpty():
                 new = own.select("id", (2 * F.col("part")).alias("part"))
             else:
-                _, modes = smallest_modes(laplacian(inside), 2)
+                _, modes = smallest_modes(laplacian(inside), 2, rounds=4, degree=6, tol=1e-3)
                 second = modes.select(F.col("row").alias("id"), F.round("v1", 9).alias("v"))
                 mid = quantiles(second, "v", [0.5]).first().q0
                 new = own.join(second, "id", "left").select("id", (2 * F.col("part") + F.coalesce((F.col("v") > mid).cast("int"), F.lit(0))).alias("part"))

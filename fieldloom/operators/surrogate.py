@@ -101,7 +101,7 @@ class _Gp:
 def _gp(train: DataFrame, length: float, noise: float, max_train: int) -> _Gp:
     p = train.select(F.col("p").cast("array<double>").alias("p"), F.col("y").cast("double").alias("y"))
     rows = bounded_rows(p, max_train, "p", "y").toPandas().sort_values("y", kind="stable")  # max_train rows at most
-    return _Gp(np.array(rows.p.tolist(), float).reshape(len(rows), -1), rows.y.to_numpy(float), length, noise)
+    return _Gp(np.array(rows.p.tolist(), float).reshape(len(rows), -1 if len(rows) else 1), rows.y.to_numpy(float), length, noise)
 
 
 def bounded_rows(df: DataFrame, n: int, *keys: str) -> DataFrame:

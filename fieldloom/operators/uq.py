@@ -37,12 +37,12 @@ def monte_carlo(samples: DataFrame, outputs: Sequence[str], by: Sequence[str] =
 def mc_convergence(samples: DataFrame, order: str, value: str, by: str) -> DataFrame:
     """Running mean and variance in sample order within each ``by``, with the standard error; runs of any length."""
     r = running_moments(samples, by, order, value)
-    return r.select(by, order, "n", F.col("mean").alias("running_mean"), F.col("var").alias("running_var"), F.sqrt(F.col("var") / F.col("n")).alias("standard_error"))
+    return r.select(by, order, "n", F.col("mean").alias("running_mean"), F.col("var").alias("running_var"), F.sqrt(F.try_divide("var", "n")).alias("standard_error"))
 
 
 def mc_final(samples: DataFrame, value: str, by: str) -> DataFrame:
     """``by, n, mean, standard_error, relative_error``: what the running figures end with."""
-    g = samples.groupBy(by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.sqrt(F.var_pop(value) / F.count(value)).alias("standard_error"))
+    g = samples.groupBy(by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.sqrt(F.try_divide(F.var_pop(value), F.count(value))).alias("standard_error"))
     return g.withColumn("relative_error", F.col("standard_error") / (F.abs("mean") + 1e-10))
 
 
