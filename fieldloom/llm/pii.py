@@ -43,18 +43,30 @@ def session_key(spark: SparkSession) -> bytes:
     return key.encode()
 
 
+class Undo(bytes):
+    """A key under which values are moved back."""
+
+
 def permute(x: int, size: int, key: bytes, tweak: str) -> int:
-    """A keyed permutation of ``range(size)``: balanced Feistel with cycle walking."""
+    """A keyed permutation of ``range(size)``: balanced Feistel with cycle walking; its inverse under an ``Undo`` key."""
     if size <= 1:
         return 0
     half = max(1, ((size - 1).bit_length() + 1) // 2)
     mask, width = (1 << half) - 1, (half + 7) // 8
-    base = hashlib.blake2b(tweak.encode() + size.to_bytes((size.bit_length() + 7) // 8, "big"), key=key[:64], digest_size=32).digest()
+    base = hashlib.blake2b(tweak.encode() + size.to_bytes((size.bit_length() + 7) // 8, "big"), key=bytes(key[:64]), digest_size=32).digest()
+
+    def f(r: int, v: int) -> int:
+        out = b"".join(hashlib.blake2b(v.to_bytes(width, "big"), key=base, salt=bytes([r, k])).digest() for k in range(-(-width // 64)))
+        return int.from_bytes(out, "big") & mask
+
     while True:
         left, right = x >> half, x & mask
-        for r in range(ROUNDS):
-            f = b"".join(hashlib.blake2b(right.to_bytes(width, "big"), key=base, salt=bytes([r, k])).digest() for k in range(-(-width // 64)))
-            left, right = right, left ^ (int.from_bytes(f, "big") & mask)
+        if isinstance(key, Undo):
+            for r in reversed(range(ROUNDS)):
+                left, right = right ^ f(r, left), left
+        else:
+            for r in range(ROUNDS):
+                left, right = right, left ^ f(r, right)
         x = left << half | right
         if x < size:
             return x
@@ -214,6 +226,11 @@ def pseudonymise(text: str | None, key: bytes) -> tuple[str | None, dict[str, in
     return "".join(out) + text[at:], found
 
 
+def restore(text: str | None, key: bytes) -> str | None:
+    """The text that ``pseudonymise`` under the same key was given: pseudonyms are values of their formats, so they are found again and moved back."""
+    return pseudonymise(text, Undo(key))[0]
+
+
 def replace(docs: DataFrame, key: bytes) -> DataFrame:
     """``row``, the columns of ``docs`` with pseudonyms in ``text``, and a count ``n_<kind>`` for each kind.
 
