@@ -15,7 +15,7 @@ from fieldloom.operators.spatial import idw_interpolate
 from fieldloom.sources.scratch import Scratch
 
 #: Operators of an expression tree and their number of arguments.
-ARITY = {"+": 2, "-": 2, "*": 2, "/": 2, "sin": 1, "cos": 1, "exp": 1, "sqrt": 1}
+ARITY = {"+": 2, "-": 2, "*": 2, "/": 2, "pow": 2, "sin": 1, "cos": 1, "exp": 1, "sqrt": 1}
 
 
 @dataclass
@@ -35,7 +35,7 @@ class Tree:
         return Tree(self.head, [a.copy() for a in self.args])
 
     def column(self) -> Column:
-        """Division by almost nothing is 1, exponents stay within 20, roots take the size."""
+        """Division by almost nothing is 1, exponents stay within 20, roots and powers take the size, powers are of three at most."""
         if isinstance(self.head, float):
             return F.lit(self.head)
         if self.head not in ARITY:
@@ -44,6 +44,7 @@ class Tree:
         return {
             "+": lambda: a[0] + a[1], "-": lambda: a[0] - a[1], "*": lambda: a[0] * a[1],
             "/": lambda: F.when(F.abs(a[1]) > 1e-10, F.try_divide(a[0], a[1])).otherwise(1.0),
+            "pow": lambda: F.pow(F.abs(a[0]), F.least(F.greatest(a[1], F.lit(-3.0)), F.lit(3.0))),
             "sin": lambda: F.sin(a[0]), "cos": lambda: F.cos(a[0]),
             "exp": lambda: F.exp(F.least(F.greatest(a[0], F.lit(-20.0)), F.lit(20.0))), "sqrt": lambda: F.sqrt(F.abs(a[0])),
         }[self.head]()
@@ -54,7 +55,7 @@ class Tree:
         if not self.args:
             return self.head
         a = list(map(str, self.args))
-        return f"({a[0]} {self.head} {a[1]})" if len(a) == 2 else f"{self.head}({a[0]})"
+        return f"({a[0]} {self.head} {a[1]})" if len(a) == 2 and self.head != "pow" else f"pow({a[0]}, {a[1]})" if len(a) == 2 else f"{self.head}({a[0]})"
 
 
 def _random(rng: np.random.Generator, columns: list[str], depth: int) -> Tree:

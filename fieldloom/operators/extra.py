@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -304,48 +304,68 @@ def ensemble_predict(df: DataFrame, terms: Sequence[tuple[str, Column]], fits: D
     return df.withColumn("predicted", E.predict(terms, mean)).withColumn("spread", F.sqrt(F.greatest(var, F.lit(0.0))))
 
 
-def mcmc_chains(problems: DataFrame, n_chains: int, steps: int, width: float = 0.5, adapt: int = 0) -> DataFrame:
-    """Metropolis chains for the mean of each key's data from its sums ``key, n, total, square``.
-
-    A chain's draws follow a hash of key and chain; the state is one number, and
-    all chains of a batch step together.  For the first ``adapt`` steps the
-    proposal's width grows or falls by a tenth after each hundred, as more or
-    fewer than 0.44 of them were accepted.
+def _draws(seed: np.ndarray, step: int, dims: int) -> tuple[np.ndarray, np.ndarray]:
+    """Normal draws (n, dims) and one uniform draw of each chain, from its seed and the step alone."""
+    x = seed + np.uint64((2 * step + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+    out = []
+    for _ in range(2 * dims + 1):
+        for shift, mul in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x = (x ^ (x >> np.uint64(shift))) * np.uint64(mul)
+        x = x ^ (x >> np.uint64(31))
+        out.append(((x >> np.uint64(11)) + 0.5) / float(1 << 53))
+    u = np.stack(out[:-1], 1)
+    return np.sqrt(-2 * np.log(u[:, :dims])) * np.cos(2 * np.pi * u[:, dims:]), out[-1]
+
+
+def metropolis(problems: DataFrame, columns: Sequence[str], log_density: Callable, start: Callable, width: Callable, n_chains: int, steps: int, adapt: int = 0) -> DataFrame:
+    """``key, chain, step, theta, logp, accepted``: Metropolis chains of any model over sufficient statistics.
+
+    A row ``key, columns`` of ``problems`` is one posterior.  ``log_density(theta,
+    stats)`` takes (n, d) parameters and a dictionary of n statistics each and
+    gives n numbers; ``start(stats)`` gives (n, d) parameters, ``width(stats)``
+    their proposal widths.  All chains of a batch step together; a chain's draws
+    follow a hash of key and chain.  For the first ``adapt`` steps the width grows or
+    falls by a tenth after each hundred, as more or fewer than 0.44 (one
+    parameter) or 0.3 of them were accepted.
     """
-    rows = problems.withColumn("chain", F.explode(F.sequence(F.lit(0), F.lit(n_chains - 1)))).withColumn("seed", F.xxhash64("key", "chain"))
-
-    def draws(seed: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
-        x = seed + np.uint64((2 * step + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
-        out = []
-        for _ in range(3):
-            for shift, mul in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
-                x = (x ^ (x >> np.uint64(shift))) * np.uint64(mul)
-            x = x ^ (x >> np.uint64(31))
-            out.append(((x >> np.uint64(11)) + 0.5) / float(1 << 53))
-        return np.sqrt(-2 * np.log(out[0])) * np.cos(2 * np.pi * out[1]), out[2]
+    rows = problems.select("key", *columns).withColumn("chain", F.explode(F.sequence(F.lit(0), F.lit(n_chains - 1)))).withColumn("seed", F.xxhash64("key", "chain"))
 
     def run(frames):
         for whole in frames:
             for at in range(0, len(whole), 500):
                 pdf = whole.iloc[at : at + 500]
-                n, total, square = (pdf[c].to_numpy(float) for c in ("n", "total", "square"))
-                seed = pdf.seed.to_numpy(np.int64).view(np.uint64)
-                logp = lambda m: -0.5 * (square - 2 * m * total + n * m * m) - 0.005 * m * m  # noqa: B023, E731
-                x = total / np.maximum(n, 1)
-                lp, acc, recent, scale = logp(x), np.zeros(len(x)), np.zeros(len(x)), width / np.sqrt(np.maximum(n, 1))
-                kept = np.empty((3, steps, len(x)))
+                stats, seed = {c: pdf[c].to_numpy(float) for c in columns}, pdf.seed.to_numpy(np.int64).view(np.uint64)
+                x, scale = np.array(start(stats), float), np.array(width(stats), float)
+                n, d = x.shape
+                lp, acc, recent = log_density(x, stats), np.zeros(n), np.zeros(n)
+                theta, kept = np.empty((steps, n, d)), np.empty((2, steps, n))
                 for k in range(steps):
-                    z, u = draws(seed, k)
+                    z, u = _draws(seed, k, d)
                     y = x + scale * z
-                    ly = logp(y)
+                    ly = log_density(y, stats)
                     yes = np.log(u) < ly - lp
-                    x, lp, acc, recent = np.where(yes, y, x), np.where(yes, ly, lp), acc + yes, recent + yes
-                    kept[:, k] = x, lp, acc / (k + 1)
+                    x, lp, acc, recent = np.where(yes[:, None], y, x), np.where(yes, ly, lp), acc + yes, recent + yes
+                    theta[k], kept[:, k] = x, (lp, acc / (k + 1))
                     if k < adapt and k % 100 == 99:
-                        scale, recent = scale * np.where(recent > 44, 1.1, 0.9), np.zeros(len(x))
-                yield pd.DataFrame({"key": np.tile(pdf.key.to_numpy(), steps), "chain": np.tile(pdf.chain.to_numpy(), steps), "step": np.repeat(np.arange(steps, dtype=np.int32), len(x)), "theta": kept[0].ravel(), "logp": kept[1].ravel(), "accepted": kept[2].ravel()})
+                        scale, recent = scale * np.where(recent > (44 if d == 1 else 30), 1.1, 0.9)[:, None], np.zeros(n)
+                yield pd.DataFrame({"key": np.tile(pdf.key.to_numpy(), steps), "chain": np.tile(pdf.chain.to_numpy(), steps), "step": np.repeat(np.arange(steps, dtype=np.int32), n), "theta": list(theta.reshape(-1, d)), "logp": kept[0].ravel(), "accepted": kept[1].ravel()})
+
+    return rows.mapInPandas(run, f"key {dict(problems.dtypes)['key']}, chain int, step int, theta array<double>, logp double, accepted double")
 
-    return rows.mapInPandas(run, f"key {dict(problems.dtypes)['key']}, chain int, step int, theta double, logp double, accepted double")
+
+def mcmc_chains(problems: DataFrame, n_chains: int, steps: int, width: float = 0.5, adapt: int = 0) -> DataFrame:
+    """The same for the mean of each key's data from its sums ``key, n, total, square`` (unit noise, a wide prior); ``theta`` is one number."""
+    chains = metropolis(
+        problems,
+        ["n", "total", "square"],
+        lambda m, s: -0.5 * (s["square"] - 2 * m[:, 0] * s["total"] + s["n"] * m[:, 0] ** 2) - 0.005 * m[:, 0] ** 2,
+        lambda s: (s["total"] / np.maximum(s["n"], 1))[:, None],
+        lambda s: (width / np.sqrt(np.maximum(s["n"], 1)))[:, None],
+        n_chains,
+        steps,
+        adapt,
+    )
+    return chains.withColumn("theta", F.col("theta")[0])
 
 
 def posterior_summary(chains: DataFrame, burn: int) -> DataFrame:

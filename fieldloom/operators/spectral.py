@@ -96,28 +96,29 @@ def spectral_reconstruct(coefs: np.ndarray, modes: DataFrame) -> DataFrame:
 def spectral_bisect(edges: DataFrame, n_parts: int = 2) -> DataFrame:
     """``id, part``: nodes above and at most at the median of the second mode, again within each half.
 
-    ``n_parts`` is rounded up to a power of two.  A part is split by its own
-    graph; nodes without an edge inside their part stay in its first half.
+    Parts split n // 2 : rest while nodes always halve, so a number that is not a
+    power of two is unbalanced.  A part is split by its own graph; nodes without
+    an edge inside their part stay in its first half.
     """
     tmp = Scratch(edges.sparkSession, "bisect")
     both = tmp.write(symmetric(edges), "edges")
     lab = tmp.write(both.select(F.col("src").alias("id")).distinct().withColumn("part", F.lit(0)), "labels")
-    parts = 1
-    while parts < n_parts:
-        out = None
-        for p in range(parts):
-            own = lab.where(F.col("part") == p)
-            ids = own.select("id")
-            inside = both.where("src < dst").join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
-            inside = tmp.write(inside, "inside")
-            if inside.isEmpty():
-                new = own.select("id", (2 * F.col("part")).alias("part"))
-            else:
-                _, modes = smallest_modes(laplacian(inside), 2, rounds=4, degree=6, tol=1e-3)
-                second = modes.select(F.col("row").alias("id"), F.round("v1", 9).alias("v"))
-                mid = quantiles(second, "v", [0.5]).first().q0
-                new = own.join(second, "id", "left").select("id", (2 * F.col("part") + F.coalesce((F.col("v") > mid).cast("int"), F.lit(0))).alias("part"))
-            out = new if out is None else out.unionByName(new)
-        lab = tmp.write(out, "labels")
-        parts *= 2
+    open_ = [(0, n_parts)]  # first label of a part and the number of parts it becomes
+    while open_:
+        at, n = open_.pop()
+        half = n // 2
+        if not half:
+            continue
+        own = lab.where(F.col("part") == at).select("id")
+        inside = both.where("src < dst").join(own.withColumnRenamed("id", "src"), "src", "left_semi").join(own.withColumnRenamed("id", "dst"), "dst", "left_semi")
+        inside = tmp.write(inside, "inside")
+        if inside.isEmpty():
+            continue
+        _, modes = smallest_modes(laplacian(inside), 2, rounds=4, degree=6, tol=1e-3)
+        second = tmp.write(modes.select(F.col("row").alias("id"), F.round("v1", 9).alias("v")), "second")
+        high = second.where(F.col("v") > quantiles(second, "v", [0.5]).first().q0).select("id", F.lit(half).alias("step"))
+        new = tmp.write(lab.join(high, "id", "left").select("id", (F.col("part") + F.coalesce("step", F.lit(0))).alias("part")), "labels")
+        tmp.drop(lab, inside)
+        lab = new
+        open_ += [(at, half), (at + half, n - half)]
     return lab
