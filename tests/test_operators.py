@@ -258,7 +258,7 @@ def test_density_update_heat_hierarchy_and_chains(spark):
     got = {r.row: r.value for r in X.heat_diffuse(G.laplacian(edges), spark.createDataFrame([(i, float(x)) for i, x in enumerate(f)], "row long, value double"), 0.7).collect()}
     assert np.allclose([got[i] for i in range(20)], v @ (np.exp(-0.7 * w) * (v.T @ f)), atol=1e-6)
     levels = X.build_hierarchy(edges, 2, least=5)
-    assert len(levels) == 2 and levels[0].count() == 20 and levels[0].select("part").distinct().count() == 10
+    assert len(levels) == 2 and levels[0].count() == 20 and 10 <= levels[0].select("part").distinct().count() <= 13  # a maximal matching of a ring
     p = spark.createDataFrame([("a", 50, 50 * 1.5, 50 * 1.5**2 + 50.0)], "key string, n long, total double, square double")
     s = X.posterior_summary(X.mcmc_chains(p, 4, 2000, 2.0), 200).first()
     assert abs(s["mean"] - 1.5) < 0.05 and 0.05 < s["std"] < 0.3
