@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from fieldloom.jobs.tables import rounded, table
+from fieldloom.jobs.tables import MESH, mesh, rounded, table
 from fieldloom.sources import generate as N
 from fieldloom.sources import io as IO
 from fieldloom.sources.scratch import Scratch
@@ -102,3 +102,15 @@ def mesh_round_trip(spark, sf_dir):
     cells = o.select(F.lit(0).alias("mesh"), k.alias("cell_id"), F.when(k % 3 == 0, "quad").otherwise("triangle").alias("cell_type"), F.array(k, k + 1, k + 2).alias("nodes"))
     IO.save_mesh(o.select(k.alias("point_id")), cells, path)
     return IO.load_mesh(spark, path)[1].groupBy("cell_type").agg(F.count("*").alias("n"), F.sum(F.col("nodes")[0]).alias("total"))
+
+
+@query("source_mesh_text_round_trip", MESH + " SELECT mesh, count(*) AS n, CAST(sum(n0 + 2 * n1 + 3 * n2) AS BIGINT) AS nodes, round(sum(y0), 3) AS y FROM tri GROUP BY mesh")
+def mesh_text_round_trip(spark, sf_dir):
+    """The triangles as CSV files, read back and met with their points."""
+    (pts, cells), path = mesh(spark, sf_dir), Scratch(spark, "mesh-text").root
+    pts.select("mesh", "point_id", "x", "y").write.option("header", True).csv(f"{path}/points")
+    cells.withColumn("nodes", F.concat_ws(" ", F.transform("nodes", lambda v: v.cast("string")))).write.option("header", True).csv(f"{path}/cells")
+    p, c = IO.read_mesh_text(spark, f"{path}/points", f"{path}/cells")
+    n = lambda i: F.col("nodes")[i]
+    met = c.select("mesh", n(0).alias("point_id"), (n(0) + 2 * n(1) + 3 * n(2)).alias("w")).join(p, ["mesh", "point_id"])
+    return rounded(met.groupBy("mesh").agg(F.count("*").alias("n"), F.sum("w").alias("nodes"), F.sum("y").alias("y")), 3)

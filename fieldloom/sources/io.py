@@ -1,4 +1,4 @@
-"""Results and meshes as Parquet, and bulk reading of result archives."""
+"""Results and meshes as Parquet, meshes as text, and bulk reading of result archives."""
 
 from __future__ import annotations
 
@@ -47,6 +47,39 @@ def load_mesh(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame | No
     return points, spark.read.parquet(f"{path}/cells") if held else None
 
 
+def read_mesh_text(spark: SparkSession, points: str, cells: str | None = None, kind: str = "csv") -> tuple[DataFrame, DataFrame | None]:
+    """A mesh from text files: ``points`` and ``cells`` are paths or globs, ``kind`` is csv (with a header) or json (a row a line).
+
+    Columns are those of the mesh tables, in any order; others are passed over.
+    CSV holds node ids as one text with blanks between them, JSON as a list.  A missing ``mesh``
+    is mesh 0 and a missing or empty coordinate is 0; a cell without nodes has an
+    empty list.  A value that is no number raises when it is read.  Without
+    ``cells`` it is a cloud of points.
+    """
+    if kind not in ("csv", "json"):
+        raise ValueError(f"kind of mesh text is csv or json, not {kind!r}")
+
+    def rows(path: str, names: tuple[str, ...]) -> DataFrame:
+        if kind == "json":
+            wanted = ", ".join(f"{c} {'array<bigint>' if c == 'nodes' else 'string'}" for c in names)
+            return spark.read.schema(wanted).option("mode", "FAILFAST").json(path)
+        df = spark.read.option("header", True).csv(path)  # all text: types are not inferred, which would read the files twice
+        return df.select(*[F.col(f"`{c}`") if c in df.columns else F.lit(None).cast("string").alias(c) for c in names])
+
+    def number(c: str, to: str, missing: float | int | None = None):
+        text = F.nullif(F.trim(c), F.lit(""))
+        return (text.cast(to) if missing is None else F.coalesce(text.cast(to), F.lit(missing).cast(to))).alias(c)
+
+    p = rows(points, ("mesh", "point_id", "x", "y", "z"))
+    p = p.select(number("mesh", "long", 0), number("point_id", "long"), *[number(c, "double", 0.0) for c in "xyz"])
+    if cells is None:
+        return p, None
+    c = rows(cells, ("mesh", "cell_id", "cell_type", "nodes"))
+    listed = F.col("nodes") if kind == "json" else F.filter(F.split(F.trim("nodes"), r"\s+"), lambda v: v != "")
+    nodes = F.coalesce(listed.cast("array<bigint>"), F.array().cast("array<bigint>"))
+    return p, c.select(number("mesh", "long", 0), number("cell_id", "long"), "cell_type", nodes.alias("nodes"))
+
+
 #: Member of an archive (``field_<name>_values`` and so on) and the kind its rows get.
 _MEMBERS = (("field_", "_values", "value"), ("field_", "_points", "point"), ("mesh_points", "", "mesh_point"), ("mesh_cells", "", "mesh_cell"))
 

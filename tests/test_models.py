@@ -453,6 +453,26 @@ def test_archives_and_meshes(spark, tmp_path):
     assert IO.load_mesh(spark, f"file://{tmp_path}/cloud")[1] is None
 
 
+def test_mesh_text(spark, tmp_path):
+    (tmp_path / "p.csv").write_text("x,point_id,y,extra\n0.5,0,1,a\n,1,2.5,b\n1e3, 2 ,,c\n")
+    (tmp_path / "c.csv").write_text("cell_id,cell_type,nodes\n7,triangle,0  1 2\n8,point,\n")
+    p, c = IO.read_mesh_text(spark, f"file://{tmp_path}/p.csv", f"file://{tmp_path}/c.csv")
+    assert sorted(map(tuple, p.collect())) == [(0, 0, 0.5, 1.0, 0.0), (0, 1, 0.0, 2.5, 0.0), (0, 2, 1000.0, 0.0, 0.0)]
+    assert sorted(map(tuple, c.collect())) == [(0, 7, "triangle", [0, 1, 2]), (0, 8, "point", [])]
+    (tmp_path / "p.json").write_text('{"mesh": 3, "point_id": 0, "x": 0.5}\n{"point_id": 1, "y": 2, "x": null}\n')
+    (tmp_path / "c.json").write_text('{"mesh": 3, "nodes": [1, 0], "cell_id": 1, "cell_type": "line"}\n{"cell_id": 2}\n')
+    p, c = IO.read_mesh_text(spark, f"file://{tmp_path}/p.json", f"file://{tmp_path}/c.json", "json")
+    assert sorted(map(tuple, p.collect())) == [(0, 1, 0.0, 2.0, 0.0), (3, 0, 0.5, 0.0, 0.0)]
+    assert sorted(map(tuple, c.select("mesh", "cell_id", "nodes").collect())) == [(0, 2, []), (3, 1, [1, 0])]
+    (tmp_path / "bad.csv").write_text("point_id,x\n0,east\n")
+    cloud, none = IO.read_mesh_text(spark, f"file://{tmp_path}/bad.csv")
+    assert none is None
+    with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
+        cloud.collect()
+    with pytest.raises(ValueError):
+        IO.read_mesh_text(spark, "x", kind="msh")
+
+
 def test_streams(spark, tmp_path):
     from fieldloom.streaming.incremental import AdaptivePod, ObservationLoop, streaming_dmd
 
