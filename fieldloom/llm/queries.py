@@ -112,3 +112,41 @@ def op1_vector_graph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op1_vector_graph_dedup"] = op1_vector_graph_dedup
+
+
+def op11_no_random_access_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fieldloom.llm.topk import vector_top_k
+
+    return vector_top_k(_table(spark, sf_dir, "embeddings"), k=5, every=50, scale=256)
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fieldloom.llm.variants import variants
+
+    return variants(_table(spark, sf_dir, "documents"))
+
+
+def op13_vector_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fieldloom.llm.whitening import whiten
+
+    return whiten(_table(spark, sf_dir, "embeddings"), components=32)
+
+
+QUERIES |= {"op11_no_random_access_top_k": op11_no_random_access_top_k, "op12_spelling_variants": op12_spelling_variants, "op13_vector_whitening": op13_vector_whitening}
+#: crc32 of UTF-8 bytes by its table, which follows from the reversed polynomial.
+_CRC = "(WITH RECURSIVE t(i, k, c) AS (SELECT i, 0, i::UBIGINT FROM range(256) r(i) UNION ALL SELECT i, k + 1, CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END FROM t WHERE k < 8) SELECT list(c ORDER BY i) FROM t WHERE k = 8)"
+ORACLE_SQL |= {
+    "op11_no_random_access_top_k": """WITH v AS (SELECT vec_id, [floor(256 * x::DOUBLE)::BIGINT FOR x IN embedding] AS e FROM embeddings WHERE embedding IS NOT NULL AND list_bool_and([x IS NOT NULL AND isfinite(x) FOR x IN embedding])),
+ s AS (SELECT q.vec_id AS query_id, v.vec_id, list_inner_product(q.e::DOUBLE[], v.e::DOUBLE[])::BIGINT AS score FROM v q JOIN v ON v.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0)
+ SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INT AS rank, vec_id, score FROM s QUALIFY rank <= 5""",
+    "op12_spelling_variants": f"""WITH RECURSIVE run AS (SELECT doc_id, translate(w, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) AS w FROM documents) GROUP BY 1, 2),
+ hex AS (SELECT w, n, hex(encode(doc_id::VARCHAR || ':' || w)) AS x FROM run), crc AS MATERIALIZED (SELECT {_CRC} AS t),
+ cut AS (SELECT w, n, xor(list_reduce(list_prepend(4294967295::UBIGINT, [('0x' || x[2 * i + 1:2 * i + 2])::UBIGINT FOR i IN range(len(x) // 2)]), lambda c, b: xor(c >> 8, t[((xor(c, b) & 255) + 1)::BIGINT])), 4294967295::UBIGINT) AS h FROM hex, crc),
+ word AS (SELECT word, sum(n)::BIGINT AS n FROM (SELECT CASE WHEN h % 97 = 0 THEN left(w, (h % len(w))::INT) || substr(w, (h % len(w))::INT + 2) ELSE w END AS word, n FROM cut) GROUP BY word HAVING len(word) >= 5 AND sum(n) >= 3),
+ less AS (SELECT word, n, k, left(word, k) || substr(word, k + 2) AS v FROM (SELECT word, n, unnest(range(len(word))) AS k FROM word)),
+ near AS (SELECT a.word AS a, b.word AS b, b.n FROM less a JOIN less b ON a.v = b.v AND a.k = b.k AND a.word <> b.word UNION SELECT a.word, b.word, b.n FROM less a JOIN word b ON a.v = b.word UNION SELECT b.word, a.word, a.n FROM less a JOIN word b ON a.v = b.word),
+ best AS (SELECT a AS word, count(*) AS n_near, arg_min(b, (-n, b)) AS form, max(n) AS form_n FROM near GROUP BY a),
+ told AS (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= 2 * n THEN form END AS form, CASE WHEN form_n >= 2 * n THEN form_n END AS form_n FROM word LEFT JOIN best USING (word)),
+ up(word, root) AS (SELECT word, word FROM told UNION ALL SELECT up.word, told.form FROM up JOIN told ON told.word = up.root WHERE told.form IS NOT NULL), last AS (SELECT up.word, up.root FROM up JOIN told ON told.word = up.root WHERE told.form IS NULL)
+ SELECT word, form, root, n, n_near, form_n FROM told JOIN last USING (word)""",
+}
