@@ -250,6 +250,64 @@ def test_pii_round_trip():
         assert len(set(pairs.values())) == len(pairs) > 50
 
 
+def test_pii_leaves_nothing_in_clear_and_links_spellings():
+    """Account numbers before capital words, phones in all spellings, day-first dates and addresses of version 6."""
+    import ipaddress
+
+    from fieldloom.llm.pii import IBAN_LENGTH, NATIONAL, pseudonymise, restore
+
+    rng = random.Random(8)
+    digits = lambda n: "".join(rng.choices("0123456789", k=n))
+    number = lambda s: int("".join(str(int(c, 36)) for c in s))
+
+    def one(text):
+        new, found = pseudonymise(text, b"k")
+        assert restore(new, b"k") == text and sum(found.values()) == 1, text
+        return new
+
+    for country, n in IBAN_LENGTH.items():
+        body = "".join(rng.choice("0123456789ABC") for _ in range(n - 4))
+        plain = country + f"{98 - number(body + country + '00') % 97:02d}" + body
+        grouped = " ".join(plain[i : i + 4] for i in range(0, n, 4))
+        new = one(f"pay {plain} PLEASE")
+        other = new.split()[1]
+        assert len(other) == n and number(other[4:] + other[:4]) % 97 == 1 and other != plain
+        assert one(f"pay {grouped} PLEASE 1981").removeprefix("pay ").removesuffix(" PLEASE 1981").replace(" ", "") == other
+        assert one(f"pay {plain.lower()}, please").split()[1] == other.lower() + ","
+    assert one("PL61 1090 1014 0000 0712 1981 2874 PLEASE").endswith(" PLEASE")
+
+    squeeze = lambda t: re.sub(r"\D", "", t).removeprefix("00")
+    for spellings in (["+14155552671", "+1 415 555 2671", "+1 (415) 555-2671", "001 415 555 2671", "+1-415-555-2671", "+1.415.555.2671"], ["+41446681800", "0041 44 668 18 00", "+41 44 668 18 00", "+41 (0)44 668 18 00", "+41 44 668-18-00"], ["+442079460958", "+44 20 7946 0958", "0044 20 7946 0958"], ["+35316790000", "+353 1 679 0000"], ["+1 (136) 555-7479", "+11365557479"]):
+        got = {squeeze(one(f"tel {s}. Ask").replace("(0)", "")) for s in spellings}
+        assert len(got) == 1 and got != {squeeze(spellings[0])}
+    local, whole = squeeze(one("call (415) 555-2671 now")), squeeze(one("+14155552671"))
+    assert whole == "1" + local and local[0] in "23456789" and local[3] in "23456789" and local[1:3] != "11"
+    for country, n in NATIONAL.items():
+        assert len(squeeze(one(f"+{country} {'2' + digits(n - 1)} 2024"))) == len(country) + n + 4
+    new, found = pseudonymise("+1 415 555 2671 415-555-2672", b"k")
+    assert found["phone"] == 2 and "2671" not in new and "2672" not in new
+
+    for spellings in (["31/12/2024", "12/31/2024", "2024-12-31", "31.12.2024", "2024/12/31"], ["3/7/2024", "2024-3-7", "2024-03-07", "03/07/2024", "7.3.2024"]):
+        days = set()
+        for s in spellings:
+            p = [int(x) for x in re.split(r"\D", one(f"on {s}, late").split()[1].rstrip(","))]
+            y = max(p)
+            if s[4] in "-/" and len(s.split(s[4])[0]) == 4:
+                m, d = p[1], p[2]
+            elif "." in s or int(re.split(r"\D", s)[0]) > 12:
+                d, m = p[0], p[1]
+            else:
+                m, d = p[0], p[1]
+            days.add((y, m, d))
+        assert len(days) == 1
+
+    a = ipaddress.ip_address("2001:db8::8a2e:370:7334")
+    assert ipaddress.ip_address(one(f"from {a} port").split()[1]) == ipaddress.ip_address(pseudonymise(f"from {a.exploded} port", b"k")[0].split()[1]) != a
+    one("fe80::1ff:fe23:4567:890a")
+    for untouched in ("at 12:30:45", "std::cout", "a::b", "ratio 1:2:3", "00123", "version 31.13.2024", "31/31/2024", "::", "+1 23"):
+        assert pseudonymise(untouched, b"k")[0] == untouched, untouched
+
+
 def test_pii_many_values_in_linear_time():
     from fieldloom.llm.pii import SAMPLE_KEY, pseudonymise
 
