@@ -83,25 +83,40 @@ def diverse_batch(scored: DataFrame, k: int, dims: Sequence[str], every: int = 8
     return chosen
 
 
-class _Gp:
-    """Factors of a squared-exponential process on training points."""
+class GaussianProcess:
+    """Factors of a squared-exponential process on training points; points are added by growing the Cholesky factor."""
 
     def __init__(self, x: np.ndarray, y: np.ndarray, length: float, noise: float):
-        self.x, self.length = x, length
-        chol = np.linalg.cholesky(self.kernel(x) + noise * np.eye(len(x)))
-        self.inverse = np.linalg.solve(chol, np.eye(len(x))) if len(x) else np.zeros((0, 0))
-        self.alpha = self.inverse.T @ (self.inverse @ y)
-        self.log_marginal = float(-0.5 * y @ self.alpha - np.log(np.diag(chol)).sum() - 0.5 * len(x) * np.log(2 * np.pi)) if len(x) else 0.0
+        self.length, self.noise = length, noise
+        self.x, self.y, self.chol, self.inverse = np.zeros((0, x.shape[1])), np.zeros(0), np.zeros((0, 0)), np.zeros((0, 0))
+        self.grow(x, y)
+
+    def grow(self, x: np.ndarray, y: np.ndarray) -> None:
+        """Add k points to n: new rows of the factor and of its inverse alone, O(n^2 k)."""
+        n, k = len(self.x), len(x)
+        cross = self.kernel(x)
+        low = cross @ self.inverse.T
+        self.x, self.y = np.vstack([self.x, x]), np.r_[self.y, y]
+        corner = np.linalg.cholesky(self.kernel(x)[:, n:] + self.noise * np.eye(k) - low @ low.T) if k else np.zeros((0, 0))
+        flipped = np.linalg.solve(corner, np.eye(k)) if k else corner
+        self.chol = np.block([[self.chol, np.zeros((n, k))], [low, corner]])
+        self.inverse = np.block([[self.inverse, np.zeros((n, k))], [-flipped @ low @ self.inverse, flipped]])
+        self.alpha = self.inverse.T @ (self.inverse @ self.y)
+
+    @property
+    def log_marginal(self) -> float:
+        n = len(self.x)
+        return float(-0.5 * self.y @ self.alpha - np.log(np.diag(self.chol)).sum() - 0.5 * n * np.log(2 * np.pi)) if n else 0.0
 
     def kernel(self, a: np.ndarray) -> np.ndarray:
         d2 = (a**2).sum(1)[:, None] + (self.x**2).sum(1)[None] - 2 * a @ self.x.T
         return np.exp(-0.5 * np.maximum(d2, 0) / self.length**2)
 
 
-def _gp(train: DataFrame, length: float, noise: float, max_train: int) -> _Gp:
+def _gp(train: DataFrame, length: float, noise: float, max_train: int) -> GaussianProcess:
     p = train.select(F.col("p").cast("array<double>").alias("p"), F.col("y").cast("double").alias("y"))
     rows = bounded_rows(p, max_train, "p", "y").toPandas().sort_values("y", kind="stable")  # max_train rows at most
-    return _Gp(np.array(rows.p.tolist(), float).reshape(len(rows), -1 if len(rows) else 1), rows.y.to_numpy(float), length, noise)
+    return GaussianProcess(np.array(rows.p.tolist(), float).reshape(len(rows), -1 if len(rows) else 1), rows.y.to_numpy(float), length, noise)
 
 
 def bounded_rows(df: DataFrame, n: int, *keys: str) -> DataFrame:
@@ -117,10 +132,14 @@ def gp_predict(candidates: DataFrame, train: DataFrame, length: float = 1.0, noi
     """``id, mean, std`` of a squared-exponential Gaussian process at every candidate.
 
     The process is fitted on at most ``max_train`` training rows (all, or a draw
-    by hash); candidates are scored in slices, so a task holds a few hundred
-    kernel rows at a time.
+    by hash).
     """
-    held = candidates.sparkSession.sparkContext.broadcast(_gp(train, length, noise, max_train))
+    return gp_score(candidates, _gp(train, length, noise, max_train))
+
+
+def gp_score(candidates: DataFrame, process: GaussianProcess) -> DataFrame:
+    """``id, mean, std`` of a fitted process at every candidate, in slices, so a task holds a few hundred kernel rows at a time."""
+    held = candidates.sparkSession.sparkContext.broadcast(process)
 
     def run(batches):
         gp = held.value

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import fnmatch
 import io
 import json
+import zipfile
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 
 def save_results(runs: DataFrame, fields: DataFrame, path: str, points: DataFrame | None = None, cells: DataFrame | None = None) -> None:
@@ -84,34 +89,142 @@ def read_mesh_text(spark: SparkSession, points: str, cells: str | None = None, k
 _MEMBERS = (("field_", "_values", "value"), ("field_", "_points", "point"), ("mesh_points", "", "mesh_point"), ("mesh_cells", "", "mesh_cell"))
 
 
-def read_npz(spark: SparkSession, glob: str) -> DataFrame:
+_NPZ = "run_id string, kind string, field string, row long, component int, value double, text string"
+#: Bytes of an archive's member that one task reads.
+NPZ_BYTES = 32 << 20
+
+
+def _known(member: str) -> tuple[str, str | None] | None:
+    """Kind and field of a member; None for one that is passed over."""
+    if member == "metadata":
+        return "metadata", None
+    for head, tail, kind in _MEMBERS:
+        if member.startswith(head) and member.endswith(tail) and (tail or member == head):
+            return kind, member[len(head) : -len(tail)] if tail else None
+    return None
+
+
+def _npz_rows(run_id: str, kind: str, field: str | None, a: np.ndarray, first: int = 0) -> pa.RecordBatch:
+    """Rows of a member, or of its rows from ``first`` on."""
+    text = None
+    if kind == "metadata":
+        text = a.tobytes().decode("utf-8", "replace") if a.dtype.kind in "SV" or a.dtype == np.uint8 else str(a) if a.dtype.kind == "U" else None
+        row, component, value = [0], [0], pa.array([None], pa.float64())
+    else:
+        v = np.asarray(a, float)
+        v = v.reshape(len(v), -1) if v.ndim else v.reshape(1, 1)
+        i, c = np.indices(v.shape)
+        row, component, value = i.ravel() + first, c.ravel(), pa.array(v.ravel())
+    n = len(row)
+    same = lambda x: pa.array([x], pa.string()).take(pa.array(np.zeros(n, np.int64)))
+    return pa.RecordBatch.from_arrays([same(run_id), same(kind), same(field), pa.array(row, pa.int64()), pa.array(component, pa.int32()), value, same(text)], names=["run_id", "kind", "field", "row", "component", "value", "text"])
+
+
+class NpzRange(InputPartition):
+    """Rows ``lo`` to ``hi`` of a member of an archive; the whole member where ``hi`` is None."""
+
+    def __init__(self, path: str, member: str, lo: int = 0, hi: int | None = None):
+        self.path, self.member, self.lo, self.hi = path, member, lo, hi
+
+
+def _header(stream) -> tuple[tuple, bool, np.dtype]:
+    version = np.lib.format.read_magic(stream)
+    return (np.lib.format.read_array_header_1_0 if version == (1, 0) else np.lib.format.read_array_header_2_0)(stream)
+
+
+class NpzReader(DataSourceReader):
+    def __init__(self, glob: str, size: int):
+        self.glob, self.size = glob, size
+
+    def partitions(self) -> list[NpzRange]:
+        """Ranges of rows over the members of all archives; only directories and array headers are read here."""
+        fs, at = pafs.FileSystem.from_uri(self.glob.split("*")[0].rpartition("/")[0] if "*" in self.glob else self.glob)
+        own = fs.get_file_info(at)
+        if own.type == pafs.FileType.File:
+            found = [own]
+        else:
+            wanted = self.glob.rpartition("/")[2] if "*" in self.glob else "*.npz"
+            found = [f for f in fs.get_file_info(pafs.FileSelector(at)) if f.type == pafs.FileType.File and fnmatch.fnmatch(f.base_name, wanted)]
+        out = []
+        for f in sorted(found, key=lambda f: f.path):
+            with fs.open_input_file(f.path) as raw, zipfile.ZipFile(raw) as z:
+                for name in z.namelist():
+                    member = name.removesuffix(".npy")
+                    if not _known(member):
+                        continue
+                    with z.open(name) as stream:
+                        shape, fortran, kind = _header(stream)
+                    if kind.hasobject:
+                        raise ValueError(f"{f.path} holds pickled objects in {member}")
+                    each = max(1, int(np.prod(shape[1:], dtype=np.int64)) * kind.itemsize)
+                    n = max(1, self.size // each)
+                    if not shape or fortran or member == "metadata" or shape[0] <= n:
+                        out.append(NpzRange(f.path, name))
+                    else:
+                        out += [NpzRange(f.path, name, lo, min(lo + n, shape[0])) for lo in range(0, shape[0], n)]
+        return out
+
+    def read(self, partition: NpzRange) -> Iterator[pa.RecordBatch]:
+        fs, _ = pafs.FileSystem.from_uri(self.glob.split("*")[0])
+        run_id, member = partition.path.rpartition("/")[2].removesuffix(".npz"), partition.member.removesuffix(".npy")
+        kind, field = _known(member)
+        with fs.open_input_file(partition.path) as raw, zipfile.ZipFile(raw) as z, z.open(partition.member) as stream:
+            if partition.hi is None:
+                yield _npz_rows(run_id, kind, field, np.lib.format.read_array(stream, allow_pickle=False))
+                return
+            shape, _, dtype = _header(stream)
+            each = int(np.prod(shape[1:], dtype=np.int64)) * dtype.itemsize
+            stream.seek(partition.lo * each, io.SEEK_CUR)  # a jump in a stored member; a compressed one is read up to here
+            step = max(1, (1 << 20) // each)
+            for lo in range(partition.lo, partition.hi, step):
+                n = min(step, partition.hi - lo)
+                yield _npz_rows(run_id, kind, field, np.frombuffer(stream.read(n * each), dtype).reshape(n, *shape[1:]), lo)
+
+
+class NpzSource(DataSource):
+    """Spark data source ``npz`` over a folder, a file or a pattern of archives; option ``bytes``: size of a task's range."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "npz"
+
+    def schema(self) -> str:
+        return _NPZ
+
+    def reader(self, schema) -> NpzReader:
+        return NpzReader(self.options["path"], int(self.options.get("bytes", NPZ_BYTES)))
+
+
+def read_npz(spark: SparkSession, glob: str, size: int = NPZ_BYTES) -> DataFrame:
     """``run_id, kind, field, row, component, value, text`` of every known member of a folder of archives.
 
     Kinds are value, point (of a field), mesh_point, mesh_cell (node ids) and
     metadata (JSON in ``text``).  Pickled members are refused; unknown ones are
-    passed over; an archive is read by one task.
+    passed over.  Members are cut into ranges of rows of about ``size`` bytes, so
+    one archive is read by many tasks; a member in column order is one range.
+    Stores that only Spark opens are read an archive a task, 2 GB at most each.
     """
+    try:
+        pafs.FileSystem.from_uri(glob.split("*")[0])
+    except (pa.ArrowException, OSError, ValueError):
+        return _whole_archives(spark, glob)
+    spark.dataSource.register(NpzSource)
+    return spark.read.format("npz").option("bytes", size).load(glob)
+
+
+def _whole_archives(spark: SparkSession, glob: str) -> DataFrame:
     files = spark.read.format("binaryFile").load(glob).select("path", "content")
 
     def run(batches):
-        for pdf in batches:
-            for path, raw in zip(pdf.path, pdf.content):
+        for b in batches:
+            for path, raw in zip(b.column("path").to_pylist(), b.column("content")):
                 run_id = path.rsplit("/", 1)[-1].removesuffix(".npz")
-                with np.load(io.BytesIO(raw), allow_pickle=False) as z:
+                with np.load(io.BytesIO(raw.as_buffer()), allow_pickle=False) as z:
                     for key in z.files:
-                        a = z[key]
-                        if key == "metadata":
-                            text = a.tobytes().decode("utf-8", "replace") if a.dtype.kind in "SV" or a.dtype == np.uint8 else str(a) if a.dtype.kind == "U" else None
-                            yield pd.DataFrame({"run_id": [run_id], "kind": ["metadata"], "field": [None], "row": [0], "component": np.zeros(1, np.int32), "value": [None], "text": [text]})
-                            continue
-                        for head, tail, kind in _MEMBERS:
-                            if key.startswith(head) and key.endswith(tail) and (tail or key == head):
-                                v = np.asarray(a, float)
-                                v = v.reshape(len(v), -1) if v.ndim else v.reshape(1, 1)
-                                i, c = np.indices(v.shape)
-                                yield pd.DataFrame({"run_id": run_id, "kind": kind, "field": key[6 : -len(tail)] if tail else None, "row": i.ravel(), "component": c.ravel().astype(np.int32), "value": v.ravel(), "text": None})
-
-    return files.mapInPandas(run, "run_id string, kind string, field string, row long, component int, value double, text string")
+                        if known := _known(key):
+                            yield _npz_rows(run_id, *known, z[key])
+
+    return files.mapInArrow(run, _NPZ)
 
 
 def read_npz_results(spark: SparkSession, glob: str) -> DataFrame:

@@ -2,64 +2,142 @@
 
 from __future__ import annotations
 
-import pickle
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from fieldloom.operators.surrogate import expected_improvement, gp_predict, top_candidates
+from fieldloom.operators.rom import apply_right, gram, to_matrix
+from fieldloom.operators.surrogate import MAX_TRAIN, GaussianProcess, bounded_rows, expected_improvement, gp_score, top_candidates
 from fieldloom.sources.scratch import Scratch
 
 
+@contextmanager
+def rocksdb(spark: SparkSession) -> Iterator[None]:
+    """State of queries started here is kept by RocksDB, which typed state needs; the session's setting comes back."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def streaming_moments(stream: DataFrame, key: str, value: str) -> DataFrame:
     """Running count, mean, variance and standard error by key; for update or complete mode."""
     g = stream.groupBy(key).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.var_pop(value).alias("variance"))
     return g.withColumn("standard_error", F.sqrt(F.col("variance") / F.col("n")))
 
 
-def streaming_dmd(stream: DataFrame, rank: int, forgetting: float = 0.99, event_time: str | None = None, delay: str = "1 hour") -> DataFrame:
-    """Recursive least squares of a reduced operator by run from ``run_id, step, x`` rows.
+_DMD = "run_id string, step long, late long, waiting long, re array<double>, im array<double>, operator array<double>"
 
-    State is the operator, the inverse covariance and the last state.  Steps at
-    or before the last one, repeats among them, are late: they are counted and
-    dropped.  With ``event_time`` a run's state is dropped once the watermark
-    (``delay`` behind the newest row) has passed its last row by ``delay``, so state
-    stays bounded by the runs that are alive.
-    """
-    columns, wait = ["run_id", "step", "x"], int(pd.Timedelta(delay).total_seconds() * 1000)
-    if event_time:
-        stream = stream.withWatermark(event_time, delay)
-        columns.append(event_time)
 
-    def update(key, frames, state: GroupState):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        a, p, last, x0, late = pickle.loads(state.get[0]) if state.exists else (np.eye(rank), 1e3 * np.eye(rank), None, None, 0)
-        rows = pd.concat(list(frames)).sort_values("step")
-        for step, x in zip(rows.step, rows.x):
-            x = np.asarray(x, float)
-            if last is not None and step <= last:
-                late += 1
+class _Recursion(StatefulProcessor):
+    """Recursive least squares of one run; see ``streaming_dmd``."""
+
+    def __init__(self, rank: int, forgetting: float, first: int, delay: int, timed: bool):
+        self.rank, self.forgetting, self.first, self.delay, self.timed = rank, forgetting, first, delay, timed
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.model = handle.getValueState("model", "operator array<double>, spread array<double>, last long, x array<double>, late long, newest long")
+        self.waiting = handle.getListState("waiting", "step long, at long, x array<double>")
+
+    def _load(self) -> None:
+        r, got = self.rank, self.model.get()
+        if got is None:
+            got = np.eye(r).ravel(), 1e3 * np.eye(r).ravel(), self.first - 1, None, 0, 0
+        a, p, self.last, x, self.late, self.newest = got
+        self.a, self.p = np.array(a, float).reshape(r, r), np.array(p, float).reshape(r, r)
+        self.x = None if x is None else np.array(x, float)
+        self.rows = sorted((int(s), int(t), v) for s, t, v in self.waiting.get())
+
+    def _release(self, until: float) -> None:
+        """Take the rows that follow on the last step, and across gaps those up to the time ``until``; the rest wait in order."""
+        k = 0
+        for step, at, x in self.rows:
+            if step > self.last + 1 and at > until:
+                break
+            k += 1
+            if step <= self.last:
+                self.late += 1
                 continue
-            if x0 is not None and step == last + 1:
-                g = p @ x0 / (forgetting + x0 @ p @ x0)
-                a = a + np.outer(x - a @ x0, g)
-                p = (p - np.outer(g, x0 @ p)) / forgetting
-            last, x0 = int(step), x
-        state.update((pickle.dumps((a, p, last, x0, late)),))
-        if event_time:
-            newest = int(pd.Timestamp(rows[event_time].max()).timestamp() * 1000)
-            state.setTimeoutTimestamp(max(newest + wait, state.getCurrentWatermarkMs() + 1))
-        w = np.linalg.eigvals(a)
+            x = np.array(x, float)
+            if self.x is not None and step == self.last + 1:
+                g = self.p @ self.x / (self.forgetting + self.x @ self.p @ self.x)
+                self.a = self.a + np.outer(x - self.a @ self.x, g)
+                self.p = (self.p - np.outer(g, self.x @ self.p)) / self.forgetting
+            self.last, self.x = step, x
+        self.rows = self.rows[k:]
+
+    def _save(self, key, timer: bool = True) -> pd.DataFrame:
+        x = None if self.x is None else self.x.tolist()
+        self.model.update((self.a.ravel().tolist(), self.p.ravel().tolist(), int(self.last), x, int(self.late), int(self.newest)))
+        if self.rows:
+            self.waiting.put([(s, t, list(v)) for s, t, v in self.rows])
+        else:
+            self.waiting.clear()
+        if self.timed:
+            for t in list(self.handle.listTimers()):
+                self.handle.deleteTimer(t[0] if isinstance(t, tuple) else t)
+        if self.timed and timer:
+            self.handle.registerTimer(min(t for _, t, _ in self.rows) + 1 if self.rows else self.newest + self.delay)
+        w = np.linalg.eigvals(self.a)
         w = w[np.lexsort((w.imag, -np.abs(w)))]
-        yield pd.DataFrame({"run_id": [key[0]], "step": [last], "late": [late], "re": [w.real.tolist()], "im": [w.imag.tolist()]})
+        return pd.DataFrame({"run_id": [str(key[0])], "step": [int(self.last)], "late": [int(self.late)], "waiting": [len(self.rows)], "re": [w.real.tolist()], "im": [w.imag.tolist()], "operator": [self.a.ravel().tolist()]})
+
+    def handleInputRows(self, key, rows, timerValues):
+        self._load()
+        for part in rows:
+            times = part["at"].astype("int64").tolist()
+            self.rows += list(zip(part["step"].astype("int64").tolist(), times, part["x"].tolist()))
+            self.newest = max([self.newest, *times])
+        self.rows.sort(key=lambda r: r[:2])
+        self._release(timerValues.getCurrentWatermarkInMs() if self.timed else np.inf)
+        yield self._save(key)
 
-    timeout = GroupStateTimeout.EventTimeTimeout if event_time else GroupStateTimeout.NoTimeout
-    return stream.select(*columns).groupBy("run_id").applyInPandasWithState(update, "run_id string, step long, late long, re array<double>, im array<double>", "blob binary", "update", timeout)
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        self._load()
+        now, waited = timerValues.getCurrentWatermarkInMs(), len(self.rows)
+        self._release(now)
+        over = not self.rows and now >= self.newest + self.delay
+        out = self._save(key, timer=not over)
+        if over:
+            self.model.clear()
+            self.waiting.clear()
+        if len(self.rows) < waited or not over:
+            yield out
+
+    def close(self) -> None:
+        pass
+
+
+def streaming_dmd(stream: DataFrame, rank: int, forgetting: float = 0.99, event_time: str | None = None, delay: str = "1 hour", first: int = 0) -> DataFrame:
+    """Recursive least squares of a reduced operator by run from ``run_id, step, x`` rows; for update mode under ``rocksdb``.
+
+    State is typed: the operator, the inverse covariance, the last step and state,
+    and the rows that wait, in order of steps.  A run begins with step ``first``.
+    Rows may arrive in any order: those that follow on the last step are taken at
+    once; a row behind a gap waits until the gap is filled or the watermark
+    (``delay`` behind the newest row) has passed the row, and is then the start of
+    a new stretch.  Repeated steps and steps at or before the last one are
+    counted in ``late`` and dropped.  A run's state goes once the watermark has
+    passed its last row by ``delay``, so state is bounded by the runs and rows of
+    that time.  Without ``event_time`` nothing waits and nothing goes.
+    """
+    wait = int(pd.Timedelta(delay).total_seconds() * 1000)
+    at = F.lit(0).cast("long")
+    if event_time:
+        stream = stream.withWatermark(event_time, delay)
+        at = F.unix_millis(event_time)
+    rows = stream.select(F.col("run_id").cast("string").alias("run_id"), F.col("step").cast("long").alias("step"), F.col("x").cast("array<double>").alias("x"), at.alias("at"), *([event_time] if event_time else []))
+    rows = rows.where("run_id is not null and step is not null and x is not null")
+    return rows.groupBy("run_id").transformWithStateInPandas(_Recursion(rank, forgetting, first, wait, event_time is not None), _DMD, "Update", "EventTime" if event_time else "None")
 
 
 class AdaptivePod:
@@ -67,15 +145,21 @@ class AdaptivePod:
 
     ``update`` is a ``foreachBatch`` function over ``dof, step, value`` rows.  Each
     snapshot of the batch, in step order, moves the mean by 1 / (k + 1) and, where
-    the basis misses more than ``tol`` of it, becomes a mode (its normalised
-    rest).  The basis stays a distributed table, written anew for each batch
-    that changes it; a batch's snapshots meet it as one packed column, and two
-    numbers a snapshot reach the driver.  A batch id that was seen is skipped, so
-    a repeated batch changes nothing.
+    the basis misses more than ``tol`` of it (1e-6 at least), becomes a mode (its
+    normalised rest).  Means, rests and modes are combinations of the basis, the
+    mean and the new snapshots, so one Gram matrix of these gives all of them: a
+    batch is packed and joined once, its Gram matrix (modes and snapshots squared)
+    is worked through on the driver, and one map writes the basis anew, whatever
+    the number of snapshots (``TOGETHER`` at most in one round).  A second Gram
+    matrix makes new modes orthonormal to full precision.  Dofs that a snapshot of
+    the batch lacks leave the basis.  A batch id that was seen is skipped, so a
+    repeated batch changes nothing.
     """
 
+    TOGETHER = 256
+
     def __init__(self, spark: SparkSession, tol: float = 0.01, max_modes: int = 20):
-        self.tmp, self.tol, self.max_modes = Scratch(spark, "adaptive"), tol, max_modes
+        self.tmp, self.tol, self.max_modes = Scratch(spark, "adaptive"), max(tol, 1e-6), max_modes
         self.basis: DataFrame | None = None
         self.modes = self.count = 0
         self.last_batch = -1
@@ -84,59 +168,100 @@ class AdaptivePod:
         if batch_id <= self.last_batch:
             return
         steps = [r.step for r in batch.select("step").distinct().sort("step").collect()]  # one row a snapshot
-        for step in steps:
-            now = batch.where(F.col("step") == step).groupBy("dof").agg(F.avg("value").alias("value"))
-            self._add(now)
+        for at in range(0, len(steps), self.TOGETHER):
+            part = steps[at : at + self.TOGETHER]
+            rows = batch if len(part) == len(steps) else batch.where(F.col("step").between(part[0], part[-1]))
+            self._add(rows, len(part))
         self.last_batch = batch_id
 
-    def _add(self, now: DataFrame) -> None:
+    def _add(self, rows: DataFrame, m: int) -> None:
+        value = rows.groupBy("dof", "step").agg(F.avg("value").alias("value")).groupBy("dof").agg(F.array_sort(F.collect_list(F.struct("step", "value"))).alias("p"))
+        value = value.select("dof", F.col("p.value").alias("new")).where(F.size("new") == m)
         if self.basis is None:
-            self.basis = self.tmp.write(now.select("dof", F.col("value").alias("mean"), F.array().cast("array<double>").alias("phi")), "basis")
-            self.count = 1
-            return
-        self.count += 1
-        j = self.basis.join(now, "dof")
-        mean = F.col("mean") + (F.col("value") - F.col("mean")) / self.count
-        j = self.tmp.write(j.select("dof", mean.alias("mean"), "phi", (F.col("value") - mean).alias("c"), "value"), "met")
-        dots = j.agg(F.sum(F.col("value") ** 2).alias("size"), *[F.sum(F.col("phi")[i] * F.col("c")).alias(f"a{i}") for i in range(self.modes)]).first()
-        rest = F.col("c")
-        for i in range(self.modes):
-            rest = rest - float(dots[f"a{i}"] or 0.0) * F.col("phi")[i]
-        miss = j.agg(F.sqrt(F.sum(rest * rest))).first()[0] or 0.0
-        phi = F.col("phi")
-        if miss > self.tol * (dots["size"] or 0.0) ** 0.5 and self.modes < self.max_modes:
-            phi = F.concat("phi", F.array(rest / miss))
-            self.modes += 1
-        new = self.tmp.write(j.select("dof", "mean", phi.alias("phi")), "basis")
-        self.tmp.drop(self.basis, j)
+            met = value.select("dof", F.concat(F.array(F.lit(0.0)), "new").alias("xs"))
+        else:
+            met = self.basis.join(value, "dof").select("dof", F.concat("phi", F.array("mean"), "new").alias("xs"))
+        met = self.tmp.write(met, "met")
+        g = to_matrix(gram(met, center=False))
+        r, unit = self.modes, np.eye(len(g)) if len(g) else np.eye(self.modes + 1 + m)
+        g = g if len(g) else np.zeros((len(unit), len(unit)))
+        norm = lambda v: float(np.sqrt(max(v @ g @ v, 0.0)))
+        mean, modes = unit[r], [unit[i] for i in range(r)]
+        for s in unit[r + 1 :]:
+            self.count += 1
+            mean = mean + (s - mean) / self.count
+            if self.count == 1:
+                continue
+            rest = s - mean
+            for _ in range(2):
+                rest = rest - sum(((v @ g @ rest) * v for v in modes), np.zeros(len(g)))
+            miss = norm(rest)
+            if miss > self.tol * norm(s) and len(modes) < self.max_modes:
+                modes.append(rest / miss)
+        self.modes = len(modes)
+        new = self._written(met, np.column_stack([*modes, mean]))
+        if self.modes > r:
+            own = to_matrix(gram(new.select("dof", F.col("phi").alias("xs")), center=False))
+            right = np.linalg.inv(np.linalg.cholesky(own)).T
+            full = np.block([[right, np.zeros((self.modes, 1))], [np.zeros((1, self.modes)), np.ones((1, 1))]])
+            better = self._written(new.select("dof", F.concat("phi", F.array("mean")).alias("xs")), full)
+            self.tmp.drop(new)
+            new = better
+        self.tmp.drop(self.basis, met)
         self.basis = new
 
+    def _written(self, packed: DataFrame, right: np.ndarray) -> DataFrame:
+        k = right.shape[1] - 1
+        out = apply_right(packed, right, "all", center=False).select("dof", F.col("all")[k].alias("mean"), F.slice("all", 1, k).alias("phi"))
+        return self.tmp.write(out, "basis")
+
 
 class ObservationLoop:
     """Next points to observe, after each batch of observations ``p, y``.
 
-    ``update`` is a ``foreachBatch`` function: it appends the observations to a
-    table and, from ``least`` of them on, refits the process (on at most
-    ``max_train`` rows) and takes the k candidates of the largest deviation or
-    expected improvement; before that the candidates of the smallest hashes.  Only
-    the k chosen rows reach the driver, in ``chosen``.
+    ``update`` is a ``foreachBatch`` function: it appends the batch to a log (a
+    table for each batch; none is written again) and adds its rows to the process,
+    whose Cholesky factor grows by new rows alone.  From ``least`` observations on
+    it takes the k candidates of the largest deviation or expected improvement,
+    before that those of the smallest hashes.  The process takes the first
+    ``max_train`` observations; later ones are logged.  Only a batch's rows for the
+    process and the k chosen rows, in ``chosen``, reach the driver.
     """
 
-    def __init__(self, candidates: DataFrame, k: int = 1, length: float = 1.0, least: int = 5, score: str = "uncertainty", seed: int = 0):
-        self.candidates, self.k, self.length, self.least, self.score, self.seed = candidates, k, length, least, score, seed
-        self.tmp, self.seen, self.chosen, self.last_batch = Scratch(candidates.sparkSession, "observe"), None, [], -1
+    def __init__(self, candidates: DataFrame, k: int = 1, length: float = 1.0, least: int = 5, score: str = "uncertainty", seed: int = 0, noise: float = 1e-6, max_train: int = MAX_TRAIN):
+        self.candidates, self.k, self.length, self.least, self.score, self.seed, self.noise, self.max_train = candidates, k, length, least, score, seed, noise, max_train
+        self.tmp, self.chosen, self.last_batch = Scratch(candidates.sparkSession, "observe"), [], -1
+        self.log: list[str] = []
+        self.process: GaussianProcess | None = None
+        self.count, self.best = 0, float("inf")
+
+    @property
+    def seen(self) -> DataFrame:
+        """The log of all observations."""
+        return self.candidates.sparkSession.read.schema("p array<double>, y double").parquet(*self.log)
 
     def update(self, batch: DataFrame, batch_id: int) -> None:
         if batch_id <= self.last_batch:
             return
-        rows = batch.select(F.col("p").cast("array<double>").alias("p"), F.col("y").cast("double").alias("y"))
-        self.seen = self.tmp.write(rows if self.seen is None else self.seen.unionByName(rows), "seen")
-        best = self.seen.agg(F.count("*").alias("n"), F.min("y").alias("y")).first()
-        if best.n < self.least:
+        rows = self.tmp.write(batch.select(F.col("p").cast("array<double>").alias("p"), F.col("y").cast("double").alias("y")), "seen")
+        self.log.append(rows._scratch_path)
+        own = rows.where("p is not null and y is not null and not isnan(y)")
+        told = own.agg(F.count("*").alias("n"), F.min("y").alias("y")).first()
+        room = self.max_train - (len(self.process.x) if self.process else 0)
+        if told.n:
+            self.count, self.best = self.count + told.n, min(self.best, told.y)
+            fresh = bounded_rows(own, room, "p", "y").toPandas().sort_values("y", kind="stable") if room else None  # max_train rows at most over all batches
+            if fresh is not None and len(fresh):
+                x, y = np.array(fresh.p.tolist(), float), fresh.y.to_numpy(float)
+                if self.process is None:
+                    self.process = GaussianProcess(x, y, self.length, self.noise)
+                else:
+                    self.process.grow(x, y)
+        if self.count < self.least or self.process is None:
             scored = self.candidates.select("id", (-F.pmod(F.xxhash64(F.lit(self.seed), "id"), F.lit(1 << 40))).alias("score"))
         else:
-            g = gp_predict(self.candidates, self.seen, self.length)
-            s = F.col("std") if self.score == "uncertainty" else expected_improvement(F.col("mean"), F.col("std"), float(best.y))
+            g = gp_score(self.candidates, self.process)
+            s = F.col("std") if self.score == "uncertainty" else expected_improvement(F.col("mean"), F.col("std"), self.best)
             scored = g.select("id", s.alias("score"))
         self.chosen.append([r.id for r in top_candidates(scored, self.k).collect()])  # k rows
         self.last_batch = batch_id

@@ -474,7 +474,7 @@ def test_mesh_text(spark, tmp_path):
 
 
 def test_streams(spark, tmp_path):
-    from fieldloom.streaming.incremental import AdaptivePod, ObservationLoop, streaming_dmd
+    from fieldloom.streaming.incremental import AdaptivePod, ObservationLoop, rocksdb, streaming_dmd
 
     rng = np.random.default_rng(13)
     base = rng.normal(size=(20, 2))
@@ -512,7 +512,8 @@ def test_streams(spark, tmp_path):
     ev = spark.createDataFrame(rows, "run_id string, step long, x array<double>, s long").select("run_id", "step", "x", F.timestamp_seconds("s").alias("ts"))
     ev.coalesce(1).write.parquet(f"{tmp_path}/ev")
     seen = []
-    q = streaming_dmd(spark.readStream.schema(ev.schema).parquet(f"{tmp_path}/ev"), 2, event_time="ts", delay="10 minutes").writeStream.outputMode("update").option("checkpointLocation", f"{tmp_path}/c2").foreachBatch(lambda b, _: seen.extend(b.collect())).trigger(availableNow=True).start()
+    with rocksdb(spark):
+        q = streaming_dmd(spark.readStream.schema(ev.schema).parquet(f"{tmp_path}/ev"), 2, event_time="ts", delay="10 minutes").writeStream.outputMode("update").option("checkpointLocation", f"{tmp_path}/c2").foreachBatch(lambda b, _: seen.extend(b.collect())).trigger(availableNow=True).start()
     q.awaitTermination()
     last = max(seen, key=lambda r: r.step)
     assert last.step == 59 and np.allclose(last.re, 0.9, atol=1e-3)

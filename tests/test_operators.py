@@ -199,7 +199,7 @@ def test_results_round_trip(spark, tmp_path):
 
 
 def test_streaming_dmd(spark, tmp_path):
-    from fieldloom.streaming.incremental import streaming_dmd
+    from fieldloom.streaming.incremental import rocksdb, streaming_dmd
 
     a, x, rows = np.array([[0.9, 0.2], [-0.2, 0.9]]), np.array([1.0, 0.5]), []
     for k in range(60):
@@ -208,7 +208,8 @@ def test_streaming_dmd(spark, tmp_path):
     df = spark.createDataFrame([*rows, ("r", 3, [9.0, 9.0])], "run_id string, step long, x array<double>")
     df.coalesce(1).write.parquet(f"{tmp_path}/in")
     seen = []
-    q = streaming_dmd(spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in"), 2).writeStream.outputMode("update").option("checkpointLocation", f"{tmp_path}/c").foreachBatch(lambda b, _: seen.extend(b.collect())).trigger(availableNow=True).start()
+    with rocksdb(spark):
+        q = streaming_dmd(spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in"), 2).writeStream.outputMode("update").option("checkpointLocation", f"{tmp_path}/c").foreachBatch(lambda b, _: seen.extend(b.collect())).trigger(availableNow=True).start()
     q.awaitTermination()
     last = seen[-1]
     assert last.late == 1 and np.allclose(sorted(last.im), [-0.2, 0.2], atol=1e-3) and np.allclose(last.re, 0.9, atol=1e-3)
