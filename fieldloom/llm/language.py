@@ -35,10 +35,9 @@ from fieldloom.sources.scratch import Scratch
 
 BUCKETS = 1 << 15
 PULL = 8.0  # pseudo-pages by which a level of the host tree follows the level above
-TEMPER = 40.0  # trigrams at most that a text counts for
+TEMPER = 40.0  # parameter of the model: independent trigrams that a long text is worth; all its trigrams are averaged
 REPEATS = 5  # pages of a host that make a block of text its boilerplate
 SUFFIXES = 100  # commonest address suffixes with a table entry of their own; the rest share one
-MOST_LANGS = 512  # more distinct codes than languages are written in: a fault of the column
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 97 and b <= 122 or b >= 128 else 32 for b in range(256))
 _HIDDEN = re.compile(rb"(?i)<(?:(!--)|(script|style|nav|head)(?![a-z0-9]))")
 _ENTITY = re.compile(rb"&[a-zA-Z#0-9]{1,10};")
@@ -92,9 +91,7 @@ def declared(html: bytes) -> str:
 
 def languages(docs: DataFrame) -> list[str]:
     """The codes that ``documents`` hold, in alphabetical order."""
-    rows = docs.where("lang is not null and trim(lang) <> ''").select(F.lower(F.trim("lang")).alias("lang")).distinct().limit(MOST_LANGS + 1).collect()
-    if len(rows) > MOST_LANGS:
-        raise ValueError(f"more than {MOST_LANGS} different language codes")
+    rows = docs.where("lang is not null and trim(lang) <> ''").select(F.lower(F.trim("lang")).alias("lang")).distinct().collect()  # one row a language
     return sorted(r.lang for r in rows)
 
 
@@ -102,19 +99,23 @@ def profiles(docs: DataFrame, langs: list[str]) -> np.ndarray:
     """Log probabilities of trigram buckets by language, from all documents of known language."""
     known = docs.select(F.lower(F.trim("lang")).alias("lang"), utf8().alias("text")).where(F.col("lang").isin(langs) & F.col("text").isNotNull())
 
+    number = {lang: i for i, lang in enumerate(langs)}
+
     def count(batches):
-        total = np.zeros((len(langs), BUCKETS), np.int64)
+        total: dict[int, np.ndarray] = {}
         for b in (p for whole in batches for p in parts(whole)):
             data, offs = raw_column(b, "text")
             for t, lang in enumerate(b.column("lang").to_pylist()):
+                own = total.setdefault(number[lang], np.zeros(BUCKETS, np.int64))
                 for at in range(offs[t], offs[t + 1], 1 << 20):
-                    total[langs.index(lang)] += np.bincount(trigrams(data[at : min(at + (1 << 20), offs[t + 1])].tobytes()), minlength=BUCKETS)
-        i, j = np.nonzero(total)
-        yield pa.RecordBatch.from_pydict({"i": pa.array(i, pa.int32()), "j": pa.array(j, pa.int32()), "c": pa.array(total[i, j], pa.int64())})
+                    own += np.bincount(trigrams(data[at : min(at + (1 << 20), offs[t + 1])].tobytes()), minlength=BUCKETS)
+        for i, own in total.items():
+            j = np.flatnonzero(own)
+            yield pa.RecordBatch.from_pydict({"i": pa.array(np.full(len(j), i), pa.int32()), "j": pa.array(j, pa.int32()), "c": pa.array(own[j], pa.int64())})
 
     c = np.full((len(langs), BUCKETS), 0.5)
-    for r in known.mapInArrow(count, "i int, j int, c long").groupBy("i", "j").agg(F.sum("c").alias("c")).collect():  # languages x buckets at most
-        c[r.i, r.j] += r.c
+    got = known.mapInArrow(count, "i int, j int, c long").groupBy("i", "j").agg(F.sum("c").alias("c")).toArrow()  # columns of numbers, languages x buckets at most
+    c[np.asarray(got.column("i")), np.asarray(got.column("j"))] += np.asarray(got.column("c"))
     return np.log(c / c.sum(1, keepdims=True))
 
 

@@ -5,12 +5,12 @@ generate a text piece by piece: each word is its bytes after a space mark, cut
 into pieces in any way, and an end follows the last word.  ``vocabulary_score``
 uses those weights alone.  ``score`` mixes them, with a share of
 ``PRIOR_SHARE``, with the piece frequencies of the training documents, estimated
-by passes of expected counts over distinct words (weighted by their training
-counts): a few over the ``TOP_WORDS`` most frequent, which only set the start,
-and the last over all of them.  Pieces never cross a word, so the probability of
-a text is the product of its words' marginals, each a log-space forward recursion
-over the word's lattice.  Words of more than ``LONG`` bytes are generated in parts
-of that many bytes, which no piece crosses, so that time and memory stay linear.
+by ``PASSES`` passes of expected counts over all their distinct words (weighted by
+their training counts).  Pieces never cross a word, so the probability of a text
+is the product of its words' marginals, each a log-space forward recursion over
+the word's whole lattice.  Words of up to ``WIDE`` bytes are worked on together;
+longer ones alone, by a recursion that holds the last positions that a piece can
+reach, linear in time whatever their length.
 
 Work is done once for each distinct word, not for each token.  Words of the
 ``TOP_WORDS`` highest counts (a fixed bound) are looked up where the text is
@@ -19,6 +19,8 @@ read; only the others are shuffled to meet the table of words.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -32,11 +34,14 @@ from fieldloom.sources.scratch import Scratch
 TOP_WORDS = 65_536
 #: Share of the vocabulary's own weights in the learned ones.
 PRIOR_SHARE = 0.1
-WARM_PASSES = 4
-LONG = 1024
+PASSES = 2
+WIDE = 1024
+#: Bytes of a longer word whose pieces are looked up at once.
+SEGMENT = 1 << 16
 _BASE = np.uint64(0x100000001B3)
 _AREA = 200_000
 _NEG = -1e30
+_LN10 = math.log(10)
 
 
 def vocabulary(path: str | None = None) -> tuple[list[bytes], np.ndarray]:
@@ -103,24 +108,76 @@ class Lattice:
         return out
 
     def _chunks(self, words: list[bytes]):
-        """Word, size and bytes (plus one) of parts of ``words`` after their space marks, by size."""
-        part, of = [], []
-        for i, w in enumerate(words):
-            w = b" " + w
-            part += [w] if len(w) <= LONG else [w[k : k + LONG] for k in range(0, len(w), LONG)]
-            of += [i] * (len(part) - len(of))
-        size, of = np.array([len(p) for p in part], np.int64), np.array(of, np.int64)
+        """Index, size and bytes (plus one) of the words of up to ``WIDE`` bytes after their space marks, by size."""
+        size = np.array([len(w) + 1 for w in words], np.int64)
         order, at = np.argsort(size, kind="stable"), 0
+        order = order[size[order] <= WIDE]
         while at < len(order):
             n = at + 1
             while n < len(order) and (n + 1 - at) * size[order[n]] <= _AREA:
                 n += 1
             idx = order[at:n]
             wide = int(size[idx[-1]])
-            m = np.frombuffer(b"".join(part[i].ljust(wide, b"\0") for i in idx), np.uint8).reshape(len(idx), wide).astype(np.uint64) + np.uint64(1)
-            yield of[idx], size[idx], m
+            m = np.frombuffer(b"".join((b" " + words[i]).ljust(wide, b"\0") for i in idx), np.uint8).reshape(len(idx), wide).astype(np.uint64) + np.uint64(1)
+            yield idx, size[idx], m
             at = n
 
+    def _pieces(self, raw: bytes, step: int = 1):
+        """For each place of a long word in turn (from the last one with step -1) the lengths and the numbers of the pieces that start there."""
+        longest = int(self.kinds[-1])
+        for lo in range(0, len(raw), SEGMENT)[::step]:
+            n = min(SEGMENT, len(raw) - lo)
+            m = np.frombuffer(raw[lo : lo + n + longest - 1], np.uint8).reshape(1, -1).astype(np.uint64) + np.uint64(1)
+            place, length, piece = [], [], []
+            for k, p in self._matches(m).items():
+                i = np.flatnonzero(p[0, :n] >= 0)
+                place.append(i), length.append(np.full(len(i), k)), piece.append(p[0, i])
+            place, length, piece = (np.concatenate(v) for v in (place, length, piece))
+            order = np.argsort(place, kind="stable")
+            cut = np.searchsorted(place[order], np.arange(n + 1)).tolist()
+            length, piece = length[order].tolist(), piece[order].tolist()
+            for i in range(n)[::step]:
+                yield length[cut[i] : cut[i + 1]], piece[cut[i] : cut[i + 1]]
+
+    def _long(self, raw: bytes, prob: list[float], keep: bool = False) -> tuple[float, np.ndarray | None]:
+        """Log probability of a long word, and with ``keep`` that of each of its beginnings.
+
+        Values of the positions ahead are held in a ring and scaled together where they become small.
+        """
+        n = int(self.kinds[-1]) + 1
+        ring, scale, out = [0.0] * n, 0.0, np.empty(len(raw) + 1) if keep else None
+        ring[0] = 1.0
+        for i, (lengths, pieces) in enumerate(self._pieces(raw)):
+            at = i % n
+            v, ring[at] = ring[at], 0.0
+            if v < 1e-100:
+                ring = [x * 1e100 for x in ring]
+                v, scale = v * 1e100, scale - 100 * _LN10
+            if keep:
+                out[i] = math.log(v) + scale
+            for k, p in zip(lengths, pieces):
+                ring[(at + k) % n] += v * prob[p]
+        end = math.log(ring[len(raw) % n]) + scale
+        if keep:
+            out[-1] = end
+        return end, out
+
+    def _long_expected(self, raw: bytes, prob: list[float], count: float, total: np.ndarray) -> None:
+        """Add the expected uses of each piece in a long word."""
+        end, forward = self._long(raw, prob, True)
+        n = int(self.kinds[-1]) + 1
+        ring, scale = [0.0] * n, 0.0  # of the rests behind each place, from the last one on
+        ring[len(raw) % n] = 1.0
+        for i, (lengths, pieces) in zip(range(len(raw) - 1, -1, -1), self._pieces(raw, -1)):
+            terms = [prob[p] * ring[(i + k) % n] for k, p in zip(lengths, pieces)]
+            factor = math.exp(min(forward[i] + scale - end, 700.0)) * count
+            for p, t in zip(pieces, terms):
+                total[p] += factor * t
+            v = ring[i % n] = sum(terms)
+            if v < 1e-100:
+                ring = [x * 1e100 for x in ring]
+                scale -= 100 * _LN10
+
     def _forward(self, match: dict[int, np.ndarray], rows: int, wide: int, log: np.ndarray) -> np.ndarray:
         a = np.full((rows, wide + 1), _NEG)
         a[:, 0] = 0
@@ -137,7 +194,12 @@ class Lattice:
             match = self._matches(m)
             for row, log in zip(out, self.logs):
                 a = self._forward(match, *m.shape, log)
-                np.add.at(row, of, a[np.arange(len(of)), size] / np.log(10))
+                row[of] = a[np.arange(len(of)), size] / _LN10
+        long = [i for i, w in enumerate(words) if len(w) >= WIDE]
+        for row, log in zip(out, self.logs if long else ()):
+            prob = np.exp(log).tolist()
+            for i in long:
+                row[i] = self._long(b" " + words[i], prob)[0] / _LN10
         return out
 
     def expected(self, words: list[bytes], counts: np.ndarray) -> np.ndarray:
@@ -160,6 +222,10 @@ class Lattice:
                 k = p[r, i]
                 e = np.exp(np.minimum(a[r, i] + log[k] + b[r, i + n] - z[r], 0.0)) * counts[of][r]
                 total += np.bincount(k, e, len(total))
+        long = [i for i, w in enumerate(words) if len(w) >= WIDE]
+        prob = np.exp(log).tolist() if long else []
+        for i in long:
+            self._long_expected(b" " + words[i], prob, float(counts[i]), total)
         return total
 
 
@@ -234,10 +300,9 @@ def text_scores(docs: DataFrame, model_file: str | None = None) -> DataFrame:
 
     pieces, prior = vocabulary(model_file)
     learn = words.where("c > 0").select("word", "c", "word_id")
-    common = tmp.write(_most(learn, "c").repartition(spark.sparkContext.defaultParallelism), "common")
     prob = prior
-    for k in range(WARM_PASSES + 1):  # the last pass is over all words
-        counts = _expected(learn if k == WARM_PASSES else common, pieces, prob)
+    for _ in range(PASSES):
+        counts = _expected(learn, pieces, prob)
         uses = counts.sum()
         prob = (1 - PRIOR_SHARE) * counts / uses + PRIOR_SHARE * prior if uses else prior
     stop = (ends + 1) / (uses + ends + 2)  # the share of ends among all that a text generates

@@ -13,14 +13,15 @@ two shards counts in the smaller one, so only counts and local roots leave a
 task, never pairs.  A brute-force audit measures recall at every width: vectors
 are drawn in blocks and compared with all rows until ``LINKS`` true links of
 ``LINKED`` vectors are seen or all are drawn.  While recall is under the target,
-more shards are probed; beyond ``MAX_PROBES`` all pairs are compared.  Where
-links are so rare that ``AUDIT_ROWS`` drawn vectors show too few of them to tell,
-the audit ends there, so that it stays linear in the rows, and the search starts
-with ``MAX_PROBES`` shards.
+more shards are probed; beyond ``MAX_PROBES`` all pairs are compared.  The audit
+has no other end, so recall is always a measured number: of a sample where links
+are many, of all vectors where they are rare.
 """
 
 from __future__ import annotations
 
+import logging
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -39,8 +40,6 @@ SLACK = 0.06
 PROBES, MAX_PROBES, TARGET = 3, 48, 0.99
 #: The audit's first and largest block (vectors; components at most), and the true links and linked vectors it must see.
 AUDIT, AUDIT_MAX, AUDIT_CELLS, LINKS, LINKED = 512, 8_192, 1 << 20, 1_000, 200
-#: Vectors that the audit draws at most.
-AUDIT_ROWS = 1 << 17
 #: Rounds of k-means, shards that the driver trains alone, and vectors a shard beyond that.
 ROUNDS, DRIVER_SHARDS, PER_CENTROID = 3, 1_024, 32
 
@@ -308,8 +307,8 @@ def true_links(asked: dict[int, tuple[np.ndarray, np.ndarray]], batches, thresho
     return totals
 
 
-def _truth(classes: DataFrame, total: int, threshold: float) -> tuple[pd.DataFrame, bool]:
-    """``rep, true``: the number of linked classes of each drawn class that has any; and whether they suffice.
+def _truth(classes: DataFrame, total: int, threshold: float) -> tuple[pd.DataFrame, int]:
+    """``rep, true``: the number of linked classes of each drawn class that has any; and the number of classes drawn.
 
     Blocks of classes in hash order are compared with all rows until ``LINKS``
     links of ``LINKED`` classes are seen or every class is drawn.  The driver
@@ -318,7 +317,7 @@ def _truth(classes: DataFrame, total: int, threshold: float) -> tuple[pd.DataFra
     sc, full = classes.sparkSession.sparkContext, 1 << 40
     draw = F.pmod(F.xxhash64("rep", F.lit(1)), F.lit(full))
     found, lo, size, drawn, enough = [], 0, AUDIT, 0, False
-    while total and lo < full and drawn < AUDIT_ROWS and not enough:
+    while total and lo < full and not enough:
         hi = min(full, lo + max(1, full * size // total))
         asked = classes.where((draw >= lo) & (draw < hi)).select("rep", "e").toPandas().sort_values("rep")  # about AUDIT_MAX rows at most
         lo, drawn = hi, drawn + len(asked)
@@ -336,11 +335,14 @@ def _truth(classes: DataFrame, total: int, threshold: float) -> tuple[pd.DataFra
         found.append(classes.select("rep", "e").mapInArrow(count, "rep long, true long").groupBy("rep").agg(F.sum("true").alias("true")).toPandas())
         held.unpersist()
         enough = sum(f.true.sum() for f in found) >= LINKS and sum(map(len, found)) >= LINKED
-    return pd.concat(found) if found else pd.DataFrame({"rep": [], "true": []}, dtype="int64"), enough or lo >= full or not total
+    return pd.concat(found) if found else pd.DataFrame({"rep": [], "true": []}, dtype="int64"), drawn
 
 
 def _recall(truth: pd.DataFrame, counts: DataFrame) -> float:
-    """Share of the audited links that were found, over all of them or as the mean of the vectors if that is less."""
+    """Share of the audited links that were found, over all of them or as the mean of the vectors if that is less.
+
+    Only where all vectors were drawn may no link be seen; then none is missed.
+    """
     if truth.empty:
         return 1.0
     asked = counts.sparkSession.createDataFrame(truth[["rep"]], "rep long")
@@ -349,12 +351,16 @@ def _recall(truth: pd.DataFrame, counts: DataFrame) -> float:
     return float(min(found.sum() / truth.true.sum(), (found / truth.true.to_numpy()).mean()))
 
 
+_log = logging.getLogger(__name__)
 MET = "rep long, part long, links long, root long"
 
 
-def vector_links(vectors: DataFrame, threshold: float = 0.9) -> DataFrame:
+def vector_links(vectors: DataFrame, threshold: float = 0.9, audit: list | None = None) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` of every row of ``vectors(vec_id, embedding)``.
 
+    The measured recall of each search, with the vectors drawn and the true links
+    seen, is logged and appended to ``audit``.
+
     Vectors that are null, empty, zero or hold null or non-finite components
     link with nothing and are kept.  Vectors of different lengths do not link.
     Components other than float are read as double.  Rows that repeat an id are
@@ -447,16 +453,18 @@ def vector_links(vectors: DataFrame, threshold: float = 0.9) -> DataFrame:
         held = laid.select((F.col("first") + F.col("own")).alias("shard"), F.col("each").alias("qb"), F.lit(0).alias("query"), *rest)
         return asked.unionByName(held).groupBy("shard", "qb").applyInArrow(_searcher(threshold, exact=True), MET)
 
-    truth, enough = _truth(classes, total, threshold)
-    probes, met = PROBES if enough else max(PROBES, MAX_PROBES), None
-    if probes != PROBES:
-        placed = place(probes)
+    truth, drawn = _truth(classes, total, threshold)
+    probes, met = PROBES, None
     while True:
         exact = probes > MAX_PROBES
         tmp.drop(met)
         met = tmp.write(compare_all() if exact else search(probes), "met")
         counts = tmp.write(met.groupBy("rep").agg(F.sum("part").alias("part"), F.sum("links").alias("links")), "counts")
         recall = _recall(truth, counts)
+        measured = {"vectors": drawn, "linked": len(truth), "links": int(truth.true.sum()), "recall": recall, "probes": None if exact else probes}
+        _log.info("recall of vector links: %s", measured)
+        if audit is not None:
+            audit.append(measured)
         if recall >= TARGET:
             break
         if exact:
