@@ -349,6 +349,40 @@ def dmd_posterior(spark: SparkSession, omega: np.ndarray, resid_std: float, n: i
     return rows.groupBy("mode").agg(*[f(c).alias(f"{c}_{t}") for c in ("re", "im", "frequency") for t, f in (("mean", F.avg), ("std", F.stddev_pop))])
 
 
+def dmd_predict_uncertain(dmd: Dmd, noise: float, steps: list[int], n: int = 1000, seed: int = 0) -> DataFrame:
+    """``dof, step, mean, std`` of ``n`` draws of the dynamics around the fit.
+
+    A draw adds normal noise to the continuous eigenvalues (both parts), to the
+    amplitudes and to every mode value.  The noise of the mode values is integrated
+    exactly; that of the k eigenvalues and amplitudes is drawn on the driver and
+    enters through the moments of the 2 k time factors at each step, so the rows
+    are read once and no draw leaves the driver.
+    """
+    rng, k = np.random.default_rng(seed), len(dmd.eigenvalues)
+    omega = np.log(np.asarray(dmd.eigenvalues, complex) + 1e-300) + noise * (rng.normal(size=(n, k)) + 1j * rng.normal(size=(n, k)))
+    amplitude = dmd.amplitudes + noise * rng.normal(size=(n, k))
+    centre, spread, extra = [], [], []
+    for t in steps:
+        f = amplitude * np.exp(omega * t)
+        f = np.hstack([f.real, -f.imag])  # as the real and imaginary parts of a mode's value meet them
+        centre.append(f.mean(0))
+        spread.append(np.linalg.cholesky(np.cov(f.T, bias=True).reshape(2 * k, 2 * k) + 1e-14 * np.eye(2 * k) * max(np.abs(f).max() ** 2, 1e-300)))
+        extra.append(noise**2 * (f[:, :k] ** 2).sum(1).mean())
+    held = dmd.modes.sparkSession.sparkContext.broadcast((np.array(centre), spread, extra))
+
+    def run(batches):
+        for b in batches:
+            x, dof = _block(b.column("re_im")), np.asarray(b.column("dof"))
+            if not len(x):
+                continue
+            centre, spread, extra = held.value
+            mean = x @ centre.T
+            std = np.sqrt(np.column_stack([((x @ c) ** 2).sum(1) + e for c, e in zip(spread, extra)]))
+            yield pa.RecordBatch.from_pydict({"dof": pa.array(np.repeat(dof, len(steps)), pa.int64()), "step": pa.array(np.tile(steps, len(x)), pa.int32()), "mean": pa.array(mean.ravel()), "std": pa.array(std.ravel())})
+
+    return dmd.modes.mapInArrow(run, "dof long, step int, mean double, std double")
+
+
 def dmd_predict(dmd: Dmd, steps: list[int]) -> DataFrame:
     """``dof, step, value``: real part of the modes times amplitudes and powers of the eigenvalues."""
     t = (dmd.amplitudes[:, None] * dmd.eigenvalues[:, None] ** np.array(steps)[None, :])
@@ -391,27 +425,71 @@ def deim_points(modes: DataFrame, k: int) -> list[int]:
     return points
 
 
+def pivot_rows(phi: np.ndarray, k: int) -> list[int]:
+    """Rows that QR with column pivoting of phi' chooses: each time the one with the largest part outside the chosen rows' span."""
+    rest, size = phi.copy(), (phi**2).sum(1)
+    out: list[int] = []
+    for _ in range(min(k, len(phi))):
+        value = np.round(size, 12)
+        value[out] = -1.0
+        best = int(value.argmax())
+        q = rest[best] / max(np.linalg.norm(rest[best]), 1e-300)
+        dot = rest @ q
+        rest = rest - np.outer(dot, q)
+        size = (rest**2).sum(1)
+        out.append(best)
+    return out
+
+
+def _winners(dof: np.ndarray, phi: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(dof, kind="stable")  # ties go to the smaller dof
+    best = order[pivot_rows(phi[order], k)]
+    return dof[best], phi[best]
+
+
+#: Rounds' width of a tournament: so many partitions' winners meet in one task.
+FAN = 8
+
+
 def qdeim_points(modes: DataFrame, k: int) -> list[int]:
-    """Interpolation dofs by column pivoting: each time the row with the largest part outside the chosen rows' span."""
-    points, basis = [], []
-    for _ in range(k):
-        rest = F.aggregate("phi", F.lit(0.0), lambda a, v: a + v * v)
-        for q in basis:
-            dot = sum((float(x) * F.col("phi")[i] for i, x in enumerate(q)), F.lit(0.0))
-            rest = rest - dot * dot
-        best = _chosen(modes, F.round(rest, 12), points)
-        v = np.array(best.phi, float)
-        for q in basis:
-            v = v - (v @ q) * q
-        points.append(best.dof)
-        basis.append(v / max(np.linalg.norm(v), 1e-300))
-    return points
+    """Interpolation dofs by a tournament of pivoted QR factorisations.
+
+    Every partition's rows, batch by batch with the winners so far, give k winners;
+    winners of ``FAN`` partitions meet in a task, level by level, and the last k are
+    the points in order of choice.  The rows are read once whatever k; a single
+    partition is plain pivoted QR.
+    """
+    schema = "part long, place int, dof long, phi array<double>"
+
+    def packed(part, dof, phi) -> pa.RecordBatch:
+        n = len(dof)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(n, part), pa.int64()), pa.array(np.arange(n), pa.int32()), pa.array(dof, pa.int64()), pa.array(list(phi), pa.list_(pa.float64()))], names=["part", "place", "dof", "phi"])
+
+    def first(batches):
+        from pyspark import TaskContext
+
+        dof, phi = np.empty(0, np.int64), None
+        for b in batches:
+            if b.num_rows:
+                x = _block(b.column("phi"))
+                dof, phi = _winners(np.r_[dof, np.asarray(b.column("dof"))], x if phi is None else np.vstack([phi, x]), k)
+        yield packed(TaskContext.get().partitionId(), dof, [] if phi is None else phi)
+
+    def meet(key, tab):
+        dof, phi = _winners(np.asarray(tab.column("dof")), _block(tab.column("phi").combine_chunks()), k)
+        return pa.Table.from_batches([packed(key[0].as_py(), dof, phi)])
+
+    tmp = Scratch(modes.sparkSession, "tournament")
+    now = tmp.write(modes.select(F.col("dof").cast("long").alias("dof"), F.col("phi").cast("array<double>").alias("phi")).mapInArrow(first, schema), "winners")
+    while now.agg(F.max("part")).first()[0]:
+        now = tmp.write(now.groupBy(F.floor(F.col("part") / FAN).alias("next")).applyInArrow(meet, schema), "winners")
+    return [r.dof for r in now.sort("place").select("dof").collect()]  # k rows
 
 
 def gnat_points(modes: DataFrame, residual_modes: DataFrame, k: int) -> list[int]:
     """The same over the state's and the residual's modes side by side."""
     both = modes.join(residual_modes.select("dof", F.col("phi").alias("theta")), "dof").select("dof", F.concat("phi", "theta").alias("phi"))
-    return qdeim_points(Scratch(modes.sparkSession, "gnat").write(both, "both"), k)
+    return qdeim_points(both, k)
 
 
 def interpolation_error(modes: DataFrame, points: list[int], k: int) -> float:
@@ -420,53 +498,95 @@ def interpolation_error(modes: DataFrame, points: list[int], k: int) -> float:
     return float(1 / np.linalg.svd(np.array([rows[p] for p in points]), compute_uv=False)[-1])
 
 
-def interpolate_basis(bases: DataFrame, params: list[float], at: float, method: str = "idw") -> DataFrame:
-    """``dof, phi``: an orthonormal basis at a new parameter from ``bases(dof, basis, phi)`` at ``params``.
+def _log_map(g: np.ndarray, base: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Tangent at a subspace towards another; both, and the answer, as coefficients of a stack with Gram matrix ``g``."""
+    step = other @ np.linalg.pinv(base.T @ g @ other) - base
+    s, v = _eigen(step.T @ g @ step)
+    s = np.sqrt(s)
+    return step @ (v * np.where(s > 1e-10, np.arctan(s) / np.maximum(s, 1e-300), 1.0)) @ v.T
+
 
-    ``idw`` weighs the modes by inverse distance, ``spline`` by a natural cubic
-    spline in the parameter, ``rbf`` by thin-plate radial functions; ``grassmann``
-    weighs tangents at the nearest basis by inverse distance.  All answers lie in
-    the span of the stacked bases, so one Gram matrix of that stack gives them.
+def _exp_map(g: np.ndarray, base: np.ndarray, tangent: np.ndarray) -> np.ndarray:
+    """The subspace at the end of a geodesic, orthonormal."""
+    s, v = _eigen(tangent.T @ g @ tangent)
+    s = np.sqrt(s)
+    end = base @ (v * np.cos(s)) @ v.T + tangent @ (v * np.where(s > 1e-10, np.sin(s) / np.maximum(s, 1e-300), 1.0)) @ v.T
+    return end @ np.linalg.inv(np.linalg.cholesky(end.T @ g @ end)).T
+
+
+def _karcher(g: np.ndarray, parts: list[np.ndarray], weights: np.ndarray, rounds: int = 50, tol: float = 1e-8) -> np.ndarray:
+    """Weighted mean of subspaces: from the heaviest one along the mean tangent until that is short."""
+    mean = parts[int(np.argmax(weights))]
+    for _ in range(rounds):
+        tangent = sum(w * _log_map(g, mean, e) for w, e in zip(weights, parts))
+        mean = _exp_map(g, mean, tangent)
+        if np.sqrt(max(np.trace(tangent.T @ g @ tangent), 0.0)) < tol:
+            break
+    return mean
+
+
+def interpolate_basis(bases: DataFrame, params: list, at, method: str = "idw") -> DataFrame:
+    """``dof, phi``, and ``mean`` where ``bases(dof, basis, phi[, mean])`` has one: a basis at a new parameter.
+
+    ``params`` are numbers or vectors, as ``at`` is.  ``idw`` weighs the modes by
+    inverse distance, ``spline`` by a natural cubic spline in one parameter
+    (held at its ends), ``rbf`` by thin-plate radial functions; ``grassmann``
+    weighs tangents at the nearest basis by inverse distance, ``karcher`` is the
+    mean of the subspaces with these weights.  Means take the weights of the
+    modes, inverse distances on the manifold.  All answers lie in the span of the
+    stacked bases, so one Gram matrix of that stack gives them; each dof must be
+    in every basis.
     """
-    packed = bases.groupBy("dof").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("basis", "phi"))), lambda s: s["phi"])).alias("xs"))
+    has_mean = "mean" in bases.columns
+    fields = ["basis", "phi", *(["mean"] if has_mean else [])]
+    sets = bases.groupBy("dof").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("s"))
+    packed = sets.select("dof", F.flatten(F.transform("s", lambda s: s["phi"])).alias("xs"), *([F.transform("s", lambda s: s["mean"]).alias("means")] if has_mean else []))
     packed = Scratch(bases.sparkSession, "interpolate").write(packed, "stack")
-    g = to_matrix(gram(packed, center=False))
+    g = to_matrix(gram(packed.select("dof", "xs"), center=False))
     n = len(params)
     k = len(g) // n
     part = [np.eye(len(g))[:, i * k : (i + 1) * k] for i in range(n)]
-    dist = np.abs(np.asarray(params, float) - at)
+    x, to = np.asarray(params, float).reshape(n, -1), np.atleast_1d(np.asarray(at, float))
+    dist = np.linalg.norm(x - to, axis=1)
     idw = 1 / (dist + 1e-10)
-    idw = idw / idw.sum()
+    weights = idw / idw.sum()
     if method == "grassmann":
-        zero = part[int(dist.argmin())]
-        tangent = np.zeros_like(zero)
-        for w, e in zip(idw, part):
-            step = e @ np.linalg.inv(zero.T @ g @ e) - zero
-            s, v = _eigen(step.T @ g @ step)
-            s = np.sqrt(s)
-            tangent += w * step @ (v * np.where(s > 1e-10, np.arctan(s) / np.maximum(s, 1e-300), 1.0)) @ v.T
-        s, v = _eigen(tangent.T @ g @ tangent)
-        s = np.sqrt(s)
-        coef = zero @ (v * np.cos(s)) @ v.T + tangent @ (v * np.where(s > 1e-10, np.sin(s) / np.maximum(s, 1e-300), 1.0)) @ v.T
+        base = part[int(dist.argmin())]
+        coef = _exp_map(g, base, sum(w * _log_map(g, base, e) for w, e in zip(weights, part)))
+    elif method == "karcher":
+        coef = _karcher(g, part, weights)
     else:
-        coef = sum(w * e for w, e in zip({"idw": lambda: idw, "spline": lambda: _spline_weights(params, at), "rbf": lambda: _tps_weights(params, at)}[method](), part))
-    chol = np.linalg.cholesky(coef.T @ g @ coef)
-    return apply_right(packed, coef @ np.linalg.inv(chol).T, center=False).select("dof", "phi")
-
-
-def _tps_weights(params: list[float], at: float) -> np.ndarray:
+        if method == "spline":
+            if x.shape[1] != 1:
+                raise ValueError("a spline needs one parameter")
+            weights = _spline_weights(x[:, 0], float(to[0]))
+        elif method == "rbf":
+            weights = _tps_weights(x, to)
+        elif method != "idw":
+            raise ValueError(f"no interpolation {method}")
+        coef = sum(w * e for w, e in zip(weights, part))
+        coef = coef @ np.linalg.inv(np.linalg.cholesky(coef.T @ g @ coef)).T
+    out = apply_right(packed, coef, center=False).select("dof", "phi")
+    if not has_mean:
+        return out
+    mean = F.aggregate(F.zip_with("means", F.array(*[F.lit(float(w)) for w in weights]), lambda m, w: m * w), F.lit(0.0), lambda a, v: a + v)
+    return out.join(packed.select("dof", mean.alias("mean")), "dof").select("dof", "mean", "phi")
+
+
+def _tps_weights(x: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Weight of each value in its thin-plate interpolant with a linear tail."""
-    x = np.asarray(params, float)
     phi = lambda r: np.where(r > 0, r * r * np.log(np.maximum(r, 1e-300)), 0.0)
     tail = np.c_[np.ones(len(x)), x]
-    a = np.block([[phi(np.abs(x[:, None] - x)), tail], [tail.T, np.zeros((2, 2))]])
-    return (np.r_[phi(np.abs(at - x)), 1.0, at] @ np.linalg.pinv(a))[: len(x)]
+    apart = lambda a: np.linalg.norm(a[:, None] - x[None], axis=2)
+    a = np.block([[phi(apart(x)), tail], [tail.T, np.zeros((tail.shape[1],) * 2)]])
+    return (np.r_[phi(apart(at[None]))[0], 1.0, at] @ np.linalg.pinv(a))[: len(x)]
 
 
-def _spline_weights(params: list[float], at: float) -> np.ndarray:
-    """Weight of each value in its natural cubic spline."""
+def _spline_weights(params: np.ndarray, at: float) -> np.ndarray:
+    """Weight of each value in its natural cubic spline, held at the ends beyond them."""
     order = np.argsort(params)
     x, n, out = np.asarray(params, float)[order], len(params), np.zeros(len(params))
+    at = float(np.clip(at, x[0], x[-1]))
     if n == 1:
         return np.ones(1)
     h = np.diff(x)

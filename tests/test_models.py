@@ -217,7 +217,7 @@ def test_interpolated_bases(spark):
     params = [0.0, 0.2, 0.4, 0.6]
     bases = spark.createDataFrame([(i, k, b[i].tolist()) for k, s in enumerate(params) for b in [turn(s)] for i in range(30)], "dof long, basis int, phi array<double>")
     ref = lambda s: spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(turn(s))], "dof long, phi array<double>")
-    for method, tol in (("grassmann", 0.12), ("idw", 0.15), ("rbf", 0.02), ("spline", 0.02)):
+    for method, tol in (("grassmann", 0.12), ("karcher", 0.12), ("idw", 0.15), ("rbf", 0.02), ("spline", 0.02)):
         got = R.interpolate_basis(bases, params, 0.3, method)
         f = np.array([r.phi for r in sorted(got.collect())])
         assert np.allclose(f.T @ f, np.eye(2), atol=1e-8) and R.subspace_distance(got, ref(0.3)) < tol

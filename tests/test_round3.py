@@ -131,3 +131,98 @@ def test_archives_are_read_in_ranges(spark, tmp_path):
     (tmp_path / "bad.npz").write_bytes(buf.getvalue())
     with pytest.raises(Exception, match="pickled"):
         IO.read_npz(spark, f"{tmp_path}/bad.npz").collect()
+
+
+def maps(base, other):
+    """Tangent at an orthonormal basis towards another, by singular values."""
+    m = other @ np.linalg.inv(base.T @ other) - base
+    u, s, vt = np.linalg.svd(m, full_matrices=False)
+    return u * np.arctan(s) @ vt
+
+
+def moved(base, tangent):
+    u, s, vt = np.linalg.svd(tangent, full_matrices=False)
+    return np.linalg.qr(base @ vt.T * np.cos(s) @ vt + u * np.sin(s) @ vt)[0]
+
+
+def test_bases_at_vector_parameters(spark):
+    """All five methods and their means against NumPy, with two parameters; the spline is held at its ends."""
+    from fieldloom.operators import rom as R
+
+    rng = np.random.default_rng(9)
+    params = [[0.0, 0.0], [1.0, 0.0], [0.0, 1.0], [1.0, 1.2], [0.4, 0.7]]
+    start = np.linalg.qr(rng.normal(size=(25, 2)))[0]
+    b = [np.linalg.qr(start + 0.15 * rng.normal(size=(25, 2)))[0] for _ in params]
+    b = [x * np.sign((x * start).sum(0)) for x in b]
+    means = rng.normal(size=(5, 25))
+    df = spark.createDataFrame([(i, k, b[k][i].tolist(), float(means[k, i])) for k in range(5) for i in range(25)], "dof long, basis int, phi array<double>, mean double")
+    at = np.array([0.5, 0.3])
+    d = np.linalg.norm(np.array(params) - at, axis=1)
+    w = 1 / (d + 1e-10)
+    w /= w.sum()
+    near = b[int(d.argmin())]
+    mean = b[int(np.argmax(w))]
+    for _ in range(100):
+        mean = moved(mean, sum(x * maps(mean, y) for x, y in zip(w, b)))
+    tps = lambda r: np.where(r > 0, r * r * np.log(np.maximum(r, 1e-300)), 0)
+    x = np.array(params)
+    big = np.zeros((8, 8))
+    big[:5, :5], big[:5, 5], big[:5, 6:] = tps(np.linalg.norm(x[:, None] - x, axis=2)), 1, x
+    big[5:, :5] = big[:5, 5:].T
+    r = np.linalg.solve(big, np.r_[tps(d), 1, at])[:5]
+    want = {"idw": (sum(a * y for a, y in zip(w, b)), w), "rbf": (sum(a * y for a, y in zip(r, b)), r), "grassmann": (moved(near, sum(a * maps(near, y) for a, y in zip(w, b))), w), "karcher": (mean, w)}
+    for method, (basis, weights) in want.items():
+        got = sorted(R.interpolate_basis(df, params, at.tolist(), method).collect())
+        f, q = np.array([g.phi for g in got]), np.linalg.qr(basis)[0]
+        assert np.allclose(f @ f.T, q @ q.T, atol=1e-7), method
+        assert np.allclose([g["mean"] for g in got], weights @ means, atol=1e-9)
+    line = df.where("basis < 3").drop("mean")
+    ends = [np.array([g.phi for g in sorted(R.interpolate_basis(line, [0.0, 1.0, 2.0], t, "spline").collect())]) for t in (2.0, 9.0)]
+    assert np.allclose(ends[0], ends[1]) and np.allclose(ends[0] @ ends[0].T, b[2] @ b[2].T, atol=1e-8)
+    with pytest.raises(ValueError):
+        R.interpolate_basis(df, params, at.tolist(), "spline")
+
+
+def test_tournament_points(spark):
+    """One partition is pivoted QR; a tournament chooses points about as good, in passes that do not grow with k."""
+    from fieldloom.operators import rom as R
+
+    rng = np.random.default_rng(4)
+    u = np.linalg.qr(rng.normal(size=(400, 6)) * rng.exponential(size=(400, 1)))[0]
+    modes = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(u)], "dof long, phi array<double>")
+    plain, rest = [], u.copy()
+    for _ in range(6):
+        plain.append(int((rest**2).sum(1).argmax()))
+        q = rest[plain[-1]] / np.linalg.norm(rest[plain[-1]])
+        rest -= np.outer(rest @ q, q)
+    assert R.qdeim_points(modes.coalesce(1), 6) == plain
+    spread = modes.repartition(20)
+    got = R.qdeim_points(spread, 6)
+    assert len(set(got)) == 6 and got[0] == plain[0]
+    assert R.interpolation_error(modes, got, 6) < 2 * R.interpolation_error(modes, plain, 6)
+    jobs = []
+    for k in (2, 6):
+        spark.sparkContext.setJobGroup(f"points{k}", "")
+        R.qdeim_points(spread, k)
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"points{k}")))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs[0] == jobs[1]
+
+
+def test_uncertain_prediction(spark):
+    """Moments of the prediction equal those of plain draws of eigenvalues, amplitudes and modes."""
+    from fieldloom.operators import rom as R
+
+    rng = np.random.default_rng(6)
+    lam, b = np.array([0.9 * np.exp(0.4j), 0.9 * np.exp(-0.4j)]), np.array([1.0 + 0j, 1.0])
+    phi = rng.normal(size=(5, 2)) + 1j * rng.normal(size=(5, 2))
+    modes = spark.createDataFrame([(i, 0.0, np.r_[p.real, p.imag].tolist()) for i, p in enumerate(phi)], "dof long, mean double, re_im array<double>")
+    got = {(r.dof, r.step): (r["mean"], r["std"]) for r in R.dmd_predict_uncertain(R.Dmd(lam, b, modes), 0.05, [0, 3, 7], 20_000, 1).collect()}
+    n = 20_000
+    omega = np.log(lam) + 0.05 * (rng.normal(size=(n, 2)) + 1j * rng.normal(size=(n, 2)))
+    amp = b + 0.05 * rng.normal(size=(n, 2))
+    own = phi + 0.05 * rng.normal(size=(n, 5, 2))
+    for t in (0, 3, 7):
+        y = np.einsum("nij,nj->ni", own, amp * np.exp(omega * t)).real
+        for i in range(5):
+            assert abs(got[i, t][0] - y[:, i].mean()) < 5 * y[:, i].std() / n**0.5 * 1.5 and abs(got[i, t][1] / y[:, i].std() - 1) < 0.04
