@@ -60,53 +60,79 @@ def weighted_gram(spark, sf_dir):
     return rounded(R.gram_by(e, "part", "w"))
 
 
-def _orthonormal(modes, key: str | None, k: int, weight: str | None = None):
-    """Inner products of the first k modes, which must be the unit matrix."""
-    w = F.col(weight) if weight else F.lit(1.0)
-    pairs = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), (w * F.col("phi")[i] * F.col("phi")[j]).alias("v")) for i in range(k) for j in range(k)])
-    keys = [key] if key else []
-    g = modes.select(*keys, F.explode(pairs).alias("p")).groupBy(*keys, "p.i", "p.j").agg(F.sum("p.v").alias("s"))
-    return g.select(*keys, "i", "j", (F.round("s", 5) + F.lit(0.0)).alias("s"))
+def _answer(modes, packed, keys: tuple[str, ...], group: str | None, weight: str | None = None):
+    """Each row's leverage in the first two modes, and the energy that each of them captures of the centred snapshots.
 
+    Neither depends on signs; together they fix the span of the modes and the modes' order and length.
+    """
+    by = [group] if group else []
+    mean = F.aggregate("xs", F.lit(0.0), lambda a, v: a + v) / F.size("xs")
+    x = packed.select(*keys, *[c for c in by if c not in keys], F.col("xs").cast("array<double>").alias("xs"), (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("w"))
+    j = modes.select(*keys, *[c for c in by if c not in keys], "phi").join(x, [*keys, *[c for c in by if c not in keys]]).withColumn("c", F.transform("xs", lambda v: v - mean))
+    energy = lambda m: sum(F.sum(F.col("w") * F.col("c")[k] * F.col("phi")[m]) ** 2 for k in range(3))
+    sums = j.groupBy(*by).agg(*[energy(m).alias(f"energy{m + 1}") for m in range(2)])
+    rows = j.select(*keys, *[c for c in by if c not in keys], (F.col("phi")[0] ** 2 + F.col("phi")[1] ** 2).alias("leverage"))
+    return rounded(rows.join(sums, by) if by else rows.crossJoin(F.broadcast(sums)), 5)  # one row is broadcast
 
-_UNIT = "(SELECT unnest([0, 1, 2]) AS i), (SELECT unnest([0, 1, 2]) AS j)"
 
+def _answer_sql(rows: str, keys: str, group: str | None, weight: str = "1") -> str:
+    """The same from the inner products of two centred snapshots, and the roots of the Gram matrix's characteristic polynomial.
 
-@query("rom_basis_by_label", f"SELECT label, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, CASE WHEN i = j THEN 1.0 ELSE 0.0 END AS s FROM (SELECT DISTINCT label FROM embeddings), {_UNIT}")
+    ``rows`` has x0, x1, x2; the three centred snapshots add up to nothing, so two of them span all.
+    """
+    part = f"PARTITION BY {group}" if group else ""
+    return f"""WITH r AS ({rows}), c AS (SELECT *, x0 - (x0 + x1 + x2) / 3 AS a, x1 - (x0 + x1 + x2) / 3 AS b, x2 - (x0 + x1 + x2) / 3 AS d FROM r),
+ g AS (SELECT *, sum({weight} * a * a) OVER ({part}) AS aa, sum({weight} * a * b) OVER ({part}) AS ab, sum({weight} * b * b) OVER ({part}) AS bb, sum({weight} * a * d) OVER ({part}) AS ad, sum({weight} * b * d) OVER ({part}) AS bd, sum({weight} * d * d) OVER ({part}) AS dd FROM c),
+ e AS (SELECT *, aa + bb + dd AS t, aa * bb - ab * ab + aa * dd - ad * ad + bb * dd - bd * bd AS q FROM g)
+ SELECT {keys}, round((bb * a * a - 2 * ab * a * b + aa * b * b) / (aa * bb - ab * ab), 5) + 0.0 AS leverage, round((t + sqrt(t * t - 4 * q)) / 2, 5) + 0.0 AS energy1, round((t - sqrt(t * t - 4 * q)) / 2, 5) + 0.0 AS energy2 FROM e"""
+
+
+def _three(lo: int) -> str:
+    return ", ".join(f"embedding[{lo + k}]::DOUBLE AS x{k}" for k in range(3))
+
+
+@query("rom_basis_by_label", _answer_sql(f"SELECT label, vec_id AS dof, {_three(1)} FROM embeddings", "label, dof", "label"))
 def basis_by_label(spark, sf_dir):
-    """Each label's modes are orthonormal over its vectors (their values are compared with NumPy in the tests)."""
-    e = table(spark, sf_dir, "embeddings").select("label", F.col("vec_id").alias("dof"), F.col("embedding").alias("xs"))
-    return _orthonormal(R.pod_modes_by(e, "label", 3), "label", 3)
+    """Each label's modes of three snapshots: leverage of its vectors and captured energy."""
+    e = table(spark, sf_dir, "embeddings").select("label", F.col("vec_id").alias("dof"), F.slice("embedding", 1, 3).alias("xs"))
+    return _answer(R.pod_modes_by(e, "label", 2), e, ("dof",), "label")
 
 
-@query("rom_basis_weighted", f"SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, CASE WHEN i = j THEN 1.0 ELSE 0.0 END AS s FROM {_UNIT}")
+@query("rom_basis_weighted", _answer_sql(f"SELECT vec_id AS dof, label + 1.0 AS w, {_three(1)} FROM embeddings", "dof", None, "w"))
 def basis_weighted(spark, sf_dir):
-    """Modes in a weighted inner product are orthonormal in it."""
-    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("dof"), (F.col("label") + 1.0).alias("w"), F.col("embedding").alias("xs"))
-    return _orthonormal(R.pod_fit(e, n_modes=3, weight="w").modes.join(e.select("dof", "w"), "dof"), None, 3, "w")
+    """Modes of three snapshots in a weighted inner product."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("dof"), (F.col("label") + 1.0).alias("w"), F.slice("embedding", 1, 3).alias("xs"))
+    return _answer(R.pod_fit(e, n_modes=2, weight="w").modes, e, ("dof",), None, "w")
 
 
-@query("rom_basis_randomized", f"SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, CASE WHEN i = j THEN 1.0 ELSE 0.0 END AS s FROM {_UNIT}")
+@query("rom_basis_randomized", _answer_sql(f"SELECT vec_id AS dof, {_three(1)} FROM embeddings", "dof", None))
 def basis_randomized(spark, sf_dir):
-    """Modes by the random range finder are orthonormal (tests compare their values with the exact ones)."""
-    return _orthonormal(R.pod_randomized(_snap(spark, sf_dir), 3).modes, None, 3)
+    """Modes of three snapshots by the random range finder, whose range holds all of them."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("dof"), F.slice("embedding", 1, 3).alias("xs"))
+    return _answer(R.pod_randomized(e, 2).modes, e, ("dof",), None)
 
 
-@query("rom_basis_multifield", f"SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, CASE WHEN i = j THEN 1.0 ELSE 0.0 END AS s FROM {_UNIT}")
+@query("rom_basis_multifield", _answer_sql(f"SELECT 'low' AS field, vec_id AS dof, {_three(1)} FROM embeddings UNION ALL SELECT 'high', vec_id, {_three(33)} FROM embeddings", "field, dof", None))
 def basis_multifield(spark, sf_dir):
     """One basis of two stacked fields of each vector."""
-    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("dof"), F.explode(F.array(F.struct(F.lit("low").alias("field"), F.slice("embedding", 1, 32).alias("xs")), F.struct(F.lit("high").alias("field"), F.slice("embedding", 33, 32).alias("xs")))).alias("f")).select("f.field", "dof", "f.xs")
-    return _orthonormal(R.multifield_pod(e, 3), None, 3)
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("dof"), F.explode(F.array(F.struct(F.lit("low").alias("field"), F.slice("embedding", 1, 3).alias("xs")), F.struct(F.lit("high").alias("field"), F.slice("embedding", 33, 3).alias("xs")))).alias("f")).select("f.field", "dof", "f.xs")
+    return _answer(R.multifield_pod(e, 2), e, ("field", "dof"), None)
 
 
-@query("rom_basis_interpolated", f"SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, CASE WHEN i = j THEN 1.0 ELSE 0.0 END AS s FROM {_UNIT}")
+@query(
+    "rom_basis_interpolated",
+    """WITH u AS (SELECT vec_id AS dof, embedding[1] / sqrt(sum(embedding[1]::DOUBLE * embedding[1]) OVER ()) AS a, embedding[2] / sqrt(sum(embedding[2]::DOUBLE * embedding[2]) OVER ()) AS b, embedding[3]::DOUBLE AS ma, embedding[4]::DOUBLE AS mb FROM embeddings),
+ d AS (SELECT *, sum(a * b) OVER () AS d, (1 / (0.7::DOUBLE + 1e-10)) / (1 / (0.3::DOUBLE + 1e-10) + 1 / (0.7::DOUBLE + 1e-10)) AS w FROM u)
+ SELECT dof, round(pow(cos(w * acos(abs(d))) * a + sin(w * acos(abs(d))) * sign(d) * (b - d * a) / sqrt(1 - d * d), 2), 6) + 0.0 AS square, round((1 - w) * ma + w * mb, 6) + 0.0 AS mean FROM d""",
+)
 def basis_interpolated(spark, sf_dir):
-    """A basis between those of the two halves of the snapshots, on the manifold of subspaces."""
-    e, out = table(spark, sf_dir, "embeddings"), None
-    for k, lo in enumerate((1, 33)):
-        m = R.pod_fit(e.select(F.col("vec_id").alias("dof"), F.slice("embedding", lo, 32).alias("xs")), n_modes=3).modes.select("dof", F.lit(k).alias("basis"), "phi")
-        out = m if out is None else out.unionByName(m)
-    return _orthonormal(R.interpolate_basis(out, [0.0, 1.0], 0.3, "grassmann"), None, 3)
+    """A line between those of two components, on the manifold of subspaces, and the mean that goes with it."""
+    e = table(spark, sf_dir, "embeddings")
+    own = e.select(F.col("vec_id").alias("dof"), *[F.col("embedding")[k].cast("double").alias(f"c{k}") for k in range(4)])
+    size = own.agg(*[F.sqrt(F.sum(F.col(f"c{k}") ** 2)).alias(f"s{k}") for k in range(2)]).first()
+    lines = F.array(*[F.struct(F.lit(k).alias("basis"), F.array(F.col(f"c{k}") / float(size[k])).alias("phi"), F.col(f"c{k + 2}").alias("mean")) for k in range(2)])
+    got = R.interpolate_basis(own.select("dof", F.explode(lines).alias("l")).select("dof", "l.*"), [0.0, 1.0], 0.3, "grassmann")
+    return rounded(got.select("dof", (F.col("phi")[0] ** 2).alias("square"), "mean"))
 
 
 @query("rom_lifted_spectrum")

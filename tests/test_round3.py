@@ -226,3 +226,51 @@ def test_uncertain_prediction(spark):
         y = np.einsum("nij,nj->ni", own, amp * np.exp(omega * t)).real
         for i in range(5):
             assert abs(got[i, t][0] - y[:, i].mean()) < 5 * y[:, i].std() / n**0.5 * 1.5 and abs(got[i, t][1] / y[:, i].std() - 1) < 0.04
+
+
+def spark_uniform(seed, i, salt):
+    """The hash draw of row ``i``, by the public hash of its fields' bytes."""
+    import struct
+
+    import xxhash
+
+    h = 42
+    for raw in (struct.pack("<i", seed), struct.pack("<q", i), struct.pack("<i", salt)):
+        h = xxhash.xxh64_intdigest(raw, seed=h)
+    h -= (h >> 63) << 64
+    return (h % (1 << 52) + 0.5) / float(1 << 52)
+
+
+def test_samples_equal_plain_draws(spark):
+    from fieldloom.sources import generate as S
+
+    got = sorted(S.parameter_samples(spark, [(-1.0, 3.0), (10.0, 11.0)], 50, seed=5).collect())
+    assert np.allclose([r.p for r in got], [[-1 + 4 * spark_uniform(5, i, 0), 10 + spark_uniform(5, i, 1)] for i in range(50)])
+    inside = F.col("x") ** 2 + F.col("y") ** 2 <= 1
+    got = sorted(S.sample_domain(spark, [(-1.0, 1.0), (-1.0, 1.0)], inside, 300, seed=11).collect())
+    want = [(i, x, y) for i in range(2_000) for x, y in [(2 * spark_uniform(11, i, 0) - 1, 2 * spark_uniform(11, i, 1) - 1)] if x * x + y * y <= 1][:300]
+    assert np.allclose([tuple(r) for r in got], want)
+    assert S.sample_domain(spark, [(0.0, 1.0), (0.0, 1.0)], F.col("x") < 0.01, 40, seed=1).count() == 40
+
+
+def test_wrong_bases_turn_their_queries_red(spark, monkeypatch):
+    """The registered answer of a basis depends on the basis: a turned one, of the same span or not, differs."""
+    from fieldloom.jobs import design_queries as D
+    from fieldloom.operators import rom as R
+
+    data = "/root/testdata/sf0.001"
+    rows = lambda df: sorted(tuple(r) for r in df.collect())
+    right = rows(D.QUERIES["rom_basis_weighted"](spark, data))
+    fit = R.pod_fit
+
+    def turned(*args, **more):
+        pod = fit(*args, **more)
+        p = F.col("phi")
+        pod.modes = pod.modes.withColumn("phi", F.array(0.8 * p[0] + 0.6 * p[1], 0.6 * p[0] - 0.8 * p[1]))
+        return pod
+
+    monkeypatch.setattr(D.R, "pod_fit", turned)
+    wrong = rows(D.QUERIES["rom_basis_weighted"](spark, data))
+    assert [r[1] for r in wrong] == [r[1] for r in right] and wrong != right  # the same span, other energies
+    monkeypatch.setattr(D.R, "pod_fit", lambda packed, **more: fit(packed.withColumn("xs", F.reverse("xs")).withColumn("w", F.lit(1.0)), **more))
+    assert rows(D.QUERIES["rom_basis_weighted"](spark, data)) != right
