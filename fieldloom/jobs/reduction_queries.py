@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fieldloom.jobs.graph_queries import _P, _cloud
 from fieldloom.jobs.tables import rounded, table
+from fieldloom.operators import discovery as V
 from fieldloom.operators import graph as G
 from fieldloom.operators import regress as E
 from fieldloom.operators import rom as R
@@ -172,3 +173,45 @@ def _cut(name: str, of: str, by: str) -> str:
 def longest_axis(spark, sf_dir):
     """Four parts by medians along each block's longest axis."""
     return G.kdtree_partition(_cloud(spark, sf_dir), 4, longest=True)
+
+
+def user_graph(spark, sf_dir):
+    """Users of consecutive events as neighbours, weighted by how often they are."""
+    e = table(spark, sf_dir, "events").select("event_id", "user_id")
+    after = e.select((F.col("event_id") - 1).alias("event_id"), F.col("user_id").alias("other"))
+    pairs = e.join(after, "event_id").where("user_id <> other").select(F.least("user_id", "other").alias("src"), F.greatest("user_id", "other").alias("dst"))
+    return pairs.groupBy("src", "dst").agg(F.count("*").cast("double").alias("weight"))
+
+
+@query("partition_spectral")
+def spectral_parts(spark, sf_dir):
+    """Four parts of the users' graph by second modes, level by level (eigenvectors have no SQL; tests compare with NumPy)."""
+    return Z.spectral_bisect(user_graph(spark, sf_dir), 4, rounds=2)
+
+
+_DAY = "date_diff('day', TIMESTAMP '2024-01-01', ts)"
+_QUARTER = "CAST(floor((epoch(ts) - epoch(TIMESTAMP '2024-01-01')) / 21600) AS BIGINT)"
+
+
+@query(
+    "regress_coarse_to_fine",
+    f"""WITH r AS (SELECT unnest([1, 2, 3]) AS run), c AS (SELECT {_DAY} * 12 + user_id % 12 AS id, {_DAY}::DOUBLE AS x, (user_id % 12)::DOUBLE AS y, run, avg(pow(ln(1 + value), run)) AS value FROM events, r GROUP BY ALL),
+ f AS (SELECT {_QUARTER} * 12 + user_id % 12 AS id, {_QUARTER} * 0.25::DOUBLE AS x, (user_id % 12)::DOUBLE AS y, run, avg(pow(ln(1 + value), run)) AS value FROM events, r GROUP BY ALL),
+ p AS (SELECT DISTINCT id, x, y FROM c), q AS (SELECT DISTINCT id, x, y FROM f), d AS (SELECT q.id, p.id AS other, sqrt(pow(q.x - p.x, 2) + pow(q.y - p.y, 2)) AS dist FROM q, p), n AS (SELECT *, 1 / (dist + 1e-10) AS w FROM d QUALIFY row_number() OVER (PARTITION BY id ORDER BY dist, other) <= 4)
+ SELECT n.id, c.run, round(sum(w * c.value) / sum(w), 4) + 0.0 AS prolonged, round(first(f.value), 3) + 0.0 AS corrected FROM n JOIN c ON c.id = n.other JOIN f ON f.id = n.id AND f.run = c.run GROUP BY n.id, c.run""",
+)
+def coarse_to_fine(spark, sf_dir):
+    """Moments of the events by day and group of users on quarters of days; runs that were learned come back as they are."""
+    e = table(spark, sf_dir, "events")
+    day = F.datediff(F.col("ts").cast("date"), F.lit("2024-01-01").cast("date"))
+    quarter = F.floor((F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.lit("2024-01-01").cast("timestamp"))) / 21_600_000_000)
+    moments = F.array(*[F.struct(F.lit(k).alias("run"), (F.log1p("value") ** k).alias("v")) for k in (1, 2, 3)])
+
+    def level(at, scale):
+        g = e.select((at * 12 + F.col("user_id") % 12).cast("long").alias("id"), (at * scale).cast("double").alias("x"), (F.col("user_id") % 12).cast("double").alias("y"), F.explode(moments).alias("m"))
+        g = g.groupBy("id", "x", "y", "m.run").agg(F.avg("m.v").alias("value"))
+        return g.select("id", F.array("x", "y").alias("p")).distinct(), g.select("id", "run", "value")
+
+    (cp, c), (fp, f) = level(day, 1.0), level(quarter, 0.25)
+    out = V.coarse_to_fine(cp, c, fp, f, k=4, ridge=0.0)
+    return out.select("id", "run", (F.round("prolonged", 4) + F.lit(0.0)).alias("prolonged"), (F.round("corrected", 3) + F.lit(0.0)).alias("corrected"))

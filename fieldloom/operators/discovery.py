@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom.operators.regress import score_expressions
-from fieldloom.operators.spatial import idw_interpolate
+from fieldloom.operators.spatial import knn_join
 from fieldloom.sources.scratch import Scratch
 
 #: Operators of an expression tree and their number of arguments.
@@ -113,21 +113,24 @@ def coarse_to_fine(coarse_points: DataFrame, coarse: DataFrame, fine_points: Dat
     """``id, run, prolonged, corrected``: coarse fields on fine points, and with the learned linear correction.
 
     ``coarse(id, run, value)`` and ``fine(id, run, value)`` hold runs known at both
-    levels; ``*_points(id, p)``.  The correction is the minimum-norm linear map
-    from prolonged fields to what they lack, in dual form: it needs only the
-    inner products of the m prolonged runs, an m x m matrix.
+    levels; ``*_points(id, p)``.  The nearest neighbours are found once, as a sparse
+    operator that takes all runs together.  The correction is the minimum-norm
+    linear map from prolonged fields to what they lack, in dual form: it needs
+    only the inner products of the m prolonged runs, an m x m matrix.
     """
     spark = coarse.sparkSession
     tmp = Scratch(spark, "prolong")
     runs = sorted(r.run for r in coarse.select("run").distinct().collect())  # one row a run
     m = len(runs)
-    packed = coarse.groupBy("id").pivot("run", runs).agg(F.first("value"))
-    up = None
-    for i, r in enumerate(runs):
-        part = idw_interpolate(coarse_points, packed.select("id", F.col(f"`{r}`").alias("value")), fine_points, k, d).withColumnRenamed("value", f"x{i}")
-        up = part if up is None else up.join(part, "id")
-    true = fine.groupBy("id").pivot("run", runs).agg(F.first("value"))
-    rows = tmp.write(up.join(true, "id").select("id", F.array(*[f"x{i}" for i in range(m)]).alias("x"), F.array(*[F.col(f"`{r}`").cast("double") for r in runs]).alias("y")), "rows")
+    near = knn_join(fine_points, coarse_points, k, d, exclude_self=False)
+    weight = 1.0 / (F.col("dist") + 1e-10)
+    total = near.groupBy("id").agg(F.sum(weight).alias("total"))
+    operator = tmp.write(near.join(total, "id").select("id", "other", (weight / F.col("total")).alias("weight")), "operator")
+    # All runs of a point in one array; points that lack a run are left out.
+    packed = lambda t: t.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("run", F.col("value").cast("double").alias("value")))).alias("s")).select("id", F.col("s.value").alias("x")).where(F.size("x") == m)
+    met = operator.join(packed(coarse).withColumnRenamed("id", "other"), "other").groupBy("id").agg(F.collect_list(F.struct("weight", "x")).alias("s"))  # k entries
+    up = met.select("id", F.aggregate("s", F.array_repeat(F.lit(0.0), m), lambda a, e: F.zip_with(a, e["x"], lambda p, q: p + e["weight"] * q)).alias("x"))
+    rows = tmp.write(up.join(packed(fine).withColumnRenamed("x", "y"), "id"), "rows")
 
     def gram(batches):
         total = np.zeros((m, m))

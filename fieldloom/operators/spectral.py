@@ -93,32 +93,99 @@ def spectral_reconstruct(coefs: np.ndarray, modes: DataFrame) -> DataFrame:
     return modes.select("row", sum((float(c) * F.col(f"v{i}") for i, c in enumerate(coefs)), F.lit(0.0)).alias("value"))
 
 
-def spectral_bisect(edges: DataFrame, n_parts: int = 2) -> DataFrame:
+def _grams(a: DataFrame, b: DataFrame, cols: list[str]) -> dict[int, np.ndarray]:
+    """k x k inner products of two blocks in each part; one row a part reaches the driver."""
+    j = a.join(b.select("row", *[F.col(c).alias(f"w_{c}") for c in cols]), "row")
+    sums = j.groupBy("part").agg(F.array(*[F.sum(F.col(p) * F.col(f"w_{q}")) for p in cols for q in cols]).alias("g"))
+    return {r.part: np.array(r.g, float).reshape(len(cols), -1) for r in sums.collect()}
+
+
+def _mix_parts(x: DataFrame, mats: dict[int, np.ndarray], cols: list[str]) -> DataFrame:
+    """Each part's block times its own small matrix."""
+    k = len(cols)
+    table = x.sparkSession.createDataFrame([(int(p), m.T.ravel().tolist()) for p, m in mats.items()], "part int, m array<double>")
+    dot = lambda j: F.aggregate(F.zip_with(F.array(*cols), F.slice("m", j * k + 1, k), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+    return x.join(F.broadcast(table), "part").select("row", "part", *[dot(j).alias(f"v{j}") for j in range(k)])  # one row a part
+
+
+def modes_by_part(edges: DataFrame, n_modes: int, rounds: int = 4, degree: int = 6, tol: float = 1e-3) -> tuple[dict[int, np.ndarray], DataFrame]:
+    """Smallest eigenvalues by part and ``row, part, v0, v1, ...`` of the Laplacians of all parts' graphs at once.
+
+    ``edges(src, dst, weight, part)`` hold each pair once and join nodes of one part.
+    The matrix of all parts is block diagonal, so one product serves all of them;
+    inner products, small eigenproblems and the filter's bounds are each part's own.
+    The number of joins does not depend on the number of parts.
+    """
+    tmp, k = Scratch(edges.sparkSession, "parts"), n_modes + 4
+    cols = _columns(k)
+    lap = tmp.write(laplacian(edges.select("src", "dst", "weight")), "matrix")
+    rows = edges.select(F.col("src").alias("row"), "part").unionByName(edges.select(F.col("dst").alias("row"), "part")).distinct()
+    x = tmp.write(rows.select("row", "part", *[((F.pmod(F.xxhash64("row", F.lit(i)), F.lit(20001)) - 10000) / 10000.0).alias(c) for i, c in enumerate(cols)]), "start")
+    size = {r.part: r["count"] for r in x.groupBy("part").count().collect()}  # one row a part
+    cut: dict[int, float] = {}
+    last: dict[int, np.ndarray] = {}
+    values: dict[int, np.ndarray] = {}
+    for _ in range(rounds):
+        bound = x.sparkSession.createDataFrame([(int(p), c) for p, c in cut.items()], "part int, cut double")
+        lo = F.coalesce("cut", F.lit(1.0))
+        mid, half = (2.0001 + lo) / 2, (2.0001 - lo) / 2
+        step = lambda v: _product(lap, v.select("row", *cols), cols).withColumnsRenamed({c: f"l_{c}" for c in cols})
+        x = x.join(F.broadcast(bound), "part", "left").select("row", "part", mid.alias("mid"), half.alias("half"), *cols)  # one row a part
+        x = tmp.write(x, "bounded")
+        shift = lambda c: (F.col(f"l_{c}") - F.col("mid") * F.col(c)) / F.col("half")
+        old, now = x, tmp.write(step(x).join(x, "row").select("row", "part", "mid", "half", *[shift(c).alias(c) for c in cols]), "filtered")
+        for _ in range(degree - 1):
+            t = step(now).join(now, "row").join(old.select("row", *[F.col(c).alias(f"o_{c}") for c in cols]), "row")
+            after = tmp.write(t.select("row", "part", "mid", "half", *[(2 * shift(c) - F.col(f"o_{c}")).alias(c) for c in cols]), "filtered")
+            tmp.drop(old)
+            old, now = now, after
+        base, dead = {}, {}
+        for p, g in _grams(now, now, cols).items():
+            d = 1 / np.sqrt(np.maximum(np.diag(g), 1e-300))
+            e, v = np.linalg.eigh(g * np.outer(d, d))
+            dead[p] = np.arange(k) < k - size[p]  # a part of few nodes has fewer directions than the block
+            base[p] = np.where(dead[p], 0.0, d[:, None] * v / np.sqrt(np.maximum(e, 1e-14 * e[-1])))
+        ortho = tmp.write(_mix_parts(now, base, cols), "basis")
+        turn = {}
+        for p, small in _grams(ortho, _product(lap, ortho.select("row", *cols), cols), cols).items():
+            w, v = np.linalg.eigh((small + small.T) / 2 + np.diag(np.where(dead[p], 10.0, 0.0)))
+            values[p], turn[p] = w[:n_modes], v
+            cut[p] = float(min(max(w[~(w > 5)][-1], 1e-3), 1.9))
+        x = tmp.write(_mix_parts(ortho, turn, cols), "modes")
+        tmp.drop(now, old, ortho)
+        if last and all(np.abs(values[p] - last[p]).max() < tol for p in values):
+            break
+        last = dict(values)
+    return values, x.select("row", "part", *cols[:n_modes])
+
+
+def spectral_bisect(edges: DataFrame, n_parts: int = 2, rounds: int = 4) -> DataFrame:
     """``id, part``: nodes above and at most at the median of the second mode, again within each half.
 
-    Parts split n // 2 : rest while nodes always halve, so a number that is not a
-    power of two is unbalanced.  A part is split by its own graph; nodes without
-    an edge inside their part stay in its first half.
+    All parts of a level are solved together (``modes_by_part``), so the work is
+    log2(n_parts) solves.  Parts split n // 2 : rest while nodes always halve, so
+    a number that is not a power of two is unbalanced.  A part is split by its own
+    graph; nodes without an edge inside their part stay in its first half.
     """
     tmp = Scratch(edges.sparkSession, "bisect")
-    both = tmp.write(symmetric(edges), "edges")
-    lab = tmp.write(both.select(F.col("src").alias("id")).distinct().withColumn("part", F.lit(0)), "labels")
-    open_ = [(0, n_parts)]  # first label of a part and the number of parts it becomes
-    while open_:
-        at, n = open_.pop()
-        half = n // 2
-        if not half:
-            continue
-        own = lab.where(F.col("part") == at).select("id")
-        inside = both.where("src < dst").join(own.withColumnRenamed("id", "src"), "src", "left_semi").join(own.withColumnRenamed("id", "dst"), "dst", "left_semi")
-        inside = tmp.write(inside, "inside")
+    both = tmp.write(symmetric(edges).where("src < dst"), "edges")
+    nodes = both.select(F.col("src").alias("id")).unionByName(both.select(F.col("dst").alias("id"))).distinct()
+    lab = tmp.write(nodes.select("id", F.lit(0).alias("part"), F.lit(n_parts).alias("n")), "labels")
+    for _ in range((n_parts - 1).bit_length()):
+        open_ = lab.where("n > 1")
+        inside = both.join(open_.select(F.col("id").alias("src"), "part"), "src").join(open_.select(F.col("id").alias("dst"), F.col("part").alias("other")), "dst").where("part = other")
+        inside = tmp.write(inside.select("src", "dst", "weight", "part"), "inside")
+        half = F.floor(F.col("n") / 2).cast("int")
         if inside.isEmpty():
-            continue
-        _, modes = smallest_modes(laplacian(inside), 2, rounds=4, degree=6, tol=1e-3)
-        second = tmp.write(modes.select(F.col("row").alias("id"), F.round("v1", 9).alias("v")), "second")
-        high = second.where(F.col("v") > quantiles(second, "v", [0.5]).first().q0).select("id", F.lit(half).alias("step"))
-        new = tmp.write(lab.join(high, "id", "left").select("id", (F.col("part") + F.coalesce("step", F.lit(0))).alias("part")), "labels")
+            high = None
+        else:
+            _, modes = modes_by_part(inside, 2, rounds)
+            second = tmp.write(modes.select(F.col("row").alias("id"), "part", F.round("v1", 9).alias("v")), "second")
+            mid = quantiles(second, "v", [0.5], ["part"]).select("part", F.col("q0").alias("mid"))
+            high = second.join(F.broadcast(mid), "part").where("v > mid").select("id", F.lit(True).alias("high"))  # one row a part
+        now = lab.withColumn("high", F.lit(False)) if high is None else lab.join(high, "id", "left").withColumn("high", F.coalesce("high", F.lit(False)))
+        new = now.select("id", F.when(F.col("high"), F.col("part") + half).otherwise(F.col("part")).cast("int").alias("part"), F.when(F.col("n") <= 1, F.col("n")).when(F.col("high"), F.col("n") - half).otherwise(half).cast("int").alias("n"))
+        new = tmp.write(new, "labels")
         tmp.drop(lab, inside)
         lab = new
-        open_ += [(at, half), (at + half, n - half)]
-    return lab
+    return lab.select("id", "part")

@@ -274,3 +274,55 @@ def test_wrong_bases_turn_their_queries_red(spark, monkeypatch):
     assert [r[1] for r in wrong] == [r[1] for r in right] and wrong != right  # the same span, other energies
     monkeypatch.setattr(D.R, "pod_fit", lambda packed, **more: fit(packed.withColumn("xs", F.reverse("xs")).withColumn("w", F.lit(1.0)), **more))
     assert rows(D.QUERIES["rom_basis_weighted"](spark, data)) != right
+
+
+def test_bisection_by_levels(spark):
+    """Four parts of a ring of unequal weights against NumPy, in as many solves as there are levels."""
+    from fieldloom.operators import spectral as Z
+
+    rng = np.random.default_rng(12)
+    n, groups = 48, np.arange(48) // 12
+    e = [(i, j, float(rng.uniform(0.5, 1.5))) for i in range(n) for j in range(i) if groups[i] == groups[j] and rng.random() < 0.8]
+    e += [(0, 12, 0.4), (24, 36, 0.3), (13, 25, 0.05)]
+    df = spark.createDataFrame([(a, b, w) for a, b, w in e], "src long, dst long, weight double")
+    calls = []
+    solve = Z.modes_by_part
+    Z.modes_by_part = lambda *a, **k: calls.append(1) or solve(*a, **k)
+    try:
+        got = {r.id: r.part for r in Z.spectral_bisect(df, 4).collect()}
+    finally:
+        Z.modes_by_part = solve
+
+    def split(nodes):
+        at = {v: k for k, v in enumerate(nodes)}
+        a = np.zeros((len(nodes),) * 2)
+        for i, j, w in e:
+            if i in at and j in at:
+                a[at[i], at[j]] = a[at[j], at[i]] = w
+        d = a.sum(1)
+        v = np.linalg.eigh(np.eye(len(a)) - a / np.sqrt(np.outer(d, d)))[1][:, 1]
+        high = v > np.median(v)
+        return [x for x, h in zip(nodes, high) if h], [x for x, h in zip(nodes, high) if not h]
+
+    want = {frozenset(p) for half in split(list(range(n))) for p in split(half)}
+    assert {frozenset(v for v in got if got[v] == p) for p in set(got.values())} == want and set(got.values()) == {0, 1, 2, 3}
+    assert len(calls) == 2
+
+
+def test_modes_by_part_equal_numpy(spark):
+    from fieldloom.operators import spectral as Z
+
+    rng, rows, want = np.random.default_rng(3), [], {}
+    for p, n in enumerate((20, 14, 3)):
+        a = np.triu(rng.uniform(0.2, 1.0, (n, n)) * (rng.random((n, n)) < 0.6), 1)
+        a[np.arange(n - 1), np.arange(1, n)] = 1.0
+        rows += [(100 * p + i, 100 * p + j, float(a[i, j]), p) for i in range(n) for j in range(n) if a[i, j]]
+        a = a + a.T
+        d = a.sum(1)
+        want[p] = np.linalg.eigh(np.eye(n) - a / np.sqrt(np.outer(d, d)))
+    values, modes = Z.modes_by_part(spark.createDataFrame(rows, "src long, dst long, weight double, part int"), 2, rounds=6, degree=8, tol=1e-9)
+    got = modes.toPandas()
+    for p, (w, v) in want.items():
+        assert np.allclose(values[p], w[:2], atol=1e-5)
+        own = got[got.part == p].sort_values("row")
+        assert abs(own.v1.to_numpy() @ v[:, 1]) > 0.999
