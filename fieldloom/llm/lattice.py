@@ -36,6 +36,8 @@ TOP_WORDS = 65_536
 PRIOR_SHARE = 0.1
 PASSES = 2
 WIDE = 1024
+#: Bytes up to which the probability of any segmentation is far from underflow.
+PLAIN = 32
 #: Bytes of a longer word whose pieces are looked up at once.
 SEGMENT = 1 << 16
 _BASE = np.uint64(0x100000001B3)
@@ -181,8 +183,9 @@ class Lattice:
     def _forward(self, match: dict[int, np.ndarray], rows: int, wide: int, log: np.ndarray) -> np.ndarray:
         a = np.full((rows, wide + 1), _NEG)
         a[:, 0] = 0
+        some = {n: (p >= 0).any(0) for n, p in match.items()}
         for j in range(1, wide + 1):
-            terms = np.stack([a[:, j - n] + log[p[:, j - n]] for n, p in match.items() if n <= j])
+            terms = np.stack([a[:, j - n] + log[match[n][:, j - n]] for n, hit in some.items() if n <= j and (hit[j - n] or n == 1)])
             top = terms.max(0)
             a[:, j] = np.maximum(top + np.log(np.exp(terms - top).sum(0)), _NEG)
         return a
@@ -202,11 +205,33 @@ class Lattice:
                 row[i] = self._long(b" " + words[i], prob)[0] / _LN10
         return out
 
+    @staticmethod
+    def _plain_expected(match: dict[int, np.ndarray], size: np.ndarray, counts: np.ndarray, weight: np.ndarray, total: np.ndarray) -> None:
+        """Add the expected uses of each piece in short words, whose probabilities need no logarithms."""
+        rows, wide = len(size), match[1].shape[1]
+        some = {n: np.flatnonzero((p >= 0).any(0)).tolist() for n, p in match.items()}
+        of = {(n, i): weight[match[n][:, i]] for n, at in some.items() for i in at}
+        a, b = np.zeros((wide + 1, rows)), np.zeros((wide + 1, rows))
+        a[0], b[size, np.arange(rows)] = 1.0, 1.0
+        for n, i in sorted(of, key=lambda x: x[1]):
+            a[i + n] += a[i] * of[n, i]
+        for n, i in sorted(of, key=lambda x: -x[1]):
+            b[i] += b[i + n] * of[n, i]
+        scale = counts / a[size, np.arange(rows)]
+        for (n, i), w in of.items():
+            e = a[i] * w * b[i + n] * scale
+            at = np.flatnonzero(e)
+            total += np.bincount(match[n][at, i], e[at], len(total))
+
     def expected(self, words: list[bytes], counts: np.ndarray) -> np.ndarray:
         """Expected uses of each piece (in ``order``) over words with counts."""
         total, log = np.zeros(len(self.keys)), self.logs[0]
+        weight = np.append(np.exp(log[:-1]), 0.0)
         for of, size, m in self._chunks(words):
             match = self._matches(m)
+            if m.shape[1] <= PLAIN:
+                self._plain_expected(match, size, counts[of], weight, total)
+                continue
             a = self._forward(match, *m.shape, log)
             rows, wide = m.shape
             b = np.full((rows, wide + 1), _NEG)
