@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom.llm.text import ALNUM, Words, alnum_words, annotate, map_batches, parts, raw_column, small_batches, utf8, window_hashes
+from fieldloom.sources.scratch import Scratch
 
 WINDOW, SHINGLE = 13, 4
 #: Windows of one broadcast block.
@@ -98,7 +99,7 @@ def mark(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame
     """
     spark = docs.sparkSession
     small_batches(spark)
-    w = windows(benchmark, size)
+    w = Scratch(spark, "windows").write(windows(benchmark, size), "windows")
     total = w.count()
     blocks = max(1, -(-total // BLOCK_WINDOWS))
     added = "n_words long, spans array<array<long>>, items array<string>"

@@ -79,16 +79,6 @@ def least_matches(threshold: float, miss: float) -> tuple[tuple[int, int], ...]:
     return tuple(out)
 
 
-def survives(a: np.ndarray, b: np.ndarray, limits) -> bool:
-    done = matches = 0
-    for n, m in limits:
-        matches += int((a[done:n] == b[done:n]).sum())
-        if matches < m:
-            return False
-        done = n
-    return True
-
-
 def _scan(docs: DataFrame, words: int) -> DataFrame:
     pack = None
 
@@ -113,11 +103,29 @@ def _scan(docs: DataFrame, words: int) -> DataFrame:
     return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("text")), one, "doc_id long, n long, fp binary, sig binary, bands array<long>, blob binary")
 
 
-def _verify(pairs: DataFrame, words: int, percent: int, miss: float) -> DataFrame:
+def _alike(pairs: DataFrame, percent: int, miss: float) -> DataFrame:
+    """``(a, b)`` rows that the sequential test of signatures does not prune."""
+
+    def one(batch: pa.RecordBatch) -> pa.RecordBatch:
+        limits = least_matches(percent / 100, miss)
+        n, m = (np.asarray(batch.column(c)) for c in ("n_a", "n_b"))
+        x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, HASHES) for c in ("sig_a", "sig_b"))
+        at = np.flatnonzero(100 * np.minimum(n, m) >= percent * np.maximum(n, m))
+        done, matches = 0, np.zeros(len(at), np.int64)
+        for upto, least in limits:  # a batch of hashes at a time, of the pairs still in question
+            matches = matches + (x[at, done:upto] == y[at, done:upto]).sum(1)
+            stay = matches >= least
+            at, matches, done = at[stay], matches[stay], upto
+        return batch.select(["a", "b"]).take(pa.array(at))
+
+    return map_batches(pairs.select("a", "b", "n_a", "sig_a", "n_b", "sig_b"), one, "a long, b long")
+
+
+def _verify(pairs: DataFrame, words: int, percent: int) -> DataFrame:
     """Keep ``(a, b)`` rows whose full sets reach the threshold."""
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-        limits, unpack, sets = least_matches(percent / 100, miss), zstandard.ZstdDecompressor(), {}
+        unpack, sets = zstandard.ZstdDecompressor(), {}
         c = {k: batch.column(k).to_pylist() for k in batch.schema.names}
 
         def full(i: int, blob: bytes) -> np.ndarray:
@@ -129,20 +137,16 @@ def _verify(pairs: DataFrame, words: int, percent: int, miss: float) -> DataFram
 
         keep = []
         for k in range(batch.num_rows):
-            na, nb = c["n_a"][k], c["n_b"][k]
-            ok = 100 * min(na, nb) >= percent * max(na, nb) and survives(np.frombuffer(c["sig_a"][k], np.uint8), np.frombuffer(c["sig_b"][k], np.uint8), limits)
-            if ok:
-                x, y = full(c["a"][k], c["blob_a"][k]), full(c["b"][k], c["blob_b"][k])
-                both = np.intersect1d(x, y, assume_unique=True).size
-                ok = 100 * both >= percent * (len(x) + len(y) - both)
-            keep.append(ok)
+            x, y = full(c["a"][k], c["blob_a"][k]), full(c["b"][k], c["blob_b"][k])
+            both = np.intersect1d(x, y, assume_unique=True).size
+            keep.append(100 * both >= percent * (len(x) + len(y) - both))
         return batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return map_batches(pairs.select("a", "b", "n_a", "sig_a", "blob_a", "n_b", "sig_b", "blob_b"), one, "a long, b long")
+    return map_batches(pairs.select("a", "b", "blob_a", "blob_b"), one, "a long, b long")
 
 
-def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    side = lambda x: sets.select(F.col("doc_id").alias(x), F.col("n").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}"), F.col("blob").alias(f"blob_{x}"))
+def _with(pairs: DataFrame, sets: DataFrame, *columns: str) -> DataFrame:
+    side = lambda x: sets.select(F.col("doc_id").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in columns])
     return pairs.join(side("b"), "b").join(side("a"), "a")
 
 
@@ -260,7 +264,8 @@ def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 80, miss: fl
     tmp.drop(base)
 
     pairs = tmp.write(buckets.where("lead < doc_id").select(F.col("lead").alias("a"), F.col("doc_id").alias("b")).distinct(), "pairs")
-    links = tmp.write(_verify(_with_sets(pairs, sets), words, percent, miss), "links")
+    alike = tmp.write(_alike(_with(pairs, sets, "n", "sig"), percent, miss), "alike")  # signatures travel first, texts of surviving pairs only
+    links = tmp.write(_verify(_with(alike, sets, "blob"), words, percent), "links")
     nodes = involved.select(F.col("doc_id").alias("a"), F.col("doc_id").alias("b"))
     comp = connected_components(spark, links.unionByName(nodes), Scratch(spark, "components"))
     state = buckets.select("doc_id", "pos", "band").join(comp.withColumnRenamed("node", "doc_id").withColumnRenamed("component", "comp"), "doc_id")
