@@ -246,9 +246,18 @@ def uncertain(spark, sf_dir):
     return rounded(C.top_candidates(C.ensemble_combine(p).select("id", C.max_uncertainty(F.col("std")).alias("score")), 20))
 
 
-@query("candidates_diverse_batch")
+def _greedy_sql(k: int) -> str:
+    """``k`` choices one after another, each with its least distance to the earlier ones."""
+    steps = ["c0 AS (SELECT o_orderkey AS id, o_custkey / 10.0::DOUBLE AS x, o_totalprice / 1e4 AS y, sqrt(o_totalprice) AS score, NULL::DOUBLE AS near FROM orders)"]
+    for i in range(k):
+        steps.append(f"b{i} AS MATERIALIZED (SELECT * FROM c{i} ORDER BY CASE WHEN near IS NULL THEN score ELSE score * (1 - exp(-near)) END DESC, id LIMIT 1)")
+        steps.append(f"c{i + 1} AS MATERIALIZED (SELECT c.id, c.x, c.y, c.score, least(coalesce(c.near, 1e300), sqrt(pow(c.x - b.x, 2) + pow(c.y - b.y, 2))) AS near FROM c{i} c, b{i} b WHERE c.id <> b.id)")
+    return f"WITH {', '.join(steps)} " + " UNION ALL ".join(f"SELECT {i} AS rank, id FROM b{i}" for i in range(k))
+
+
+@query("candidates_diverse_batch", _greedy_sql(10))
 def diverse(spark, sf_dir):
-    """Ten orders far apart with high totals (a greedy choice, not SQL; tests compare with plain loops)."""
+    """Ten orders far apart with high totals."""
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") / 10.0).alias("x"), (F.col("o_totalprice") / 1e4).alias("y"), F.sqrt("o_totalprice").alias("score"))
     return spark.createDataFrame([(k, int(i)) for k, i in enumerate(C.diverse_batch(o, 10, ["x", "y"]))], "rank int, id long")
 

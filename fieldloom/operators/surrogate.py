@@ -53,16 +53,66 @@ def top_candidates(scored: DataFrame, k: int) -> DataFrame:
     return scored.orderBy(F.desc("score"), "id").limit(k)
 
 
-def diverse_batch(scored: DataFrame, k: int, dims: Sequence[str], every: int = 8) -> list[int]:
-    """Greedy choice by score * (1 - exp(-distance to the chosen)); one pass a choice, one row each to the driver.
+#: Candidates that the driver looks at first, and at most.
+LAZY, LAZY_MAX = 2_000, 100_000
+
 
-    The distance to the chosen is a column that is written anew after ``every``
-    choices, so expressions stay short whatever k is.
+def _lazy_choices(scored: DataFrame, k: int, dims: Sequence[str]) -> tuple[list[int], list[dict], bool]:
+    """Choices that upper bounds prove, their rows, and whether these are all.
+
+    A value never exceeds its candidate's score, or 0 where that is negative.  The
+    candidates of the highest bounds are looked at; a choice among them holds
+    while its value exceeds the bound of all others.  Where it does not, four
+    times as many are read, ``LAZY_MAX`` at most.
+    """
+    sound = scored.where("score is not null and not isnan(score)").select("id", "score", *dims, F.greatest("score", F.lit(0.0)).alias("bound"))
+    m, chosen, rows = max(LAZY, 16 * k), [], []
+    while True:
+        top = sound.orderBy(F.desc("bound"), "id").limit(m + 1).toPandas()  # LAZY_MAX rows at most
+        rest = float(top.bound.iloc[m]) if len(top) > m else -np.inf
+        top = top.iloc[:m].sort_values("id")
+        ids, score, x = top.id.to_numpy(), top.score.to_numpy(float), top[list(dims)].to_numpy(float)
+        near = np.full(len(top), np.inf)
+        for r in rows:
+            near = np.minimum(near, np.sqrt(((x - r["x"]) ** 2).sum(1)))
+        free = ~np.isin(ids, chosen)
+        while len(chosen) < k and free.any():
+            value = np.where(free, score * (1 - np.exp(-near)) if chosen else score, -np.inf)
+            best = int(value.argmax())  # the first of equal ones has the smallest id
+            if not value[best] > rest:
+                break
+            chosen.append(int(ids[best]))
+            rows.append({"id": int(ids[best]), "x": x[best]})
+            free[best] = False
+            near = np.minimum(near, np.sqrt(((x - x[best]) ** 2).sum(1)))
+        if len(chosen) == k or rest == -np.inf:
+            return chosen, rows, True
+        if m >= LAZY_MAX:
+            return chosen, rows, False
+        m = min(4 * m, LAZY_MAX)
+
+
+def diverse_batch(scored: DataFrame, k: int, dims: Sequence[str], every: int = 8) -> list[int]:
+    """Greedy choice by score * (1 - exp(-distance to the chosen)), ties by the smaller id.
+
+    The choices are proved by upper bounds on a few thousand candidates, so the
+    table is read once or a few times whatever k is.  Only where ``LAZY_MAX``
+    candidates do not suffice (very many equal scores) the rest is chosen by one
+    pass a choice; the distance to the chosen is then a column that is written
+    anew after ``every`` choices, so expressions stay short.  Candidates without a
+    score are not chosen.
     """
+    scored = scored.where("score is not null and not isnan(score)")
+    chosen, known, done = _lazy_choices(scored, k, dims)
+    if done:
+        return chosen
     tmp = Scratch(scored.sparkSession, "batch")
-    left = tmp.write(scored.select("id", "score", *dims, F.lit(None).cast("double").alias("min_dist")), "left")
-    chosen, fresh = [], []
-    for _ in range(k):
+    start = F.lit(None).cast("double")
+    for r in known:
+        start = F.least(start, F.sqrt(sum((F.col(c) - float(v)) ** 2 for c, v in zip(dims, r["x"]))))
+    left = scored.where(~F.col("id").isin(chosen)) if chosen else scored
+    left, fresh = tmp.write(left.select("id", "score", *dims, start.alias("min_dist")), "left"), []
+    for _ in range(k - len(chosen)):
         near = F.col("min_dist")
         for r in fresh:
             near = F.least(near, F.sqrt(sum((F.col(c) - float(r[c])) ** 2 for c in dims)))

@@ -326,3 +326,39 @@ def test_modes_by_part_equal_numpy(spark):
         assert np.allclose(values[p], w[:2], atol=1e-5)
         own = got[got.part == p].sort_values("row")
         assert abs(own.v1.to_numpy() @ v[:, 1]) > 0.999
+
+
+@pytest.mark.parametrize("lazy, most", [(2_000, 100_000), (20, 100_000), (20, 40)])
+def test_lazy_choices_equal_plain_loops(spark, monkeypatch, lazy, most):
+    """Equal choices whatever the bounds prove: at once, after more reads, or by passes in the end; negative scores and ties."""
+    from fieldloom.operators import surrogate as C
+
+    monkeypatch.setattr(C, "LAZY", lazy)
+    monkeypatch.setattr(C, "LAZY_MAX", most)
+    monkeypatch.setattr(C, "max", lambda a, b: a, raising=False)
+    rng = np.random.default_rng(7)
+    p, score = np.round(rng.uniform(0, 2, (400, 2)), 1), np.round(rng.normal(size=400) + 1, 1)
+    df = spark.createDataFrame([(i, float(s), float(x), float(y)) for i, (s, (x, y)) in enumerate(zip(score, p))] + [(999, None, 0.0, 0.0)], "id long, score double, x double, y double")
+    chosen, near, free = [], np.full(400, np.inf), np.ones(400, bool)
+    for _ in range(25):
+        value = np.where(free, score if not chosen else score * (1 - np.exp(-near)), -np.inf)
+        best = int(value.argmax())
+        chosen.append(best)
+        free[best] = False
+        near = np.minimum(near, np.sqrt(((p - p[best]) ** 2).sum(1)))
+    got = C.diverse_batch(df, 25, ["x", "y"])
+    assert got == chosen
+
+
+def test_lazy_choices_take_a_fixed_number_of_jobs(spark):
+    from fieldloom.operators import surrogate as C
+
+    rng = np.random.default_rng(8)
+    df = spark.createDataFrame([(i, float(s), float(x)) for i, (s, x) in enumerate(zip(rng.exponential(size=3_000), rng.uniform(size=3_000)))], "id long, score double, x double")
+    jobs = []
+    for k in (3, 30):
+        spark.sparkContext.setJobGroup(f"lazy{k}", "")
+        assert len(C.diverse_batch(df, k, ["x"])) == k
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"lazy{k}")))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert max(jobs) <= 3
