@@ -12,6 +12,7 @@ from fieldloom.operators import graph as G
 from fieldloom.operators import regress as E
 from fieldloom.operators import rom as R
 from fieldloom.operators import spectral as Z
+from fieldloom.operators.spatial import kernel_correct, potential_superpose
 from fieldloom.sources import generate as S
 
 QUERIES, SQL = {}, {}
@@ -215,3 +216,31 @@ def coarse_to_fine(spark, sf_dir):
     (cp, c), (fp, f) = level(day, 1.0), level(quarter, 0.25)
     out = V.coarse_to_fine(cp, c, fp, f, k=4, ridge=0.0)
     return out.select("id", "run", (F.round("prolonged", 4) + F.lit(0.0)).alias("prolonged"), (F.round("corrected", 3) + F.lit(0.0)).alias("corrected"))
+
+
+# Sums over all points by a tree of boxes.
+
+_PLANE = "q AS (SELECT p_partkey AS id, p_size / 5.0::DOUBLE AS x, (p_partkey % 101) / 10.0::DOUBLE AS y FROM part), s AS (SELECT c_custkey AS k, (c_custkey % 97) / 9.7::DOUBLE AS sx, c_nationkey / 2.5::DOUBLE + (c_custkey % 7) / 50.0::DOUBLE AS sy, c_acctbal / 1000.0::DOUBLE AS r FROM customer)"
+
+
+def _plane_tables(spark, sf_dir):
+    """Parts as queries and customers as weighted points of the plane."""
+    q = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), (F.col("p_size") / 5.0).alias("x"), ((F.col("p_partkey") % 101) / 10.0).alias("y"))
+    k = F.col("c_custkey")
+    s = table(spark, sf_dir, "customer").select(k.alias("k"), ((k % 97) / 9.7).alias("x"), (F.col("c_nationkey") / 2.5 + (k % 7) / 50.0).alias("y"), (F.col("c_acctbal") / 1000.0).alias("r"))
+    return q, s
+
+
+@query("spatial_kernel_tree", f"WITH {_PLANE} SELECT id, round(sum(exp(-2 * ((x - sx) ** 2 + (y - sy) ** 2)) * r) / (sum(exp(-2 * ((x - sx) ** 2 + (y - sy) ** 2))) + 1e-10), 4) + 0.0 AS correction FROM q, s GROUP BY id")
+def kernel_tree(spark, sf_dir):
+    """Gaussian means of the customers' balances at the parts, by boxes."""
+    q, s = _plane_tables(spark, sf_dir)
+    return rounded(kernel_correct(q.select("id", F.array("x", "y").alias("p")), s.select(F.array("x", "y").alias("p"), F.col("r").alias("residual")), 2.0, tolerance=1e-10), 4)
+
+
+@query("spatial_potential_tree", f"WITH {_PLANE} SELECT id, round(sum(CASE WHEN k % 3 = 0 THEN -r / (2 * pi()) * atan2(y - sy - 0.0123, x - sx - 0.0071) ELSE r / (2 * pi()) * ln(sqrt((x - sx - 0.0071) ** 2 + (y - sy - 0.0123) ** 2) + 1e-10) END), 4) + 0.0 AS potential FROM q, s GROUP BY id")
+def potential_tree(spark, sf_dir):
+    """Sources and vortices at the customers' places, by boxes (shifted, so that no part lies on the cut of an angle)."""
+    q, s = _plane_tables(spark, sf_dir)
+    s = s.select(F.when(F.col("k") % 3 == 0, "vortex").otherwise("source").alias("kind"), F.col("r").alias("strength"), (F.col("x") + 0.0071).alias("x"), (F.col("y") + 0.0123).alias("y"))
+    return rounded(potential_superpose(q, s, tolerance=1e-11), 4)

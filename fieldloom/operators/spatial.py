@@ -309,12 +309,19 @@ def sensitivity_filter(cells: DataFrame, r: float, d: int = 2, floor: float = 1e
     return cells.select("id", "rho").join(got, "id").select("id", (F.col("s") / F.greatest("rho", F.lit(floor))).alias("filtered"))
 
 
-def kernel_correct(query: DataFrame, support: DataFrame, eps: float = 1.0, d: int = 2) -> DataFrame:
+def kernel_correct(query: DataFrame, support: DataFrame, eps: float = 1.0, d: int = 2, tolerance: float = 0.0) -> DataFrame:
     """Residual correction by normalised Gaussian weights over the whole table ``support(p, residual)``.
 
-    The support is counted and met in blocks of ``SMALL_ROWS``, each broadcast;
-    the blocks' sums are added up.
+    With a ``tolerance`` the two sums come from a tree of boxes, each with an error
+    of at most the tolerance times the sum of its weights' sizes.  Without one
+    they are full sums: the support is counted and met in blocks of
+    ``SMALL_ROWS``, each broadcast, and the blocks' sums are added up.
     """
+    if tolerance > 0:
+        from fieldloom.operators.treesum import Gaussian, tree_sums
+
+        w = support.select("p", F.array(F.col("residual").cast("double"), F.lit(1.0)).alias("w"))
+        return tree_sums(query, w, Gaussian(eps, d, 2), d, tolerance).select("id", (F.col("s")[0] / (F.col("s")[1] + 1e-10)).alias("correction"))
     dist2 = sum((F.col("p")[i] - F.col("s.p")[i]) ** 2 for i in range(d))
     w = F.exp(-eps * dist2)
     out = None
@@ -324,8 +331,21 @@ def kernel_correct(query: DataFrame, support: DataFrame, eps: float = 1.0, d: in
     return out.groupBy("id").agg((F.sum("a") / (F.sum("b") + 1e-10)).alias("correction"))
 
 
-def potential_superpose(points: DataFrame, singularities: DataFrame) -> DataFrame:
-    """Sum of source and vortex potentials ``kind, strength, x, y`` at each point ``id, x, y``; met in counted blocks."""
+def potential_superpose(points: DataFrame, singularities: DataFrame, tolerance: float = 0.0) -> DataFrame:
+    """Sum of source and vortex potentials ``kind, strength, x, y`` at each point ``id, x, y``; other kinds are uniform flows along x.
+
+    With a ``tolerance`` sources and vortices are summed by a tree of boxes, with
+    an error of at most the tolerance times the sum of |strength| / (2 pi);
+    without one all of them are met in counted blocks.
+    """
+    if tolerance > 0:
+        from fieldloom.operators.treesum import Logarithm, tree_sums
+
+        q = F.col("strength").cast("double") / (2 * np.pi)
+        own = singularities.where("kind in ('source', 'vortex')").select(F.array("x", "y").alias("p"), F.when(F.col("kind") == "source", F.array(q, F.lit(0.0))).otherwise(F.array(F.lit(0.0), q)).alias("w"))
+        flow = float(singularities.where("kind not in ('source', 'vortex')").agg(F.sum("strength")).first()[0] or 0.0)
+        got = tree_sums(points.select("id", F.array("x", "y").alias("p")), own, Logarithm(), 2, tolerance)
+        return points.join(got, "id").select("id", (F.col("s")[0] + flow * F.col("x")).alias("potential"))
     dx, dy = F.col("x") - F.col("s.x"), F.col("y") - F.col("s.y")
     phi = F.when(F.col("s.kind") == "source", F.col("s.strength") / (2 * np.pi) * F.log(F.sqrt(dx * dx + dy * dy) + 1e-10)).when(F.col("s.kind") == "vortex", -F.col("s.strength") / (2 * np.pi) * F.atan2(dy, dx)).otherwise(F.col("s.strength") * F.col("x"))
     out = None

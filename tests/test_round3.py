@@ -362,3 +362,35 @@ def test_lazy_choices_take_a_fixed_number_of_jobs(spark):
         jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"lazy{k}")))
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert max(jobs) <= 3
+
+
+@pytest.mark.parametrize("tolerance", [1e-3, 1e-9])
+def test_tree_sums_stay_within_their_bound(spark, monkeypatch, tolerance):
+    """Gaussian and logarithmic sums against full sums: the error is within tolerance x weights, and boxes are used."""
+    from fieldloom.operators import treesum as T
+
+    monkeypatch.setattr(T, "PER_BOX", 8)
+    rng = np.random.default_rng(5)
+    x, w = np.vstack([rng.normal(size=(600, 2)), 8 + 0.1 * rng.normal(size=(200, 2)), np.full((50, 2), 3.0)]), rng.normal(size=(850, 2))
+    q = np.vstack([rng.uniform(-4, 10, (150, 2)), x[:5] + 1e-3])
+    sup = spark.createDataFrame([(a.tolist(), b.tolist()) for a, b in zip(x, w)] + [(None, [1.0, 1.0]), ([float("nan"), 0.0], [1.0, 1.0]), ([0.0, 0.0], None)], "p array<double>, w array<double>")
+    ask = spark.createDataFrame([(i, a.tolist()) for i, a in enumerate(q)] + [(999, None)], "id long, p array<double>")
+    for kernel in (T.Gaussian(0.7, 2, 2), T.Logarithm()):
+        want = kernel.direct(q, x, w)
+        got = {r.id: r.s for r in T.tree_sums(ask, sup, kernel, 2, tolerance).collect()}
+        bound = tolerance * (np.abs(w).sum(0) if kernel.columns == 2 else np.array([np.hypot(*w.T).sum()])) + 1e-8
+        assert len(got) == len(q) and (np.abs(np.array([got[i] for i in range(len(q))]) - want) <= bound).all()
+        assert {tuple(r.s) for r in T.tree_sums(ask, sup.limit(0), kernel, 2, tolerance).collect()} == {(0.0,) * kernel.columns}
+
+
+def test_tree_moments_shift():
+    from fieldloom.operators import treesum as T
+
+    rng = np.random.default_rng(6)
+    x, w, by = rng.normal(size=(20, 2)), rng.normal(size=(20, 2)), np.array([0.3, -0.7])
+    for kernel in (T.Gaussian(0.7, 2, 2), T.Logarithm()):
+        a = kernel.shift(kernel.moments(x, w).sum(0)[None], by[None])[0]
+        assert np.allclose(a, kernel.moments(x + by, w).sum(0))
+        v = np.array([[9.0, 7.0]])
+        far = kernel.far(v, kernel.moments(0.1 * x, w).sum(0)[None])
+        assert (np.abs(far - kernel.direct(v, 0.1 * x, w)) <= kernel.error(v, np.array([0.1 * np.linalg.norm(x, axis=1).max()])) * np.abs(w).sum() + 1e-12).all()
