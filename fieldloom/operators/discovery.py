@@ -10,7 +10,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldloom.operators.regress import score_expressions
 from fieldloom.operators.spatial import knn_join
 from fieldloom.sources.scratch import Scratch
 
@@ -73,12 +72,77 @@ def _put(tree: Tree, new: Tree, rng: np.random.Generator) -> Tree:
     return out
 
 
+def shared_graph(trees: list[Tree]) -> tuple[list[tuple[str | float, tuple[int, ...]]], list[int]]:
+    """Distinct subexpressions of all trees, arguments first, and the place of each tree's root."""
+    places: dict[tuple, int] = {}
+    steps: list[tuple[str | float, tuple[int, ...]]] = []
+
+    def place(t: Tree) -> int:
+        args = tuple(place(a) for a in t.args)
+        if t.head in ("+", "*"):
+            args = tuple(sorted(args))  # the same whichever argument comes first
+        key = (type(t.head) is float, t.head, args)
+        if key not in places:
+            places[key] = len(steps)
+            steps.append((t.head, args))
+        return places[key]
+
+    return steps, [place(t) for t in trees]
+
+
+def evaluate(steps: list, columns: dict[str, np.ndarray]) -> list[np.ndarray]:
+    """Values of every subexpression, each computed once; the rules are those of ``Tree.column``."""
+    n, out = len(next(iter(columns.values()))), []
+    with np.errstate(all="ignore"):
+        for head, args in steps:
+            a = [out[i] for i in args]
+            if isinstance(head, float):
+                v = np.full(n, head)
+            elif head not in ARITY:
+                v = columns[head]
+            elif head in "+-*":
+                v = a[0] + a[1] if head == "+" else a[0] - a[1] if head == "-" else a[0] * a[1]
+            elif head == "/":
+                v = np.where(np.abs(a[1]) > 1e-10, a[0] / np.where(a[1] == 0, 1.0, a[1]), 1.0)
+            elif head == "pow":
+                v = np.abs(a[0]) ** np.clip(a[1], -3, 3)
+            else:
+                v = {"sin": np.sin, "cos": np.cos, "exp": lambda x: np.exp(np.clip(x, -20, 20)), "sqrt": lambda x: np.sqrt(np.abs(x))}[head](a[0])
+            out.append(v)
+    return out
+
+
+def mean_squared_errors(rows: DataFrame, trees: list[Tree], target: str) -> list[float]:
+    """Mean squared error of each tree over ``rows``, whose columns are doubles.
+
+    The trees go out as one graph of shared subexpressions; a batch computes each
+    of them once, and only one number a tree leaves a partition.
+    """
+    steps, roots = shared_graph(trees)
+    names = sorted({h for h, _ in steps if isinstance(h, str) and h not in ARITY} | {target})
+
+    def run(batches):
+        total, n = np.zeros(len(roots)), 0
+        for whole in batches:
+            for at in range(0, whole.num_rows, 4_096):
+                b = whole.slice(at, 4_096)
+                x = {c: np.asarray(b.column(c)) for c in names}
+                values = evaluate(steps, x)
+                with np.errstate(all="ignore"):
+                    total += [((values[r] - x[target]) ** 2).sum() for r in roots]
+                n += b.num_rows
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(np.arange(len(roots)), -1), pa.int32()), pa.array(np.append(total, float(n)))], names=["k", "s"])
+
+    got = {r.k: r.s for r in rows.select(*names).mapInArrow(run, "k int, s double").groupBy("k").agg(F.sum("s").alias("s")).collect()}  # one row a tree
+    return [got.get(k, 0.0) / got[-1] if got.get(-1) else math.nan for k in range(len(roots))]
+
+
 def symbolic_regression(df: DataFrame, columns: list[str], target: str, generations: int = 10, population: int = 40, seed: int = 0, penalty: float = 0.01, largest: int = 15) -> tuple[str, Column, float]:
     """The best expression found, its column and its mean squared error over the whole table.
 
     The driver keeps a population of small trees; each generation is scored by one
-    scan of the written columns (many averages at once), so only numbers of the
-    population's size reach the driver.  Better trees are kept; the rest are
+    scan of the written columns through one graph of shared subexpressions, so
+    only numbers of the population's size reach the driver.  Better trees are kept; the rest are
     crossed and mutated.  Rows with a null or non-finite number are left out.
     """
     rng = np.random.default_rng(seed)
@@ -91,8 +155,8 @@ def symbolic_regression(df: DataFrame, columns: list[str], target: str, generati
     for _ in range(generations):
         fresh = {str(t): t for t in trees if str(t) not in known}
         if fresh:
-            for r in score_expressions(rows, {n: (t.column(), t.size()) for n, t in fresh.items()}, target, penalty).collect():  # one row a tree
-                known[r.name] = (r.score, r.mse) if r.score is not None and math.isfinite(r.score) else (math.inf, math.inf)
+            for (name, t), mse in zip(fresh.items(), mean_squared_errors(rows, list(fresh.values()), target)):
+                known[name] = (mse + penalty * t.size(), mse) if math.isfinite(mse) else (math.inf, math.inf)
         trees = sorted({str(t): t for t in trees}.values(), key=lambda t: (known[str(t)][0], t.size(), str(t)))
         if known[str(trees[0])][1] < 1e-12:
             break

@@ -6,12 +6,16 @@ adaptive skew join where both sides come straight from an exchange.
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom.operators.graph_components import connected_components
 from fieldloom.sources.scratch import Scratch
 
+_log = logging.getLogger(__name__)
+
 
 def neighbor_aggregate(nodes: DataFrame, edges: DataFrame, how: str = "mean") -> DataFrame:
     """Mean, sum or maximum of in-neighbour values; 0 where there is none."""
@@ -213,23 +217,26 @@ def match_pool(edges: DataFrame) -> DataFrame:
     Edges compare by weight (those within a twelfth of each other count as equal),
     then by a hash of the round and the edge, then by ids.  The fresh hashes let
     many edges of about one weight be local maxima at once, so weights that rise
-    along a path do not give one pair a round.
+    along a path do not give one pair a round.  Each round's pairs are a table
+    and each round is logged; the answer reads these tables together, whatever
+    their number.
     """
     tmp = Scratch(edges.sparkSession, "match")
     e = tmp.write(symmetric(edges).where("weight > 0"), "edges")
-    out, turn = None, 0
+    out, turn = [], 0
     while True:
         lo, hi = F.least("src", "dst"), F.greatest("src", "dst")
         # A symmetric, total order of edges makes the heaviest free edge mutual, so each round adds a pair.
         best = e.groupBy("src").agg(F.max_by("dst", F.struct(F.floor(8 * F.log2("weight")), F.xxhash64(F.lit(turn), lo, hi), -lo, -hi)).alias("to"))
         pairs = tmp.write(best.alias("a").join(best.alias("b"), (F.col("a.to") == F.col("b.src")) & (F.col("b.to") == F.col("a.src"))).select(F.col("a.src").alias("id"), F.least("a.src", "a.to").alias("part")), "pairs")
-        out = pairs if out is None else out.unionByName(pairs)
+        out.append(pairs._scratch_path)
         taken = pairs.select("id")
         left = tmp.write(e.join(taken.withColumnRenamed("id", "src"), "src", "left_anti").join(taken.withColumnRenamed("id", "dst"), "dst", "left_anti"), "edges")
         tmp.drop(e)
         e, turn = left, turn + 1
+        _log.info("matching round %d done", turn)
         if e.isEmpty():
-            return out
+            return edges.sparkSession.read.schema(pairs.schema).parquet(*out)
 
 
 def part_interfaces(edges: DataFrame, labels: DataFrame, one_sided: bool = False) -> DataFrame:

@@ -394,3 +394,24 @@ def test_tree_moments_shift():
         v = np.array([[9.0, 7.0]])
         far = kernel.far(v, kernel.moments(0.1 * x, w).sum(0)[None])
         assert (np.abs(far - kernel.direct(v, 0.1 * x, w)) <= kernel.error(v, np.array([0.1 * np.linalg.norm(x, axis=1).max()])) * np.abs(w).sum() + 1e-12).all()
+
+
+def test_shared_expressions_equal_columns(spark):
+    """Each subexpression is computed once, and errors equal those of the trees as columns."""
+    from fieldloom.operators import discovery as V
+    from fieldloom.operators.regress import score_expressions
+
+    rng = np.random.default_rng(3)
+    x = np.round(rng.normal(size=(200, 3)), 2)
+    x[:5, 1] = 0.0
+    df = spark.createDataFrame([tuple(map(float, r)) for r in x], "a double, b double, y double").repartition(3)
+    trees = [V._random(rng, ["a", "b"], 3) for _ in range(60)]
+    steps, roots = V.shared_graph(trees)
+    assert len(roots) == 60 and len(steps) == len(set(map(str, steps))) < sum(t.size() for t in trees)
+    same, at = V.shared_graph([V.Tree("+", [V.Tree("a"), V.Tree("b")]), V.Tree("+", [V.Tree("b"), V.Tree("a")]), V.Tree(1.0)])
+    assert at[0] == at[1] and len(same) == 4
+    got = V.mean_squared_errors(df, trees, "y")
+    want = {r.name: r.mse for r in score_expressions(df, {str(k): (t.column(), t.size()) for k, t in enumerate(trees)}, "y").collect()}
+    for k, g in enumerate(got):
+        w = want[str(k)]
+        assert (not np.isfinite(g) and (w is None or not np.isfinite(w))) or np.isclose(g, w, rtol=1e-9), str(trees[k])
