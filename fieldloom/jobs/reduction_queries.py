@@ -246,10 +246,10 @@ def potential_tree(spark, sf_dir):
     return rounded(potential_superpose(q, s, tolerance=1e-11), 4)
 
 
-@query("regress_symbolic", "SELECT l_returnflag, count(*) AS n, round(avg(l_extendedprice / 1e4 * l_discount * 10), 6) AS predicted, 0.0 AS mse FROM lineitem GROUP BY l_returnflag")
+@query("regress_symbolic", "SELECT l_returnflag, count(*) AS n, round(avg(l_extendedprice / 1e4 * l_discount * 10), 6) AS predicted, 0.0::DOUBLE AS mse FROM lineitem GROUP BY l_returnflag")
 def symbolic(spark, sf_dir):
     """The law of the discounts (price times rate), found among price, rate and tax, and applied."""
     a = table(spark, sf_dir, "lineitem").select("l_returnflag", (F.col("l_extendedprice") / 1e4).alias("price"), (F.col("l_discount") * 10).alias("rate"), (F.col("l_tax") * 10).alias("tax"))
     a = a.withColumn("saved", F.col("price") * F.col("rate"))
-    _, column, mse = V.symbolic_regression(a, ["price", "rate", "tax"], "saved", generations=12, population=60, seed=2)
+    _, column, mse = V.symbolic_regression(a, ["price", "rate", "tax"], "saved", generations=20, population=200, seed=3)
     return rounded(a.groupBy("l_returnflag").agg(F.count("*").alias("n"), F.avg(column).alias("predicted")).withColumn("mse", F.lit(round(mse, 9))))
