@@ -48,18 +48,31 @@ def neumann(spark, sf_dir):
     return rounded(X.neumann_load(e, pts, F.lit(2.5)))
 
 
-@query("field_oc_update")
+_OC = "greatest(0.3, least(0.7, 0.5 * sqrt(s / exp((lo + hi) / 2)))) "
+
+
+@query(
+    "field_oc_update",
+    f"""WITH RECURSIVE o AS (SELECT o_orderkey AS id, sqrt(o_totalprice) AS s FROM orders),
+ b(k, lo, hi) AS (SELECT 0, ln(1e-12::DOUBLE), ln(1e12::DOUBLE) UNION ALL SELECT k + 1, CASE WHEN sum({_OC}) > 0.5 * count(*) THEN (lo + hi) / 2 ELSE lo END, CASE WHEN sum({_OC}) > 0.5 * count(*) THEN hi ELSE (lo + hi) / 2 END FROM b, o WHERE k < 60 GROUP BY k, lo, hi)
+ SELECT id, round({_OC}, 6) AS rho FROM o, b WHERE k = 60""",
+)
 def oc(spark, sf_dir):
-    """Densities of all order cells at half the volume (a root search, not SQL; tests check the target)."""
+    """Densities of all order cells at half the volume; the multiplier is searched down to double precision."""
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.lit(0.5).alias("rho"), (-F.sqrt("o_totalprice")).alias("dc"), F.lit(1.0).alias("volume"))
-    return X.oc_update(o, 0.5)
+    return rounded(X.oc_update(o, 0.5, rounds=10))
 
 
-@query("graph_heat_diffusion")
+@query(
+    "graph_heat_diffusion",
+    f"""WITH RECURSIVE {_E}, d AS (SELECT src AS id, sum(weight) AS d FROM sym GROUP BY src), l AS (SELECT src AS row, dst AS col, weight / sqrt(a.d * b.d) AS value FROM sym JOIN d a ON a.id = src JOIN d b ON b.id = dst),
+ r(k, row, v) AS (SELECT 0, id, f FROM n UNION ALL SELECT k + 1, l.row, sum(l.value * r.v) / (k + 1) FROM r JOIN l ON l.col = r.row WHERE k < 24 GROUP BY k, l.row)
+ SELECT row, round(exp(-1.0::DOUBLE) * sum(v), 6) + 0.0 AS value FROM r GROUP BY row""",
+)
 def heat(spark, sf_dir):
-    """Heat kernel of the supplier-part graph (matrix exponential; tests compare with NumPy)."""
+    """Heat kernel of the supplier-part graph; the SQL is the series of the matrix exponential."""
     e = _edges(spark, sf_dir)
-    return X.heat_diffuse(G.laplacian(e), _nodes(e).select(F.col("id").alias("row"), F.col("f").alias("value")), 1.0)
+    return rounded(X.heat_diffuse(G.laplacian(e), _nodes(e).select(F.col("id").alias("row"), F.col("f").alias("value")), 1.0))
 
 
 @query("graph_unpool", f"WITH {_E}, c AS (SELECT id % 6 AS part, avg(f) AS f FROM n GROUP BY 1) SELECT n.id, round(c.f, 6) AS f FROM n JOIN c ON c.part = n.id % 6")
@@ -199,11 +212,18 @@ def collocation(spark, sf_dir):
     return rounded(collocation_stats(table(spark, sf_dir, "lineitem"), ["l_quantity", "l_discount"], F.sqrt("l_quantity") * (1 - F.col("l_discount"))))
 
 
-@query("fidelity_selection")
+@query(
+    "fidelity_selection",
+    """WITH o AS (SELECT o_orderkey AS id, sqrt(o_totalprice) / 100 AS x FROM orders), t AS (SELECT x, v, ln(exp(-1.5 * v - 0.2 * x) * (1 + 0.1 * sin(x * 9)) + 1e-12) AS e FROM o, (SELECT unnest([0.0::DOUBLE, 1.0, 2.0]) AS v)),
+ c AS (SELECT regr_slope(e, x) AS bx, regr_slope(e, v) AS bv, avg(e) - regr_slope(e, x) * avg(x) - regr_slope(e, v) AS b FROM t),
+ p AS (SELECT id, unnest([0, 1, 2]) AS level, unnest([11.0::DOUBLE, 8.0, 0.0]) AS saved, exp(b + bx * x + bv * unnest([0.0::DOUBLE, 1.0, 2.0])) AS predicted FROM o, c)
+ SELECT id, CAST(level AS INTEGER) AS level, round(predicted, 6) AS predicted, round(1 - predicted / 0.1, 5) + 0.0 AS confidence, saved FROM p QUALIFY row_number() OVER (PARTITION BY id ORDER BY CASE WHEN predicted <= 0.1 THEN level ELSE 10 - level END) = 1""",
+)
 def selection(spark, sf_dir):
-    """Level chosen for each order by a log-error model of all orders at three levels (a fitted rule, not SQL; tests check it)."""
+    """Level chosen for each order by a log-error model of all orders at three levels ; levels and parameters are balanced, so SQL fits them one by one."""
     from fieldloom.operators.uq import fidelity_selector, select_fidelity
 
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), (F.sqrt("o_totalprice") / 100).alias("x"))
     train = o.select("x", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("level")).withColumn("error", F.exp(-1.5 * F.col("level") - 0.2 * F.col("x")) * (1 + 0.1 * F.sin(F.col("x") * 9)))
-    return select_fidelity(o, fidelity_selector(train, ["x"], 3), [1.0, 4.0, 12.0], 0.1).select("id", "level", "predicted", "confidence", "saved")
+    got = select_fidelity(o, fidelity_selector(train, ["x"], 3), [1.0, 4.0, 12.0], 0.1)
+    return got.select("id", "level", F.round("predicted", 6).alias("predicted"), (F.round("confidence", 5) + F.lit(0.0)).alias("confidence"), "saved")

@@ -186,12 +186,23 @@ def top(spark, sf_dir):
     return rounded(C.top_candidates(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("score")), 25), 2)
 
 
-@query("candidates_gp")
+@query(
+    "candidates_gp",
+    """WITH RECURSIVE s AS (SELECT s_suppkey / 10.0::DOUBLE AS a, s_nationkey::DOUBLE AS b, s_acctbal / 1000 AS y, CAST(row_number() OVER (ORDER BY s_suppkey) AS INTEGER) AS i FROM supplier), size AS (SELECT CAST(count(*) AS INTEGER) AS n FROM s),
+ m AS (SELECT p.i, q.i AS j, exp(-0.5 * ((p.a - q.a) ** 2 + (p.b - q.b) ** 2)) + CASE WHEN p.i = q.i THEN 1e-6 ELSE 0 END AS v FROM s p, s q),
+ g(k, i, j, v) AS (SELECT 0, i, j, v FROM m UNION ALL SELECT 0, p.i, q.i + n, CASE WHEN p.i = q.i THEN 1.0 ELSE 0.0 END::DOUBLE FROM s p, s q, size
+  UNION ALL SELECT k + 1, i, j, CASE WHEN i = k + 1 THEN v / corner ELSE v - f * p / corner END FROM (SELECT *, max(v) FILTER (WHERE j = k + 1) OVER (PARTITION BY i) AS f, max(v) FILTER (WHERE i = k + 1) OVER (PARTITION BY j) AS p, max(v) FILTER (WHERE i = k + 1 AND j = k + 1) OVER () AS corner FROM g), size WHERE k < n),
+ inv AS (SELECT i, list(v ORDER BY j) AS row FROM g, size WHERE k = n AND j > n GROUP BY i), ys AS (SELECT list(y ORDER BY i) AS y FROM s), alpha AS (SELECT list(list_inner_product(row, y) ORDER BY i) AS w FROM inv, ys),
+ c AS (SELECT o_orderkey AS id, (o_custkey % 100) / 10.0::DOUBLE AS a, (o_orderkey % 25)::DOUBLE AS b FROM orders), u AS (SELECT DISTINCT a, b FROM c),
+ k AS (SELECT u.a, u.b, list(exp(-0.5 * ((u.a - s.a) ** 2 + (u.b - s.b) ** 2)) ORDER BY i) AS k FROM u, s GROUP BY u.a, u.b),
+ q AS (SELECT a, b, sum(k[i] * list_inner_product(k, row)) AS q FROM k, inv GROUP BY a, b)
+ SELECT id, round(list_inner_product(k.k, w), 4) + 0.0 AS mean, round(sqrt(greatest(1 - q, 1e-10)), 4) AS std FROM c JOIN k USING (a, b) JOIN q USING (a, b), alpha""",
+)
 def gp(spark, sf_dir):
-    """Gaussian process on supplier balances scored on every order (dense solves have no SQL)."""
+    """Gaussian process on supplier balances scored on every order; the SQL inverts the covariance by elimination."""
     s = table(spark, sf_dir, "supplier").select(F.array(F.col("s_suppkey").cast("double") / 10, F.col("s_nationkey").cast("double")).alias("p"), (F.col("s_acctbal") / 1000).alias("y"))
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.array((F.col("o_custkey") % 100).cast("double") / 10, (F.col("o_orderkey") % 25).cast("double")).alias("p"))
-    return C.gp_predict(o, s)
+    return rounded(C.gp_predict(o, s), 4)
 
 
 _T = "t AS (SELECT user_id AS task, avg(value) AS a, stddev_pop(value) AS b, min(value) AS c, max(value) AS d FROM events GROUP BY user_id)"

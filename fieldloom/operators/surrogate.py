@@ -133,6 +133,20 @@ def diverse_batch(scored: DataFrame, k: int, dims: Sequence[str], every: int = 8
     return chosen
 
 
+def _lower_inverse(c: np.ndarray) -> np.ndarray:
+    """Inverse of a lower triangular matrix by halves.
+
+    Products instead of one large solve: threaded solves of some BLAS builds never
+    return in a process that has forked, as a driver has.
+    """
+    n = len(c)
+    if n <= 32:
+        return np.linalg.solve(c, np.eye(n)) if n else c
+    h = n // 2
+    a, b = _lower_inverse(c[:h, :h]), _lower_inverse(c[h:, h:])
+    return np.block([[a, np.zeros((h, n - h))], [-b @ c[h:, :h] @ a, b]])
+
+
 class GaussianProcess:
     """Factors of a squared-exponential process on training points; points are added by growing the Cholesky factor."""
 
@@ -148,7 +162,7 @@ class GaussianProcess:
         low = cross @ self.inverse.T
         self.x, self.y = np.vstack([self.x, x]), np.r_[self.y, y]
         corner = np.linalg.cholesky(self.kernel(x)[:, n:] + self.noise * np.eye(k) - low @ low.T) if k else np.zeros((0, 0))
-        flipped = np.linalg.solve(corner, np.eye(k)) if k else corner
+        flipped = _lower_inverse(corner)
         self.chol = np.block([[self.chol, np.zeros((n, k))], [low, corner]])
         self.inverse = np.block([[self.inverse, np.zeros((n, k))], [-flipped @ low @ self.inverse, flipped]])
         self.alpha = self.inverse.T @ (self.inverse @ self.y)
