@@ -141,11 +141,12 @@ def decontamination_truth(docs, bench):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("block", [150_000, 10])
-def test_decontamination_matches_brute_force(spark, monkeypatch, block):
+@pytest.mark.parametrize("block, maps", [(150_000, 4), (10, 1000), (10, 0)], ids=["one block", "blocks", "shuffle"])
+def test_decontamination_matches_brute_force(spark, monkeypatch, block, maps):
     from fieldloom.llm import decontaminate
 
     monkeypatch.setattr(decontaminate, "BLOCK_WINDOWS", block)
+    monkeypatch.setattr(decontaminate, "MAP_BLOCKS", maps)
     rng = random.Random(2)
     bench = [(10 * i, " ".join(words(rng, n))) for i, n in enumerate((30, 14, 13, 12, 5, 1, 40))] + [(71, None), (72, ""), (None, "no id"), (73, "-- !!")]
     docs = []
