@@ -6,7 +6,9 @@ error of that expansion is bounded for each unit of weight, and a box counts as
 far where the bound is at most the tolerance.  Boxes that are never far enough
 are met point by point, in blocks.  So the sums of n queries over m points take
 about n log m expansions and n near boxes, and the total error is at most the
-tolerance times the sum of the weights' sizes.
+tolerance times the sum of the weights' sizes.  Points of one place are one point
+of their summed weights, and queries of one place are answered once, so n and m
+are numbers of distinct places.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ class Gaussian:
     """exp(-eps |x - y|^2) for each column of weights, by Taylor expansion of second order about the box's middle."""
 
     def __init__(self, eps: float, d: int, columns: int):
-        self.eps, self.d, self.columns = eps, d, columns
+        self.eps, self.d, self.columns, self.weights = eps, d, columns, columns
         self.pairs = [(i, j) for i in range(d) for j in range(i, d)]
         self.each = 1 + d + len(self.pairs)
 
@@ -68,7 +70,7 @@ class Gaussian:
 class Logarithm:
     """Real part of Q log(z - c) over complex weights Q (two columns) in the plane, by a multipole expansion."""
 
-    columns, order = 1, 10
+    columns, weights, order = 1, 2, 10
 
     def moments(self, h: np.ndarray, w: np.ndarray) -> np.ndarray:
         m = (w[:, 0] + 1j * w[:, 1])[:, None] * (h[:, 0] + 1j * h[:, 1])[:, None] ** np.arange(self.order + 1)
@@ -123,12 +125,17 @@ def tree_sums(query: DataFrame, support: DataFrame, kernel, d: int, tolerance: f
     sound = F.col("p").isNotNull() & (F.size("p") >= d)
     for i in range(d):
         sound = sound & p(i).isNotNull() & ~F.isnan(p(i)) & (F.abs(p(i)) < float("inf"))
-    held = support.where(sound & F.col("w").isNotNull() & ~F.exists("w", lambda v: v.isNull() | F.isnan(v))).select(F.col("p").cast("array<double>").alias("p"), F.col("w").cast("array<double>").alias("w"))
-    asked = query.where(sound).select(F.col("id").cast("long").alias("id"), F.col("p").cast("array<double>").alias("p"))
-    held = tmp.write(held, "support")
+    place_of = [p(i).cast("double").alias(f"c{i}") for i in range(d)]
+    at, spot = [f"c{i}" for i in range(d)], F.array(*[f"c{i}" for i in range(d)]).alias("p")
+    held = support.where(sound & F.col("w").isNotNull() & ~F.exists("w", lambda v: v.isNull() | F.isnan(v))).select(*place_of, F.col("w").cast("array<double>").alias("w"))
+    held = held.groupBy(*at).agg(*[F.sum(F.col("w")[i]).alias(f"w{i}") for i in range(kernel.weights)])
+    held = tmp.write(held.select(spot, F.array(*[f"w{i}" for i in range(kernel.weights)]).alias("w")), "support")
+    every_ask = query.where(sound).select(F.col("id").cast("long").alias("id"), *place_of)
+    places = tmp.write(every_ask.groupBy(*at).agg(F.min("id").alias("id")), "places")
+    asked = places.select("id", spot)
     n = held.count()
     if not n:
-        return asked.select("id", F.array_repeat(F.lit(0.0), kernel.columns).alias("s"))
+        return every_ask.select("id", F.array_repeat(F.lit(0.0), kernel.columns).alias("s"))
     depth = max(0, min(MAX_LEAVES, n // PER_BOX).bit_length() - 1)
     sample = held.where(F.pmod(F.xxhash64("p", "w"), F.lit(n)) < PER_LEAF << depth).select("p").limit(4 * PER_LEAF << depth).toPandas()  # some rows a box
     boxes = _Boxes(np.array(sample.p.tolist(), float).reshape(len(sample), -1)[:, :d] if len(sample) else np.empty((0, d)), depth)
@@ -144,7 +151,7 @@ def tree_sums(query: DataFrame, support: DataFrame, kernel, d: int, tolerance: f
     _middles(boxes)
     full = spark.sparkContext.broadcast(boxes)
     weights = lambda col: np.asarray(pc.list_flatten(col), float).reshape(len(col), -1)
-    size = kernel.moments(np.zeros((1, d)), np.zeros((1, 2))).shape[1]
+    size = kernel.moments(np.zeros((1, d)), np.zeros((1, kernel.weights))).shape[1]
 
     def sums(batches):
         for t in batches:
@@ -197,10 +204,12 @@ def tree_sums(query: DataFrame, support: DataFrame, kernel, d: int, tolerance: f
         asks = np.asarray(pc.is_valid(tab.column("id")))
         x, q = tab.filter(pa.array(~asks)).combine_chunks(), tab.filter(pa.array(asks)).combine_chunks()
         points = _coordinates(x.column("p").combine_chunks(), d)
-        w, at = weights(x.column("w").combine_chunks()) if len(points) else np.zeros((0, 2)), _coordinates(q.column("p").combine_chunks(), d)
+        w, at = weights(x.column("w").combine_chunks()) if len(points) else np.zeros((0, kernel.weights)), _coordinates(q.column("p").combine_chunks(), d)
         out = [kernel.direct(at[k : k + 500], points, w) for k in range(0, len(at), 500)]
         return pa.table({"id": q.column("id"), "s": pa.array(list(np.concatenate(out)) if out else [], pa.list_(pa.float64()))})
 
     some = left.unionByName(right).groupBy("leaf", "ib", "qb").applyInArrow(direct, "id long, s array<double>")
     every = met.where("leaf < 0").select("id", "s").unionByName(some)
-    return every.groupBy("id").agg(F.array(*[F.sum(F.col("s")[k]) for k in range(kernel.columns)]).alias("s"))
+    sums = every.groupBy("id").agg(F.array(*[F.sum(F.col("s")[k]) for k in range(kernel.columns)]).alias("s"))
+    sums = tmp.write(places.join(sums, "id").select(*at, "s"), "sums")
+    return every_ask.join(sums, at).select("id", "s")

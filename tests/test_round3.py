@@ -383,6 +383,26 @@ def test_tree_sums_stay_within_their_bound(spark, monkeypatch, tolerance):
         assert {tuple(r.s) for r in T.tree_sums(ask, sup.limit(0), kernel, 2, tolerance).collect()} == {(0.0,) * kernel.columns}
 
 
+def test_tree_sums_meet_each_place_once(spark):
+    """Many copies of a few places: sums are those of all points, but kernels see distinct places only."""
+    from fieldloom.operators import treesum as T
+
+    rng = np.random.default_rng(7)
+    place, ask = rng.uniform(size=(6, 2)), rng.uniform(size=(4, 2))
+    x, w, q = np.repeat(place, 40, axis=0), rng.normal(size=(240, 2)), np.repeat(ask, 30, axis=0)
+    sup = spark.createDataFrame([(a.tolist(), b.tolist()) for a, b in zip(x, w)], "p array<double>, w array<double>")
+    asks = spark.createDataFrame([(i, a.tolist()) for i, a in enumerate(q)], "id long, p array<double>")
+    for kind, args in ((T.Gaussian, (0.7, 2, 2)), (T.Logarithm, ())):
+
+        class Few(kind):
+            def direct(self, at, points, weights, direct=kind.direct):
+                assert len(at) <= 4 and len(points) <= 6
+                return direct(self, at, points, weights)
+
+        got = {r.id: r.s for r in T.tree_sums(asks, sup, Few(*args), 2, 1e-12).collect()}
+        assert len(got) == 120 and np.allclose([got[i] for i in range(120)], kind(*args).direct(q, x, w), atol=1e-9)
+
+
 def test_tree_moments_shift():
     from fieldloom.operators import treesum as T
 
