@@ -403,6 +403,36 @@ def test_tree_sums_meet_each_place_once(spark):
         assert len(got) == 120 and np.allclose([got[i] for i in range(120)], kind(*args).direct(q, x, w), atol=1e-9)
 
 
+def test_radius_sums_and_pairs_by_tiles(spark, monkeypatch):
+    """A dense cube in many tiles: pairs and cone sums equal plain loops, with nulls, and no plan joins pairs."""
+    from fieldloom.operators import spatial as S
+
+    monkeypatch.setattr(S, "BLOCK", 20)
+    rng = np.random.default_rng(11)
+    x = np.vstack([rng.normal(scale=0.05, size=(90, 2)), rng.uniform(-1, 1, (60, 2))])
+    rho, dc = rng.uniform(1, 2, 150), -rng.uniform(1, 2, 150)
+    rows = [(i, a.tolist(), None if i == 3 else float(r), float(g)) for i, (a, r, g) in enumerate(zip(x, rho, dc))]
+    df = spark.createDataFrame([*rows, (900, None, 1.0, 1.0), (901, [float("nan"), 0.0], 1.0, 1.0), (902, [float("inf"), 0.0], 1.0, 1.0)], "id long, p array<double>, rho double, dc double")
+    dist = np.sqrt((x[:, None, 0] - x[None, :, 0]) ** 2 + (x[:, None, 1] - x[None, :, 1]) ** 2)
+    pairs = {(r.id, r.other): r.dist for r in S.radius_join(df, df, 0.1).collect()}
+    assert pairs == {(i, j): dist[i, j] for i, j in zip(*np.nonzero(dist < 0.1))}
+    w = np.maximum(0.1 - dist, 0)
+    known = np.where(np.arange(150) == 3, 0.0, rho)
+    density = S.density_filter(df, 0.1)
+    got = {r.id: r.filtered for r in density.collect()}
+    want = w @ known / w.sum(1)
+    assert sorted(got) == list(range(150)) and all(np.isclose(got[i], want[i]) for i in got if got[i] is not None)
+    assert [i for i in got if got[i] is None] == [i for i in range(150) if not (w[i] > 0)[np.arange(150) != 3].any()]
+    plan = density._jdf.queryExecution().toString()
+    assert "FlatMapGroupsInArrow" in plan
+    clean = df.where("rho is not null")
+    keep = np.arange(150) != 3
+    back = {r.id: r.filtered for r in S.sensitivity_filter(clean, 0.1).collect()}
+    wk = w[np.ix_(keep, keep)]
+    want = dict(zip(np.arange(150)[keep].tolist(), wk.T @ (dc * rho)[keep].__truediv__(wk.sum(1)) / rho[keep]))
+    assert back.keys() == want.keys() and all(np.isclose(back[i], want[i]) for i in want)
+
+
 def test_tree_moments_shift():
     from fieldloom.operators import treesum as T
 
