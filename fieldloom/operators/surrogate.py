@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import copy
 from collections.abc import Sequence
 
 import numpy as np
@@ -167,6 +168,12 @@ class GaussianProcess:
         self.inverse = np.block([[self.inverse, np.zeros((n, k))], [-flipped @ low @ self.inverse, flipped]])
         self.alpha = self.inverse.T @ (self.inverse @ self.y)
 
+    def scorer(self) -> GaussianProcess:
+        """What predictions need: all but the Cholesky factor, so that half as much is broadcast."""
+        out = copy.copy(self)
+        out.chol = None
+        return out
+
     @property
     def log_marginal(self) -> float:
         n = len(self.x)
@@ -202,8 +209,13 @@ def gp_predict(candidates: DataFrame, train: DataFrame, length: float = 1.0, noi
 
 
 def gp_score(candidates: DataFrame, process: GaussianProcess) -> DataFrame:
-    """``id, mean, std`` of a fitted process at every candidate, in slices, so a task holds a few hundred kernel rows at a time."""
-    held = candidates.sparkSession.sparkContext.broadcast(process)
+    """``id, mean, std`` of a fitted process at every candidate, in slices, so a task holds a few hundred kernel rows at a time.
+
+    Candidates of one place are scored once, so the products grow with the distinct
+    places; scores come back to the candidates by a join on the place.
+    """
+    rows = candidates.select(F.col("id").cast("long").alias("id"), F.col("p").cast("array<double>").alias("p"))
+    held = candidates.sparkSession.sparkContext.broadcast(process.scorer())
 
     def run(batches):
         gp = held.value
@@ -213,9 +225,10 @@ def gp_score(candidates: DataFrame, process: GaussianProcess) -> DataFrame:
             for at in range(0, len(x) if len(gp.x) else 0, 500):
                 c = gp.kernel(x[at : at + 500])
                 mean[at : at + 500], var[at : at + 500] = c @ gp.alpha, 1 - ((c @ gp.inverse.T) ** 2).sum(1)
-            yield pa.RecordBatch.from_pydict({"id": b.column("id"), "mean": pa.array(mean), "std": pa.array(np.sqrt(np.maximum(var, 1e-10)))})
+            yield pa.RecordBatch.from_pydict({"p": b.column("p"), "mean": pa.array(mean), "std": pa.array(np.sqrt(np.maximum(var, 1e-10)))})
 
-    return candidates.select(F.col("id").cast("long").alias("id"), F.col("p").cast("array<double>").alias("p")).mapInArrow(run, "id long, mean double, std double")
+    places = Scratch(candidates.sparkSession, "gp").write(rows.select("p").distinct().mapInArrow(run, "p array<double>, mean double, std double"), "places")
+    return rows.join(places, "p").select("id", "mean", "std")
 
 
 def gp_log_marginal(train: DataFrame, length: float = 1.0, noise: float = 1e-6, max_train: int = MAX_TRAIN) -> float:

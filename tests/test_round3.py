@@ -403,6 +403,28 @@ def test_tree_sums_meet_each_place_once(spark):
         assert len(got) == 120 and np.allclose([got[i] for i in range(120)], kind(*args).direct(q, x, w), atol=1e-9)
 
 
+def test_gp_scores_each_place_once(spark, monkeypatch):
+    """Copies of three places: every candidate gets its place's score, and the process is asked for three rows."""
+    from fieldloom.operators import surrogate as C
+
+    rng = np.random.default_rng(12)
+    x, y, place = rng.uniform(0, 2, (20, 2)), rng.normal(size=20), rng.uniform(0, 2, (3, 2))
+
+    gp, kept, write = C.GaussianProcess(x, y, 0.5, 1e-3), {}, C.Scratch.write
+
+    def keep(self, df, name):
+        kept[name] = write(self, df, name)
+        return kept[name]
+
+    monkeypatch.setattr(C.Scratch, "write", keep)
+    cand = spark.createDataFrame([(i, place[i % 3].tolist()) for i in range(300)], "id long, p array<double>").repartition(1)
+    got = {r.id: (r.mean, r.std) for r in C.gp_score(cand, gp).collect()}
+    k = gp.kernel(place)
+    want = np.stack([k @ gp.alpha, np.sqrt(1 - ((k @ gp.inverse.T) ** 2).sum(1))], 1)
+    assert kept["places"].count() == 3
+    assert len(got) == 300 and np.allclose([got[i] for i in range(300)], want[np.arange(300) % 3], atol=1e-9)
+
+
 def test_radius_sums_and_pairs_by_tiles(spark, monkeypatch):
     """A dense cube in many tiles: pairs and cone sums equal plain loops, with nulls, and no plan joins pairs."""
     from fieldloom.operators import spatial as S
