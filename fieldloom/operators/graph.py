@@ -25,9 +25,15 @@ def neighbor_aggregate(nodes: DataFrame, edges: DataFrame, how: str = "mean") ->
 
 
 def symmetric(edges: DataFrame) -> DataFrame:
-    """Both directions of every edge, weights of repeated ones summed."""
-    e = edges.where("src <> dst").select("src", "dst", "weight")
-    return e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")).groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
+    """Both directions of every edge, weights of repeated ones summed.
+
+    Each pair is summed once and turned round afterwards, so half the rows are
+    shuffled and held.
+    """
+    e = edges.where("src <> dst").select(F.least("src", "dst").alias("low"), F.greatest("src", "dst").alias("high"), "weight")
+    e = e.groupBy("low", "high").agg(F.sum("weight").alias("weight"))
+    turned = lambda a, b: F.struct(F.col(a).alias("src"), F.col(b).alias("dst"))
+    return e.select(F.explode(F.array(turned("low", "high"), turned("high", "low"))).alias("e"), "weight").select("e.src", "e.dst", "weight")
 
 
 def laplacian(edges: DataFrame, normalized: bool = True) -> DataFrame:
@@ -65,12 +71,14 @@ def largest_eigenvalue(lap: DataFrame, rounds: int = 20) -> float:
 
 
 def chebyshev_filter(lap: DataFrame, f: DataFrame, theta: list[float], largest: float | None = 2.0) -> DataFrame:
-    """Sum of theta_k T_k(2 L / largest - I) f; each term is a written table.
+    """Sum of theta_k T_k(2 L / largest - I) f; the matrix and each term are written tables.
 
     Without ``largest`` it is estimated by power iteration, plus a tenth, since the
     iteration comes from below.
     """
     tmp = Scratch(lap.sparkSession, "chebyshev")
+    if len(theta) > 2 or largest is None:
+        lap = tmp.write(lap, "matrix")
     largest = 1.1 * largest_eigenvalue(lap) if largest is None else largest
 
     def shifted(v: DataFrame) -> DataFrame:

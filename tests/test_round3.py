@@ -425,6 +425,26 @@ def test_gp_scores_each_place_once(spark, monkeypatch):
     assert len(got) == 300 and np.allclose([got[i] for i in range(300)], want[np.arange(300) % 3], atol=1e-9)
 
 
+def test_symmetric_sums_each_pair_once(spark, monkeypatch):
+    """Pairs are summed before they are turned round, and a filter of many terms writes its matrix once."""
+    from fieldloom.operators import graph as G
+
+    e = spark.createDataFrame([(1, 2, 1.0), (2, 1, 2.0), (1, 2, 4.0), (3, 3, 9.0), (2, 5, 0.5)], "src long, dst long, weight double")
+    s = G.symmetric(e)
+    assert sorted(map(tuple, s.collect())) == [(1, 2, 7.0), (2, 1, 7.0), (2, 5, 0.5), (5, 2, 0.5)]
+    assert "Union" not in s._jdf.queryExecution().optimizedPlan().toString()
+    names, write = [], G.Scratch.write
+    monkeypatch.setattr(G.Scratch, "write", lambda self, df, name: names.append(name) or write(self, df, name))
+    f = spark.createDataFrame([(1, 1.0), (2, 2.0), (5, -1.0)], "row long, value double")
+    got = {r.row: r.value for r in G.chebyshev_filter(G.laplacian(e), f, [0.5, 0.3, 0.2], largest=2.0).collect()}
+    assert names == ["matrix", "t1", "t2"]
+    w = np.array([[0, 7, 0], [7, 0, 0.5], [0, 0.5, 0]])
+    t1 = -w / np.sqrt(np.outer(w.sum(1), w.sum(1)))  # L - I
+    x = np.array([1.0, 2.0, -1.0])
+    want = 0.5 * x + 0.3 * t1 @ x + 0.2 * (2 * t1 @ t1 @ x - x)
+    assert np.allclose([got[1], got[2], got[5]], want)
+
+
 def test_radius_sums_and_pairs_by_tiles(spark, monkeypatch):
     """A dense cube in many tiles: pairs and cone sums equal plain loops, with nulls, and no plan joins pairs."""
     from fieldloom.operators import spatial as S
