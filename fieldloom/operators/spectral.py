@@ -11,6 +11,10 @@ from fieldloom.operators.order import quantiles
 from fieldloom.sources.scratch import Scratch
 
 
+#: Pairs of a bucket of the matrix.
+BUCKET = 2_000_000
+
+
 def _columns(k: int) -> list[str]:
     return [f"v{i}" for i in range(k)]
 
@@ -93,9 +97,8 @@ def spectral_reconstruct(coefs: np.ndarray, modes: DataFrame) -> DataFrame:
     return modes.select("row", sum((float(c) * F.col(f"v{i}") for i, c in enumerate(coefs)), F.lit(0.0)).alias("value"))
 
 
-def _grams(a: DataFrame, b: DataFrame, cols: list[str]) -> dict[int, np.ndarray]:
-    """k x k inner products of two blocks in each part; one row a part reaches the driver."""
-    j = a.join(b.select("row", *[F.col(c).alias(f"w_{c}") for c in cols]), "row")
+def _grams(j: DataFrame, cols: list[str]) -> dict[int, np.ndarray]:
+    """k x k inner products of the blocks ``v0, v1, ...`` and ``w_v0, w_v1, ...`` in each part; one row a part reaches the driver."""
     sums = j.groupBy("part").agg(F.array(*[F.sum(F.col(p) * F.col(f"w_{q}")) for p in cols for q in cols]).alias("g"))
     return {r.part: np.array(r.g, float).reshape(len(cols), -1) for r in sums.collect()}
 
@@ -114,48 +117,52 @@ def modes_by_part(edges: DataFrame, n_modes: int, rounds: int = 4, degree: int =
     ``edges(src, dst, weight, part)`` hold each pair once and join nodes of one part.
     The matrix of all parts is block diagonal, so one product serves all of them;
     inner products, small eigenproblems and the filter's bounds are each part's own.
-    The number of joins does not depend on the number of parts.
+    The number of joins does not depend on the number of parts.  The matrix lies in
+    buckets of its columns, so a product shuffles vectors and sums alone; blocks of
+    vectors are met by merge joins, since each broadcast would pass through the driver.
+    A part whose whole space fits the block is not filtered.
     """
     tmp, k = Scratch(edges.sparkSession, "parts"), n_modes + 4
     cols = _columns(k)
-    lap = tmp.write(laplacian(edges.select("src", "dst", "weight")), "matrix")
+    lap = tmp.bucketed(laplacian(edges.select("src", "dst", "weight")), "matrix", "col", 1 + edges.count() // BUCKET)
     rows = edges.select(F.col("src").alias("row"), "part").unionByName(edges.select(F.col("dst").alias("row"), "part")).distinct()
     x = tmp.write(rows.select("row", "part", *[((F.pmod(F.xxhash64("row", F.lit(i)), F.lit(20001)) - 10000) / 10000.0).alias(c) for i, c in enumerate(cols)]), "start")
     size = {r.part: r["count"] for r in x.groupBy("part").count().collect()}  # one row a part
-    cut: dict[int, float] = {}
+    cut = dict.fromkeys(size, 1.0)
     last: dict[int, np.ndarray] = {}
     values: dict[int, np.ndarray] = {}
+    product = lambda v: _product(lap, v.select("row", *cols).hint("merge"), cols).withColumnsRenamed({c: f"w_{c}" for c in cols})
     for _ in range(rounds):
-        bound = x.sparkSession.createDataFrame([(int(p), c) for p, c in cut.items()], "part int, cut double")
-        lo = F.coalesce("cut", F.lit(1.0))
-        mid, half = (2.0001 + lo) / 2, (2.0001 - lo) / 2
-        step = lambda v: _product(lap, v.select("row", *cols), cols).withColumnsRenamed({c: f"l_{c}" for c in cols})
-        x = x.join(F.broadcast(bound), "part", "left").select("row", "part", mid.alias("mid"), half.alias("half"), *cols)  # one row a part
-        x = tmp.write(x, "bounded")
-        shift = lambda c: (F.col(f"l_{c}") - F.col("mid") * F.col(c)) / F.col("half")
-        old, now = x, tmp.write(step(x).join(x, "row").select("row", "part", "mid", "half", *[shift(c).alias(c) for c in cols]), "filtered")
-        for _ in range(degree - 1):
-            t = step(now).join(now, "row").join(old.select("row", *[F.col(c).alias(f"o_{c}") for c in cols]), "row")
-            after = tmp.write(t.select("row", "part", "mid", "half", *[(2 * shift(c) - F.col(f"o_{c}")).alias(c) for c in cols]), "filtered")
-            tmp.drop(old)
-            old, now = now, after
+        # Centre and half width of what is damped; (lambda + 1e6) / 1e6 is 1, so such a filter leaves all directions.
+        span = [(int(p), -1e6, 1e6) if n <= k else (int(p), (2.0001 + cut[p]) / 2, (2.0001 - cut[p]) / 2) for p, n in size.items()]
+        bound = x.sparkSession.createDataFrame(span, "part int, mid double, half double")
+        now = x.join(F.broadcast(bound), "part")  # one row a part
+        for at in range(degree):
+            t = now.join(product(now).hint("merge"), "row")
+            shift = lambda c: (F.col(f"w_{c}") - F.col("mid") * F.col(c)) / F.col("half")
+            new = [shift(c) if at == 0 else 2 * shift(c) - F.col(f"o_{c}") for c in cols]
+            after = tmp.write(t.select("row", "part", "mid", "half", *[v.alias(c) for v, c in zip(new, cols)], *[F.col(c).alias(f"o_{c}") for c in cols]), "filtered")
+            tmp.drop(now)
+            now = after
         base, dead = {}, {}
-        for p, g in _grams(now, now, cols).items():
+        for p, g in _grams(now.select("part", *cols, *[F.col(c).alias(f"w_{c}") for c in cols]), cols).items():
             d = 1 / np.sqrt(np.maximum(np.diag(g), 1e-300))
             e, v = np.linalg.eigh(g * np.outer(d, d))
             dead[p] = np.arange(k) < k - size[p]  # a part of few nodes has fewer directions than the block
             base[p] = np.where(dead[p], 0.0, d[:, None] * v / np.sqrt(np.maximum(e, 1e-14 * e[-1])))
         ortho = tmp.write(_mix_parts(now, base, cols), "basis")
         turn = {}
-        for p, small in _grams(ortho, _product(lap, ortho.select("row", *cols), cols), cols).items():
+        for p, small in _grams(ortho.join(product(ortho).hint("merge"), "row"), cols).items():
             w, v = np.linalg.eigh((small + small.T) / 2 + np.diag(np.where(dead[p], 10.0, 0.0)))
             values[p], turn[p] = w[:n_modes], v
             cut[p] = float(min(max(w[~(w > 5)][-1], 1e-3), 1.9))
+        tmp.drop(x)
         x = tmp.write(_mix_parts(ortho, turn, cols), "modes")
-        tmp.drop(now, old, ortho)
+        tmp.drop(now, ortho)
         if last and all(np.abs(values[p] - last[p]).max() < tol for p in values):
             break
         last = dict(values)
+    tmp.drop(lap)
     return values, x.select("row", "part", *cols[:n_modes])
 
 

@@ -507,3 +507,19 @@ def test_shared_expressions_equal_columns(spark):
     for k, g in enumerate(got):
         w = want[str(k)]
         assert (not np.isfinite(g) and (w is None or not np.isfinite(w))) or np.isclose(g, w, rtol=1e-9), str(trees[k])
+
+
+def test_modes_by_part_broadcast_no_vectors(spark, monkeypatch):
+    """The matrix is read in buckets, blocks of vectors are merged, and a part of two nodes keeps both modes."""
+    from fieldloom.operators import spectral as Z
+
+    monkeypatch.setattr(Z, "BUCKET", 20)
+    plans, write = [], Z.Scratch.write
+    monkeypatch.setattr(Z.Scratch, "write", lambda self, df, name: plans.append((name, df._jdf.queryExecution().executedPlan().toString())) or write(self, df, name))
+    e = [(i, (i + 1) % 30, 1.0, 0) for i in range(30)] + [(100, 101, 1.0, 1)]
+    values, modes = Z.modes_by_part(spark.createDataFrame(e, "src long, dst long, weight double, part int"), 2, rounds=3, degree=6, tol=1e-12)
+    assert np.allclose(values[1], [0, 2], atol=1e-9) and np.allclose(values[0], [0, 1 - np.cos(2 * np.pi / 30)], atol=1e-3)
+    filtered = [p for n, p in plans if n == "filtered"]
+    assert filtered and all("SortMergeJoin" in p and p.count("BroadcastExchange") <= 2 for p in filtered)  # the parts' bounds alone
+    assert all("Bucketed: true" in p for p in filtered)
+    assert not spark.catalog.listTables() or not any(t.name.startswith("fieldloom_") for t in spark.catalog.listTables())
