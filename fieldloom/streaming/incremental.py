@@ -37,80 +37,122 @@ def streaming_moments(stream: DataFrame, key: str, value: str) -> DataFrame:
 _DMD = "run_id string, step long, late long, waiting long, re array<double>, im array<double>, operator array<double>"
 
 
+#: Steps whose waiting rows share one entry of the state, and rows that are gathered before they go there.
+_STEPS, _GATHER = 8192, 262_144
+
+
 class _Recursion(StatefulProcessor):
-    """Recursive least squares of one run; see ``streaming_dmd``."""
+    """Recursive least squares of one run; see ``streaming_dmd``.
+
+    Waiting rows lie packed (steps, times, values) in one entry for each
+    ``_STEPS`` steps, so memory holds ``_GATHER`` new rows and one entry, whatever waits.
+    The model keeps ``waits``: (first time, rows) of each entry.
+    """
 
     def __init__(self, rank: int, forgetting: float, first: int, delay: int, timed: bool):
         self.rank, self.forgetting, self.first, self.delay, self.timed = rank, forgetting, first, delay, timed
+        self.kind = np.dtype([("step", "<i8"), ("at", "<i8"), ("x", "<f8", (rank,))])
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.model = handle.getValueState("model", "operator array<double>, spread array<double>, last long, x array<double>, late long, newest long")
-        self.waiting = handle.getListState("waiting", "step long, at long, x array<double>")
+        self.model = handle.getValueState("model", "operator array<double>, spread array<double>, last long, x array<double>, late long, newest long, waits array<array<long>>")
+        self.waiting = handle.getMapState("waiting", "entry long", "rows binary")
 
     def _load(self) -> None:
         r, got = self.rank, self.model.get()
         if got is None:
-            got = np.eye(r).ravel(), 1e3 * np.eye(r).ravel(), self.first - 1, None, 0, 0
-        a, p, self.last, x, self.late, self.newest = got
+            got = np.eye(r).ravel(), 1e3 * np.eye(r).ravel(), self.first - 1, None, 0, 0, []
+        a, p, self.last, x, self.late, self.newest, waits = got
         self.a, self.p = np.array(a, float).reshape(r, r), np.array(p, float).reshape(r, r)
         self.x = None if x is None else np.array(x, float)
-        self.rows = sorted((int(s), int(t), v) for s, t, v in self.waiting.get())
+        self.waits = {int(e): (int(t), int(n)) for e, t, n in waits}
+
+    def _read(self, entry: int) -> np.ndarray:
+        return np.frombuffer(bytes(self.waiting.getValue((entry,))[0]), self.kind) if entry in self.waits else np.empty(0, self.kind)
+
+    def _write(self, entry: int, rows: np.ndarray) -> None:
+        if len(rows):
+            self.waiting.updateValue((entry,), (rows.tobytes(),))
+            self.waits[entry] = int(rows["at"].min()), len(rows)
+        elif self.waits.pop(entry, None):
+            self.waiting.removeKey((entry,))
+
+    def _gather(self, parts: list[np.ndarray]) -> None:
+        """New rows go to their entries, each in the order of steps and times."""
+        rows = np.concatenate(parts)
+        rows = rows[np.lexsort((rows["at"], rows["step"]))]
+        entry = rows["step"] // _STEPS
+        cuts = np.flatnonzero(np.diff(entry)) + 1
+        for e, new in zip(entry[np.r_[0, cuts]].tolist(), np.split(rows, cuts)):
+            old = self._read(e)
+            both = np.concatenate([old, new]) if len(old) else new
+            self._write(e, both[np.lexsort((both["at"], both["step"]))] if len(old) else both)
 
     def _release(self, until: float) -> None:
         """Take the rows that follow on the last step, and across gaps those up to the time ``until``; the rest wait in order."""
-        k = 0
-        for step, at, x in self.rows:
-            if step > self.last + 1 and at > until:
+        for e in sorted(self.waits):
+            rows, k = self._read(e), 0
+            for step, at, x in zip(rows["step"].tolist(), rows["at"].tolist(), rows["x"]):
+                if step > self.last + 1 and at > until:
+                    break
+                k += 1
+                if step <= self.last:
+                    self.late += 1
+                    continue
+                if self.x is not None and step == self.last + 1:
+                    g = self.p @ self.x / (self.forgetting + self.x @ self.p @ self.x)
+                    self.a = self.a + np.outer(x - self.a @ self.x, g)
+                    self.p = (self.p - np.outer(g, self.x @ self.p)) / self.forgetting
+                self.last, self.x = step, np.array(x)
+            if k:
+                self._write(e, rows[k:])
+            if k < len(rows):
                 break
-            k += 1
-            if step <= self.last:
-                self.late += 1
-                continue
-            x = np.array(x, float)
-            if self.x is not None and step == self.last + 1:
-                g = self.p @ self.x / (self.forgetting + self.x @ self.p @ self.x)
-                self.a = self.a + np.outer(x - self.a @ self.x, g)
-                self.p = (self.p - np.outer(g, self.x @ self.p)) / self.forgetting
-            self.last, self.x = step, x
-        self.rows = self.rows[k:]
 
     def _save(self, key, timer: bool = True) -> pd.DataFrame:
         x = None if self.x is None else self.x.tolist()
-        self.model.update((self.a.ravel().tolist(), self.p.ravel().tolist(), int(self.last), x, int(self.late), int(self.newest)))
-        if self.rows:
-            self.waiting.put([(s, t, list(v)) for s, t, v in self.rows])
-        else:
-            self.waiting.clear()
+        self.model.update((self.a.ravel().tolist(), self.p.ravel().tolist(), int(self.last), x, int(self.late), int(self.newest), [[e, t, n] for e, (t, n) in self.waits.items()]))
         if self.timed:
             for t in list(self.handle.listTimers()):
                 self.handle.deleteTimer(t[0] if isinstance(t, tuple) else t)
         if self.timed and timer:
-            self.handle.registerTimer(min(t for _, t, _ in self.rows) + 1 if self.rows else self.newest + self.delay)
+            self.handle.registerTimer(min(t for t, _ in self.waits.values()) + 1 if self.waits else self.newest + self.delay)
         w = np.linalg.eigvals(self.a)
         w = w[np.lexsort((w.imag, -np.abs(w)))]
-        return pd.DataFrame({"run_id": [str(key[0])], "step": [int(self.last)], "late": [int(self.late)], "waiting": [len(self.rows)], "re": [w.real.tolist()], "im": [w.imag.tolist()], "operator": [self.a.ravel().tolist()]})
+        return pd.DataFrame({"run_id": [str(key[0])], "step": [int(self.last)], "late": [int(self.late)], "waiting": [self._count()], "re": [w.real.tolist()], "im": [w.imag.tolist()], "operator": [self.a.ravel().tolist()]})
+
+    def _count(self) -> int:
+        return sum(n for _, n in self.waits.values())
 
     def handleInputRows(self, key, rows, timerValues):
         self._load()
+        parts, held = [], 0
         for part in rows:
-            times = part["at"].astype("int64").tolist()
-            self.rows += list(zip(part["step"].astype("int64").tolist(), times, part["x"].tolist()))
-            self.newest = max([self.newest, *times])
-        self.rows.sort(key=lambda r: r[:2])
+            new = np.empty(len(part), self.kind)
+            new["step"], new["at"] = part["step"].to_numpy("int64"), part["at"].to_numpy("int64")
+            if len(part):
+                new["x"] = np.stack(part["x"].to_numpy())
+                self.newest = max(self.newest, int(new["at"].max()))
+                parts.append(new)
+            held += len(part)
+            if held >= _GATHER:
+                self._gather(parts)
+                parts, held = [], 0
+        if parts:
+            self._gather(parts)
         self._release(timerValues.getCurrentWatermarkInMs() if self.timed else np.inf)
         yield self._save(key)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         self._load()
-        now, waited = timerValues.getCurrentWatermarkInMs(), len(self.rows)
+        now, waited = timerValues.getCurrentWatermarkInMs(), self._count()
         self._release(now)
-        over = not self.rows and now >= self.newest + self.delay
+        over = not self.waits and now >= self.newest + self.delay
         out = self._save(key, timer=not over)
         if over:
             self.model.clear()
             self.waiting.clear()
-        if len(self.rows) < waited or not over:
+        if self._count() < waited or not over:
             yield out
 
     def close(self) -> None:
@@ -121,7 +163,7 @@ def streaming_dmd(stream: DataFrame, rank: int, forgetting: float = 0.99, event_
     """Recursive least squares of a reduced operator by run from ``run_id, step, x`` rows; for update mode under ``rocksdb``.
 
     State is typed: the operator, the inverse covariance, the last step and state,
-    and the rows that wait, in order of steps.  A run begins with step ``first``.
+    and the rows that wait, packed by ranges of steps.  A run begins with step ``first``.
     Rows may arrive in any order: those that follow on the last step are taken at
     once; a row behind a gap waits until the gap is filled or the watermark
     (``delay`` behind the newest row) has passed the row, and is then the start of

@@ -523,3 +523,38 @@ def test_modes_by_part_broadcast_no_vectors(spark, monkeypatch):
     assert filtered and all("SortMergeJoin" in p and p.count("BroadcastExchange") <= 2 for p in filtered)  # the parts' bounds alone
     assert all("Bucketed: true" in p for p in filtered)
     assert not spark.catalog.listTables() or not any(t.name.startswith("fieldloom_") for t in spark.catalog.listTables())
+
+
+def test_streaming_dmd_holds_one_entry_of_waiting_rows(spark, tmp_path, monkeypatch):
+    """Waiting rows come and go by ranges of steps: what one call reads of them is bounded, the recursion is the ordered one."""
+    import pandas as pd
+
+    from fieldloom.streaming import incremental as I
+
+    rng = np.random.default_rng(5)
+    monkeypatch.setattr(I, "_STEPS", 16)
+    monkeypatch.setattr(I, "_GATHER", 40)
+    z = rng.normal(size=(400, 2))
+
+    class Held(dict):
+        getValue, updateValue, removeKey, clear = dict.__getitem__, dict.__setitem__, dict.__delitem__, dict.clear
+
+    class One:
+        value = None
+        get = lambda self: self.value
+        update = lambda self, v: setattr(self, "value", v)
+
+    class Times:
+        getCurrentWatermarkInMs = lambda self: 0
+
+    r, longest, read = I._Recursion(2, 0.99, 0, 10, False), [], I._Recursion._read
+    monkeypatch.setattr(I._Recursion, "_read", lambda self, e: longest.append(len(got := read(self, e))) or got)
+    r.timed, r.model, r.waiting = True, One(), Held()
+    r.handle = type("H", (), {"listTimers": lambda self: [], "deleteTimer": lambda self, t: None, "registerTimer": lambda self, t: None})()
+    order, out = np.r_[rng.permutation(np.arange(1, 400)), 0], []
+    for part in np.array_split(order, 5):
+        batches = [pd.DataFrame({"step": p, "at": p + 1, "x": list(z[p])}) for p in np.array_split(part, 4)]
+        out += list(r.handleInputRows(("r",), iter(batches), Times()))
+    assert [int(o.step[0]) for o in out][-1] == 399 and out[-1].waiting[0] == 0 and out[-1].late[0] == 0 and not r.waiting
+    assert [int(o.waiting[0]) for o in out[:4]] == [80, 160, 240, 320] and max(longest) <= 16
+    assert np.allclose(np.reshape(out[-1].operator[0], (2, 2)), recursion([(k, z[k]) for k in range(400)], 2), atol=1e-9)
