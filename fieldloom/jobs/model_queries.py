@@ -10,7 +10,6 @@ from fieldloom.operators import fields as A
 from fieldloom.operators import mesh as M
 from fieldloom.operators import rom as R
 from fieldloom.operators import surrogate as C
-from fieldloom.operators.graph import spmv
 from fieldloom.sources.scratch import Scratch
 
 QUERIES, SQL = {}, {}
@@ -149,7 +148,7 @@ def load(spark, sf_dir):
 @query("matrix_residual", f"{MESH}, {_K} SELECT row, round(sum(k.value * p.u), 5) + 0.0 AS value FROM k JOIN pts p ON p.point_id = k.col GROUP BY row")
 def residual(spark, sf_dir):
     pts, cells = mesh(spark, sf_dir)
-    return rounded(spmv(A.stiffness(M.fat_cells(cells, pts)), pts.select(F.col("point_id").alias("row"), F.col("u").alias("value"))), 5)
+    return rounded(A.stiffness_product(M.fat_cells(cells, pts, ("u",))), 5)
 
 
 @query(

@@ -8,9 +8,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fieldloom.operators.fields import turned
 from fieldloom.operators.graph import spmv
 
 #: Corners of the reference square in the order of a quad's nodes.
@@ -60,7 +62,9 @@ def assemble_matrix(fat: DataFrame, what: str = "stiffness", coef: Column | None
     """``mesh, row, col, value``: stiffness or mass matrix of triangles, quads and tetrahedra of ``fat_cells``.
 
     Element blocks are computed for a batch of cells at once and summed by row and
-    column; ``coef`` is a factor of each cell.  Other cell types give nothing.
+    column, first in the batch; ``coef`` is a factor of each cell.  The matrix is
+    symmetric: entries with row <= col are summed and then turned.  Other cell
+    types give nothing.
     """
     mass = what == "mass"
     src = fat.where(F.col("cell_type").isin(*_ELEMENTS)).select("mesh", "cell_type", F.transform("nodes", lambda v: v.cast("long")).alias("nodes"), F.flatten(F.array("xs", "ys", "zs")).cast("array<double>").alias("p"), (coef if coef is not None else F.lit(1.0)).cast("double").alias("k"))
@@ -74,13 +78,19 @@ def assemble_matrix(fat: DataFrame, what: str = "stiffness", coef: Column | None
                     continue
                 take = pa.array(at)
                 x = np.asarray(b.column("p").take(take).flatten(), float).reshape(len(at), 3, n).transpose(0, 2, 1)
-                v = element(x, mass) * np.asarray(b.column("k"))[at][:, None, None]
+                v = (element(x, mass) * np.asarray(b.column("k"))[at][:, None, None]).ravel()
                 nodes = np.asarray(b.column("nodes").take(take).flatten()).reshape(len(at), n)
+                row, col, who = np.repeat(nodes, n, axis=1).ravel(), np.tile(nodes, (1, n)).ravel(), np.repeat(at, n * n)
+                row, col, who, v = (a[row <= col] for a in (row, col, who, v))
+                mesh = np.asarray(pc.fill_null(b.column("mesh").dictionary_encode().indices, -1))[who]
+                order = np.lexsort((col, row, mesh))
+                first = np.r_[True, (np.diff(mesh[order]) != 0) | (np.diff(row[order]) != 0) | (np.diff(col[order]) != 0)]
+                lead = order[first]
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("mesh").take(pa.array(np.repeat(at, n * n))), pa.array(np.repeat(nodes, n, axis=1).ravel()), pa.array(np.tile(nodes, (1, n)).ravel()), pa.array(v.ravel())], names=["mesh", "row", "col", "v"]
+                    [b.column("mesh").take(pa.array(who[lead])), pa.array(row[lead]), pa.array(col[lead]), pa.array(np.add.reduceat(v[order], np.flatnonzero(first)))], names=["mesh", "row", "col", "v"]
                 )
 
-    return src.mapInArrow(run, f"mesh {dict(fat.dtypes)['mesh']}, row long, col long, v double").groupBy("mesh", "row", "col").agg(F.sum("v").alias("value"))
+    return turned(src.mapInArrow(run, f"mesh {dict(fat.dtypes)['mesh']}, row long, col long, v double").groupBy("mesh", "row", "col").agg(F.sum("v").alias("value")))
 
 
 def _residual(matrix: DataFrame, u: DataFrame, b: DataFrame) -> DataFrame:
@@ -92,12 +102,22 @@ def _residual(matrix: DataFrame, u: DataFrame, b: DataFrame) -> DataFrame:
 
 def pointwise_residual(matrix: DataFrame, u: DataFrame, b: DataFrame) -> DataFrame:
     """``row, residual``: |A u - b| as an error indicator."""
-    return _residual(matrix, u, b).select("row", F.abs("r").alias("residual"))
+    return pointwise_of(_residual(matrix, u, b))
+
+
+def pointwise_of(residual: DataFrame) -> DataFrame:
+    """The same of a residual ``row, r, b``."""
+    return residual.select("row", F.abs("r").alias("residual"))
 
 
 def residual_norms(matrix: DataFrame, u: DataFrame, b: DataFrame) -> DataFrame:
     """One row: ``residual_norm`` |A u - b| / |b| (null without b) and ``conservation_error``, the sum of |A u - b|."""
-    s = _residual(matrix, u, b).agg(F.sqrt(F.sum(F.col("r") ** 2)).alias("r"), F.sqrt(F.sum(F.col("b") ** 2)).alias("b"), F.sum(F.abs("r")).alias("conservation_error"))
+    return norms_of(_residual(matrix, u, b))
+
+
+def norms_of(residual: DataFrame) -> DataFrame:
+    """The same of a residual ``row, r, b``."""
+    s = residual.agg(F.sqrt(F.sum(F.col("r") ** 2)).alias("r"), F.sqrt(F.sum(F.col("b") ** 2)).alias("b"), F.sum(F.abs("r")).alias("conservation_error"))
     return s.select(F.try_divide("r", "b").alias("residual_norm"), "conservation_error")
 
 

@@ -7,8 +7,12 @@ the cell row once; everything per cell is then column arithmetic.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from fieldloom.operators.order import dense_ids
 from fieldloom.sources.scratch import Scratch
@@ -16,13 +20,53 @@ from fieldloom.sources.scratch import Scratch
 KEY = ["mesh", "cell_id"]
 
 
+#: Cell ids of a block that one task meets with its points at once.
+CELLS = 16_384
+
+
+def gather(cells: DataFrame, points: DataFrame, values: tuple[str, ...]) -> DataFrame:
+    """``cells`` (mesh, cell_id, nodes and more) with an array ``<value>s`` of each value of ``points(mesh, point_id, ...)``, in node order.
+
+    Cells go in blocks of ``CELLS`` ids, each with the distinct points that it
+    needs, so a cell travels once and a point once for each block about it, instead
+    of a row for every node of every cell.  Absent points leave their places out;
+    cells without any point are dropped.
+    """
+    kinds, of = dict(cells.dtypes), dict(points.dtypes)
+    blocks = cells.withColumn("__block", F.floor(F.col("cell_id") / CELLS) if kinds["cell_id"] in ("int", "bigint") else F.xxhash64("cell_id"))
+    need = blocks.select("mesh", "__block", F.explode(F.col("nodes").cast("array<long>")).alias("point_id")).distinct()
+    near = need.join(points.select("mesh", F.col("point_id").cast("long").alias("point_id"), *values), ["mesh", "point_id"])
+    near = near.select(F.col("mesh").alias("__mesh"), F.col("__block").alias("__of"), "point_id", *values)
+    names = cells.columns
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        nodes = pa.concat_arrays(left.column("nodes").chunks)
+        size = np.asarray(pc.fill_null(pc.list_value_length(nodes), 0), int)
+        flat, ids = nodes.flatten().cast("int64"), right.column("point_id").to_numpy()
+        order = np.lexsort([*[right.column(v).to_numpy() for v in reversed(values)], ids])
+        ids, at = ids[order], np.asarray(flat.fill_null(0))
+        low = np.searchsorted(ids, at)
+        met = np.where(np.asarray(flat.is_valid()), np.searchsorted(ids, at, "right") - low, 0)
+        take = np.repeat(low - np.cumsum(met) + met, met) + np.arange(met.sum())
+        each = np.bincount(np.repeat(np.arange(len(size)), size), met, len(size)).astype(int)
+        keep = pa.array(each > 0)
+        ends, take = pa.array(np.r_[0, np.cumsum(each[each > 0])], "int32"), pa.array(order[take])
+        lists = [pa.ListArray.from_arrays(ends, pa.concat_arrays(right.column(v).chunks).take(take)) for v in values]
+        return pa.Table.from_arrays([*[left.column(c).filter(keep) for c in names], *lists], [*names, *[f"{v}s" for v in values]])
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        return meet(left, right) if len(left) and len(right) else schema.empty_table()
+
+    ddl = ", ".join([*[f"`{c}` {kinds[c]}" for c in names], *[f"`{v}s` array<{of[v]}>" for v in values]])
+    schema = to_arrow_schema(cells.sparkSession.createDataFrame([], ddl).schema)
+    return blocks.groupBy("mesh", "__block").cogroup(near.groupBy("__mesh", "__of")).applyInArrow(run, ddl)
+
+
 def fat_cells(cells: DataFrame, points: DataFrame, values: tuple[str, ...] = ()) -> DataFrame:
     """One row a cell with arrays ``xs, ys, zs`` (and one for each nodal value) in node order."""
-    cols = ["x", "y", "z", *values]
-    rows = cells.select("mesh", "cell_id", "cell_type", "nodes", F.posexplode("nodes").alias("pos", "point_id"))
-    met = rows.join(points.select("mesh", "point_id", *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) if c in "xyz" else F.col(c) for c in cols]), ["mesh", "point_id"])
-    packed = met.groupBy("mesh", "cell_id", "cell_type", "nodes").agg(F.array_sort(F.collect_list(F.struct("pos", *cols))).alias("p"))
-    return packed.select("mesh", "cell_id", "cell_type", "nodes", *[F.col(f"p.{c}").alias(c + "s") for c in cols])
+    cols = ("x", "y", "z", *values)
+    held = points.select("mesh", "point_id", *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) if c in "xyz" else F.col(c) for c in cols])
+    return gather(cells.select("mesh", "cell_id", "cell_type", "nodes"), held, cols)
 
 
 def _at(name: str, i: int) -> Column:
@@ -99,15 +143,19 @@ def boundary_points(cells: DataFrame) -> DataFrame:
 
 
 def boundary_normals(cells: DataFrame, points: DataFrame, oriented: bool = True) -> DataFrame:
-    """Unit normal (dy, -dx) of each boundary edge; away from its cell, or by id order."""
-    b = boundary_faces(cells).where(F.size("face") == 2).select("mesh", "face", "cell_id", F.col("face")[0].alias("a"), F.col("face")[1].alias("b"))
+    """Unit normal (dy, -dx) of each boundary edge; away from its cell, or by id order.
+
+    The boundary is written once; only its cells are given coordinates.
+    """
+    rim = Scratch(cells.sparkSession, "rim").write(boundary_faces(cells).where(F.size("face") == 2), "rim")
+    b = rim.select("mesh", "face", "cell_id", F.col("face")[0].alias("a"), F.col("face")[1].alias("b"))
     end = lambda k: points.select("mesh", F.col("point_id").alias(k), F.col("x").alias(f"x{k}"), F.col("y").alias(f"y{k}"))
     b = b.join(end("a"), ["mesh", "a"]).join(end("b"), ["mesh", "b"])
     dx, dy = F.col("xb") - F.col("xa"), F.col("yb") - F.col("ya")
     n = F.sqrt(dx * dx + dy * dy)
     out = b.select("mesh", "cell_id", "face", "xa", "ya", (dy / n).alias("nx"), (-dx / n).alias("ny"))
     if oriented:
-        c = cell_centroids(fat_cells(cells, points))
+        c = cell_centroids(fat_cells(cells.join(rim.select(*KEY).distinct(), KEY, "left_semi"), points))
         inward = F.col("nx") * (F.col("cx") - F.col("xa")) + F.col("ny") * (F.col("cy") - F.col("ya")) > 0
         out = out.join(c, KEY).select("mesh", "cell_id", "face", F.when(inward, -F.col("nx")).otherwise(F.col("nx")).alias("nx"), F.when(inward, -F.col("ny")).otherwise(F.col("ny")).alias("ny"))
     return out.select("mesh", "cell_id", "face", "nx", "ny")
@@ -147,15 +195,16 @@ def zz_error(fat: DataFrame, value: str = "us") -> DataFrame:
     """Norm of the cell gradient minus the mean of the recovered gradient at its nodes.
 
     The gradients are written once: they are read for the recovery and for the
-    comparison, and the gathered coordinates behind them are dear.  The cell's
-    own gradient rides along with its nodes, so no second join by cell is needed.
+    comparison, and the gathered coordinates behind them are dear.  Recovered
+    gradients come to the cells as coordinates do, in blocks.
     """
     axes = ("gx", "gy", "gz")
-    grad = Scratch(fat.sparkSession, "gradient").write(element_gradient(fat, value), "gradient")
+    grad = Scratch(fat.sparkSession, "gradient").write(element_gradient(fat, value).select(*KEY, "nodes", "volume", *axes), "gradient")
     node = recover_gradient(grad).withColumnsRenamed({g: f"r{g}" for g in axes})
-    met = grad.select(*KEY, *axes, F.explode("nodes").alias("point_id")).join(node, ["mesh", "point_id"])
-    mean = met.groupBy(*KEY).agg(*[F.first(g).alias(g) for g in axes], *[F.avg(f"r{g}").alias(f"r{g}") for g in axes])
-    return mean.select(*KEY, _norm([F.col(g) - F.col(f"r{g}") for g in axes]).alias("error"))
+    met = gather(grad.select(*KEY, "nodes", *axes), node, tuple(f"r{g}" for g in axes))
+    known = lambda g: F.filter(f"r{g}s", lambda v: v.isNotNull())
+    mean = lambda g: F.try_divide(F.aggregate(known(g), F.lit(0.0), lambda a, v: a + v), F.size(known(g)))
+    return met.select(*KEY, _norm([F.col(g) - mean(g) for g in axes]).alias("error"))
 
 
 def mark_cells(errors: DataFrame, threshold: float = 0.5) -> DataFrame:

@@ -558,3 +558,22 @@ def test_streaming_dmd_holds_one_entry_of_waiting_rows(spark, tmp_path, monkeypa
     assert [int(o.step[0]) for o in out][-1] == 399 and out[-1].waiting[0] == 0 and out[-1].late[0] == 0 and not r.waiting
     assert [int(o.waiting[0]) for o in out[:4]] == [80, 160, 240, 320] and max(longest) <= 16
     assert np.allclose(np.reshape(out[-1].operator[0], (2, 2)), recursion([(k, z[k]) for k in range(400)], 2), atol=1e-9)
+
+
+def test_cells_meet_points_in_blocks(spark, monkeypatch):
+    """Absent points leave places out, cells without points go, node rows are never grouped back, products need no matrix."""
+    from fieldloom.operators import fields as A
+    from fieldloom.operators import mesh as M
+
+    monkeypatch.setattr(M, "CELLS", 2)
+    pts = spark.createDataFrame([(0, 1, 0.0, 0.0, None, 5.0), (0, 2, 1.0, 0.0, None, None), (0, 3, 0.0, 1.0, None, 7.0), (1, 1, 9.0, 9.0, None, 1.0)], "mesh long, point_id long, x double, y double, z double, u double")
+    cells = spark.createDataFrame([(0, 0, "triangle", [3, 1, 2]), (0, 1, "triangle", [1, 8, 3]), (0, 5, "triangle", [8, 9, None]), (1, 2, "line", [1, 1])], "mesh long, cell_id long, cell_type string, nodes array<long>")
+    fat = M.fat_cells(cells, pts, ("u",))
+    got = {(r.mesh, r.cell_id): (r.nodes, r.xs, r.ys, r.zs, r.us) for r in fat.collect()}
+    assert got == {(0, 0): ([3, 1, 2], [0.0, 0.0, 1.0], [1.0, 0.0, 0.0], [0.0] * 3, [7.0, 5.0, None]), (0, 1): ([1, 8, 3], [0.0, 0.0], [0.0, 1.0], [0.0] * 2, [5.0, 7.0]), (1, 2): ([1, 1], [9.0] * 2, [9.0] * 2, [0.0] * 2, [1.0] * 2)}
+    plan = fat._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "collect_list" not in plan
+    one = M.fat_cells(cells.where("cell_id = 0"), pts.na.fill(2.0, ["u"]), ("u",))
+    product = {r.row: r.value for r in A.stiffness_product(one).collect()}
+    assert np.allclose([product[k] for k in (1, 2, 3)], [0.5, -1.5, 1.0])
+    assert np.isclose(A.stiffness_energy(one).first()[0], np.sqrt(6.5))
