@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from fieldloom.jobs.graph_queries import _E, _V, _edges, _ME, _nodes, _vec
+from fieldloom.jobs.graph_queries import _E, _V, _edges, _lines, _ME, _nodes, _vec
 from fieldloom.jobs.mesh_queries import _EDGES
 from fieldloom.jobs.tables import MESH, mesh, points, rounded, table
 from fieldloom.operators import extra as X
@@ -84,8 +84,8 @@ def unpool(spark, sf_dir):
 @query("graph_hierarchy")
 def hierarchy(spark, sf_dir):
     """Labels of three levels of matching (a tie-broken search, not SQL; tests check that each level is a matching of the one before)."""
-    out = None
-    for k, lab in enumerate(X.build_hierarchy(_edges(spark, sf_dir), 3)):
+    (e, n), out = _lines(spark, sf_dir), None
+    for k, lab in enumerate(X.build_hierarchy(e, 3, rows=n)):
         part = lab.withColumn("level", F.lit(k))
         out = part if out is None else out.unionByName(part)
     return out

@@ -93,6 +93,12 @@ def _edges(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("src"), (F.col("l_partkey") + 1_000_000).alias("dst")).agg(F.sum("l_quantity").alias("weight"))
 
 
+def _lines(spark, sf_dir) -> tuple[DataFrame, int]:
+    """The same edges before they are summed, and their number, which the files tell."""
+    li = table(spark, sf_dir, "lineitem")
+    return li.select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") + 1_000_000).alias("dst"), F.col("l_quantity").alias("weight")), li.count()
+
+
 def _nodes(e: DataFrame) -> DataFrame:
     ids = e.select(F.col("src").alias("id")).unionByName(e.select(F.col("dst").alias("id"))).distinct()
     return ids.select("id", (F.col("id") % 97).cast("double").alias("f"))
@@ -108,7 +114,8 @@ for _how, _f in (("mean", "avg"), ("sum", "sum"), ("max", "max")):
 
 @query("graph_laplacian", f"WITH {_E}, d AS (SELECT src AS id, sum(weight) AS d FROM sym GROUP BY src) SELECT id AS row, id AS col, 1.0 AS value FROM d UNION ALL SELECT s.src, s.dst, round(-s.weight / sqrt(a.d * b.d), 8) FROM sym s JOIN d a ON a.id = s.src JOIN d b ON b.id = s.dst")
 def lap(spark, sf_dir):
-    return rounded(G.laplacian(_edges(spark, sf_dir)), 8)
+    e, n = _lines(spark, sf_dir)
+    return rounded(G.laplacian(e, rows=n), 8)
 
 
 @query("matrix_spmv", f"WITH {_E}, d AS (SELECT src AS id, sum(weight) AS d FROM sym GROUP BY src), l AS (SELECT id AS row, id AS col, d AS value FROM d UNION ALL SELECT src, dst, -weight FROM sym) SELECT row, round(sum(value * sqrt(f + 1)), 4) + 0.0 AS value FROM l JOIN n ON n.id = l.col GROUP BY row")
@@ -177,7 +184,8 @@ def softmax(spark, sf_dir):
 @query("graph_match_pool")
 def match(spark, sf_dir):
     """A maximal matching; tests check that it is one and that it is maximal."""
-    return G.match_pool(_edges(spark, sf_dir))
+    e, n = _lines(spark, sf_dir)
+    return G.match_pool(e, n)
 
 
 _ME = f"{MESH}, f AS (SELECT mesh, unnest([[n0, n1], [n1, n2], [n2, n0]]) AS e FROM tri), me AS (SELECT DISTINCT least(e[1], e[2]) AS src, greatest(e[1], e[2]) AS dst FROM f)"

@@ -84,11 +84,12 @@ def unpool(coarse: DataFrame, labels: DataFrame) -> DataFrame:
     return labels.join(coarse, "part").select("id", "f")
 
 
-def build_hierarchy(edges: DataFrame, levels: int, least: int = 10, nodes: DataFrame | None = None) -> list:
+def build_hierarchy(edges: DataFrame, levels: int, least: int = 10, nodes: DataFrame | None = None, rows: int | None = None) -> list:
     """Labels ``id, part`` of each level of repeated matching, written level by level.
 
     With ``nodes(id, f)`` a level is (labels, its pooled nodes ``id, f, size``, its
-    edges); the mean of a part weighs all its original nodes alike.
+    edges); the mean of a part weighs all its original nodes alike.  ``rows`` is
+    about how many edges there are (``graph.symmetric``).
     """
     tmp, out, now = Scratch(edges.sparkSession, "hierarchy"), [], edges
     values = nodes.select("id", "f", F.lit(1).cast("long").alias("size")) if nodes is not None else None
@@ -96,7 +97,7 @@ def build_hierarchy(edges: DataFrame, levels: int, least: int = 10, nodes: DataF
         ids = now.select(F.col("src").alias("id")).unionByName(now.select(F.col("dst").alias("id"))).distinct()
         if len(ids.head(least)) < least:
             break
-        lab = tmp.write(ids.join(G.match_pool(now), "id", "left").select("id", F.coalesce("part", "id").alias("part")), f"labels{k}")
+        lab = tmp.write(ids.join(G.match_pool(now, rows if k == 0 else now.count()), "id", "left").select("id", F.coalesce("part", "id").alias("part")), f"labels{k}")
         now = tmp.write(G.contract_graph(now, lab), f"edges{k}")
         if values is None:
             out.append(lab)

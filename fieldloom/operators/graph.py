@@ -24,28 +24,49 @@ def neighbor_aggregate(nodes: DataFrame, edges: DataFrame, how: str = "mean") ->
     return nodes.select("id").join(got, "id", "left").select("id", F.coalesce("agg", F.lit(0.0)).alias("agg"))
 
 
-def symmetric(edges: DataFrame) -> DataFrame:
+#: Edges of a partition where a caller tells their number.
+PART_EDGES = 500_000
+
+
+def _pairs(edges: DataFrame, rows: int | None = None) -> DataFrame:
+    """``low, high, weight``: each undirected pair once, weights of repeated ones summed, loops dropped."""
+    e = edges.where("src <> dst").select(F.least("src", "dst").alias("low"), F.greatest("src", "dst").alias("high"), "weight")
+    if rows is not None:
+        e = e.repartition(1 + rows // PART_EDGES, "low", "high")
+    return e.groupBy("low", "high").agg(F.sum("weight").alias("weight"))
+
+
+def _turned(pairs: DataFrame, value: str = "weight") -> DataFrame:
+    turned = lambda a, b: F.struct(F.col(a).alias("src"), F.col(b).alias("dst"))
+    return pairs.select(F.explode(F.array(turned("low", "high"), turned("high", "low"))).alias("e"), value).select("e.src", "e.dst", value)
+
+
+def symmetric(edges: DataFrame, rows: int | None = None) -> DataFrame:
     """Both directions of every edge, weights of repeated ones summed.
 
     Each pair is summed once and turned round afterwards, so half the rows are
-    shuffled and held.
+    shuffled and held.  With ``rows``, about how many edges there are, pairs are
+    dealt to a partition for each ``PART_EDGES``: a task's memory stays the same
+    however many there are.
     """
-    e = edges.where("src <> dst").select(F.least("src", "dst").alias("low"), F.greatest("src", "dst").alias("high"), "weight")
-    e = e.groupBy("low", "high").agg(F.sum("weight").alias("weight"))
-    turned = lambda a, b: F.struct(F.col(a).alias("src"), F.col(b).alias("dst"))
-    return e.select(F.explode(F.array(turned("low", "high"), turned("high", "low"))).alias("e"), "weight").select("e.src", "e.dst", "weight")
+    return _turned(_pairs(edges, rows))
+
 
+def laplacian(edges: DataFrame, normalized: bool = True, rows: int | None = None) -> DataFrame:
+    """``row, col, value`` of D - W, or of its symmetric normalisation; ``rows`` as in ``symmetric``.
 
-def laplacian(edges: DataFrame, normalized: bool = True) -> DataFrame:
-    """``row, col, value`` of D - W, or of its symmetric normalisation."""
-    w = symmetric(edges)
-    deg = w.groupBy(F.col("src").alias("id")).agg(F.sum("weight").alias("d"))
+    Pairs meet the degrees of their ends once and are turned round afterwards.
+    """
+    p = _pairs(edges, rows)
+    deg = _turned(p).groupBy(F.col("src").alias("id")).agg(F.sum("weight").alias("d"))
     diag = deg.select(F.col("id").alias("row"), F.col("id").alias("col"), (F.lit(1.0) if normalized else F.col("d")).alias("value"))
-    off = w.select(F.col("src").alias("row"), F.col("dst").alias("col"), (-F.col("weight")).alias("value"))
+    off = p.select("low", "high", (-F.col("weight")).alias("value"))
     if normalized:
-        side = lambda k: deg.select(F.col("id").alias(k), F.col("d").alias(f"d_{k}"))
-        off = off.join(side("row"), "row").join(side("col"), "col").select("row", "col", (F.col("value") / F.sqrt(F.col("d_row") * F.col("d_col"))).alias("value"))
-    return diag.unionByName(off)
+        for k in ("low", "high"):
+            off = off if rows is None else off.repartition(1 + rows // PART_EDGES, k)
+            off = off.join(deg.select(F.col("id").alias(k), F.col("d").alias(f"d_{k}")), k)
+        off = off.select("low", "high", (F.col("value") / F.sqrt(F.col("d_low") * F.col("d_high"))).alias("value"))
+    return diag.unionByName(_turned(off, "value").withColumnsRenamed({"src": "row", "dst": "col"}))
 
 
 def spmv(matrix: DataFrame, x: DataFrame) -> DataFrame:
@@ -219,7 +240,7 @@ def coarse_edges(edges: DataFrame, labels: DataFrame) -> DataFrame:
     return e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
 
 
-def match_pool(edges: DataFrame) -> DataFrame:
+def match_pool(edges: DataFrame, rows: int | None = None) -> DataFrame:
     """A maximal matching ``id, part`` by mutual heaviest free neighbours; part is the smaller id.
 
     Edges compare by weight (those within a twelfth of each other count as equal),
@@ -227,10 +248,10 @@ def match_pool(edges: DataFrame) -> DataFrame:
     many edges of about one weight be local maxima at once, so weights that rise
     along a path do not give one pair a round.  Each round's pairs are a table
     and each round is logged; the answer reads these tables together, whatever
-    their number.
+    their number.  ``rows`` as in ``symmetric``.
     """
     tmp = Scratch(edges.sparkSession, "match")
-    e = tmp.write(symmetric(edges).where("weight > 0"), "edges")
+    e = tmp.write(symmetric(edges, rows).where("weight > 0"), "edges")
     out, turn = [], 0
     while True:
         lo, hi = F.least("src", "dst"), F.greatest("src", "dst")

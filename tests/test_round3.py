@@ -577,3 +577,16 @@ def test_cells_meet_points_in_blocks(spark, monkeypatch):
     product = {r.row: r.value for r in A.stiffness_product(one).collect()}
     assert np.allclose([product[k] for k in (1, 2, 3)], [0.5, -1.5, 1.0])
     assert np.isclose(A.stiffness_energy(one).first()[0], np.sqrt(6.5))
+
+
+def test_pairs_are_dealt_by_their_number(spark, monkeypatch):
+    """Told its edges, a Laplacian has as many partitions as they need, and the same entries."""
+    from fieldloom.operators import graph as G
+
+    monkeypatch.setattr(G, "PART_EDGES", 10)
+    rng = np.random.default_rng(2)
+    e = spark.createDataFrame([(int(a), int(b), 1.0) for a, b in rng.integers(0, 12, (95, 2))], "src long, dst long, weight double")
+    entries = lambda m: {(r.row, r.col): round(r.value, 9) for r in m.collect()}
+    dealt = G.laplacian(e, rows=95)
+    assert entries(dealt) == entries(G.laplacian(e))
+    assert "hashpartitioning(low" in (plan := dealt._jdf.queryExecution().executedPlan().toString()) and ", 10), REPARTITION_BY_NUM" in plan
