@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 WIDTH, MESH_POINTS = 50, 5_000
@@ -34,10 +34,15 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def triangles(pts: DataFrame) -> DataFrame:
-    """Two triangles for each grid square whose four corners exist."""
+    """Two triangles for each grid square whose four corners exist.
+
+    The far corner is looked up by a window over the mesh, which holds at most
+    ``MESH_POINTS`` ids: each id travels once, and cells of a mesh leave together in
+    the order of their ids, so that nodes and faces are made distinct where they lie.
+    """
     p = F.col("point_id")
-    corner = pts.select("mesh", (p - WIDTH - 1).alias("point_id"))
-    base = pts.where(p % WIDTH < WIDTH - 1).join(corner, ["mesh", "point_id"], "left_semi").select("mesh", "point_id")
+    corner = Window.partitionBy("mesh").orderBy("point_id").rangeBetween(WIDTH + 1, WIDTH + 1)
+    base = pts.select("mesh", "point_id", F.count("*").over(corner).alias("corners")).where((p % WIDTH < WIDTH - 1) & (F.col("corners") > 0))
     two = F.array(F.array(p, p + 1, p + WIDTH + 1), F.array(p, p + WIDTH + 1, p + WIDTH))
     return base.select("mesh", "point_id", F.posexplode(two).alias("k", "nodes")).select("mesh", (2 * F.col("point_id") + F.col("k")).alias("cell_id"), F.lit("triangle").alias("cell_type"), "nodes")
 

@@ -590,3 +590,21 @@ def test_pairs_are_dealt_by_their_number(spark, monkeypatch):
     dealt = G.laplacian(e, rows=95)
     assert entries(dealt) == entries(G.laplacian(e))
     assert "hashpartitioning(low" in (plan := dealt._jdf.queryExecution().executedPlan().toString()) and ", 10), REPARTITION_BY_NUM" in plan
+
+
+def test_triangles_leave_together_by_mesh(spark):
+    """Corners are looked up without a join; faces and needed points are counted where the cells lie."""
+    from fieldloom.jobs.tables import triangles
+    from fieldloom.operators import mesh as M
+
+    ids = [k for k in range(4900, 5160) if k != 5007] + [-1, 9_999]
+    pts = spark.createDataFrame([(k // 5000, k) for k in [*ids, 4901]] + [(None, None)], "mesh long, point_id long")
+    tri = triangles(pts)
+    has = set(ids)
+    base = sorted(k for k in has if k % 50 < 49 and k + 51 in has and k // 5000 == (k + 51) // 5000)
+    got = {(r.mesh, r.cell_id): r.nodes for r in tri.where("cell_id <> 9802 and cell_id <> 9803").collect()}
+    assert got == {(k // 5000, 2 * k + i): [[k, k + 1, k + 51], [k, k + 51, k + 50]][i] for k in base for i in (0, 1) if k != 4901}
+    exchanges = lambda d: d._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+    assert exchanges(tri) == exchanges(M.boundary_faces(tri)) == 1
+    need = tri.select("mesh", F.floor(F.col("cell_id") / 16_384).alias("b"), F.explode("nodes").alias("point_id")).distinct()
+    assert exchanges(need) == 1
