@@ -20,9 +20,9 @@ def query(name: str, sql: str | None):
     return add
 
 
-def _fat(spark, sf_dir):
+def _fat(spark, sf_dir, about=False):
     pts, cells = mesh(spark, sf_dir)
-    return M.fat_cells(cells, pts, ("u",))
+    return M.fat_cells(cells, pts, ("u",), about)
 
 
 @query("mesh_cell_coords", MESH + " SELECT mesh, cell_id, CAST(round(x0 + 3 * x1 + 5 * x2, 6) AS DOUBLE) AS sx, CAST(round(y0 + 3 * y1 + 5 * y2, 6) AS DOUBLE) AS sy FROM tri")
@@ -90,13 +90,13 @@ def recovered(spark, sf_dir):
 
 @query("mesh_zz_error", f"{MESH}, {_NODE}, {_ERR} SELECT mesh, cell_id, round(error, 5) AS error FROM err")
 def zz(spark, sf_dir):
-    return rounded(M.zz_error(_fat(spark, sf_dir)), 5)
+    return rounded(M.zz_error(_fat(spark, sf_dir, about=True)), 5)
 
 
 @query("mesh_marked_cells", f"{MESH}, {_NODE}, {_ERR} SELECT mesh, cell_id, round(error, 5) AS error FROM err QUALIFY error > 0.5 * max(error) OVER (PARTITION BY mesh)")
 def marked(spark, sf_dir):
     """The flagship: which cells have the largest recovered-gradient error?"""
-    return rounded(M.mark_cells(M.zz_error(_fat(spark, sf_dir)), 0.5), 5)
+    return rounded(M.mark_cells(M.zz_error(_fat(spark, sf_dir, about=True)), 0.5), 5)
 
 
 @query("mesh_node_to_cell", MESH + " SELECT mesh, cell_id, round((u0 + u1 + u2) / 3, 6) AS value FROM tri")

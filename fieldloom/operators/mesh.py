@@ -10,7 +10,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -24,19 +24,27 @@ KEY = ["mesh", "cell_id"]
 CELLS = 16_384
 
 
-def gather(cells: DataFrame, points: DataFrame, values: tuple[str, ...]) -> DataFrame:
+def gather(cells: DataFrame, points: DataFrame, values: tuple[str, ...], about: bool = False) -> DataFrame:
     """``cells`` (mesh, cell_id, nodes and more) with an array ``<value>s`` of each value of ``points(mesh, point_id, ...)``, in node order.
 
     Cells go in blocks of ``CELLS`` ids, each with the distinct points that it
     needs, so a cell travels once and a point once for each block about it, instead
     of a row for every node of every cell.  Absent points leave their places out;
-    cells without any point are dropped.
+    cells without any point are dropped.  With ``about`` an array ``about`` of that
+    name stands beside ``nodes``: how many of all these cells lie about each node, 0
+    for an absent point.
     """
     kinds, of = dict(cells.dtypes), dict(points.dtypes)
     blocks = cells.withColumn("__block", F.floor(F.col("cell_id") / CELLS) if kinds["cell_id"] in ("int", "bigint") else F.xxhash64("cell_id"))
-    need = blocks.select("mesh", "__block", F.explode(F.col("nodes").cast("array<long>")).alias("point_id")).distinct()
+    need = blocks.select("mesh", "__block", F.explode(F.col("nodes").cast("array<long>")).alias("point_id"))
+    if about:
+        need = need.groupBy("mesh", "__block", "point_id").agg(F.count("*").alias("__n"))
+        need = need.select("mesh", "__block", "point_id", F.sum("__n").over(Window.partitionBy("mesh", "point_id")).cast("int").alias("about"))
+    else:
+        need = need.distinct()
+    held = (*values, "about") if about else values
     near = need.join(points.select("mesh", F.col("point_id").cast("long").alias("point_id"), *values), ["mesh", "point_id"])
-    near = near.select(F.col("mesh").alias("__mesh"), F.col("__block").alias("__of"), "point_id", *values)
+    near = near.select(F.col("mesh").alias("__mesh"), F.col("__block").alias("__of"), "point_id", *held)
     names = cells.columns
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -52,21 +60,26 @@ def gather(cells: DataFrame, points: DataFrame, values: tuple[str, ...]) -> Data
         keep = pa.array(each > 0)
         ends, take = pa.array(np.r_[0, np.cumsum(each[each > 0])], "int32"), pa.array(order[take])
         lists = [pa.ListArray.from_arrays(ends, pa.concat_arrays(right.column(v).chunks).take(take)) for v in values]
-        return pa.Table.from_arrays([*[left.column(c).filter(keep) for c in names], *lists], [*names, *[f"{v}s" for v in values]])
+        out = [*[left.column(c).filter(keep) for c in names], *lists]
+        if about:
+            some = right.column("about").to_numpy()[order][np.minimum(low, len(ids) - 1)]
+            each = np.where(np.asarray(keep), size, 0)
+            out.append(pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(each[np.asarray(keep)])], "int32"), pa.array(np.where(met > 0, some, 0)[np.repeat(each > 0, size)], "int32")))
+        return pa.Table.from_arrays(out, schema.names)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         return meet(left, right) if len(left) and len(right) else schema.empty_table()
 
-    ddl = ", ".join([*[f"`{c}` {kinds[c]}" for c in names], *[f"`{v}s` array<{of[v]}>" for v in values]])
+    ddl = ", ".join([*[f"`{c}` {kinds[c]}" for c in names], *[f"`{v}s` array<{of[v]}>" for v in values], *(["about array<int>"] if about else [])])
     schema = to_arrow_schema(cells.sparkSession.createDataFrame([], ddl).schema)
     return blocks.groupBy("mesh", "__block").cogroup(near.groupBy("__mesh", "__of")).applyInArrow(run, ddl)
 
 
-def fat_cells(cells: DataFrame, points: DataFrame, values: tuple[str, ...] = ()) -> DataFrame:
-    """One row a cell with arrays ``xs, ys, zs`` (and one for each nodal value) in node order."""
+def fat_cells(cells: DataFrame, points: DataFrame, values: tuple[str, ...] = (), about: bool = False) -> DataFrame:
+    """One row a cell with arrays ``xs, ys, zs`` (and one for each nodal value) in node order; ``about`` as in ``gather``."""
     cols = ("x", "y", "z", *values)
     held = points.select("mesh", "point_id", *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) if c in "xyz" else F.col(c) for c in cols])
-    return gather(cells.select("mesh", "cell_id", "cell_type", "nodes"), held, cols)
+    return gather(cells.select("mesh", "cell_id", "cell_type", "nodes"), held, cols, about)
 
 
 def _at(name: str, i: int) -> Column:
@@ -169,42 +182,189 @@ def quality_metrics(fat: DataFrame) -> DataFrame:
     return rows.groupBy("mesh").agg(F.count("*").alias("n_cells"), F.min("v").alias("min_volume"), F.max("v").alias("max_volume"), (F.max("v") / F.min("v")).alias("volume_ratio"), F.min("a").alias("min_aspect"), F.max("a").alias("max_aspect"), F.avg("a").alias("mean_aspect"))
 
 
+def _nodal(lists: pa.ChunkedArray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, n): the first numbers of each list, and which of them there are."""
+    lists = pa.concat_arrays(lists.chunks)
+    size = np.asarray(pc.fill_null(pc.list_value_length(lists), 0), int)
+    flat, has = lists.flatten(), np.arange(n) < size[:, None]
+    if not len(flat):
+        return np.zeros(has.shape), has
+    at = np.where(has, (np.cumsum(size) - size)[:, None] + np.arange(n), 0)
+    return np.asarray(flat.fill_null(0.0))[at], has & np.asarray(flat.is_valid())[at]
+
+
+def _sizes(p: np.ndarray, kind: str) -> np.ndarray:
+    """``volume`` of cells of one kind with coordinates ``p`` (axis, cell, node)."""
+    edge = lambda i, j: p[:, :, j] - p[:, :, i]
+    length = lambda e: np.sqrt(e[0] * e[0] + e[1] * e[1] + e[2] * e[2])
+    tri = lambda i, j, k: 0.5 * length(_cross(edge(i, j), edge(i, k)))
+
+    def tet(i, j, k, m):
+        n, e = _cross(edge(i, j), edge(i, k)), edge(i, m)
+        return np.abs(n[0] * e[0] + n[1] * e[1] + n[2] * e[2]) / 6.0
+
+    if kind == "line":
+        return length(edge(0, 1))
+    if kind in ("triangle", "quad"):
+        return tri(0, 1, 2) + tri(0, 2, 3) if kind == "quad" else tri(0, 1, 2)
+    return tet(0, 1, 2, 3) if kind == "tet" else tet(0, 1, 3, 4) + tet(1, 2, 3, 6) + tet(1, 4, 5, 6) + tet(3, 4, 6, 7) + tet(1, 3, 4, 6)
+
+
+def gradients(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Volume (cell) and gradient (axis, cell) of rows of ``_corners``, each with what is known of it.
+
+    Known are volumes of all types (0 if unknown) and gradients of triangles and
+    tetrahedra whose corners are there; a cell without extent has no gradient.
+    """
+    kinds = t.column("cell_type")
+    p, kp = (np.stack(x) for x in zip(*[_nodal(t.column(c), 8) for c in ("xs", "ys", "zs")]))
+    u, ku = _nodal(t.column("us"), 4)
+    n = len(u)
+    volume, kv, g, kg = np.zeros(n), np.ones(n, bool), np.zeros((3, n)), np.zeros((3, n), bool)
+    for kind, corners in (("line", 2), ("triangle", 3), ("quad", 4), ("tet", 4), ("hex", 8)):
+        of = np.flatnonzero(np.asarray(pc.fill_null(pc.equal(kinds, kind), False)))
+        if not len(of):
+            continue
+        x, kx, w, kw = p[:, of], kp[:, of, :corners].all(2), u[of], ku[of, : min(corners, 4)].all(1)
+        volume[of], kv[of] = _sizes(x, kind), kx.all(0)
+        if kind not in ("triangle", "tet"):
+            continue
+        (ax, ay, az), (bx, by, bz), (cx, cy, cz) = (x[:, :, i] - x[:, :, 0] for i in (1, 2, 3))
+        du, dv, dw = (w[:, i] - w[:, 0] for i in (1, 2, 3))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            if kind == "triangle":
+                det = ax * by - ay * bx
+                g[:2, of] = (du * by - dv * ay) / det, (dv * ax - du * bx) / det
+                kg[:2, of], kg[2, of] = kx[0] & kx[1] & kw & (det != 0), True
+            else:
+                det = ax * (by * cz - bz * cy) - ay * (bx * cz - bz * cx) + az * (bx * cy - by * cx)
+                g[0, of] = (du * (by * cz - bz * cy) + dv * (cy * az - cz * ay) + dw * (ay * bz - az * by)) / det
+                g[1, of] = (du * (bz * cx - bx * cz) + dv * (ax * cz - az * cx) + dw * (az * bx - ax * bz)) / det
+                g[2, of] = (du * (bx * cy - by * cx) + dv * (ay * cx - ax * cy) + dw * (ax * by - ay * bx)) / det
+                kg[:, of] = kx.all(0) & kw & (det != 0)
+    return np.where(kv, volume, 0.0), kv, np.where(kg, g, 0.0), kg
+
+
+AXES = ("gx", "gy", "gz")
+
+
+def _corners(fat: DataFrame, value: str, *more: Column) -> DataFrame:
+    """The columns that ``gradients`` reads."""
+    return fat.select(*KEY, "cell_type", "nodes", *[F.col(c).cast("array<double>").alias(n) for c, n in (("xs", "xs"), ("ys", "ys"), ("zs", "zs"), (value, "us"))], *more)
+
+
+def _schema(df: DataFrame, ddl: str) -> pa.Schema:
+    return to_arrow_schema(df.sparkSession.createDataFrame([], ddl).schema)
+
+
 def element_gradient(fat: DataFrame, value: str = "us") -> DataFrame:
-    """Constant gradient of a nodal field in each triangle (x, y) or tetrahedron."""
-    ax, ay, az = _edge(0, 1)
-    bx, by, bz = _edge(0, 2)
-    cx, cy, cz = _edge(0, 3)
-    du, dv, dw = (_at(value, i) - _at(value, 0) for i in (1, 2, 3))
-    det = ax * by - ay * bx
-    det3 = ax * (by * cz - bz * cy) - ay * (bx * cz - bz * cx) + az * (bx * cy - by * cx)
-    tri, tet = F.col("cell_type") == "triangle", F.col("cell_type") == "tet"
-    gx = F.when(tri, (du * by - dv * ay) / det).when(tet, (du * (by * cz - bz * cy) + dv * (cy * az - cz * ay) + dw * (ay * bz - az * by)) / det3)
-    gy = F.when(tri, (dv * ax - du * bx) / det).when(tet, (du * (bz * cx - bx * cz) + dv * (ax * cz - az * cx) + dw * (az * bx - ax * bz)) / det3)
-    gz = F.when(tri, F.lit(0.0)).when(tet, (du * (bx * cy - by * cx) + dv * (ay * cx - ax * cy) + dw * (ax * by - ay * bx)) / det3)
-    return fat.select(*KEY, "nodes", volume().alias("volume"), gx.alias("gx"), gy.alias("gy"), gz.alias("gz"))
+    """Constant gradient of a nodal field in each triangle (x, y) or tetrahedron; null in cells without extent."""
+    of = dict(fat.dtypes)
+    ddl = ", ".join([*[f"{c} {of[c]}" for c in (*KEY, "nodes")], *[f"{c} double" for c in ("volume", *AXES)]])
+    schema = _schema(fat, ddl)
+
+    def run(batches):
+        for b in batches:
+            t = pa.Table.from_batches([b])
+            volume, kv, g, kg = gradients(t)
+            yield from pa.Table.from_arrays([*[t.column(c) for c in (*KEY, "nodes")], pa.array(volume, mask=~kv), *[pa.array(v, mask=~k) for v, k in zip(g, kg)]], schema=schema).to_batches()
+
+    return _corners(fat, value).mapInArrow(run, ddl)
 
 
 def recover_gradient(grad: DataFrame) -> DataFrame:
     """Volume-weighted mean of the cell gradients around each node."""
-    rows = grad.select("mesh", F.explode("nodes").alias("point_id"), "volume", *[(F.col("volume") * F.col(g)).alias(g) for g in ("gx", "gy", "gz")])
-    s = rows.groupBy("mesh", "point_id").agg(F.sum("volume").alias("w"), *[F.sum(g).alias(g) for g in ("gx", "gy", "gz")])
-    return s.select("mesh", "point_id", *[(F.col(g) / F.col("w")).alias(g) for g in ("gx", "gy", "gz")])
+    rows = grad.select("mesh", F.explode("nodes").alias("point_id"), "volume", *[(F.col("volume") * F.col(g)).alias(g) for g in AXES])
+    return _means(rows.groupBy("mesh", "point_id").agg(F.sum("volume").alias("w"), *[F.sum(g).alias(g) for g in AXES]))
+
+
+def _means(sums: DataFrame) -> DataFrame:
+    return sums.select("mesh", "point_id", *[F.try_divide(g, "w").alias(g) for g in AXES])
+
+
+#: Cells whose nodes' sums are made at once.
+RUN = 65_536
+
+
+def _runs(batches):
+    held, n = [], 0
+    for b in batches:
+        held.append(b)
+        n += b.num_rows
+        if n >= RUN:
+            yield pa.Table.from_batches(held)
+            held, n = [], 0
+    if n:
+        yield pa.Table.from_batches(held)
+
+
+def _settle(t: pa.Table, schema: pa.Schema) -> pa.Table:
+    """Errors of a run of cells (``part`` 0), or what the rest needs: open cells with gradients (1) and sums of their nodes (2).
+
+    A node is closed if the run holds all cells ``about`` it, a cell if all its nodes are.
+    """
+    volume, kv, g, kg = gradients(t)
+    nodes, about = (pa.concat_arrays(t.column(c).chunks) for c in ("nodes", "about"))
+    size, told = (np.asarray(pc.fill_null(pc.list_value_length(v), 0), int) for v in (nodes, about))
+    cell, flat = np.repeat(np.arange(len(size)), size), nodes.flatten()
+    all_ = np.zeros(len(flat), int)
+    all_[(size == told)[cell]] = np.asarray(about.flatten().fill_null(0))[np.repeat(size == told, told)]
+    mesh = pa.concat_arrays(t.column("mesh").chunks)
+    code = np.asarray(pc.fill_null(mesh.dictionary_encode().indices, -1), int)[cell]
+    ok = np.asarray(flat.is_valid()) & (code >= 0)
+    cell_ok, all_ok = cell[ok], all_[ok]
+    ids, at = np.unique(np.asarray(flat.fill_null(0))[ok], return_inverse=True)
+    keys, first, at = np.unique(code[ok] * max(len(ids), 1) + at, return_index=True, return_inverse=True)
+    total = lambda v, of=at, n=len(keys): np.bincount(of, v, n)
+    shut = total(all_ok != total(None)[at]) == 0
+    open_ = np.bincount(cell, 1.0 * ~ok, len(size)) + np.bincount(cell_ok, 1.0 * ~shut[at], len(size)) > 0
+    open_ |= size == 0
+    w, kw = total(np.where(kv, volume, 0.0)[cell_ok]), total(kv[cell_ok]) > 0
+    square, known, sums = 0.0, ~open_, []
+    for v, k in zip(g, kg):
+        s, ks = total(np.where(k & kv, v * volume, 0.0)[cell_ok]), total((k & kv)[cell_ok]) > 0
+        sums.append(pa.array(s, mask=~ks))
+        has = (kw & ks & (w != 0))[at]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            r = np.where(has, (s / w)[at], 0.0)
+            n = np.bincount(cell_ok, has, len(size))
+            square = square + (v - np.bincount(cell_ok, r, len(size)) / n) ** 2
+        known = known & k & (n > 0)
+    some = total(open_[cell_ok]) > 0
+    rows = lambda part, mask, **has: pa.Table.from_arrays([pa.array(np.full(mask.sum(), part, "int8")), *[(has[c].filter(pa.array(mask)).cast(schema.field(c).type) if c in has else pa.nulls(mask.sum(), schema.field(c).type)) for c in schema.names[1:]]], schema=schema)
+    near = mesh.take(pa.array(cell_ok[first]))
+    return pa.concat_tables([
+        rows(0, ~open_, mesh=mesh, cell_id=t.column("cell_id"), error=pa.array(np.sqrt(square), mask=~known)),
+        rows(1, open_, mesh=mesh, cell_id=t.column("cell_id"), nodes=nodes, **{c: pa.array(v, mask=~k) for c, v, k in zip(AXES, g, kg)}),
+        rows(2, some, mesh=near, point_id=pa.array(ids[keys % max(len(ids), 1)]), w=pa.array(w, mask=~kw), **dict(zip(AXES, sums))),
+    ])
 
 
 def zz_error(fat: DataFrame, value: str = "us") -> DataFrame:
     """Norm of the cell gradient minus the mean of the recovered gradient at its nodes.
 
-    The gradients are written once: they are read for the recovery and for the
-    comparison, and the gathered coordinates behind them are dear.  Recovered
-    gradients come to the cells as coordinates do, in blocks.
+    Where ``fat`` tells how many of its cells lie ``about`` each node, cells are
+    settled in the run that holds all of their nodes' cells.  What is left, on the
+    rims of runs, or all cells if nothing is told, is written with them; its nodes'
+    sums are added up and come to its cells as coordinates do, in blocks.
     """
-    axes = ("gx", "gy", "gz")
-    grad = Scratch(fat.sparkSession, "gradient").write(element_gradient(fat, value).select(*KEY, "nodes", "volume", *axes), "gradient")
-    node = recover_gradient(grad).withColumnsRenamed({g: f"r{g}" for g in axes})
-    met = gather(grad.select(*KEY, "nodes", *axes), node, tuple(f"r{g}" for g in axes))
+    of = dict(fat.dtypes)
+    ddl = f"part tinyint, mesh {of['mesh']}, cell_id {of['cell_id']}, nodes array<bigint>, point_id bigint, w double, gx double, gy double, gz double, error double"
+    schema = _schema(fat, ddl)
+    about = (F.col("about") if "about" in of else F.lit(None)).cast("array<int>").alias("about")
+    rows = _corners(fat, value, about).withColumn("nodes", F.col("nodes").cast("array<bigint>"))
+
+    def run(batches):
+        for t in _runs(batches):
+            yield from _settle(t, schema).to_batches()
+
+    held = Scratch(fat.sparkSession, "gradient").write(rows.mapInArrow(run, ddl), "gradient")
+    sums = held.where("part = 2").groupBy("mesh", "point_id").agg(*[F.sum(c).alias(c) for c in ("w", *AXES)])
+    node = _means(sums).withColumnsRenamed({g: f"r{g}" for g in AXES})
+    met = gather(held.where("part = 1").select(*KEY, "nodes", *AXES), node, tuple(f"r{g}" for g in AXES))
     known = lambda g: F.filter(f"r{g}s", lambda v: v.isNotNull())
     mean = lambda g: F.try_divide(F.aggregate(known(g), F.lit(0.0), lambda a, v: a + v), F.size(known(g)))
-    return met.select(*KEY, _norm([F.col(g) - mean(g) for g in axes]).alias("error"))
+    return held.where("part = 0").select(*KEY, "error").unionByName(met.select(*KEY, _norm([F.col(g) - mean(g) for g in AXES]).alias("error")))
 
 
 def mark_cells(errors: DataFrame, threshold: float = 0.5) -> DataFrame:

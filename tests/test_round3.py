@@ -630,3 +630,69 @@ def test_products_are_summed_in_batches(spark):
     assert set(got) == set(range(1, 10)) and np.allclose([got[k] for k in want], list(want.values()))
     assert np.isclose(A.stiffness_energy(fat.where("nodes[0] < 7")).first()[0], np.sqrt(energy))
     assert "MapInArrow" in product._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("told", ["in order", "scattered", ""])
+def test_errors_of_cells_are_settled_where_they_lie(spark, monkeypatch, told):
+    """Few cells travel a second time, and runs, rims and odd cells give the errors of a plain loop."""
+    from fieldloom.operators import mesh as M
+
+    rng, side, travel = np.random.default_rng(8), 24, []
+    xy = np.array([(i % side, i // side) for i in range(side * side)], float) + rng.uniform(-0.2, 0.2, (side * side, 2))
+    u = rng.uniform(size=(2, side * side))
+    tri = [(p, p + 1, p + side + 1) if k else (p, p + side + 1, p + side) for p in range(side * (side - 1)) if p % side < side - 1 for k in (0, 1)]
+    tri += [(0, 0, 1), (5, 6, 7, 8), (3, 4), (1, 2, None)]
+    kinds = ["triangle"] * (len(tri) - 4) + ["triangle", "quad", "line", "triangle"]
+    lost, blank = 100, 200  # a point that is absent, and one without a value
+    pts = spark.createDataFrame([(m, i, float(x), float(y), 0.0, None if i == blank else float(u[m, i])) for m in (0, 1) for i, (x, y) in enumerate(xy) if i != lost], "mesh int, point_id long, x double, y double, z double, u double")
+    cells = spark.createDataFrame([(m, c, k, list(n)) for m in (0, 1) for c, (n, k) in enumerate(zip(tri, kinds))], "mesh int, cell_id long, cell_type string, nodes array<long>")
+    plain = M.gather
+
+    def spy(cells, points, values, *more):
+        if values[0].startswith("r"):
+            travel.append(cells.count())
+        return plain(cells, points, values, *more)
+
+    monkeypatch.setattr(M, "gather", spy)
+    monkeypatch.setattr(M, "CELLS", 700)
+    fat = M.fat_cells(cells, pts, ("u",), about=True) if told else M.fat_cells(cells, pts, ("u",))
+    got = {(r.mesh, r.cell_id): r.error for r in M.zz_error(fat.repartition(5) if told == "scattered" else fat).collect()}
+
+    def size_of(n):
+        e = lambda i, j: xy[n[j]] - xy[n[i]]
+        area = lambda i, j, k: abs(e(i, j)[0] * e(i, k)[1] - e(i, j)[1] * e(i, k)[0]) / 2
+        return {2: lambda: np.hypot(*e(0, 1)), 3: lambda: area(0, 1, 2), 4: lambda: area(0, 1, 2) + area(0, 2, 3)}[len(n)]()
+
+    for m in (0, 1):
+        grad, sums = {}, {}
+        for c, n in enumerate(tri):
+            whole = lost not in n and None not in n
+            size = size_of(n) if whole else None
+            if len(n) == 3 and whole and size and blank not in n:
+                grad[c] = np.linalg.solve([xy[n[1]] - xy[n[0]], xy[n[2]] - xy[n[0]]], [u[m, n[1]] - u[m, n[0]], u[m, n[2]] - u[m, n[0]]])
+            for p in n:
+                w, g = sums.get(p, (0.0, None))
+                sums[p] = (w + (size or 0.0), ((0 if g is None else g) + size * grad[c]) if c in grad else g)
+        for c, n in enumerate(tri):
+            around = [sums[p][1] / sums[p][0] for p in n if p is not None and sums[p][1] is not None]
+            want = np.linalg.norm(grad[c] - np.mean(around, 0)) if c in grad and around else None
+            assert (got[(m, c)] is None) == (want is None), (c, n)
+            assert want is None or abs(got[(m, c)] - want) < 1e-9, (c, n)
+    assert len(got) == 2 * len(tri)
+    assert travel[0] == len(got) if not told else told == "scattered" or travel[0] < 0.5 * len(got)
+
+
+@pytest.mark.parametrize("name", ["mesh_zz_error", "mesh_marked_cells"])
+def test_queries_of_errors_send_few_cells_twice(spark, monkeypatch, name):
+    from fieldloom.jobs.mesh_queries import QUERIES
+    from fieldloom.operators import mesh as M
+
+    plain, sent = M.gather, []
+
+    def spy(cells, points, values, *more):
+        sent.append(cells.count())
+        return plain(cells, points, values, *more)
+
+    monkeypatch.setattr(M, "gather", spy)
+    assert QUERIES[name](spark, "/root/testdata/sf0.01").count() > 0
+    assert len(sent) == 2 and sent[1] < 0.1 * sent[0]
