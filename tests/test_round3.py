@@ -696,3 +696,21 @@ def test_queries_of_errors_send_few_cells_twice(spark, monkeypatch, name):
     monkeypatch.setattr(M, "gather", spy)
     assert QUERIES[name](spark, "/root/testdata/sf0.01").count() > 0
     assert len(sent) == 2 and sent[1] < 0.1 * sent[0]
+
+
+def test_gradients_and_volumes_of_all_kinds(spark):
+    """Linear fields have their own gradient, volumes are those of the column form."""
+    from fieldloom.operators import mesh as M
+
+    rng, corners = np.random.default_rng(9), {"line": 2, "triangle": 3, "quad": 4, "tet": 4, "hex": 8, "prism": 6}
+    rows = []
+    for c, (kind, n) in enumerate([*corners.items()] * 5):
+        x = rng.uniform(size=(n, 3)) * (1, 1, kind not in ("line", "triangle", "quad"))
+        rows.append((0, c, kind, list(range(n)), *x.T.tolist(), (x @ (2.0, -3.0, 5.0)).tolist()))
+    fat = spark.createDataFrame(rows, "mesh long, cell_id long, cell_type string, nodes array<long>, xs array<double>, ys array<double>, zs array<double>, us array<double>")
+    want = {r.cell_id: r.volume for r in M.cell_volumes(fat).collect()}
+    for r in M.element_gradient(fat).collect():
+        kind = rows[r.cell_id][2]
+        assert abs(r.volume - want[r.cell_id]) < 1e-12
+        g = {"triangle": (2, -3, 0), "tet": (2, -3, 5)}.get(kind)
+        assert (r.gx, r.gy, r.gz) == (None, None, None) if g is None else np.allclose((r.gx, r.gy, r.gz), g, atol=1e-8)
