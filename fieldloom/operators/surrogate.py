@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldloom.operators.process import SlabProcess, lower_inverse
 from fieldloom.operators.spatial import in_blocks
 from fieldloom.sources.scratch import Scratch
 
@@ -134,20 +135,6 @@ def diverse_batch(scored: DataFrame, k: int, dims: Sequence[str], every: int = 8
     return chosen
 
 
-def _lower_inverse(c: np.ndarray) -> np.ndarray:
-    """Inverse of a lower triangular matrix by halves.
-
-    Products instead of one large solve: threaded solves of some BLAS builds never
-    return in a process that has forked, as a driver has.
-    """
-    n = len(c)
-    if n <= 32:
-        return np.linalg.solve(c, np.eye(n)) if n else c
-    h = n // 2
-    a, b = _lower_inverse(c[:h, :h]), _lower_inverse(c[h:, h:])
-    return np.block([[a, np.zeros((h, n - h))], [-b @ c[h:, :h] @ a, b]])
-
-
 class GaussianProcess:
     """Factors of a squared-exponential process on training points; points are added by growing the Cholesky factor."""
 
@@ -163,7 +150,7 @@ class GaussianProcess:
         low = cross @ self.inverse.T
         self.x, self.y = np.vstack([self.x, x]), np.r_[self.y, y]
         corner = np.linalg.cholesky(self.kernel(x)[:, n:] + self.noise * np.eye(k) - low @ low.T) if k else np.zeros((0, 0))
-        flipped = _lower_inverse(corner)
+        flipped = lower_inverse(corner)
         self.chol = np.block([[self.chol, np.zeros((n, k))], [low, corner]])
         self.inverse = np.block([[self.inverse, np.zeros((n, k))], [-flipped @ low @ self.inverse, flipped]])
         self.alpha = self.inverse.T @ (self.inverse @ self.y)
@@ -184,12 +171,6 @@ class GaussianProcess:
         return np.exp(-0.5 * np.maximum(d2, 0) / self.length**2)
 
 
-def _gp(train: DataFrame, length: float, noise: float, max_train: int) -> GaussianProcess:
-    p = train.select(F.col("p").cast("array<double>").alias("p"), F.col("y").cast("double").alias("y"))
-    rows = bounded_rows(p, max_train, "p", "y").toPandas().sort_values("y", kind="stable")  # max_train rows at most
-    return GaussianProcess(np.array(rows.p.tolist(), float).reshape(len(rows), -1 if len(rows) else 1), rows.y.to_numpy(float), length, noise)
-
-
 def bounded_rows(df: DataFrame, n: int, *keys: str) -> DataFrame:
     """All rows, or about ``n`` drawn by a hash of ``keys`` if there are more; never more than ``n``."""
     total = df.count()
@@ -199,13 +180,15 @@ def bounded_rows(df: DataFrame, n: int, *keys: str) -> DataFrame:
     return df.where(share).limit(n)
 
 
-def gp_predict(candidates: DataFrame, train: DataFrame, length: float = 1.0, noise: float = 1e-6, max_train: int = MAX_TRAIN) -> DataFrame:
+def gp_predict(candidates: DataFrame, train: DataFrame, length: float = 1.0, noise: float = 1e-6) -> DataFrame:
     """``id, mean, std`` of a squared-exponential Gaussian process at every candidate.
 
-    The process is fitted on at most ``max_train`` training rows (all, or a draw
-    by hash).
+    The process takes every training row, in slabs (``process.SlabProcess``).
+    Candidates of one place are scored once and come back by a join on the place.
     """
-    return gp_score(candidates, _gp(train, length, noise, max_train))
+    rows = candidates.select(F.col("id").cast("long").alias("id"), F.col("p").cast("array<double>").alias("p"))
+    places = Scratch(candidates.sparkSession, "gp").write(SlabProcess(train, length, noise).score(rows.select("p").distinct()), "places")
+    return rows.join(places, "p").select("id", "mean", "std")
 
 
 def gp_score(candidates: DataFrame, process: GaussianProcess) -> DataFrame:
@@ -231,9 +214,9 @@ def gp_score(candidates: DataFrame, process: GaussianProcess) -> DataFrame:
     return rows.join(places, "p").select("id", "mean", "std")
 
 
-def gp_log_marginal(train: DataFrame, length: float = 1.0, noise: float = 1e-6, max_train: int = MAX_TRAIN) -> float:
-    """Log marginal likelihood of the training rows that ``gp_predict`` takes."""
-    return _gp(train, length, noise, max_train).log_marginal
+def gp_log_marginal(train: DataFrame, length: float = 1.0, noise: float = 1e-6) -> float:
+    """Log marginal likelihood of the training rows that ``gp_predict`` takes, which are all."""
+    return SlabProcess(train, length, noise).log_marginal()
 
 
 def task_embedding(data: DataFrame, size: int = 8, tasks: DataFrame | None = None) -> DataFrame:
