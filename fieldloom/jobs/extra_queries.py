@@ -71,8 +71,8 @@ def oc(spark, sf_dir):
 )
 def heat(spark, sf_dir):
     """Heat kernel of the supplier-part graph; the SQL is the series of the matrix exponential."""
-    e = _edges(spark, sf_dir)
-    return rounded(X.heat_diffuse(G.laplacian(e), _nodes(e).select(F.col("id").alias("row"), F.col("f").alias("value")), 1.0))
+    e, n = _lines(spark, sf_dir)
+    return rounded(X.heat_diffuse(G.laplacian(e, rows=n), _nodes(e).select(F.col("id").alias("row"), F.col("f").alias("value")), 1.0))
 
 
 @query("graph_unpool", f"WITH {_E}, c AS (SELECT id % 6 AS part, avg(f) AS f FROM n GROUP BY 1) SELECT n.id, round(c.f, 6) AS f FROM n JOIN c ON c.part = n.id % 6")

@@ -129,9 +129,9 @@ def spmv(spark, sf_dir):
  t0 AS (SELECT id AS row, f AS v FROM n), t1 AS (SELECT row, sum(value * v) AS v FROM l JOIN (SELECT row AS col, v FROM t0) USING (col) GROUP BY row), lt1 AS (SELECT row, sum(value * v) AS v FROM l JOIN (SELECT row AS col, v FROM t1) USING (col) GROUP BY row)
  SELECT t0.row, round(0.5 * t0.v + 0.3 * t1.v + 0.2 * (2 * lt1.v - t0.v), 6) + 0.0 AS value FROM t0 JOIN t1 USING (row) JOIN lt1 USING (row)""")
 def chebyshev(spark, sf_dir):
-    e = _edges(spark, sf_dir)
+    e, n = _lines(spark, sf_dir)
     f = _nodes(e).select(F.col("id").alias("row"), F.col("f").alias("value"))
-    return rounded(G.chebyshev_filter(G.laplacian(e), f, [0.5, 0.3, 0.2], largest=2.0))
+    return rounded(G.chebyshev_filter(G.laplacian(e, rows=n), f, [0.5, 0.3, 0.2], largest=2.0))
 
 
 @query("graph_contract", f"WITH {_E} SELECT src % 7 AS src, dst % 5 + 10 AS dst, round(sum(weight), 3) AS weight FROM e GROUP BY 1, 2")

@@ -7,10 +7,13 @@ adaptive skew join where both sides come straight from an exchange.
 from __future__ import annotations
 
 import logging
+from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fieldloom.operators.dealt import DealtMatrix
 from fieldloom.operators.graph_components import connected_components
 from fieldloom.sources.scratch import Scratch
 
@@ -92,7 +95,7 @@ def largest_eigenvalue(lap: DataFrame, rounds: int = 20) -> float:
 
 
 def chebyshev_filter(lap: DataFrame, f: DataFrame, theta: list[float], largest: float | None = 2.0) -> DataFrame:
-    """Sum of theta_k T_k(2 L / largest - I) f; the matrix and each term are written tables.
+    """Sum of theta_k T_k(2 L / largest - I) f; the matrix is dealt once, each term is a written table of vectors. Ids are integers.
 
     Without ``largest`` it is estimated by power iteration, plus a tenth, since the
     iteration comes from below.
@@ -101,22 +104,34 @@ def chebyshev_filter(lap: DataFrame, f: DataFrame, theta: list[float], largest:
     if len(theta) > 2 or largest is None:
         lap = tmp.write(lap, "matrix")
     largest = 1.1 * largest_eigenvalue(lap) if largest is None else largest
-
-    def shifted(v: DataFrame) -> DataFrame:
-        lv = spmv(lap, v).withColumnRenamed("value", "lv")
-        return v.join(lv, "row", "left").select("row", (2.0 / largest * F.coalesce("lv", F.lit(0.0)) - F.col("value")).alias("value"))
-
-    terms = [f.select("row", "value")]
-    if len(theta) > 1:
-        terms.append(tmp.write(shifted(terms[0]), "t1"))
-    for k in range(2, len(theta)):
-        nxt = shifted(terms[-1]).withColumnRenamed("value", "a").join(terms[-2].withColumnRenamed("value", "b"), "row")
-        terms.append(tmp.write(nxt.select("row", (2 * F.col("a") - F.col("b")).alias("value")), f"t{k}"))
-    out = None
-    for t, k in zip(terms, theta):
-        part = t.select("row", (F.col("value") * k).alias("value"))
-        out = part if out is None else out.unionByName(part)
-    return out.groupBy("row").agg(F.sum("value").alias("value"))
+    if len(theta) < 2:
+        return f.select("row", (F.col("value") * theta[0]).alias("value"))
+    if len(theta) == 2:
+        lf = spmv(lap, f).withColumnRenamed("value", "lf")
+        shifted = 2.0 / largest * F.coalesce("lf", F.lit(0.0)) - F.col("value")
+        return f.join(lf, "row", "left").select("row", (theta[0] * F.col("value") + theta[1] * shifted).alias("value"))
+    dealt = DealtMatrix(lap, tmp)
+    tmp.drop(lap)
+
+    def term(k: int) -> Callable[[list[np.ndarray], np.ndarray], list[np.ndarray]]:
+        def update(vs: list[np.ndarray], lv: np.ndarray) -> list[np.ndarray]:
+            """From T_k-1 f, T_k-2 f and the sum so far to the next ones."""
+            v = 2.0 / largest * lv - vs[0]
+            if k == 1:
+                return [v, vs[0], theta[0] * vs[0] + theta[1] * v]
+            v = 2 * v - vs[1]
+            return [v, vs[0], vs[2] + theta[k] * v]
+
+        return update
+
+    state = dealt.start(f)
+    for k in range(1, len(theta)):
+        after = tmp.write(dealt.step(state, term(k)), f"t{k}")
+        if k > 1:
+            tmp.drop(state)
+        state = after
+    tmp.drop(dealt.packed)
+    return dealt.read(state, 2)
 
 
 def hop_distances(edges: DataFrame, max_hops: int) -> DataFrame:

@@ -57,3 +57,55 @@ def test_process_draws_no_sample(spark, monkeypatch):
         near = slice(max(0, k - 700), k + 700)  # what lies further off does not reach
         mean, std, _ = plain_process(x[near], y[near], q[i : i + 1], 1.0, 1e-6)
         assert np.allclose(got[i], (mean[0], std[0]), atol=1e-6)
+
+
+@pytest.mark.parametrize("hubs", ["low", "high"])
+def test_dealt_matrix_in_many_buckets(spark, monkeypatch, hubs):
+    """Products in nine buckets of several packed rows, hubs on either side, ids that the vector lacks and unknown values."""
+    from fieldloom.operators import dealt as D
+    from fieldloom.operators import graph as G
+
+    monkeypatch.setattr(D, "ENTRIES", 100)
+    monkeypatch.setattr(D, "PIECE", 30)
+    rng = np.random.default_rng(17)
+    n, few = 90, 6
+    pairs = {(int(a), int(b)) for a, b in zip(rng.integers(0, few, 400), rng.integers(few, n, 400))}
+    name = (lambda i: i - 3) if hubs == "low" else (lambda i: 1_000 - 7 * i)
+    m = np.zeros((n, n))
+    for a, b in pairs:
+        m[a, b], m[b, a] = rng.normal(size=2)  # not symmetric
+    m += np.diag(rng.normal(size=n))
+    rows = [(name(i), name(j), float(m[i, j])) for i, j in np.argwhere(m).tolist()]
+    x = rng.normal(size=n + 2)
+    f = [(name(i), float(v)) for i, v in enumerate(x) if i not in (2, 40, 41)] + [(name(40), None)]  # n and n + 1 are not in the matrix
+    lap = spark.createDataFrame(rows, "row long, col long, value double")
+    theta = [0.4, -0.3, 0.25, 0.1]
+    got = {r.row: r.value for r in G.chebyshev_filter(lap, spark.createDataFrame(f, "row long, value double"), theta, 2.5).collect()}
+    full, x = np.zeros((n + 2, n + 2)), x.copy()
+    full[:n, :n] = m
+    here = np.array([i not in (2, 40, 41) for i in range(n + 2)])
+    full, x = full * here * here[:, None], x * here
+    t = [x, 2 / 2.5 * full @ x - x]
+    for _ in range(2):
+        t.append(2 * (2 / 2.5 * full @ t[-1] - t[-1]) - t[-2])
+    want = sum(c * v for c, v in zip(theta, t))
+    assert set(got) == {name(i) for i in range(n + 2) if i not in (2, 41)} and got.pop(name(40)) is None
+    assert all(np.isclose(got[name(i)], want[i]) for i in range(n + 2) if here[i])
+
+
+def test_products_do_not_shuffle_the_matrix(spark, monkeypatch):
+    """The matrix's entries leave no exchange in a product's plan: only packed values and sums travel."""
+    from fieldloom.operators import dealt as D
+    from fieldloom.operators import graph as G
+
+    monkeypatch.setattr(D, "ENTRIES", 50)
+    plans, write = [], G.Scratch.write
+    monkeypatch.setattr(G.Scratch, "write", lambda self, df, name: plans.append((name, df._jdf.queryExecution().executedPlan().toString())) or write(self, df, name))
+    e = spark.createDataFrame([(i % 7, 100 + i, 1.0 + i % 3) for i in range(120)], "src long, dst long, weight double")
+    f = spark.createDataFrame([(i, float(i)) for i in (*range(7), *range(100, 220))], "row long, value double")
+    assert G.chebyshev_filter(G.laplacian(e), f, [0.5, 0.3, 0.2, 0.1]).count() == 127
+    plan = dict(plans)["t3"].splitlines()
+    exchanged = [k for k, line in enumerate(plan) if "Exchange" in line]
+    # An exchange's columns are those of the lines below it up to the next scan or function.
+    assert exchanged and not any("value#" in plan[k + 1] or "col#" in plan[k + 1] for k in exchanged)
+    assert sum("FlatMapCoGroupsInArrow" in line for line in plan) == 2
