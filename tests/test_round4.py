@@ -109,3 +109,28 @@ def test_products_do_not_shuffle_the_matrix(spark, monkeypatch):
     # An exchange's columns are those of the lines below it up to the next scan or function.
     assert exchanged and not any("value#" in plan[k + 1] or "col#" in plan[k + 1] for k in exchanged)
     assert sum("FlatMapCoGroupsInArrow" in line for line in plan) == 2
+
+
+def test_radius_tiles_are_few_and_whole(spark, monkeypatch):
+    """A dense cube is few large tiles, so rows are hardly repeated; small ones give the same pairs and sums."""
+    from fieldloom.operators import spatial as S
+
+    rng = np.random.default_rng(23)
+    x = np.vstack([rng.uniform(0, 0.09, (6_500, 2)), rng.uniform(-1, 1, (100, 2))])
+    df = spark.createDataFrame([(i, p, 1.0 + i % 3) for i, p in enumerate(x.tolist())], "id long, p array<double>, rho double")
+    tiles, keys = S._tiles(df.select("id", "p"), df.select("id", "p"), 0.1, 2)
+    cubes = {tuple(c) for c in np.floor(x / 0.1).astype(int).tolist()}
+    met = sum((c[0] + i, c[1] + j) in cubes for c in np.floor(x / 0.1).astype(int).tolist() for i in (-1, 0, 1) for j in (-1, 0, 1))
+    assert tiles.count() == met + len(x)  # each row once for each cube that it meets, and once as a member
+    few = df.where("id % 11 = 0")
+    pairs = lambda: {(r.id, r.other): r.dist for r in S.radius_join(few, few, 0.02).collect()}
+    sums = lambda: {r.id: r.filtered for r in S.density_filter(few, 0.02).collect()}
+    want = (pairs(), sums())
+    y, ids = x[::11], np.arange(0, len(x), 11)
+    dist = np.sqrt((y[:, None, 0] - y[None, :, 0]) ** 2 + (y[:, None, 1] - y[None, :, 1]) ** 2)
+    assert want[0] == {(int(ids[i]), int(ids[j])): dist[i, j] for i, j in zip(*np.nonzero(dist < 0.02))}
+    monkeypatch.setattr(S, "TILE", 20)
+    monkeypatch.setattr(S, "WORK", 1_000)
+    monkeypatch.setattr(S, "STEP", 64)
+    got = (pairs(), sums())
+    assert got[0] == want[0] and got[1].keys() == want[1].keys() and all(np.isclose(got[1][i], want[1][i]) for i in got[1])
