@@ -19,8 +19,9 @@ from pyspark.sql import functions as F
 
 from fieldloom.sources.scratch import Scratch
 
-#: Entries of a bucket, of one of fewer than there are cores, and of one packed row.
-ENTRIES, LEAST, PIECE = 4_000_000, 250_000, 1_000_000
+#: Entries of a bucket, of one of fewer than there are cores, and of one packed row: a scan holds a
+#: hundred of these at least, whatever their size.
+ENTRIES, LEAST, PIECE = 4_000_000, 250_000, 16_384
 _STATE = "home long, ids array<long>, known array<boolean>, buckets array<long>, lens array<int>, at array<int>, vs array<array<double>>"
 
 
@@ -80,7 +81,7 @@ class DealtMatrix:
 
         rows = matrix.where("row is not null and col is not null").select(F.pmod(F.xxhash64(anchor), F.lit(buckets)).alias("bucket"), F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), F.coalesce(F.col("value").cast("double"), F.lit(0.0)).alias("value"))
         packed = rows.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(pack, "bucket long, home long, ids array<long>, row array<int>, col array<int>, value array<double>")
-        self.packed = tmp.bucketed(packed, "dealt", "bucket", buckets, placed=True)
+        self.packed = tmp.bucketed(packed, "dealt", "bucket", buckets, placed=True, group=16 << 20)
 
     def start(self, f: DataFrame) -> DataFrame:
         """The state of a vector ``row, value``; ids of the matrix that it lacks count as 0."""

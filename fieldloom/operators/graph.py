@@ -66,8 +66,10 @@ def laplacian(edges: DataFrame, normalized: bool = True, rows: int | None = None
     off = p.select("low", "high", (-F.col("weight")).alias("value"))
     if normalized:
         for k in ("low", "high"):
-            off = off if rows is None else off.repartition(1 + rows // PART_EDGES, k)
-            off = off.join(deg.select(F.col("id").alias(k), F.col("d").alias(f"d_{k}")), k)
+            d = deg.select(F.col("id").alias(k), F.col("d").alias(f"d_{k}"))
+            if rows is not None:  # both sides, or the pairs would be dealt again to the degrees' few partitions
+                off, d = off.repartition(1 + rows // PART_EDGES, k), d.repartition(1 + rows // PART_EDGES, k)
+            off = off.join(d, k)
         off = off.select("low", "high", (F.col("value") / F.sqrt(F.col("d_low") * F.col("d_high"))).alias("value"))
     return diag.unionByName(_turned(off, "value").withColumnsRenamed({"src": "row", "dst": "col"}))
 
